@@ -13,10 +13,10 @@ Bands are many and short (32 of 4 minima): a pair at the threshold of 0.75 share
 no band with probability (1 - 0.75**4)**32, about 5e-6, and less above it.
 
 Cases: a null or word-free text has no shingles and links with nothing; a text of
-fewer words than a shingle is one shingle; equal texts are one class; rows that
-repeat a doc_id are merged, one row per doc_id comes out, with the smallest set
-digest's values; columns other than doc_id and text are ignored; an empty table
-gives an empty result.
+fewer words than a shingle is one shingle; equal texts are one class; a row that
+repeats both doc_id and text comes out as often as it went in (doc_id must name one
+text); columns other than doc_id and text are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
