@@ -6,17 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitile.llm import near_dedup
+from orbitile.llm import bpe_tree, language, near_dedup, token_ids, toxicity
 from orbitile.llm.shared import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary file of a public tokenizer, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pretoken_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), pretoken_pattern())
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ftrl_toxicity": op2_ftrl_toxicity,
+        "op3_token_records": op3_token_records,
+        "op5_bpe_tree": op5_bpe_tree,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
