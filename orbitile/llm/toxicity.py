@@ -2,9 +2,9 @@
 
 Features are hashed word unigrams, bigrams and skip-grams (one and two words left
 out), present or absent in the whole text. Training runs FTRL-proximal with
-per-coordinate rates and L1 on a bounded number of labelled rows, dealt over a fixed
-number of shards by a hash of the id; shard weights are averaged by Spark. L1 leaves
-few weights that are not zero, and at most 2**BITS exist, so they are broadcast.
+per-coordinate rates and L1 on TRAIN_ROWS labelled rows at most, chosen and ordered by
+a hash of the id; their features are computed by all executors. L1 leaves few weights
+that are not zero, and at most 2**BITS + 1 exist, so they are broadcast to score.
 
 Cases: a null or word-free text scores by the bias alone; labels that are null are
 not learned from; a doc_id with several labels counts as toxic if any says so;
@@ -25,9 +25,10 @@ from orbitile.llm.textbytes import LOWER, Words, mix, text_slices
 BITS = 20
 #: At most about this many labelled rows are learned from, chosen by a hash of the id.
 TRAIN_ROWS = 16_000
-SHARDS = 4
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.08, 1.0, 1.0, 1.0
+#: Features in fewer of those rows are not learned.
+MIN_ROWS = 3
+EPOCHS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 THRESHOLD = 0.3
 
 #: Bytes of words: letters, and all bytes of characters beyond ASCII.
@@ -84,17 +85,28 @@ class Ftrl:
         self.n[at] = after
 
 
-def _train_shard(key, rows):
-    import pandas as pd
-
+def _train(batches):
+    """FTRL over the bounded sample, a few epochs in hash order."""
+    parts, sizes, y = [], [], []
+    for batch in batches:
+        lists = batch.column("features")
+        parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        sizes.append(np.diff(lists.offsets.to_numpy()))
+        y.extend(batch.column("toxic").to_pylist())
+    if not y:
+        return
+    flat, size = np.concatenate(parts), np.concatenate(sizes)
+    often = np.bincount(flat, minlength=1 << BITS) >= MIN_ROWS
+    kept = often[flat]
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.cumsum(size)]
+    rows = np.split(flat[kept].astype(np.int64), ends[:-1])
     model = Ftrl(1 << BITS)
-    rows = rows.sort_values(["order", "doc_id"])
     for _ in range(EPOCHS):
-        for ids, y in zip(rows["features"], rows["toxic"], strict=True):
-            model.learn(np.asarray(ids, np.int64), float(y))
+        for ids, label in zip(rows, y, strict=True):
+            model.learn(ids, float(label))
     w = model.weights(np.arange(len(model.z)))
     at = np.flatnonzero(w)
-    return pd.DataFrame({"feature": at, "weight": w[at]})
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["feature", "weight"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
@@ -108,11 +120,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFr
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids and weights that are not zero; feature 2**BITS is the bias."""
     rows = training_rows(docs, labels, train_rows).mapInArrow(_sample_features, "doc_id long, toxic int, features array<int>")
-    rows = materialize(rows.select("doc_id", "toxic", "features", F.xxhash64("doc_id", F.lit(7)).alias("order")), "toxic-features")
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARDS)).alias("shard")
-    weights = rows.groupBy(shard).applyInPandas(_train_shard, "feature long, weight double")
-    shards = max(1, rows.select(shard).distinct().count())
-    found = weights.groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).toPandas()  # at most 2**BITS + 1 rows
+    rows = materialize(rows.select("toxic", "features", F.xxhash64("doc_id", F.lit(7)).alias("order"), "doc_id"), "toxic-features")
+    # train_rows bounds what meets in this one task, whatever the corpus holds
+    ordered = rows.repartition(1).sortWithinPartitions("order", "doc_id").select("toxic", "features")
+    found = ordered.mapInArrow(_train, "feature long, weight double").toPandas()  # at most 2**BITS + 1 rows
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
