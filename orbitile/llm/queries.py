@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitile.llm import bpe_tree, language, near_dedup, token_ids, toxicity
+from orbitile.llm import bpe_tree, decontaminate, language, line_dedup, near_dedup, token_ids, toxicity, trie_counts
 from orbitile.llm.shared import table
 
 
@@ -27,6 +27,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,10 +57,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_decontamination": op1_simhash_decontamination,
         "op2_ftrl_toxicity": op2_ftrl_toxicity,
         "op3_token_records": op3_token_records,
         "op5_bpe_tree": op5_bpe_tree,
+        "op6_trie_token_counts": op6_trie_token_counts,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
         "op10_language_id": op10_language_id,
     }
 
