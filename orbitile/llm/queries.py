@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitile.llm import bpe_tree, decontaminate, language, line_dedup, near_dedup, token_ids, toxicity, trie_counts
+from orbitile.llm import bpe_tree, decontaminate, language, line_dedup, media, near_dedup, token_ids, toxicity, trie_counts
 from orbitile.llm.shared import table
 
 
@@ -47,6 +47,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_records(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), pretoken_pattern())
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_decontamination": op1_simhash_decontamination,
         "op2_ftrl_toxicity": op2_ftrl_toxicity,
         "op3_token_records": op3_token_records,
+        "op4_webp_media": op4_webp_media,
         "op5_bpe_tree": op5_bpe_tree,
         "op6_trie_token_counts": op6_trie_token_counts,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
