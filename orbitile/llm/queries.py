@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitile.llm import bpe_tree, decontaminate, language, line_dedup, media, near_dedup, token_ids, toxicity, trie_counts
+from orbitile.llm import bpe_tree, decontaminate, language, line_dedup, media, near_dedup, pii, token_ids, toxicity, trie_counts
 from orbitile.llm.shared import table
 
 
@@ -35,6 +35,10 @@ def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_webp_media": op4_webp_media,
         "op5_bpe_tree": op5_bpe_tree,
         "op6_trie_token_counts": op6_trie_token_counts,
+        "op7_bootstrapped_pii": op7_bootstrapped_pii,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
         "op10_language_id": op10_language_id,
