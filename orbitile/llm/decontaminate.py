@@ -246,3 +246,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITE
             every = every.unionByName(part)
         found = every.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("similarity").alias("similarity"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "similarity")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
+    place = docs.columns.index("text")
+
+    def clean(docs: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches):
+            for batch in batches:
+                for i, j, body, offsets in text_slices(batch.column(place)):
+                    keep = np.ones(j - i, bool)
+                    keep[shared.value.matches(body, offsets)[0]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for index in item_blocks(benchmark, items_a_pass):
+        docs = clean(docs, index)
+    return docs

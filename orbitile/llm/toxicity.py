@@ -127,6 +127,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
+def margins(dense: np.ndarray, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Log-odds of each text of a slice."""
+    ids, first = features(body, offsets)
+    total = np.concatenate([[0.0], np.cumsum(dense[ids], dtype=np.float64)])
+    return total[first[1:]] - total[first[:-1]] + float(dense[-1])
+
+
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``docs`` (doc_id, text) with score and predicted."""
     at, values = weights
@@ -139,9 +146,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         dense[at] = values
         for batch in batches:
             for i, j, body, offsets in text_slices(batch.column("text")):
-                ids, first = features(body, offsets)
-                total = np.concatenate([[0.0], np.cumsum(dense[ids], dtype=np.float64)])
-                margin = total[first[1:]] - total[first[:-1]] + float(dense[-1])
+                margin = margins(dense, body, offsets)
                 p = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) if known else np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -154,3 +159,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     seen = labels.filter(held_fold(F.col("doc_id"), 4) != 2)
     scored = score(docs, train(docs, seen, train_rows))
     return scored.select("doc_id", (held_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns as they are."""
+    at, values = train(docs, labels.filter(held_fold(F.col("doc_id"), 4) != 2), train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), values.astype(np.float32)))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        at, values = shared.value
+        dense = np.zeros((1 << BITS) + 1, np.float32)
+        dense[at] = values
+        for batch in batches:
+            for i, j, body, offsets in text_slices(batch.column(place)):
+                keep = margins(dense, body, offsets) < np.log(THRESHOLD / (1 - THRESHOLD)) if len(at) else np.ones(j - i, bool)
+                yield batch.slice(i, j - i).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
