@@ -1,0 +1 @@
+"""Incremental runs: scoring of newly arrived tiles as a file stream."""
