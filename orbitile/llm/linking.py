@@ -1,8 +1,8 @@
 """Linking rows that share bucket keys, and connected components, on DataFrames.
 
-No bucket is gathered in one task and no bucket's pairs are all written out: each
-bucket is first linked through one pivot, and only rows that this leaves in
-different components are compared further.
+No bucket's pairs are all written out: each bucket is first linked through one pivot,
+the member that shares most with others, and only rows that this leaves in different
+components are compared further.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from orbitile.llm.shared import materialize
 
-#: Buckets with more labels than this get further pivots before all their pairs.
-WIDE_BUCKET = 24
-STAR_ROUNDS = 4
-
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for all ids in ``edges(a, b)``: the smallest id reachable.
@@ -30,31 +26,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = materialize(both, "edges")
     labels = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        near = materialize(near, "near")
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").select("id", "component", F.lit(None).cast("long").alias("was"))
+        own = labels.select("id", "component", F.col("component").alias("was"))
+        step = near.unionByName(own).groupBy("id").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         step = materialize(step, "step")
-        up = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = step.join(up, "component").select("id", "was", F.least("component", "up").alias("component"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("id", "component")
-        if jumped.filter("component <> was").isEmpty():
+        if step.filter("component <> was").isEmpty():
             return labels
+        up = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        labels = materialize(step.join(up, "component").select("id", F.least("component", "up").alias("component")), "labels")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def link_buckets(rows: DataFrame, screen: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(
+    rows: DataFrame,
+    screen: Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    remaining: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Connected components of the verified links among rows that share a key.
 
     ``rows(key long, id long, sig)``: an id has one row for each of its keys.
     ``screen(sig, sig)`` is a cheap necessary condition; ``verify(pairs(a, b))``
-    keeps the pairs (a < b) that are really linked. Returns (id, component) for ids
-    with at least one link. No link between two ids that share a key and pass
-    ``screen`` is lost, except one whose ends are connected anyway.
+    keeps the pairs (a < b) that are really linked. ``remaining(rows(key, id, sig,
+    label))`` finds the links (a, b) between different labels of the buckets that the
+    pivots left mixed; by default a join on the key under ``screen``, then ``verify``.
+    Returns (id, component) for ids with at least one link. No link between two ids
+    that share a key and pass ``screen`` is lost, except one whose ends are connected
+    anyway.
     """
-    buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "buckets")
+    buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = materialize(rows.join(buckets, "key"), "members")
-    sigs = materialize(members.select("id", "sig").groupBy("id").agg(F.first("sig").alias("sig")), "sigs")
+    sigs = materialize(members.groupBy("id").agg(F.first("sig").alias("sig"), F.sum("n").alias("degree")), "sigs")
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -62,25 +64,22 @@ def link_buckets(rows: DataFrame, screen: Callable[[Column, Column], Column], ve
         near = near.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
         return materialize(verify(near.filter(screen(F.col("sig_a"), F.col("sig_b"))).select("a", "b")), "links")
 
-    edges = tested(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    ranked = members.select("key", "id").join(sigs.select("id", "degree"), "id")
+    pivots = materialize(ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("pivot")), "pivots")
+    edges = tested(members.join(pivots, "key").filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     labels = connected_components(edges)
-    for turn in range(STAR_ROUNDS + 1):
-        now = members.join(labels, "id", "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label"))
-        now = materialize(now, "now")
-        # one row for each label in a bucket; buckets of two were settled by their pivot
-        heads = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("id").alias("head"))
-        mixed = heads.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max_by("head", F.xxhash64("head", F.lit(turn))).alias("pivot"))
-        mixed = materialize(mixed.filter("labels > 1 and n > 2"), "mixed")
-        wide = mixed.filter(F.col("labels") > WIDE_BUCKET)
-        if turn == STAR_ROUNDS or wide.isEmpty():
-            break
-        star = now.join(wide.select("key", "pivot"), "key").filter("id <> pivot")
-        edges = materialize(edges.union(tested(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")))), "edges")
-        labels = connected_components(edges)
-    left = materialize(now.join(mixed.select("key"), "key"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & screen(F.col("x.sig"), F.col("y.sig")))
-    more = tested(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    now = members.join(labels, "id", "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label"))
+    now = materialize(now, "labelled")
+    # buckets of two were settled by their pivot
+    mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = materialize(mixed.filter("low < high and n > 2").select("key"), "mixed")
+    left = materialize(now.join(mixed, "key"), "left")
+    if remaining is not None:
+        more = materialize(remaining(left), "more")
+    else:
+        x, y = left.alias("x"), left.alias("y")
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & screen(F.col("x.sig"), F.col("y.sig")))
+        more = tested(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     if more.isEmpty():
         return labels
     return connected_components(edges.union(more))

@@ -5,9 +5,11 @@
    of the minima packed into longs. Documents with equal sets form one class.
 2. Class representatives meet in band buckets. Bit counts on the packed signatures
    give an estimate of the similarity, corrected for chance collisions of the kept
-   bits; pairs far below the threshold (six standard errors) are let go.
+   bits; pairs far below the threshold (five standard errors) are let go.
 3. The others are confirmed on the full shingle sets, and connected components
-   follow.
+   follow. What a bucket's pivot leaves in different components is compared inside
+   tasks, block against block of the bucket, on signatures and then on full sets;
+   only links come out of these tasks, not pairs.
 
 Bands are many and short (32 of 4 minima): a pair at the threshold of 0.75 shares
 no band with probability (1 - 0.75**4)**32, about 5e-6, and less above it.
@@ -32,6 +34,10 @@ from orbitile.llm.textbytes import mix, shingle_sets, sums_between, text_slices
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 4
+#: Standard errors below the threshold at which an estimate lets a pair go.
+ERRORS = 5
+#: Shingles of a bucket that one task holds; larger buckets are cut into blocks.
+BLOCK_SHINGLES = 1_000_000
 _HASHES = BANDS * ROWS
 _A = (mix(np.arange(1, _HASHES + 1, dtype=np.uint64), 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1, _HASHES + 1, dtype=np.uint64), 22) >> np.uint64(32)).astype(np.uint32)
@@ -114,7 +120,73 @@ def screen(a: Column, b: Column) -> Column:
     p = PERCENT / 100
     agree = p + (1 - p) * 2.0**-BITS
     error = (agree * (1 - agree) / _HASHES) ** 0.5 / (1 - 2.0**-BITS)
-    return estimated_similarity(a, b) >= F.lit(p - 6 * error)
+    return estimated_similarity(a, b) >= F.lit(p - ERRORS * error)
+
+
+def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Positions at which one packed signature agrees with each row of others."""
+    d = one[None, :] ^ two
+    for shift in (2, 1):
+        d = d | (d >> np.uint64(shift))
+    return _HASHES - np.bitwise_count(d & np.uint64(int("1" * 16, 16))).sum(axis=1, dtype=np.int64)
+
+
+def _least_agreeing() -> float:
+    p = PERCENT / 100
+    agree = p + (1 - p) * 2.0**-BITS
+    return _HASHES * (agree - ERRORS * (agree * (1 - agree) / _HASHES) ** 0.5)
+
+
+def _block_links(key, rows):
+    """Links between different labels of one block, or of two blocks, of a bucket."""
+    import pandas as pd
+
+    _, low, high = key
+    ids, label, block = rows["id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)
+    sigs = np.stack([np.asarray(s, np.int64) for s in rows["sig"]]).view(np.uint64)
+    keys = [np.asarray(k, np.int64) for k in rows["keys"]]
+    width = max(map(len, keys))
+    table = np.zeros((len(keys), width), np.int64)
+    for i, k in enumerate(keys):
+        table[i, : len(k)] = np.sort(k)
+        table[i, len(k) :] = -i - 1  # fits no other row
+    sets = [np.asarray(s, np.int64) for s in rows["shingles"]]
+    size = np.array([len(s) for s in sets])
+    names, count = np.unique(label, return_counts=True)
+    main = names[count.argmax()]
+    owner = np.repeat(np.arange(len(sets)), size)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    least, out = _least_agreeing(), []
+    bucket = key[0]
+    for i in np.flatnonzero(label != main):
+        # each pair once: the label that is not the main one, or the smaller id, asks
+        ask = (label != label[i]) & ((label == main) | (ids > ids[i]))
+        if low != high:
+            ask &= block != block[i]
+        at = np.flatnonzero(ask)
+        at = at[(100 * np.minimum(size[at], size[i]) >= PERCENT * np.maximum(size[at], size[i])) & (_agreeing(sigs[i], sigs[at]) >= least)]
+        if len(at) == 0:
+            continue
+        # a pair that shares several buckets is compared in the first of them only
+        shared = np.isin(table[at], keys[i])
+        at = at[np.where(shared, table[at], np.iinfo(np.int64).max).min(axis=1) == bucket]
+        if len(at) == 0:
+            continue
+        start, end = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        both = np.bincount(np.concatenate([owner[a:b] for a, b in zip(start, end, strict=True)]), minlength=len(sets))[at]
+        good = at[(both > 0) & (100 * both >= PERCENT * (size[at] + size[i] - both))]
+        out += [(min(ids[i], x), max(ids[i], x)) for x in ids[good]]
+    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        for i, j, body, offsets in text_slices(batch.column(1)):
+            shingles, first = shingle_sets(body, offsets, WIDTH)
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "shingles"])
 
 
 def _confirmed(batches):
@@ -154,7 +226,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         full = full.join(need.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
 
-    linked = link_buckets(rows, screen, verify)
+    def remaining(left: DataFrame) -> DataFrame:
+        own = materialize(left.groupBy("id").agg(F.collect_list("key").alias("keys")), "left-keys")  # at most BANDS keys
+        found = texts.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        full = materialize(found.mapInArrow(_shingle_rows, "id long, shingles array<long>").join(own, "id"), "left-sets")
+        sized = left.join(full.select("id", F.size("shingles").alias("n")), "id")
+        blocks = materialize(sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks")), "left-blocks")
+        dealt = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        whole = dealt.select("key", "low", "high", "block", "id", "label", "sig").join(full, "id")
+        return whole.groupBy("key", "low", "high").applyInPandas(_block_links, "a long, b long").distinct()
+
+    linked = link_buckets(rows, screen, verify, remaining)
     named = classes.join(linked, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     named = materialize(named, "named")
     out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
