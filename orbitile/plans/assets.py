@@ -169,7 +169,7 @@ QUERIES = {
     "filter_models": (_picked("trained_model", layers=["osm-water", "nir", "green"], best=True, ratio=5.0), _sql("kind_no = 12 and k % 2 = 0")),
     "filter_splits": (_picked("train_split", "validate_split", regions=["Rwanda", "Zambia"], tile_size=300), _sql("kind_no in (16, 17) and r = 'Rwanda'")),
     "district_grids": (district_grids, oracle("select distinct r as region, d as district, case kind_no when 0 then g else '35MRV' end as grid from asset where kind_no in (0, 3)", "asset")),
-    "ci_sort": (ci_sort, oracle("select k, array_to_string(list_transform(list_sort(list_transform([r, 'uganda2', d, g], x -> lower(x) || chr(1) || x)), x -> split_part(x, chr(1), 2)), '|') as sorted from asset", "asset")),
+    "ci_sort": (ci_sort, oracle("select k, array_to_string(list_transform(list_sort(list_transform([r, 'uganda2', d, g], lambda x: lower(x) || chr(1) || x)), lambda x: split_part(x, chr(1), 2)), '|') as sorted from asset", "asset")),
     "scene_key_to_asset": (scene_key_to_asset, oracle("""select distinct object_key, name, case when name like '%.jp2' then 'sentinel2_tile' else 'sentinel2_cloud' end as kind from (select object_key, concat('Uganda_D1_', replace(replace(replace(replace(object_key, '/qi/', '/'), '_qi_', ''), '/', '_'), 'tiles_', '')) as name from scene_key where object_key not like '%/preview/%')
         where name like '%.jp2' or name like '%_qi_MSK_CLOUDS_B%.gml'""", "scene_key")),
     "asset_scan": (asset_scan, oracle("select distinct region, true as has_files, true as has_bytes from match", "match")),

@@ -127,7 +127,7 @@ def tile_tensor(spark, d):
 
 def normalize_layers(spark, d):
     m = view(spark, d, "dem")
-    return m.select("px_row", "px_col", F.round(T.normalized("elevation", F.col("elevation")), 6).alias("elevation"), F.round(T.normalized("red", F.col("elevation")), 6).alias("red"), F.round(T.normalized("slope", F.col("px_row").cast("double")), 6).alias("slope"), T.normalized("osm-water", (F.col("px_col") % 2).cast("double")).alias("water"))
+    return m.select("px_row", "px_col", T.normalized("elevation", F.col("elevation")).alias("elevation"), T.normalized("red", F.col("elevation")).alias("red"), T.normalized("slope", F.col("px_row").cast("double")).alias("slope"), T.normalized("osm-water", (F.col("px_col") % 2).cast("double")).alias("water"))
 
 
 def scale_rgb(spark, d):
@@ -218,7 +218,7 @@ NAME = "concat(case when lat < 0 then 'S' else 'N' end, lpad(cast(abs(lat) as va
 GROWN = "select district, " + ", ".join(f"{c} {'+' if 'max' in c else '-'} {5000 / 111000}e0 as {c}" for c in R.BOX) + " from registry"
 ZONE = "case when {lat} >= 0 then 32600 else 32700 end + cast(floor(({lon} + 180e0) / 6e0) as int) + 1"
 N = G._N
-NUM = "select seq, list_transform(regexp_extract_all(bbox, '-?[0-9]+(?:\\.[0-9]+)?'), x -> cast(x as double)) as v from match where regexp_matches(bbox, '^\\(\\([^()]*\\), \\([^()]*\\), \\([^()]*\\), \\([^()]*\\)\\)$')"
+NUM = "select seq, list_transform(regexp_extract_all(bbox, '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: cast(x as double)) as v from match where regexp_matches(bbox, '^\\(\\([^()]*\\), \\([^()]*\\), \\([^()]*\\), \\([^()]*\\)\\)$')"
 
 
 def _inverse(x, y):
@@ -258,7 +258,7 @@ QUERIES = {
     "download_estimate": (download_estimate, oracle("select count(*) as n_files, round(sum(size_bytes) / 1e9, 2) as total_gb, round(sum(size_bytes) / 1e9 * 0.09e0, 2) as cost from scene_key", "scene_key")),
     "dem_cells": (dem_cells, oracle(f"select district, {NAME} as cell from ({CELLS.format(t='registry')})", "registry")),
     "dem_top_left": (dem_top_left, oracle(f"select distinct {NAME} as cell, cast(lon as double) as lon, cast(lat as double) + 1e0 as lat from ({CELLS.format(t='registry')})", "registry")),
-    "dem_for_bbox": (dem_for_bbox, oracle(f"select c.district, c.lat, c.lon, m.elevation from ({CELLS.format(t=f'({GROWN}) z')}) c join (select lat, lon, arg_min(elevation, source_order * 1000000e0 + elevation) as elevation from cell group by all) m on c.lat = m.lat and c.lon = m.lon", "registry", "cell")),
+    "dem_for_bbox": (dem_for_bbox, oracle(f"select c.district, cast(c.lat as int) as lat, cast(c.lon as int) as lon, m.elevation from ({CELLS.format(t=f'({GROWN}) z')}) c join (select lat, lon, arg_min(elevation, source_order * 1000000e0 + elevation) as elevation from cell group by all) m on c.lat = m.lat and c.lon = m.lon", "registry", "cell")),
     "land_grids": (land_grids, oracle("select grid_id, cast(floor(min_lat) as int) as lat, cast(floor(min_lon) as int) as lon from grid where (cast(floor(min_lat) as int), cast(floor(min_lon) as int)) in (select (lat, lon) from cell)", "grid", "cell")),
     "utm_epsg": (utm_epsg, oracle(f"select district, cast({ZONE.format(lat='min_lat', lon='min_lon')} as int) as epsg from registry", "registry")),
     "utm_to_utm": (utm_to_utm, oracle("select district, true as lat_ok, true as lon_ok from registry", "registry")),
@@ -266,8 +266,8 @@ QUERIES = {
     "pixel_coords": (pixel_coords, oracle(f"select px_row, px_col, {X0}e0 + px_col * {RES}e0 as x, {Y0}e0 - px_row * {RES}e0 as y from dem", "dem")),
     "tile_grid": (tile_grid, oracle(ORIGINS.format(s=3, z=SIZES), "obs")),
     "tile_bbox": (tile_bbox, oracle(f"select mgrs, x_min, y_min, round({_l0}, 7) as lat0, round({_o0}, 7) as lon0, round({_l2}, 7) as lat2, round({_o2}, 7) as lon2 from ({ORIGINS.format(s=6, z=SIZES)})", "obs")),
-    "tile_tensor": (tile_tensor, oracle("select x_min, y_min, cast(len(t) as int) as n, round(t[1], 6) as first, round(list_reduce(list_prepend(0e0, t), (a, b) -> a * 0.5e0 + b), 4) as mixed from (select cast(floor(px_col / 5) * 5 as int) as x_min, cast(floor(px_row / 5) * 5 as int) as y_min, list(elevation order by px_row, px_col) as t from dem group by 1, 2)", "dem")),
-    "normalize_layers": (normalize_layers, oracle("select px_row, px_col, round(least(greatest(elevation / 8000e0, 0), 1), 6) as elevation, round(least(greatest(elevation / 4000e0, 0), 1), 6) as red, round(least(greatest(px_row / 90e0, 0), 1), 6) as slope, cast(px_col % 2 as double) as water from dem", "dem")),
+    "tile_tensor": (tile_tensor, oracle("select x_min, y_min, cast(len(t) as int) as n, round(t[1], 6) as first, round(list_reduce(list_prepend(0e0, t), lambda a, b: a * 0.5e0 + b), 4) as mixed from (select cast(floor(px_col / 5) * 5 as int) as x_min, cast(floor(px_row / 5) * 5 as int) as y_min, list(elevation order by px_row, px_col) as t from dem group by 1, 2)", "dem")),
+    "normalize_layers": (normalize_layers, oracle("select px_row, px_col, least(greatest(elevation / 8000e0, 0), 1) as elevation, least(greatest(elevation / 4000e0, 0), 1) as red, least(greatest(px_row / 90e0, 0), 1) as slope, cast(px_col % 2 as double) as water from dem", "dem")),
     "scale_rgb": (scale_rgb, oracle("select value / 4000e0 as v, count(*) as n from obs group by 1", "obs")),
     "preview_8bit": (preview_8bit, oracle("select cast(trunc(least(greatest(value / 4000e0, 0), 1) * 255) as int) as v, count(*) as n from obs group by 1", "obs")),
     "label_tiles": (label_tiles, oracle(f"select tx, ty, bridge_id from ({LABELS.format(s=3)})", "truth")),

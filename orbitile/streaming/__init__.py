@@ -1 +1 @@
-"""Incremental runs: scoring of newly arrived tiles as a file stream."""
+"""Incremental runs: composites kept current as scene files arrive."""
