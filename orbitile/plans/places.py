@@ -232,6 +232,18 @@ def _inverse(x, y):
     return lat, f"degrees(atan2(sinh({e1}), cos({x1}))) + {(EPSG % 100) * 6 - 183}e0"
 
 
+def _forward(lat, lon, epsg):
+    """SQL of x and y in metres of a point in a UTM zone."""
+    e = 2 * N**0.5 / (1 + N)
+    phi, lam = f"radians({lat})", f"radians({lon} - (({epsg} % 100) * 6e0 - 183e0))"
+    t = f"sinh(atanh(sin({phi})) - {e:.17g} * atanh({e:.17g} * sin({phi})))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt({t} * {t} + 1e0))"
+    x = eta + "".join(f" + {a:.17g} * cos({2 * k}e0 * {xi}) * sinh({2 * k}e0 * {eta})" for k, a in enumerate(G._ALPHA, 1))
+    y = xi + "".join(f" + {a:.17g} * sin({2 * k}e0 * {xi}) * cosh({2 * k}e0 * {eta})" for k, a in enumerate(G._ALPHA, 1))
+    scale = f"{G.SCALE * G._A:.17g}"
+    return f"({x}) * {scale} + 500000e0", f"({y}) * {scale} + case when {epsg} >= 32700 then 10000000e0 else 0e0 end"
+
+
 def _corner(i, step):
     dx, dy = ((0, 0), (1, 0), (1, 1), (0, 1))[i]
     return _inverse(f"(x_min * {RES}e0 + {X0}e0 + {step * dx * RES}e0)", f"({Y0}e0 - y_min * {RES}e0 - {step * dy * RES}e0)")
@@ -244,6 +256,8 @@ FLAT = "select tile_id, cast(pos as int) as pos, cast(tensor[{i}] as double) as
 _l0, _o0 = _corner(0, 6)
 _l2, _o2 = _corner(2, 6)
 _lat5, _ = _corner(0, 5)
+_x, _y = _forward("lat", "lon", "epsg")
+CENTRE = f"select district, lat, lon, cast({ZONE.format(lat='lat', lon='lon')} as int) as epsg from (select district, (min_lat + max_lat) / 2e0 as lat, (min_lon + max_lon) / 2e0 as lon from registry)"
 
 QUERIES = {
     "region_registry": (region_registry, oracle("select * from registry", "registry")),
@@ -262,7 +276,7 @@ QUERIES = {
     "land_grids": (land_grids, oracle("select grid_id, cast(floor(min_lat) as int) as lat, cast(floor(min_lon) as int) as lon from grid where (cast(floor(min_lat) as int), cast(floor(min_lon) as int)) in (select (lat, lon) from cell)", "grid", "cell")),
     "utm_epsg": (utm_epsg, oracle(f"select district, cast({ZONE.format(lat='min_lat', lon='min_lon')} as int) as epsg from registry", "registry")),
     "utm_to_utm": (utm_to_utm, oracle("select district, true as lat_ok, true as lon_ok from registry", "registry")),
-    "geo_to_metres": (geo_to_metres, None),
+    "geo_to_metres": (geo_to_metres, oracle(f"select district, epsg, round({_x}, 3) as x0, round({_y}, 3) as y0, 30.87e0 as xres, -30.87e0 as yres from ({CENTRE})", "registry")),
     "pixel_coords": (pixel_coords, oracle(f"select px_row, px_col, {X0}e0 + px_col * {RES}e0 as x, {Y0}e0 - px_row * {RES}e0 as y from dem", "dem")),
     "tile_grid": (tile_grid, oracle(ORIGINS.format(s=3, z=SIZES), "obs")),
     "tile_bbox": (tile_bbox, oracle(f"select mgrs, x_min, y_min, round({_l0}, 7) as lat0, round({_o0}, 7) as lon0, round({_l2}, 7) as lat2, round({_o2}, 7) as lon2 from ({ORIGINS.format(s=6, z=SIZES)})", "obs")),
