@@ -67,7 +67,8 @@ def parse(assets: DataFrame) -> DataFrame:
     out = assets.withColumn("name", base_name(F.col("path"))).withColumn("kind", kind_of(F.col("name")))
     # the groups of the one grammar that matched, then fields by their place in it
     groups = [F.when(F.col("kind") == g.kind, F.array(*[F.nullif(F.regexp_extract("name", g.pattern, i + 1), F.lit("")) for i in range(len(g.fields))])) for g in GRAMMARS]
-    out = out.withColumn("_groups", F.coalesce(*groups))
+    # a one-row generator: filters on parsed fields stay above it and copy no patterns
+    out = out.select("*", F.inline(F.array(F.struct(F.coalesce(*groups).alias("_groups")))))
 
     def field(f: str) -> Column:
         places: dict[int, list[str]] = {}
