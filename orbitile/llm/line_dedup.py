@@ -5,7 +5,9 @@ space) and hashed in one Arrow pass that sends on a few numbers for each line, n
 text. Equal normalised lines are one class. Classes of at least MIN_WORDS words meet if
 their 64-bit SimHashes (words and word pairs) are within RADIUS bits: the hash is cut
 into BLOCKS blocks and by the pigeonhole principle two hashes within the radius agree in
-BLOCKS - RADIUS blocks at least, so one key is made for each choice of that many blocks.
+BLOCKS - RADIUS = 4 blocks at least. Keys take three blocks (27 bits) each, from a system
+of 12 triples of which every four blocks contain one, so no pair within the radius is
+missed.
 Pairs within the radius are verified by edit similarity of the normalised lines, and of
 each connected group the first occurrence (smallest doc_id, then line) is kept; the
 others are cut out of their documents.
@@ -31,7 +33,7 @@ from orbitile.llm.shared import materialize
 from orbitile.llm.textbytes import LOWER, WHITESPACE, Words, mix, simhash, span_hashes, text_slices
 
 MIN_WORDS = 5
-RADIUS, BLOCKS = 3, 5
+RADIUS, BLOCKS = 3, 7
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
@@ -98,10 +100,24 @@ def _lines(batches):
             )
 
 
+def key_systems() -> list[tuple[int, ...]]:
+    """Triples of the seven blocks such that any four blocks contain one of them.
+
+    Of blocks in three groups in a ring: triples inside a group, and those of two blocks
+    of a group and one of the next group.
+    """
+    groups = [(0, 1, 2), (3, 4), (5, 6)]
+    out = []
+    for group, after in zip(groups, groups[1:] + groups[:1], strict=True):
+        out += list(combinations(group, 3))
+        out += [(*two, one) for two in combinations(group, 2) for one in after]
+    return out
+
+
 def block_keys(mark: Column) -> Column:
-    """One key for each choice of BLOCKS - RADIUS blocks of a 64-bit SimHash."""
+    """The keys of a 64-bit SimHash: one for each triple of blocks."""
     keys = []
-    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
+    for number, chosen in enumerate(key_systems()):
         mask = sum(((1 << int(_EDGES[b + 1] - _EDGES[b])) - 1) << int(_EDGES[b]) for b in chosen)
         mask = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(mark.bitwiseAND(F.lit(mask)), F.lit(number)))
@@ -112,11 +128,48 @@ def within_radius(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
 
 
-def alike(a: Column, b: Column) -> Column:
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance: shared ends cut off, the rest by bit-parallel dynamic programming.
+
+    Column bit vectors of increments are Python integers, so a character costs a few
+    operations on as many bits as the other text is long.
+    """
+    start, end = 0, 0
+    least = min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        match = where.get(c, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        rise, fall = down | ~(diagonal | up) & full, up & diagonal
+        distance += bool(rise & last) - bool(fall & last)
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(diagonal | rise)) & full, rise & diagonal & full
+    return distance
+
+
+def alike(a: str, b: str) -> bool:
     """Edit similarity of two normalised lines at least SIMILARITY."""
-    longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor(longer * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-    return F.levenshtein(a, b) <= most
+    longer = max(len(a), len(b))
+    most = int(longer * (1 - SIMILARITY) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+
+def _alike(batches):
+    for batch in batches:
+        forms = zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)
+        mask = pa.array([a is not None and b is not None and alike(a, b) for a, b in forms], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -125,11 +178,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(rows.mapInArrow(_lines, "doc_id long, line int, id long, mark long"), "lines")
     classes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("mark").alias("mark"))
     classes = materialize(classes, "line-classes")
-    # classes of one SimHash meet in every bucket: link them through one of them first
-    keyed = classes.select("id", F.col("mark").alias("sig"), F.explode(block_keys(F.col("mark"))).alias("key"))
+    keys = classes.select("id", F.explode(block_keys(F.col("mark"))).alias("key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "line-pairs")
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         places = materialize(classes.join(wanted, "id").select("id", "first.doc_id", "first.line"), "line-places")
         # the normal forms of all wanted lines of a document, taken from its text once
@@ -139,9 +190,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         forms = materialize(forms.dropDuplicates(["id"]), "line-forms")
         full = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a")
         full = full.join(forms.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
-        return full.filter(alike(F.col("form_a"), F.col("form_b"))).select("a", "b")
+        return full.select("a", "b", "form_a", "form_b").mapInArrow(_alike, "a long, b long")
 
-    linked = link_buckets(keyed, within_radius, verify)
+    linked = link_buckets(keys, classes.select("id", F.col("mark").alias("sig")), within_radius, verify)
     named = classes.join(linked, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
     named = materialize(named, "line-named")
     # only groups with more than one occurrence lose lines

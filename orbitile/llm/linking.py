@@ -38,35 +38,45 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def link_buckets(
-    rows: DataFrame,
+    keys: DataFrame,
+    sigs: DataFrame,
     screen: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame],
     remaining: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Connected components of the verified links among rows that share a key.
+    """Connected components of the verified links among ids that share a key.
 
-    ``rows(key long, id long, sig)``: an id has one row for each of its keys.
-    ``screen(sig, sig)`` is a cheap necessary condition; ``verify(pairs(a, b))``
-    keeps the pairs (a < b) that are really linked. ``remaining(rows(key, id, sig,
-    label))`` finds the links (a, b) between different labels of the buckets that the
-    pivots left mixed; by default a join on the key under ``screen``, then ``verify``.
-    Returns (id, component) for ids with at least one link. No link between two ids
-    that share a key and pass ``screen`` is lost, except one whose ends are connected
-    anyway.
+    ``keys(key long, id long)``: an id has one row for each of its keys; ``sigs(id,
+    sig)`` has one row for each id. ``screen(sig, sig)`` is a cheap necessary condition;
+    ``verify(pairs(a, b))`` keeps the pairs (a < b) that are really linked.
+    ``remaining(rows(key, id, sig, label))`` finds the links (a, b) between different
+    labels of the buckets that the pivots left mixed; by default a join on the key under
+    ``screen``, then ``verify``. Returns (id, component) for ids with at least one link.
+    No link between two ids that share a key and pass ``screen`` is lost, except one
+    whose ends are connected anyway.
     """
-    buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = materialize(rows.join(buckets, "key"), "members")
-    sigs = materialize(members.groupBy("id").agg(F.first("sig").alias("sig"), F.sum("n").alias("degree")), "sigs")
+    # a bucket of two is known by its smallest and largest id; only larger ones are read again
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    buckets = materialize(buckets.filter("low < high"), "buckets")
+    large = materialize(keys.join(buckets.filter("n > 2").select("key"), "key").select("key", "id").distinct(), "large")
+    two = buckets.filter("n = 2")
+    ids = two.select("key", F.col("low").alias("id")).union(two.select("key", "high")).union(large)
+    members = materialize(ids.join(sigs, "id").select("key", "id", "sig"), "members")
 
-    def tested(pairs: DataFrame) -> DataFrame:
+    # the pivot of a bucket is the member that meets most others over all its buckets
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    degree = members.select("key", "id").join(sizes, "key").groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = members.select("key", "id").join(degree, "id")
+    top = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"))
+    own = members.select(F.col("key"), F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig"))
+    pivots = materialize(top.join(own, ["key", "pivot"]), "pivots")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        near = near.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return materialize(verify(near.filter(screen(F.col("sig_a"), F.col("sig_b"))).select("a", "b")), "links")
+        return materialize(verify(pairs), "links")
 
-    ranked = members.select("key", "id").join(sigs.select("id", "degree"), "id")
-    pivots = materialize(ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("pivot")), "pivots")
-    edges = tested(members.join(pivots, "key").filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    star = members.join(pivots, "key").filter((F.col("id") != F.col("pivot")) & screen(F.col("sig"), F.col("pivot_sig")))
+    edges = confirmed(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     labels = connected_components(edges)
     now = members.join(labels, "id", "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label"))
     now = materialize(now, "labelled")
@@ -79,7 +89,7 @@ def link_buckets(
     else:
         x, y = left.alias("x"), left.alias("y")
         cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & screen(F.col("x.sig"), F.col("y.sig")))
-        more = tested(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        more = confirmed(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     if more.isEmpty():
         return labels
     return connected_components(edges.union(more))

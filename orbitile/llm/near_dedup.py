@@ -215,11 +215,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     classes = materialize(classes, "classes")
     reps = classes.select(F.col("id").alias("doc_id"), "set_a", "set_b").join(sets, ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
-    rows = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"), "sig")
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), "bands", "sig"), "representatives")
+    keys = reps.select("id", F.explode("bands").alias("key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
         wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
         need = materialize(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
         full = pairs.join(need.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         whole = dealt.select("key", "low", "high", "block", "id", "label", "sig").join(full, "id")
         return whole.groupBy("key", "low", "high").applyInPandas(_block_links, "a long, b long").distinct()
 
-    linked = link_buckets(rows, screen, verify, remaining)
+    linked = link_buckets(keys, reps.select("id", "sig"), screen, verify, remaining)
     named = classes.join(linked, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     named = materialize(named, "named")
     out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
