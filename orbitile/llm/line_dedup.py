@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, ASCII punctuation dropped, white space runs one
 space) and hashed in one Arrow pass that sends on a few numbers for each line, not its
 text. Equal normalised lines are one class. Classes of at least MIN_WORDS words meet if
-their 64-bit SimHashes (words and word pairs) are within RADIUS bits: the hash is cut
+their 64-bit SimHashes (of word pairs) are within RADIUS bits: the hash is cut
 into BLOCKS blocks and by the pigeonhole principle two hashes within the radius agree in
 BLOCKS - RADIUS = 4 blocks at least. Keys take three blocks (27 bits) each, from a system
 of 12 triples of which every four blocks contain one, so no pair within the radius is
@@ -76,10 +76,8 @@ def line_rows(body: np.ndarray, offsets: np.ndarray):
     if len(long):
         same = np.flatnonzero(line_of[1:] == line_of[:-1])
         pairs = mix(words.hashes[same] * np.uint64(3) + words.hashes[same + 1], 78)
-        which = np.concatenate([line_of, line_of[same]])
-        order = np.argsort(which, kind="stable")
-        features = np.concatenate([words.hashes, pairs])[order]
-        marks = simhash(features, np.searchsorted(which[order], np.arange(len(n) + 1)))
+        # pairs only: the few words that most lines hold would draw all fingerprints together
+        marks = simhash(pairs, np.searchsorted(line_of[same], np.arange(len(n) + 1)))
     return text, number, h, n, marks
 
 
