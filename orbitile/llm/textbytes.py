@@ -24,7 +24,7 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 #: Bytes a slice of a batch holds at most, except a single longer text.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 #: Texts a slice holds at most; shingle keys keep this many values in 12 bits.
 SLICE_TEXTS = 4000
 

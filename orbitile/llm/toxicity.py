@@ -88,18 +88,20 @@ class Ftrl:
 def _train(batches):
     """FTRL over the bounded sample, a few epochs in hash order."""
     parts, sizes, y = [], [], []
+    seen = np.zeros(1 << BITS, np.int32)
     for batch in batches:
         lists = batch.column("features")
-        parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        parts.append(lists.flatten().to_numpy(zero_copy_only=False))
         sizes.append(np.diff(lists.offsets.to_numpy()))
         y.extend(batch.column("toxic").to_pylist())
+        seen += np.bincount(parts[-1], minlength=1 << BITS).astype(np.int32)
     if not y:
         return
-    flat, size = np.concatenate(parts), np.concatenate(sizes)
-    often = np.bincount(flat, minlength=1 << BITS) >= MIN_ROWS
-    kept = often[flat]
-    ends = np.concatenate([[0], np.cumsum(kept)])[np.cumsum(size)]
-    rows = np.split(flat[kept].astype(np.int64), ends[:-1])
+    often, rows = seen >= MIN_ROWS, []
+    for i, size in enumerate(sizes):
+        ends = np.concatenate([[0], np.cumsum(size)])
+        rows += [part[often[part]] for part in (parts[i][a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+        parts[i] = None  # only the kept features stay
     model = Ftrl(1 << BITS)
     for _ in range(EPOCHS):
         for ids, label in zip(rows, y, strict=True):
