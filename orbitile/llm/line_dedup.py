@@ -8,7 +8,12 @@ into BLOCKS blocks and by the pigeonhole principle two hashes within the radius
 BLOCKS - RADIUS = 4 blocks at least. Keys take three blocks (27 bits) each, from a system
 of 12 triples of which every four blocks contain one, so no pair within the radius is
 missed.
-Pairs within the radius are verified by edit similarity of the normalised lines, and of
+Lines of edit similarity SIMILARITY are 6 bits apart at the median, most beyond RADIUS.
+They meet through what they share: each class has BANDS further keys, each of two
+MinHashes of its word pairs, so two lines with a share J of common pairs meet with
+probability 1 - (1 - J^2)^BANDS (0.97 at J = 0.5, 0.9997 at 0.7).
+Pairs within the radius, and pairs that share a band and whose lengths allow SIMILARITY,
+are verified by edit similarity of the normalised lines, and of
 each connected group the first occurrence (smallest doc_id, then line) is kept; the
 others are cut out of their documents.
 
@@ -28,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitile.llm.linking import link_buckets
+from orbitile.llm.linking import connected_components, link_buckets
 from orbitile.llm.shared import materialize
-from orbitile.llm.textbytes import LOWER, WHITESPACE, Words, mix, simhash, span_hashes, text_slices
+from orbitile.llm.textbytes import LOWER, WHITESPACE, Words, mix, simhash, span_hashes, sums_between, text_slices
 
 MIN_WORDS = 5
 RADIUS, BLOCKS = 3, 7
+#: Keys of two MinHashes of word pairs.
+BANDS = 12
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
@@ -52,7 +59,7 @@ def normalized(line: Column) -> Column:
 
 
 def line_rows(body: np.ndarray, offsets: np.ndarray):
-    """For all lines of a slice: text, number in the text, hash, words, SimHash."""
+    """For all lines of a slice: text, number in the text, hash, words, SimHash, characters, bands."""
     keep = ~_DROPPED[body]
     place = np.concatenate([[0], np.cumsum(keep)])
     body, offsets = body[keep], place[offsets]
@@ -73,6 +80,10 @@ def line_rows(body: np.ndarray, offsets: np.ndarray):
     number = np.arange(first_line[-1]) - first_line[text]
     long = np.flatnonzero(n >= MIN_WORDS)
     marks = np.zeros(len(n), np.uint64)
+    bands = np.zeros((len(n), BANDS), np.int32)
+    # characters of the normal form: those that begin in a word, and a space between words
+    begins = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
+    chars = np.bincount(line_of, begins[words.end] - begins[words.start], len(n)).astype(np.int64) + np.maximum(n - 1, 0)
     if len(long):
         same = np.flatnonzero(line_of[1:] == line_of[:-1])
         pairs = mix(words.hashes[same] * np.uint64(3) + words.hashes[same + 1], 78)
@@ -80,14 +91,18 @@ def line_rows(body: np.ndarray, offsets: np.ndarray):
         order = np.argsort(which, kind="stable")
         features = np.concatenate([words.hashes, pairs])[order]
         marks = simhash(features, np.searchsorted(which[order], np.arange(len(n) + 1)))
-    return text, number, h, n, marks
+        first = np.searchsorted(line_of[same], np.arange(len(n) + 1))
+        for band in range(BANDS):
+            one, two = (sums_between(mix(pairs, 100 + 2 * band + k), first, np.minimum) for k in range(2))
+            bands[:, band] = (mix(one * np.uint64(3) + two, 79) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return text, number, h, n, marks, chars, bands
 
 
 def _lines(batches):
     for batch in batches:
         ids = batch.column(0)
         for i, j, body, offsets in text_slices(batch.column(1)):
-            text, number, h, n, marks = line_rows(body, offsets)
+            text, number, h, n, marks, chars, bands = line_rows(body, offsets)
             use = n >= MIN_WORDS
             yield pa.RecordBatch.from_arrays(
                 [
@@ -95,8 +110,10 @@ def _lines(batches):
                     pa.array(number[use].astype(np.int32)),
                     pa.array(h[use].view(np.int64)),
                     pa.array(marks[use].view(np.int64)),
+                    pa.array(chars[use].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(int(use.sum()) + 1, dtype=np.int32) * BANDS), pa.array(bands[use].ravel())),
                 ],
-                ["doc_id", "line", "id", "mark"],
+                ["doc_id", "line", "id", "mark", "chars", "bands"],
             )
 
 
@@ -124,10 +141,20 @@ def block_keys(mark: Column) -> Column:
     return F.array(*keys)
 
 
+def band_keys(bands: Column) -> Column:
+    """The keys of a line's bands."""
+    return F.transform(bands, lambda value, number: F.xxhash64(value, number))
+
+
 def within_radius(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
 
 
+def lengths_fit(a: Column, b: Column) -> Column:
+    """Lengths that allow an edit similarity of SIMILARITY."""
+    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-6
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance: shared ends cut off, the rest by bit-parallel dynamic programming.
 
@@ -175,10 +202,12 @@ def _alike(batches):
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of the lines that go, for documents losing any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialize(rows.mapInArrow(_lines, "doc_id long, line int, id long, mark long"), "lines")
-    classes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("mark").alias("mark"))
+    lines = materialize(rows.mapInArrow(_lines, "doc_id long, line int, id long, mark long, chars int, bands array<int>"), "lines")
+    same = [F.min(c).alias(c) for c in ("mark", "chars", "bands")]
+    classes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *same)
     classes = materialize(classes, "line-classes")
-    keys = classes.select("id", F.explode(block_keys(F.col("mark"))).alias("key"))
+    near_keys = classes.select("id", F.explode(block_keys(F.col("mark"))).alias("key"))
+    shared_keys = classes.select("id", F.explode(band_keys(F.col("bands"))).alias("key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -192,7 +221,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         full = full.join(forms.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
         return full.select("a", "b", "form_a", "form_b").mapInArrow(_alike, "a long, b long")
 
-    linked = link_buckets(keys, classes.select("id", F.col("mark").alias("sig")), within_radius, verify)
+    near = link_buckets(near_keys, classes.select("id", F.col("mark").alias("sig")), within_radius, verify)
+    shared = link_buckets(shared_keys, classes.select("id", F.col("chars").alias("sig")), lengths_fit, verify)
+    linked = connected_components(near.union(shared).select(F.col("id").alias("a"), F.col("component").alias("b")))
     named = classes.join(linked, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
     named = materialize(named, "line-named")
     # only groups with more than one occurrence lose lines

@@ -121,6 +121,25 @@ def test_lines(spark):
     assert got[6] == ("", 2)
 
 
+def test_line_recall_against_brute_force(spark):
+    """Lines of edit similarity 0.8 with words changed anywhere are found, not only those within a few bits."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    lines = []
+    for _ in range(300):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(8, 50))]
+        other = list(words)
+        for _ in range(rng.randrange(1, 1 + len(words) // 8)):
+            other[rng.randrange(len(words))] = rng.choice(vocabulary)
+        lines += [" ".join(words), " ".join(other)]
+    alike = [(i, j) for i in range(len(lines)) for j in range(i) if lines[i] != lines[j] and line_dedup.alike(lines[j], lines[i])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.line_dedup(df).filter("n_removed > 0").collect()}
+    assert len(alike) > 200
+    assert sum(i in gone for i, _ in alike) >= 0.98 * len(alike)
+    assert gone <= {i for i, _ in alike} | {i for i in range(len(lines)) if lines[i] in lines[:i]}
+
+
 def test_edit_distance_and_keys():
     def plain(a, b):
         row = list(range(len(b) + 1))
