@@ -6,6 +6,8 @@ comes from prefix sums of bit counts. Fingerprints meet through a multi-index: 6
 are cut into four blocks of 16, and two fingerprints within RADIUS = 15 bits have a
 block within 3 bits, so looking a window's four blocks up in tables that hold each
 item's blocks with all changes of up to 3 bits finds every item within the radius.
+A window that holds a cut or spliced part of an item can be further away, so all windows
+whose shingles of an item may weigh enough, by prefix sums of weights, are candidates too.
 Candidates are verified exactly: the share of the item's weighted word shingles
 (weight: log of how rare the shingle is among items) that the window holds, at least
 SIMILARITY.
@@ -180,12 +182,31 @@ class Index:
         hit_key = self.item[row] * (len(words.hashes) + 1) + place
         order = np.argsort(hit_key, kind="stable")
         hit_key, hit_row = hit_key[order], row[order]
-        low = np.searchsorted(hit_key, item * (len(words.hashes) + 1) + start[window], "left")
-        reach = self.size[item] - np.minimum(self.size[item], WIDTH) + 1
-        high = np.searchsorted(hit_key, item * (len(words.hashes) + 1) + start[window] + reach, "left")
+        key = self._heavy(words, hit_key, hit_row)
+        key = np.unique(np.concatenate([item * (len(words.hashes) + 1) + start[window], key]))
+        item, start = key // (len(words.hashes) + 1), key % (len(words.hashes) + 1)
+        low, high = np.searchsorted(hit_key, key, "left"), np.searchsorted(hit_key, key + self._reach(item), "left")
         share = np.array([self._weight(hit_row[a:b]) for a, b in zip(low, high, strict=True)]) / self.total[item] if len(item) else np.zeros(0)
         good = share >= SIMILARITY - 1e-9
-        return words.text[start[window[good]]], item[good], share[good]
+        return words.text[start[good]], item[good], share[good]
+
+    def _reach(self, item: np.ndarray) -> np.ndarray:
+        """Shingles in a window of the item's size."""
+        return self.size[item] - np.minimum(self.size[item], WIDTH) + 1
+
+    def _heavy(self, words: Words, hit_key: np.ndarray, hit_row: np.ndarray) -> np.ndarray:
+        """Keys (item, first word) of windows whose hits, repeats counted, weigh SIMILARITY of the item."""
+        item, place = hit_key // (len(words.hashes) + 1), hit_key % (len(words.hashes) + 1)
+        reach = self._reach(item)
+        before = np.cumsum(reach) - reach
+        start = np.repeat(place, reach) - (np.arange(int(reach.sum())) - np.repeat(before, reach))
+        owner, item = words.text[np.repeat(place, reach)], np.repeat(item, reach)
+        good = (start >= words.first[owner]) & (start + self.size[item] <= words.first[owner + 1])
+        key = np.unique(item[good] * (len(words.hashes) + 1) + start[good])
+        item = key // (len(words.hashes) + 1)
+        total = np.concatenate([[0.0], np.cumsum(self.weight[hit_row])])
+        low, high = np.searchsorted(hit_key, key, "left"), np.searchsorted(hit_key, key + self._reach(item), "left")
+        return key[total[high] - total[low] >= (SIMILARITY - 1e-6) * self.total[item]]
 
     def _weight(self, rows: np.ndarray) -> float:
         return float(self.weight[np.unique(rows)].sum())

@@ -195,6 +195,35 @@ def test_multi_index_finds_all_within_radius():
         assert len(window) == 1
 
 
+def test_decontamination_of_parts_equals_brute_force(spark):
+    """Cut and spliced items against the shingle shares of all windows."""
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(100000)}"
+    items = [[word() for _ in range(rng.choice([20, 40, 60, 100]))] for _ in range(60)]
+    texts = []
+    for k in range(240):
+        item, share = items[k % 60], rng.choice([0.7, 0.76, 0.8, 0.85])
+        n = round(share * (len(item) - 4)) + 4
+        part = item[:n] if k % 2 else item[-n:]
+        texts.append([word() for _ in range(rng.randrange(120))] + part + [word() for _ in range(rng.randrange(120))])
+    holders = {}
+    for i, item in enumerate(items):
+        for s in {tuple(item[k : k + 5]) for k in range(len(item) - 4)}:
+            holders.setdefault(s, set()).add(i)
+    weight = {s: np.log(1 + len(items) / len(h)) for s, h in holders.items()}
+    expected = {}
+    for t, text in enumerate(texts):
+        item = items[t % 60]
+        own = {tuple(item[k : k + 5]) for k in range(len(item) - 4)}
+        windows = [text[k : k + len(item)] for k in range(len(text) - len(item) + 1)]
+        held = max((sum(weight[s] for s in {tuple(w[k : k + 5]) for k in range(len(w) - 4)} & own) for w in windows), default=0.0)
+        expected[t] = [t % 60] if held / sum(weight[s] for s in own) >= 0.75 else []
+    df = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert sum(map(bool, expected.values())) > 100
+    assert {r.doc_id: r.item_ids for r in decontaminate.contamination(df, bench).collect()} == expected
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(300)]
