@@ -17,8 +17,9 @@ are verified by edit similarity of the normalised lines, and of
 each connected group the first occurrence (smallest doc_id, then line) is kept; the
 others are cut out of their documents.
 
-Cases: a null text stays null and has no lines; lines of fewer than MIN_WORDS words
-are always kept; a document may lose all its lines and is then the empty text; of
+Cases: a null text stays null and has no lines; lines of fewer words than the floor
+(MIN_WORDS by default) are always kept; with a lower floor lines of fewer than MIN_WORDS
+words go where they are repeated exactly in normal form; a document may lose all its lines and is then the empty text; of
 repeated rows with one doc_id the first line of either counts as first, and all rows
 of that doc_id are edited alike; extra columns are carried through unchanged; an empty
 table gives an empty result.
@@ -98,18 +99,19 @@ def line_rows(body: np.ndarray, offsets: np.ndarray):
     return text, number, h, n, marks, chars, bands
 
 
-def _lines(batches):
+def _lines(batches, floor: int):
     for batch in batches:
         ids = batch.column(0)
         for i, j, body, offsets in text_slices(batch.column(1)):
             text, number, h, n, marks, chars, bands = line_rows(body, offsets)
-            use = n >= MIN_WORDS
+            use = n >= floor
+            short = n[use] < MIN_WORDS
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(i, j - i).take(pa.array(text[use])),
                     pa.array(number[use].astype(np.int32)),
                     pa.array(h[use].view(np.int64)),
-                    pa.array(marks[use].view(np.int64)),
+                    pa.array(marks[use].view(np.int64), mask=short),
                     pa.array(chars[use].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(int(use.sum()) + 1, dtype=np.int32) * BANDS), pa.array(bands[use].ravel())),
                 ],
@@ -199,15 +201,18 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of the lines that go, for documents losing any."""
+    floor = max(floor, 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialize(rows.mapInArrow(_lines, "doc_id long, line int, id long, mark long, chars int, bands array<int>"), "lines")
+    lines = materialize(rows.mapInArrow(lambda batches: _lines(batches, floor), "doc_id long, line int, id long, mark long, chars int, bands array<int>"), "lines")
     same = [F.min(c).alias(c) for c in ("mark", "chars", "bands")]
     classes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *same)
     classes = materialize(classes, "line-classes")
-    near_keys = classes.select("id", F.explode(block_keys(F.col("mark"))).alias("key"))
-    shared_keys = classes.select("id", F.explode(band_keys(F.col("bands"))).alias("key"))
+    # lines of fewer than MIN_WORDS words have no mark and are linked by nothing but equal form
+    marked = classes.filter("mark is not null")
+    near_keys = marked.select("id", F.explode(block_keys(F.col("mark"))).alias("key"))
+    shared_keys = marked.select("id", F.explode(band_keys(F.col("bands"))).alias("key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -234,9 +239,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text``; adds n_removed."""
-    gone = materialize(repeated_lines(docs), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
+def line_dedup(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated lines of at least ``floor`` words cut from ``text``; adds n_removed."""
+    gone = materialize(repeated_lines(docs, floor), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")

@@ -40,7 +40,7 @@ def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), floor=1)
 
 
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

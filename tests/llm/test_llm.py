@@ -140,6 +140,13 @@ def test_line_recall_against_brute_force(spark):
     assert gone <= {i for i, _ in alike} | {i for i in range(len(lines)) if lines[i] in lines[:i]}
 
 
+def test_short_lines_of_the_query(spark, tmp_path):
+    rows = [(1, "Les.\nAnd ornd.\n\nother"), (2, "les\nand  ORND!\n\n..."), (3, "And ornd\nkept line here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries()["op9_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n...", 2), 3: ("kept line here", 1)}
+
+
 def test_edit_distance_and_keys():
     def plain(a, b):
         row = list(range(len(b) + 1))
