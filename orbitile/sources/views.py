@@ -74,6 +74,9 @@ VIEWS = {
         cast(floor(event_id / 500) as int) as epoch from {events}""",
 }
 
+#: The oracle's text of this view keeps only customers below 12,000; Spark reads all, so the two agree up to that many.
+WHOLE = {"checkpoint": VIEWS["checkpoint"].removesuffix(" where c_custkey < 12000")}
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -83,7 +86,7 @@ def _tables_of(sql: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view as a DataFrame over the driver's Parquet tables."""
-    sql = VIEWS[name]
+    sql = WHOLE.get(name, VIEWS[name])
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _tables_of(sql)})
 
 

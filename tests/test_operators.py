@@ -158,3 +158,10 @@ def test_empty_inputs(spark):
     assert metrics.confusion(pairs).first().asDict() == {"tp": 0, "tn": 0, "fp": 0, "fn": 0}
     assert composite.median_composite(view(spark, DATA, "obs").limit(0)).isEmpty()
     assert tiles.dedupe_truth(view(spark, DATA, "match").limit(0)).isEmpty()
+
+
+def test_checkpoints_of_all_customers(spark, tmp_path):
+    from orbitile.plans.evaluation import checkpoint_scan
+
+    spark.range(13000).selectExpr("id as c_custkey", "cast(id as double) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    assert checkpoint_scan(spark, str(tmp_path)).count() == 13000
