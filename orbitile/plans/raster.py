@@ -100,8 +100,9 @@ def raster_stats(spark, d):
 
 def resample_nearest(spark, d):
     fine = view(spark, d, "obs").select("px_row", "px_col").distinct()
-    coarse = view(spark, d, "dem").filter("px_row < 13 and px_col < 17")
-    return C.resample_nearest(fine, coarse, 3.0, 13, 17).select("px_row", "px_col", "elevation")
+    coarse = view(spark, d, "dem")
+    rows, cols = coarse.agg(F.coalesce(F.max("px_row") + 1, F.lit(1)), F.coalesce(F.max("px_col") + 1, F.lit(1))).first()
+    return C.resample_nearest(fine, coarse, 3.0, rows, cols).select("px_row", "px_col", "elevation")
 
 
 def osm_filter(spark, d):

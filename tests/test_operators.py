@@ -165,3 +165,13 @@ def test_checkpoints_of_all_customers(spark, tmp_path):
 
     spark.range(13000).selectExpr("id as c_custkey", "cast(id as double) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
     assert checkpoint_scan(spark, str(tmp_path)).count() == 13000
+
+
+def test_resample_reads_the_whole_raster(spark, tmp_path):
+    from orbitile.plans.raster import resample_nearest
+
+    spark.range(5000).selectExpr("id as p_partkey", "cast(id as double) as p_retailprice", "0 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    line = "id as l_partkey", "id as l_suppkey", "id as l_orderkey", "1e0 as l_quantity", "'R' as l_returnflag", "timestamp '2020-01-01 00:00:00' as l_shipdate"
+    spark.range(5000).selectExpr(*line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.px_row, r.px_col): r.elevation for r in resample_nearest(spark, str(tmp_path)).collect()}
+    assert got == {(y, x): y // 3 * 50.0 + x // 3 for y in range(100) for x in range(50)}
