@@ -64,11 +64,11 @@ def kind_of(name: Column) -> Column:
 
 def parse(assets: DataFrame) -> DataFrame:
     """``assets(path)`` with kind and typed fields; fields a kind does not have are null."""
-    out = assets.withColumn("name", base_name(F.col("path"))).withColumn("kind", kind_of(F.col("name")))
+    out = computed_once(assets.withColumn("name", base_name(F.col("path"))), kind=kind_of(F.col("name")))
     # the groups of the one grammar that matched, then fields by their place in it
     groups = [F.when(F.col("kind") == g.kind, F.array(*[F.nullif(F.regexp_extract("name", g.pattern, i + 1), F.lit("")) for i in range(len(g.fields))])) for g in GRAMMARS]
     # a one-row generator: filters on parsed fields stay above it and copy no patterns
-    out = out.select("*", F.inline(F.array(F.struct(F.coalesce(*groups).alias("_groups")))))
+    out = computed_once(out, _groups=F.coalesce(*groups))
 
     def field(f: str) -> Column:
         places: dict[int, list[str]] = {}
@@ -92,12 +92,18 @@ def ci_sort(items: Column) -> Column:
     return F.transform(pairs, lambda p: p["item"])
 
 
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a one-row generator: what reads them later copies no expression."""
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select("*", F.inline(F.array(made)))
+
+
 def with_sorted(parsed: DataFrame) -> DataFrame:
     """Adds the joined, case-insensitively sorted lists that names are built from."""
     joined = {f"_{c}": F.array_join(ci_sort(F.split(c, "_")), "_") for c in ("regions", "bands")}
-    out = parsed.withColumns(joined | {"_layers": F.array_join(ci_sort(F.col("layers")), "_"), "_best": F.when(F.col("best"), "_best").otherwise("")})
+    out = computed_once(parsed, **joined, _layers=F.array_join(ci_sort(F.col("layers")), "_"), _best=F.when(F.col("best"), "_best").otherwise(""))
     stem = F.concat("_regions", F.lit("_"), "architecture", F.lit("_r"), "ratio", F.lit("_ts"), "tile_size", F.lit("_"), "_layers", F.lit("_epoch"), "epoch", "_best")
-    return out.withColumn("_model", stem)
+    return computed_once(out, _model=stem)
 
 
 def _piece(field: str) -> Column:
@@ -124,10 +130,14 @@ def _filled(template: str) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
+def _named(parsed: DataFrame) -> DataFrame:
+    """The sorted lists and ``rebuilt``."""
+    return computed_once(with_sorted(parsed), rebuilt=F.coalesce(*[F.when(F.col("kind") == g.kind, _filled(g.template)) for g in GRAMMARS]))
+
+
 def with_names(parsed: DataFrame) -> DataFrame:
     """Adds ``rebuilt``: the canonical name from the parsed fields."""
-    out = with_sorted(parsed).withColumn("rebuilt", F.coalesce(*[F.when(F.col("kind") == g.kind, _filled(g.template)) for g in GRAMMARS]))
-    return out.select(*parsed.columns, "rebuilt")
+    return _named(parsed).select(*parsed.columns, "rebuilt")
 
 
 def with_paths(parsed: DataFrame, root: str = "data") -> DataFrame:
@@ -146,7 +156,7 @@ def with_paths(parsed: DataFrame, root: str = "data") -> DataFrame:
         return F.concat_ws("/", *parts, "rebuilt")
 
     key = F.coalesce(*[F.when(F.col("kind") == g.kind, folder(g)) for g in GRAMMARS])
-    out = with_sorted(with_names(parsed)).withColumn("remote_key", key).withColumn("archive_path", F.concat(F.lit(root + "/"), "remote_key"))
+    out = computed_once(_named(parsed), remote_key=key).withColumn("archive_path", F.concat(F.lit(root + "/"), "remote_key"))
     return out.select(*parsed.columns, "rebuilt", "remote_key", "archive_path")
 
 
