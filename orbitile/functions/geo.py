@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS 84 (fixed values): equatorial radius, flattening; UTM scale and offsets.
@@ -60,6 +60,17 @@ def from_utm(x: Column, y: Column, epsg: Column) -> Column:
     return F.struct(F.degrees(phi).alias("lat"), (F.degrees(lam) + central_meridian(epsg)).alias("lon"))
 
 
+def utm_to_utm(x: Column, y: Column, source: Column, target: Column) -> Column:
+    """struct(x, y) of a point of one UTM zone in the coordinates of another."""
+    place = from_utm(x, y, source)
+    return to_utm(place["lat"], place["lon"], target)
+
+
+def pixel_coords(pixels: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
+    """Adds x and y in projected metres of each pixel's top left corner."""
+    return pixels.withColumns({"x": F.lit(x0) + F.col("px_col") * res, "y": F.lit(y0) - F.col("px_row") * res})
+
+
 def cell_name(lat: Column, lon: Column) -> Column:
     """Name of the one-degree elevation cell whose lower left corner is (lat, lon), whole degrees."""
     return F.format_string(

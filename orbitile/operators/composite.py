@@ -10,6 +10,12 @@ MAX_PIXEL = 4000.0
 BANDS = ("B04", "B03", "B02", "B08")
 BAND_NAMES = {"B04": "red", "B03": "green", "B02": "blue", "B08": "nir"}
 PIXEL = ("px_row", "px_col")
+BLOCK = ("block_row", "block_col")
+#: Pixels of a line that one window task holds.
+RUN = 512
+#: Columns that name a raster: pixels of different grids never meet. Callers with several
+#: regions or districts pass ("region", "district", "mgrs").
+GRID = ("mgrs",)
 
 
 def masked(value: Column, clear: Column, max_pixel: float = MAX_PIXEL) -> Column:
@@ -22,45 +28,48 @@ def mask_clouds(obs: DataFrame, max_pixel: float = MAX_PIXEL) -> DataFrame:
     return obs.withColumn("value", masked(F.col("value"), F.col("clear"), max_pixel))
 
 
-def median_composite(obs: DataFrame, keys=("band", *PIXEL)) -> DataFrame:
-    """Cloud-free median over time of each pixel and band; all missing gives null."""
-    return mask_clouds(obs).groupBy(*keys).agg(F.median("value").alias("value"))
+def median_composite(obs: DataFrame, keys=GRID) -> DataFrame:
+    """Cloud-free median over time of each grid's pixel and band; all missing gives null."""
+    return mask_clouds(obs).groupBy(*keys, "band", *PIXEL).agg(F.median("value").alias("value"))
 
 
-def band_pivot(obs: DataFrame) -> DataFrame:
+def band_pivot(obs: DataFrame, keys=GRID) -> DataFrame:
     """Median composite with one column a band, in red, green, blue, nir order."""
     value = masked(F.col("value"), F.col("clear"))
-    return obs.groupBy(*PIXEL).agg(*[F.median(F.when(F.col("band") == b, value)).alias(BAND_NAMES[b]) for b in BANDS])
+    return obs.groupBy(*keys, *PIXEL).agg(*[F.median(F.when(F.col("band") == b, value)).alias(BAND_NAMES[b]) for b in BANDS])
 
 
-def blocks(obs: DataFrame, side: int) -> DataFrame:
-    """Block form: the values of a block of side x side pixels as an array, row-major, per date."""
-    at = (F.col("px_row") % side) * side + F.col("px_col") % side
-    cells = F.map_from_entries(F.collect_list(F.struct("at", "value")))
-    one = mask_clouds(obs).withColumn("at", at.cast("int")).groupBy("band", "acq_date", "px_row", "px_col", "at").agg(F.median("value").alias("value"))
-    grouped = one.groupBy("band", "acq_date", F.floor(F.col("px_row") / side).cast("int").alias("block_row"), F.floor(F.col("px_col") / side).cast("int").alias("block_col"))
-    return grouped.agg(cells.alias("cells")).select("band", "acq_date", "block_row", "block_col", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("cells", i)).alias("values"))
+def blocks(obs: DataFrame, side: int, keys=GRID) -> DataFrame:
+    """Block form: the clear values of a block of side x side pixels and a date as one array.
 
+    A cell is (at, value), ``at`` counting the block's pixels row by row; a pixel with
+    several observations on a date has the cell of their median.
+    """
+    at = ((F.col("px_row") % side) * side + F.col("px_col") % side).cast("int")
+    block = [F.floor(F.col(px) / side).cast("int").alias(name) for px, name in zip(PIXEL, BLOCK, strict=True)]
+    one = mask_clouds(obs).groupBy(*keys, "band", "acq_date", *PIXEL).agg(F.median("value").alias("value")).filter("value is not null")
+    return one.groupBy(*keys, "band", "acq_date", *block).agg(F.collect_list(F.struct(at.alias("at"), "value")).alias("cells"))
 
-def block_median(stack: DataFrame, side: int) -> DataFrame:
-    """Median over dates of block arrays, position by position; the scale form of the composite."""
 
-    def median(i: Column) -> Column:
-        v = F.array_sort(F.filter(F.transform("stack", lambda a: F.get(a, i)), lambda x: x.isNotNull()))
-        n = F.size(v)
-        middle = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
-        return F.when(n > 0, middle)
+def blocks_of_arrays(stack: DataFrame, side: int, values: str = "values") -> DataFrame:
+    """Block form from dense arrays of side x side values, row by row, null where missing; another size fails."""
+    sized = F.when(F.size(values) == side * side, F.col(values)).otherwise(F.raise_error(F.lit(f"a block has {side} x {side} values")))
+    cells = F.filter(F.transform(sized, lambda v, i: F.struct(i.alias("at"), v.cast("double").alias("value"))), lambda c: c["value"].isNotNull())
+    return stack.withColumn("cells", cells).drop(values)
 
-    joined = stack.groupBy("band", "block_row", "block_col").agg(F.collect_list("values").alias("stack"))
-    return joined.select("band", "block_row", "block_col", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), median).alias("values"))
 
+def block_median(stack: DataFrame, side: int, keys=GRID) -> DataFrame:
+    """Median over dates of each pixel of the blocks, as pixels; the scale form of the composite.
 
-def blocks_to_pixels(stack: DataFrame, side: int) -> DataFrame:
-    """Block arrays back to one row a pixel that has a value."""
-    flat = stack.select("band", "block_row", "block_col", F.posexplode("values").alias("at", "value"))
+    Whole blocks are shuffled once, by grid, band and block; a pixel's key holds the
+    block's, so the medians need no further shuffle.
+    """
+    by = [*keys, "band", *BLOCK]
+    cells = stack.repartition(*by).select(*by, F.inline("cells"))
+    medians = cells.groupBy(*by, "at").agg(F.median("value").alias("value"))
     row = (F.col("block_row") * side + F.floor(F.col("at") / side)).cast("int")
     col = (F.col("block_col") * side + F.col("at") % side).cast("int")
-    return flat.select("band", row.alias("px_row"), col.alias("px_col"), "value")
+    return medians.select(*keys, "band", row.alias("px_row"), col.alias("px_col"), "value")
 
 
 def scenes_with_mask(scenes: DataFrame, masks: DataFrame) -> DataFrame:
@@ -73,23 +82,40 @@ def mask_count_check(masks: DataFrame) -> DataFrame:
     return masks.groupBy("mgrs", "acq_date").agg(F.count("*").alias("n_masks")).filter("n_masks <> 1")
 
 
-def grid_reference(scenes: DataFrame) -> DataFrame:
-    """Size of each grid's scenes and whether all scenes agree on it."""
-    size = scenes.groupBy("mgrs", "acq_date").agg((F.max("px_row") + 1).alias("height"), (F.max("px_col") + 1).alias("width"))
-    return size.groupBy("mgrs").agg(F.max("height").alias("height"), F.max("width").alias("width"), F.count_distinct("height", "width").alias("n_sizes"))
+def grid_reference(scenes: DataFrame, keys=GRID) -> DataFrame:
+    """Size of each grid's scenes and how many different sizes they have."""
+    size = scenes.groupBy(*keys, "acq_date").agg((F.max("px_row") + 1).alias("height"), (F.max("px_col") + 1).alias("width"))
+    return size.groupBy(*keys).agg(F.max("height").alias("height"), F.max("width").alias("width"), F.count_distinct("height", "width").alias("n_sizes"))
 
 
-def row_slices(obs: DataFrame, n: int, height: int) -> DataFrame:
-    """Row range of each pixel when the height is dealt over n slices; every row once."""
-    return obs.withColumn("slice", F.floor(F.col("px_row") * n / height).cast("int"))
+def one_reference(scenes: DataFrame, keys=GRID, fields=("epsg", "x0", "y0", "xres", "yres", "height", "width")) -> DataFrame:
+    """The CRS, transform and size that all scenes of a grid share; scenes that differ fail."""
+    out = scenes.groupBy(*keys).agg(*[F.min(f).alias(f) for f in fields], F.count_distinct(*fields).alias("references"))
+    wrong = F.raise_error(F.concat(F.lit("scenes of different references in "), F.concat_ws("/", *keys)))
+    first, *rest = fields
+    checked = F.when(F.col("references") == 1, F.col(first)).otherwise(wrong.cast(dict(out.dtypes)[first]))
+    return out.select(*keys, checked.alias(first), *rest)
 
 
-def stack_bands(*layers: DataFrame) -> DataFrame:
-    """Layers (px_row, px_col, value) joined by pixel."""
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.join(layer, list(PIXEL))
-    return out
+def row_slices(obs: DataFrame, n: int, keys=GRID) -> DataFrame:
+    """Row range of each pixel when its grid's height is dealt over n slices; every row once."""
+    heights = obs.groupBy(*keys).agg((F.max("px_row") + 1).alias("_height"))
+    return obs.join(heights, list(keys)).withColumn("slice", F.floor(F.col("px_row") * n / F.col("_height")).cast("int")).drop("_height")
+
+
+def stack_bands(layers, keys=GRID) -> DataFrame:
+    """Layers (keys, px_row, px_col, value) joined by grid and pixel."""
+    first, *rest = layers
+    for layer in rest:
+        first = first.join(layer, [*keys, *PIXEL])
+    return first
+
+
+def stack_columns(pixels: DataFrame, names: dict[str, str], keys=GRID) -> DataFrame:
+    """Bands of a long raster side by side, in one scan: pixels that have all of them."""
+    held = pixels.filter(F.col("band").isin(list(names)))
+    wide = held.groupBy(*keys, *PIXEL).agg(F.count_distinct("band").alias("_n"), *[F.max(F.when(F.col("band") == b, F.col("value"))).alias(n) for b, n in names.items()])
+    return wide.filter(F.col("_n") == len(names)).drop("_n")
 
 
 def append_bands(stack: DataFrame, more: DataFrame, offset: int) -> DataFrame:
@@ -102,40 +128,45 @@ def mosaic_first(cells: DataFrame, keys, order: str = "source_order", value: str
     return cells.groupBy(*keys).agg(F.min_by(value, F.struct(order, value)).alias(value))
 
 
-def gradient(dem: DataFrame, step: float, value: str = "elevation") -> DataFrame:
-    """Central differences inside, one-sided at the ends, along rows and columns."""
+def gradient(dem: DataFrame, step: float, value: str = "elevation", keys=GRID) -> DataFrame:
+    """Central differences inside, one-sided at the ends, along rows and columns of each grid.
 
-    def along(line: str, axis: str) -> Column:
-        w = Window.partitionBy(line).orderBy(axis)
+    Lines of a grid are cut in runs of RUN pixels, each with a halo of one pixel on
+    either side, so that a task holds runs and no whole lines.
+    """
+
+    def along(frame: DataFrame, line: str, axis: str, name: str) -> DataFrame:
+        run = F.floor(F.col(axis) / RUN)
+        halo = F.array(F.struct(run.alias("run"), F.lit(True).alias("own")), *[F.struct(F.floor((F.col(axis) + d) / RUN).alias("run"), F.lit(False).alias("own")) for d in (-1, 1)])
+        # a pixel is copied only to a neighbouring run that it borders
+        copies = F.filter(halo, lambda h: h["own"] | (h["run"] != run))
+        spread = frame.select("*", F.inline(copies))
+        w = Window.partitionBy(*keys, line, "run").orderBy(axis)
         before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        return F.when(before.isNotNull() & after.isNotNull(), (after - before) / (2 * step)).when(after.isNotNull(), (after - here) / step).otherwise((here - before) / step)
+        step_of = F.when(before.isNotNull() & after.isNotNull(), (after - before) / (2 * step)).when(after.isNotNull(), (after - here) / step).otherwise((here - before) / step)
+        return spread.withColumn(name, step_of).filter("own").drop("run", "own")
 
-    return dem.withColumn("gx", along("px_row", "px_col")).withColumn("gy", along("px_col", "px_row"))
+    return along(along(dem, "px_row", "px_col", "gx"), "px_col", "px_row", "gy")
 
 
-def slope(dem: DataFrame, step: float = 30.87, as_integer: bool = False) -> DataFrame:
+def slope(dem: DataFrame, step: float = 30.87, as_integer: bool = False, keys=GRID) -> DataFrame:
     """Slope in degrees from the gradient; ``as_integer`` truncates."""
     degrees = F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))))
-    out = gradient(dem, step).withColumn("slope", degrees)
+    out = gradient(dem, step, keys=keys).withColumn("slope", degrees)
     return out.withColumn("slope", F.col("slope").cast("int")) if as_integer else out
 
 
-def nearest_index(fine: DataFrame, coarse: DataFrame, step: float, start: float, n: int) -> DataFrame:
-    """Nearest index of a regular coarse axis for positions ``pos``; the first on ties."""
-    at = (F.col("pos") - start) / step
-    index = F.ceil(at - 0.5)
-    return fine.withColumn("index", F.least(F.greatest(index, F.lit(0)), F.lit(n - 1)).cast("int")).join(coarse, "index")
-
+def resample_nearest(fine: DataFrame, coarse: DataFrame, ratio: float, keys=GRID) -> DataFrame:
+    """Each grid's coarse raster read at fine pixels, by the nearest cell centre per axis, first on ties."""
+    sizes = coarse.groupBy(*keys).agg((F.max("px_row") + 1).alias("_rows"), (F.max("px_col") + 1).alias("_cols"))
 
-def resample_nearest(fine: DataFrame, coarse: DataFrame, ratio: float, rows: int, cols: int) -> DataFrame:
-    """Coarse raster read at fine pixels, by the nearest cell centre per axis, first on ties."""
-
-    def index(px: str, n: int) -> Column:
+    def index(px: str, n: str) -> Column:
         at = (F.col(px) + 0.5) / ratio - 0.5
-        return F.least(F.greatest(F.ceil(at - 0.5), F.lit(0)), F.lit(n - 1)).cast("int")
+        return F.least(F.greatest(F.ceil(at - 0.5), F.lit(0)), F.col(n) - 1).cast("int")
 
     low = coarse.withColumnsRenamed({"px_row": "c_row", "px_col": "c_col"})
-    return fine.withColumn("c_row", index("px_row", rows)).withColumn("c_col", index("px_col", cols)).join(low, ["c_row", "c_col"])
+    placed = fine.join(sizes, list(keys)).withColumns({"c_row": index("px_row", "_rows"), "c_col": index("px_col", "_cols")}).drop("_rows", "_cols")
+    return placed.join(low, [*keys, "c_row", "c_col"])
 
 
 def raster_stats(raster: DataFrame, value: str) -> DataFrame:
@@ -143,31 +174,69 @@ def raster_stats(raster: DataFrame, value: str) -> DataFrame:
     return raster.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.stddev_pop(v).alias("std_value"))
 
 
-def burned(shapes: DataFrame, reach: float) -> DataFrame:
+def _rows_between(low: Column, high: Column) -> Column:
+    """The whole numbers from ``low`` to ``high``; none if high is below low."""
+    return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def burned(shapes: DataFrame, reach: float = 0.0) -> DataFrame:
     """Pixels whose centre lies in a box grown by ``reach``: found cell by cell, no range join."""
-    rows = F.sequence(F.ceil(F.col("y0") - 0.5 - reach).cast("int"), F.floor(F.col("y1") - 0.5 + reach).cast("int"))
-    cols = F.sequence(F.ceil(F.col("x0") - 0.5 - reach).cast("int"), F.floor(F.col("x1") - 0.5 + reach).cast("int"))
+    rows = _rows_between(F.ceil(F.col("y0") - 0.5 - reach), F.floor(F.col("y1") - 0.5 + reach))
+    cols = _rows_between(F.ceil(F.col("x0") - 0.5 - reach), F.floor(F.col("x1") - 0.5 + reach))
     return shapes.withColumn("px_row", F.explode(rows)).withColumn("px_col", F.explode(cols))
 
 
-def rasterize(pixels: DataFrame, shapes: DataFrame, name: str, reach: float = 0.0) -> DataFrame:
-    """``pixels`` with a 0/1 column: 1 where a shape covers the pixel's centre."""
-    ones = burned(shapes, reach).select(*PIXEL).distinct().withColumn(name, F.lit(1))
-    return pixels.join(ones, list(PIXEL), "left").withColumn(name, F.coalesce(name, F.lit(0)))
+def edges_of(vertices: Column, closed: bool) -> Column:
+    """Edges (x0, y0, x1, y1) between the vertices (x, y) of a line, or of a ring if ``closed``."""
+    after = F.concat(F.slice(vertices, F.lit(2), F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1) if closed else F.slice(vertices, 1, 0))
+    pairs = F.filter(F.arrays_zip(vertices.alias("a"), after.alias("b")), lambda p: p["b"].isNotNull())
+    return F.transform(pairs, lambda p: F.struct(p["a"]["x"].alias("x0"), p["a"]["y"].alias("y0"), p["b"]["x"].alias("x1"), p["b"]["y"].alias("y1")))
+
+
+def walked(shapes: DataFrame, vertices: str = "vertices", closed: bool = False) -> DataFrame:
+    """Pixels that the edges of a line or ring touch: for each row of an edge, the columns it crosses there."""
+    e = shapes.withColumn("_e", F.explode(edges_of(F.col(vertices), closed)))
+    low, high = F.least("_e.y0", "_e.y1"), F.greatest("_e.y0", "_e.y1")
+    e = e.withColumn("px_row", F.explode(_rows_between(F.floor(low), F.floor(high))))
+
+    def x_at(y: Column) -> Column:
+        flat = F.col("_e.y0") == F.col("_e.y1")
+        return F.when(flat, F.col("_e.x0")).otherwise(F.col("_e.x0") + (y - F.col("_e.y0")) * (F.col("_e.x1") - F.col("_e.x0")) / (F.col("_e.y1") - F.col("_e.y0")))
+
+    ends = [x_at(F.greatest(low, F.col("px_row").cast("double"))), x_at(F.least(high, F.col("px_row") + 1.0))]
+    flat = F.col("_e.y0") == F.col("_e.y1")
+    left = F.when(flat, F.least("_e.x0", "_e.x1")).otherwise(F.least(*ends))
+    right = F.when(flat, F.greatest("_e.x0", "_e.x1")).otherwise(F.greatest(*ends))
+    return e.withColumn("px_col", F.explode(_rows_between(F.floor(left), F.floor(right)))).drop("_e")
+
+
+def filled(shapes: DataFrame, vertices: str = "vertices", all_touched: bool = False) -> DataFrame:
+    """Pixels whose centre lies inside a ring, by the even-odd rule; ``all_touched`` adds those its edges touch.
+
+    Row by row: the crossings of the ring with the row's centre line, sorted, in pairs.
+    """
+    bounds = shapes.withColumns({"_edges": edges_of(F.col(vertices), True), "_low": F.array_min(F.transform(vertices, lambda v: v["y"])), "_high": F.array_max(F.transform(vertices, lambda v: v["y"]))})
+    rows = bounds.withColumn("px_row", F.explode(_rows_between(F.ceil(F.col("_low") - 0.5), F.floor(F.col("_high") - 0.5))))
+    y = F.col("px_row") + 0.5
+    crossing = lambda e: (e["y0"] <= y) != (e["y1"] <= y)
+    xs = F.array_sort(F.transform(F.filter("_edges", crossing), lambda e: e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])))
+    pairs = rows.withColumn("_x", xs).filter(F.size("_x") > 1).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2))))
+    cols = _rows_between(F.ceil(F.get("_x", F.col("_i")) - 0.5), F.ceil(F.get("_x", F.col("_i") + 1) - 0.5) - 1)
+    inside = pairs.withColumn("px_col", F.explode(cols)).select(*shapes.columns, *PIXEL)
+    return inside.unionByName(walked(shapes, vertices, True).select(*shapes.columns, *PIXEL)) if all_touched else inside
 
 
-def in_triangle(px: Column, py: Column) -> Column:
-    """Whether a point is inside the triangle (xa, ya), (xb, yb), (xc, yc) or on its edge."""
+def map_features(features: DataFrame) -> DataFrame:
+    """Tagged features that are burned: all waterways, and boundaries that are lines."""
+    return features.dropna(subset=["tag"]).filter("tag_name = 'waterway' or geom_type = 'LineString'")
 
-    def side(x0: str, y0: str, x1: str, y1: str) -> Column:
-        return (F.col(x1) - F.col(x0)) * (py - F.col(y0)) - (F.col(y1) - F.col(y0)) * (px - F.col(x0))
 
-    s = [side("xa", "ya", "xb", "yb"), side("xb", "yb", "xc", "yc"), side("xc", "yc", "xa", "ya")]
-    return ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
+def rasterize(pixels: DataFrame, covered: DataFrame, name: str, keys=GRID) -> DataFrame:
+    """``pixels`` with a 0/1 column: 1 where ``covered`` (burned, walked or filled shapes) has the grid's pixel."""
+    ones = covered.select(*keys, *PIXEL).distinct().withColumn(name, F.lit(1))
+    return pixels.join(ones, [*keys, *PIXEL], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def cloud_raster(clouds: DataFrame) -> DataFrame:
-    """Pixels under a cloud per date: candidate pixels of each triangle's box, then the exact test."""
-    xs, ys = [F.col(c) for c in ("xa", "xb", "xc")], [F.col(c) for c in ("ya", "yb", "yc")]
-    boxed = clouds.withColumns({"x0": F.least(*xs), "x1": F.greatest(*xs), "y0": F.least(*ys), "y1": F.greatest(*ys)})
-    return burned(boxed, 0.0).filter(in_triangle(F.col("px_col") + 0.5, F.col("px_row") + 0.5)).select("acq_date", *PIXEL).distinct()
+def cloud_raster(clouds: DataFrame, all_touched: bool = False, keys=GRID) -> DataFrame:
+    """Pixels under a cloud polygon of each grid and date."""
+    return filled(clouds, all_touched=all_touched).select(*keys, "acq_date", *PIXEL).distinct()

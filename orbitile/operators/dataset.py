@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a range that one task ranks.
+RANGE_ROWS = 100_000
+
+
 def order_key(key: Column, seed: int = 0) -> Column:
     """A deterministic random order that does not hang on partitioning."""
     return F.xxhash64(key, F.lit(seed))
@@ -15,34 +19,57 @@ def class_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def stratified_split(rows: DataFrame, ratio: int, strata, order, salt: int = 16) -> DataFrame:
-    """Adds split: in each stratum round(ratio% of n), half to even, rows train.
+def ranked(rows: DataFrame, order, strata=(), share: int = RANGE_ROWS) -> DataFrame:
+    """Adds _rank and _all: the row's rank among its stratum in ``order``, and the stratum's size.
 
-    Ranks are found in two steps so that no task holds a whole stratum: rows fall in
-    ``salt`` ranges of a hash of the order within which they are ranked, offset by the
-    counts of the ranges before.
+    No task holds a whole stratum: rows fall in equal ranges between the least and the
+    greatest of the order's first column, as many ranges as the rows need at about
+    ``share`` rows each; a rank is one inside the range plus the rows of the ranges
+    before. The first column is a number of any width, spread evenly as a hash is
+    (``order_key``). Null strata are strata like any other.
     """
     strata = list(strata)
-    unit = order[0]
-    ranged = rows.withColumn("_part", F.floor(unit.cast("double") / F.lit(10007.0) * salt).cast("int"))
-    counts = ranged.groupBy(*strata, "_part").agg(F.count("*").alias("_n"))
+    unit = rows.withColumn("_unit", order[0].cast("double"))
+    ranges = unit.groupBy(*strata).agg(F.greatest(F.ceil(F.count("*") / share), F.lit(1)).alias("_ranges"), F.min("_unit").alias("_least"), F.max("_unit").alias("_most"))
+    part = F.floor(F.try_divide(F.col("_unit") - F.col("_least"), F.col("_most") - F.col("_least")) * F.col("_ranges"))
+    part = F.least(F.coalesce(part, F.lit(0)), F.col("_ranges") - 1)
+    placed = _null_safe(unit, ranges, strata).withColumn("_part", part).drop("_unit", "_ranges", "_least", "_most")
+    counts = placed.groupBy(*strata, "_part").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy(*strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*strata, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*strata)).alias("_all"))
     w = Window.partitionBy(*strata, "_part").orderBy(*order)
-    ranked = ranged.withColumn("_rank", F.row_number().over(w)).join(base, [*strata, "_part"])
-    train = F.col("_rank") + F.col("_before") <= F.bround(F.col("_all") * (ratio / 100.0), 0)
-    return ranked.withColumn("split", F.when(train, "train").otherwise("validate")).drop("_part", "_rank", "_before", "_all")
+    inside = placed.withColumn("_inside", F.row_number().over(w))
+    out = _null_safe(inside, base, [*strata, "_part"])
+    return out.withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Join on keys among which nulls are equal; with no keys the right side is one row."""
+    if not keys:
+        return left.join(F.broadcast(right), how="cross")  # one row
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def stratified_split(rows: DataFrame, ratio: int, strata, order) -> DataFrame:
+    """Adds split: in each stratum round(ratio% of n), half to even, rows train, the first in ``order``."""
+    train = F.col("_rank") <= F.bround(F.col("_all") * (ratio / 100.0), 0)
+    return ranked(rows, order, strata).withColumn("split", F.when(train, "train").otherwise("validate")).drop("_rank", "_all")
 
 
 def epoch_sample(rows: DataFrame, ratio: float, order, used: DataFrame | None = None, key: str = "tile_id") -> DataFrame:
-    """All positives and round(ratio x positives) negatives not in ``used``, each once."""
+    """All positives and round(ratio x positives) negatives not in ``used``, each once.
+
+    The negatives are the first in ``order``, by ``ranked``; how many are wanted stays a
+    one-row table of the plan.
+    """
     negatives = rows.filter("is_target = 0")
     if used is not None:
         negatives = negatives.join(used.select(key), key, "left_anti")
     wanted = rows.filter("is_target = 1").agg(F.bround(F.count("*") * ratio, 0).cast("long").alias("_k"))
-    least = int(wanted.first()["_k"])  # one number
-    picked = negatives.orderBy(*order).limit(least) if least else negatives.limit(0)
-    return rows.filter("is_target = 1").unionByName(picked)
+    places = ranked(negatives, order).join(F.broadcast(wanted), how="cross")  # one row
+    return rows.filter("is_target = 1").unionByName(places.filter(F.col("_rank") <= F.col("_k")).select(*rows.columns))
 
 
 def best_epochs(history: DataFrame, *keys: str) -> DataFrame:

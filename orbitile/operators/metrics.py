@@ -66,12 +66,15 @@ def roc_curve(pairs: DataFrame, parts: int = 64) -> DataFrame:
     """One point per distinct score: threshold, cumulative tp and fp, and their rates.
 
     Rows are first summed to distinct scores. Running sums go by score ranges: a total
-    for each of ``parts`` ranges of [0, 1], summed over that many rows, then running sums
-    inside each range, so no task holds all scores.
+    for each of ``parts`` ranges, summed over that many rows, then running sums inside
+    each range. The ranges are cut at quantiles of the distinct scores, so that crowded
+    scores are spread and no task holds more than about one part of them.
     """
     score = positive_conf(F.col("conf"), F.col("pred")).alias("threshold")
     points = pairs.groupBy(score).agg(F.sum("is_target").alias("p"), F.sum(F.lit(1) - F.col("is_target")).alias("n"))
-    points = points.withColumn("part", F.least(F.floor(F.col("threshold") * parts), F.lit(parts - 1)).cast("int"))
+    cuts = points.agg(F.percentile_approx("threshold", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts)).alias("cuts"))
+    part = F.size(F.filter("cuts", lambda c: c <= F.col("threshold")))
+    points = points.join(F.broadcast(cuts), how="cross").withColumn("part", part).drop("cuts")  # one row
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
     every = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = points.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))

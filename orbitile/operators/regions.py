@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitile.functions.geo import METRES_A_DEGREE, cell_name
+from orbitile.operators.composite import mosaic_first
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -37,6 +38,17 @@ def date_prefixes(registry: DataFrame) -> DataFrame:
     return days.withColumn("prefix", F.concat(F.lit("/"), F.year("day"), F.lit("/"), F.month("day"), F.lit("/"), F.dayofmonth("day"), F.lit("/")))
 
 
+def of_grids(frame: DataFrame, names) -> DataFrame:
+    """Rows of the named grids, compared without case."""
+    return frame.filter(F.lower("mgrs").isin([n.lower() for n in names]))
+
+
+def scene_files(keys: DataFrame, bands, mask: str = "MSK_CLOUDS_B00") -> DataFrame:
+    """Object keys of the wanted bands and of cloud masks, no previews."""
+    wanted = rf"/({'|'.join(bands)})\.jp2$|/{mask}\.gml$"
+    return keys.filter(F.col("object_key").rlike(wanted) & ~F.contains("object_key", F.lit("/preview/")))
+
+
 def grid_parts(grids: DataFrame) -> DataFrame:
     """UTM zone, latitude band and square of grid ids, and their key prefix."""
     parts = {"utm": F.substring("mgrs", 1, 2).cast("int"), "band": F.substring("mgrs", 3, 1), "square": F.substring("mgrs", 4, 2)}
@@ -64,6 +76,17 @@ def dem_cells(boxes: DataFrame) -> DataFrame:
     return _cells(boxes, "lon", "lat").withColumn("cell", F.concat(cell_name(F.col("lat"), F.col("lon")), F.lit(".SRTMGL1_NC.nc")))
 
 
+def land_grids(grids: DataFrame, cells: DataFrame) -> DataFrame:
+    """Grids whose lower left corner lies in an elevation cell that exists."""
+    corner = grids.withColumns({"lat": F.floor("min_lat").cast("int"), "lon": F.floor("min_lon").cast("int")})
+    return corner.join(cells.select("lat", "lon"), ["lat", "lon"], "left_semi")
+
+
+def dem_for_boxes(boxes: DataFrame, cells: DataFrame, metres: float) -> DataFrame:
+    """Elevation cells of boxes grown by ``metres``; of overlapping sources the first."""
+    return _cells(buffered(boxes, metres), "lon", "lat").join(mosaic_first(cells, ["lat", "lon"]), ["lat", "lon"])
+
+
 def download_estimate(files: DataFrame) -> DataFrame:
     """Files, gigabytes and their transfer price at 0.09 a gigabyte, rounded to 2."""
     gb = F.sum("size_bytes") / 1e9

@@ -53,25 +53,37 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("errorifexists").parquet(path)
 
 
-def train_grid(tiles: DataFrame, names, ratios, depths, pixels: int) -> DataFrame:
-    """Logistic regression on chosen layers for each class ratio and regularisation.
+def _estimator(name: str, strength: float):
+    from pyspark.ml import classification as ml
 
-    One row a run: ratio, strength, rows learned from, accuracy on all rows.
+    if name == "logistic":
+        return ml.LogisticRegression(maxIter=10, regParam=strength)
+    if name == "tree":
+        return ml.DecisionTreeClassifier(maxDepth=5, minInfoGain=min(strength, 0.1), seed=1)
+    if name == "forest":
+        return ml.RandomForestClassifier(numTrees=10, maxDepth=5, minInfoGain=min(strength, 0.1), seed=1)
+    raise ValueError(f"unknown model {name}")
+
+
+def train_grid(tiles: DataFrame, names, ratios, strengths, pixels: int, models=("logistic", "tree")) -> DataFrame:
+    """A classifier on chosen layers for each model, class ratio and regularisation.
+
+    One row a run: model, ratio, strength, rows judged, rows judged right.
     """
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    from orbitile.operators.dataset import epoch_sample
+    from orbitile.operators.dataset import epoch_sample, order_key
     from orbitile.operators.tiles import select_layers
 
     rows = select_layers(tiles, names, pixels).select("tile_id", F.col("is_target").cast("double").alias("label"), F.col("is_target"), array_to_vector(F.col("tensor").cast("array<double>")).alias("features"))
     out = []
     for ratio in ratios:
-        sample = epoch_sample(rows, ratio, [F.xxhash64("tile_id"), F.col("tile_id")]).cache()
-        for strength in depths:
-            model = LogisticRegression(maxIter=10, regParam=strength).fit(sample)
-            right = model.transform(rows).agg(F.count("*").alias("n_rows"), F.sum((F.col("prediction") == F.col("label")).cast("long")).alias("n_right"))
-            out.append(right.select(F.lit(float(ratio)).alias("ratio"), F.lit(float(strength)).alias("strength"), "n_rows", "n_right"))
+        sample = epoch_sample(rows, ratio, [order_key(F.col("tile_id")), F.col("tile_id")]).cache()
+        for model in models:
+            for strength in strengths:
+                fitted = _estimator(model, strength).fit(sample)
+                right = fitted.transform(rows).agg(F.count("*").alias("n_rows"), F.sum((F.col("prediction") == F.col("label")).cast("long")).alias("n_right"))
+                out.append(right.select(F.lit(model).alias("model"), F.lit(float(ratio)).alias("ratio"), F.lit(float(strength)).alias("strength"), "n_rows", "n_right"))
         sample.unpersist()
     every = out[0]
     for r in out[1:]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitile.functions.geo import from_utm
+from orbitile.operators.composite import GRID
 
 #: Layers in cube order and their scales (fixed values).
 LAYERS = ("red", "green", "blue", "nir", "osm-water", "osm-boundary", "elevation", "slope")
@@ -24,6 +25,24 @@ def normalized(layer: str, v: Column) -> Column:
     return clip01(v / most)
 
 
+def scaled_rgb(v: Column) -> Column:
+    """A colour value as a share of the greatest unsaturated one, not clipped."""
+    return v / MAX_RGB
+
+
+def preview(v: Column) -> Column:
+    """A colour value as a whole number 0 to 255."""
+    return (clip01(scaled_rgb(v)) * 255).cast("int")
+
+
+def union_matches(*parts: DataFrame) -> DataFrame:
+    """Tile-match rows of several regions; columns that a region lacks, as its truth, are null."""
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part, allowMissingColumns=True)
+    return first
+
+
 def tile_origins(sizes: DataFrame, step: int) -> DataFrame:
     """``sizes(width, height)``: one row a tile, x outer and y inner."""
     xs = F.sequence(F.lit(0), F.col("width") - 1, F.lit(step))
@@ -31,8 +50,8 @@ def tile_origins(sizes: DataFrame, step: int) -> DataFrame:
     return sizes.withColumn("x_min", F.explode(xs)).withColumn("y_min", F.explode(ys))
 
 
-def tile_tensor(pixels: DataFrame, step: int, value: str, *keys: str) -> DataFrame:
-    """Values of each tile window as an array, row-major."""
+def tile_tensor(pixels: DataFrame, step: int, value: str, keys=GRID) -> DataFrame:
+    """Values of each grid's tile windows as arrays, row-major."""
     at = {"x_min": (F.floor(F.col("px_col") / step) * step).cast("int"), "y_min": (F.floor(F.col("px_row") / step) * step).cast("int")}
     cells = F.array_sort(F.collect_list(F.struct("px_row", "px_col", value)))
     return pixels.withColumns(at).groupBy(*keys, "x_min", "y_min").agg(F.transform(cells, lambda c: c[value]).alias("tensor"))
@@ -57,19 +76,19 @@ def tile_bbox(tiles: DataFrame, x0: float, y0: float, res: float, epsg: int) ->
     return tiles.withColumn("bbox", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
 
 
-def label_tiles(points: DataFrame, step: float) -> DataFrame:
-    """The first point strictly inside each tile: tile index by arithmetic, no range join."""
+def label_tiles(points: DataFrame, step: float, keys=GRID) -> DataFrame:
+    """The first point strictly inside each grid's tile: tile index by arithmetic, no range join."""
     inside = points.withColumns({"tx": F.floor(F.col("x") / step).cast("int"), "ty": F.floor(F.col("y") / step).cast("int")})
     inside = inside.filter((F.col("x") > F.col("tx") * step) & (F.col("y") > F.col("ty") * step))
-    w = Window.partitionBy("tx", "ty").orderBy("bridge_id")
-    return inside.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
+    first = F.min_by(F.struct(*[c for c in inside.columns if c not in {*keys, "tx", "ty"}]), "bridge_id")
+    return inside.groupBy(*keys, "tx", "ty").agg(first.alias("first")).select(*keys, "tx", "ty", "first.*")
 
 
-def truth_in_footprint(points: DataFrame, footprints: DataFrame) -> DataFrame:
-    """Points strictly inside a footprint box, through whole-unit cells both share."""
+def truth_in_footprint(points: DataFrame, footprints: DataFrame, keys=GRID) -> DataFrame:
+    """Points strictly inside a footprint box of their grid, through whole-unit cells both share."""
     cells = footprints.withColumn("cx", F.explode(F.sequence(F.floor("x_lo").cast("int"), F.floor("x_hi").cast("int")))).withColumn("cy", F.explode(F.sequence(F.floor("y_lo").cast("int"), F.floor("y_hi").cast("int"))))
     keyed = points.withColumns({"cx": F.floor("x").cast("int"), "cy": F.floor("y").cast("int")})
-    return keyed.join(cells, ["cx", "cy"]).filter("x > x_lo and x < x_hi and y > y_lo and y < y_hi").drop("cx", "cy")
+    return keyed.join(cells, [*keys, "cx", "cy"]).filter("x > x_lo and x < x_hi and y > y_lo and y < y_hi").drop("cx", "cy")
 
 
 def dedupe_truth(match: DataFrame, order: str = "seq") -> DataFrame:
@@ -95,11 +114,16 @@ def polygon_wkt(vertices: Column) -> Column:
 
 
 def augment_flip(tiles: DataFrame, key: Column, rows: int, cols: int, tensor: str = "tensor") -> DataFrame:
-    """Vertical and horizontal flips of a row-major window, chosen by two bits of ``key``."""
-    grid = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.slice(tensor, r * cols + 1, cols))
-    up = F.when(key.bitwiseAND(F.lit(1)) == 1, F.reverse(grid)).otherwise(grid)
-    across = F.when(key.bitwiseAND(F.lit(2)) == 2, F.transform(up, F.reverse)).otherwise(up)
-    return tiles.withColumn(tensor, F.flatten(across))
+    """Vertical and horizontal flips of each layer of a layer-major tensor, chosen by two bits of ``key``."""
+
+    def layer(at: Column) -> Column:
+        grid = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.slice(tensor, at * (rows * cols) + r * cols + 1, cols))
+        up = F.when(key.bitwiseAND(F.lit(1)) == 1, F.reverse(grid)).otherwise(grid)
+        across = F.when(key.bitwiseAND(F.lit(2)) == 2, F.transform(up, F.reverse)).otherwise(up)
+        return F.flatten(across)
+
+    layers = F.sequence(F.lit(0), F.floor((F.size(tensor) - 1) / (rows * cols)).cast("int"))
+    return tiles.withColumn(tensor, F.flatten(F.transform(layers, layer)))
 
 
 def channel_first(tensor: Column, channels: int, pixels: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orbitile.operators import catalog as C
 from orbitile.operators.regions import pending_work
 from orbitile.sources.io import latest_truth as latest
-from orbitile.sources.io import list_assets, read_tile_match, scratch
+from orbitile.sources.io import list_assets, read_tile_match, read_truth_points, scratch
 from orbitile.sources.views import VIEWS, oracle, view
 
 #: Names of every kind, and one that matches none, as SQL over the part row's fields.
@@ -88,19 +88,19 @@ def asset_scan(spark, d):
     path = scratch(spark, "assets")
     view(spark, d, "match").select("tile", "region").write.partitionBy("region").csv(path)
     listed = list_assets(spark, path, "*.csv").withColumn("region", F.regexp_extract("path", "region=([^/]+)/", 1))
-    return listed.groupBy("region").agg((F.count("*") > 0).alias("has_files"), (F.sum("length") > 0).alias("has_bytes"))
+    return listed.groupBy("region").agg(F.sum("length").alias("bytes"), F.count_if(~F.col("path").endswith(".csv")).alias("others"))
 
 
 def tile_match_scan(spark, d):
     path = scratch(spark, "match")
     view(spark, d, "match").select("tile", "bbox", "is_bridge", "bridge_loc").write.csv(path, header=True, quote='"', escape='"')
-    return read_tile_match(spark, path, truth=True)
+    return read_tile_match(spark, path)
 
 
 def tile_match_scan_no_truth(spark, d):
     path = scratch(spark, "match")
     view(spark, d, "match").select("tile", "bbox").write.csv(path, header=True, quote='"', escape='"')
-    return read_tile_match(spark, path, truth=False)
+    return read_tile_match(spark, path)
 
 
 def latest_truth(spark, d):
@@ -110,13 +110,12 @@ def latest_truth(spark, d):
 
 def truth_points(spark, d):
     t = view(spark, d, "truth").withColumn("y", F.when(F.col("bridge_id") % 30 == 0, None).otherwise(F.col("y")))
-    return t.dropna(subset=["x", "y"]).select("bridge_id", "y", "x")
+    return read_truth_points(t).select("bridge_id", "y", "x")
 
 
 def pending(spark, d):
-    wanted = view(spark, d, "asset").filter("kind_no = 5").select("r", "d", "g").distinct()
-    done = view(spark, d, "asset").filter("kind_no = 6").select("r", "d", "g").distinct()
-    return pending_work(wanted, done, ["r", "d", "g"])
+    slices = view(spark, d, "asset").select("kind_no", "r", "d", "g", "a").distinct()
+    return pending_work(slices.filter("kind_no = 5"), slices.filter("kind_no = 6"), ["r", "d", "g", "a"]).drop("kind_no")
 
 
 def publish_set(spark, d):
@@ -126,7 +125,7 @@ def publish_set(spark, d):
 
 def fetch_set(spark, d):
     wanted = C.with_paths(C.pick(_parsed(spark, d), "elevation", region="uganda")).select("remote_key").distinct()
-    return pending_work(wanted, wanted.filter("remote_key like '%35MRV%'"), ["remote_key"]).repartition(8)
+    return pending_work(wanted, wanted.filter("remote_key like '%35MRV%'"), ["remote_key"])
 
 
 REGIONS = "case when r < 'Zambia' then concat(r, '_Zambia') else concat('Zambia_', r) end"
@@ -161,7 +160,7 @@ QUERIES = {
     "filter_composites": (_picked("optical_composite", "multivariate_composite", region="uganda", mgrs=["35mrv", "35MTU"]), _sql("kind_no in (0, 2) and r = 'Uganda' and lower(g) in ('35mrv', '35mtu')")),
     "filter_bands": (_picked("optical_composite", bands=["B04", "B02", "B03"], district="D1"), _sql("kind_no = 0 and d = 'D1'")),
     "filter_slices": (_picked("optical_composite_slice", band="B03", top_bound=20), _sql("kind_no = 1 and a = '20'")),
-    "filter_scenes": (_picked("sentinel2_tile", "sentinel2_cloud", year=2015, month=3), _sql("kind_no in (3, 4) and y = '15' and m = '3'")),
+    "filter_scenes": (_picked("sentinel2_tile", "sentinel2_cloud", year=2015, month=4), _sql("kind_no in (3, 4) and y = '15' and m = '4'")),
     "filter_aux": (_picked("elevation", "slope", "osm", district="d2"), _sql("kind_no in (5, 6, 7) and d = 'D2'")),
     "filter_match": (_picked("single_region_tile_match", district="D3", tile_size=300), _sql("kind_no = 8 and d = 'D3' and k % 3 > 0")),
     "filter_multi_match": (_picked("multi_region_tile_match", regions=["Zambia", "ghana"]), _sql("kind_no = 9 and r = 'Ghana'")),
@@ -172,12 +171,12 @@ QUERIES = {
     "ci_sort": (ci_sort, oracle("select k, array_to_string(list_transform(list_sort(list_transform([r, 'uganda2', d, g], lambda x: lower(x) || chr(1) || x)), lambda x: split_part(x, chr(1), 2)), '|') as sorted from asset", "asset")),
     "scene_key_to_asset": (scene_key_to_asset, oracle("""select distinct object_key, name, case when name like '%.jp2' then 'sentinel2_tile' else 'sentinel2_cloud' end as kind from (select object_key, concat('Uganda_D1_', replace(replace(replace(replace(object_key, '/qi/', '/'), '_qi_', ''), '/', '_'), 'tiles_', '')) as name from scene_key where object_key not like '%/preview/%')
         where name like '%.jp2' or name like '%_qi_MSK_CLOUDS_B%.gml'""", "scene_key")),
-    "asset_scan": (asset_scan, oracle("select distinct region, true as has_files, true as has_bytes from match", "match")),
+    "asset_scan": (asset_scan, oracle("select region, cast(sum(length(tile) + 1) as bigint) as bytes, cast(0 as bigint) as others from match group by region", "match")),
     "tile_match_scan": (tile_match_scan, oracle("select tile, bbox, is_bridge, bridge_loc from match", "match")),
     "tile_match_scan_no_truth": (tile_match_scan_no_truth, oracle("select tile, bbox from match", "match")),
     "latest_truth": (latest_truth, oracle("select concat('truth/Uganda_', strftime(max(acq_date), '%m.%d.%Y'), '.csv') as path, max(acq_date) as day from scene_key", "scene_key")),
     "truth_points": (truth_points, oracle("select bridge_id, y, x from truth where bridge_id % 30 <> 0", "truth")),
-    "pending_work": (pending, oracle("select distinct r, d, g from asset where kind_no = 5 except select r, d, g from asset where kind_no = 6", "asset")),
+    "pending_work": (pending, oracle("select distinct r, d, g, a from asset where kind_no = 5 except select r, d, g, a from asset where kind_no = 6", "asset")),
     "publish_set": (publish_set, oracle("select path, concat('trained_models/', r, '_Zambia/resnet18/r5.0/', name) as remote_key from asset where kind_no = 12 and k % 2 = 0", "asset")),
     "fetch_set": (fetch_set, oracle("select distinct concat('elevation/', r, '/', d, '/', name) as remote_key from asset where kind_no = 5 and r = 'Uganda' and g <> '35MRV'", "asset")),
 }

@@ -9,12 +9,13 @@ from orbitile.operators import dataset as D
 from orbitile.operators import metrics as M
 from orbitile.operators import scoring as S
 from orbitile.operators import tiles as T
-from orbitile.sources.io import read_results, scratch
+from orbitile.sources.io import read_checkpoints, read_results, scratch
 from orbitile.sources.views import oracle, view
 
 
 
 def _order():
+    """A scattered order that both engines compute alike."""
     return [F.expr("tile_id * 7919 % 10007"), F.col("tile_id")]
 
 
@@ -131,7 +132,10 @@ def weighted_mean(spark, d):
 
 
 def checkpoint_scan(spark, d):
-    return view(spark, d, "checkpoint").select("architecture", "ratio", "epoch", "total_acc")
+    """Written as CSV and scanned again."""
+    path = scratch(spark, "checkpoints")
+    view(spark, d, "checkpoint").write.csv(path, header=True)
+    return _rounded(read_checkpoints(spark, path).select("architecture", "ratio", "epoch", "total_acc"), "total_acc")
 
 
 def ratio_box_stats(spark, d):
@@ -259,7 +263,7 @@ QUERIES = {
     "class_accuracy": (class_accuracy, oracle(f"select round(avg(case when pred = target then 1e0 else 0e0 end) * 100, 6) as total_acc, round(avg(case when pred = target then 1e0 else 0e0 end) filter (where target = 1) * 100, 6) as bridge_acc, round(avg(case when pred = target then 1e0 else 0e0 end) filter (where target = 0) * 100, 6) as no_bridge_acc from ({JUDGED})", "score")),
     "epoch_metrics": (epoch_metrics, oracle(f"select epoch, round(avg(case when pred = target then 1e0 else 0e0 end) * 100, 6) as total_acc, round(avg(case when pred = target then 1e0 else 0e0 end) filter (where target = 1) * 100, 6) as bridge_acc, round(avg(case when pred = target then 1e0 else 0e0 end) filter (where target = 0) * 100, 6) as no_bridge_acc, round(avg(-ln(case target when 0 then e0 else e1 end / (e0 + e1))), 6) as loss from ({JUDGED}) group by epoch", "score")),
     "weighted_mean": (weighted_mean, oracle("select architecture, round(sum(v * n) / sum(n), 6) as mean, round(sum(v * n), 6) as total, cast(sum(n) as bigint) as count from (select architecture, total_acc as v, epoch % 7 + 1 as n from checkpoint where epoch % 5 <> 0) group by all", "checkpoint")),
-    "checkpoint_scan": (checkpoint_scan, oracle("select architecture, ratio, epoch, total_acc from checkpoint", "checkpoint")),
+    "checkpoint_scan": (checkpoint_scan, oracle("select architecture, ratio, epoch, round(total_acc, 6) as total_acc from checkpoint", "checkpoint")),
     "ratio_box_stats": (ratio_box_stats, oracle("select ratio, round(min(total_acc), 6) as low, round(quantile_cont(total_acc, 0.25), 6) as q1, round(quantile_cont(total_acc, 0.5), 6) as middle, round(quantile_cont(total_acc, 0.75), 6) as q3, round(max(total_acc), 6) as high from checkpoint group by ratio", "checkpoint")),
     "epoch_series": (epoch_series, oracle("select ratio, cast(count(*) as int) as n, round(arg_min(acc, epoch), 6) as first, round(arg_max(acc, epoch), 6) as last from (select ratio, epoch, avg(total_acc) as acc from checkpoint group by all) group by ratio", "checkpoint")),
     "best_epochs": (best_epochs, oracle(BEST_E, "checkpoint")),

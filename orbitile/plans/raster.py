@@ -8,7 +8,7 @@ from orbitile.operators import composite as C
 from orbitile.sources.views import oracle, view
 
 MASKED = "case when value * clear <> 0 and value * clear <= 4000e0 then value * clear end"
-MED = f"select px_row, px_col, band, median({MASKED}) as value from obs group by px_row, px_col, band"
+MED = f"select mgrs, px_row, px_col, band, median({MASKED}) as value from obs group by mgrs, px_row, px_col, band"
 STEP = 30.87
 SIDE = 10
 
@@ -30,8 +30,7 @@ def band_pivot(spark, d):
 
 
 def blocks_to_pixels(spark, d):
-    obs = view(spark, d, "obs")
-    return C.blocks_to_pixels(C.block_median(C.blocks(obs, SIDE), SIDE), SIDE).filter("value is not null")
+    return C.block_median(C.blocks(view(spark, d, "obs"), SIDE), SIDE)
 
 
 def _scenes(spark, d):
@@ -62,18 +61,17 @@ def grid_reference(spark, d):
 
 
 def row_slices(spark, d):
-    return C.row_slices(view(spark, d, "obs"), 12, 40).groupBy("slice").agg(F.min("px_row").alias("top"), F.max("px_row").alias("bottom"), F.count("*").alias("n"))
+    return C.row_slices(view(spark, d, "obs"), 12).groupBy("mgrs", "slice").agg(F.min("px_row").alias("top"), F.max("px_row").alias("bottom"), F.count("*").alias("n"))
 
 
 def stack_bands(spark, d):
     med = C.median_composite(view(spark, d, "obs"))
-    layers = [med.filter(F.col("band") == b).select("px_row", "px_col", F.col("value").alias(C.BAND_NAMES[b])) for b in C.BANDS[:2]]
-    return C.stack_bands(*layers)
+    return C.stack_columns(med, {b: C.BAND_NAMES[b] for b in C.BANDS[:2]})
 
 
 def append_bands(spark, d):
-    med = C.median_composite(view(spark, d, "obs")).withColumn("band_no", F.when(F.col("band") == "B04", 0).otherwise(1)).filter("band in ('B04', 'B03')").select("px_row", "px_col", "band_no", "value")
-    dem = view(spark, d, "dem").select("px_row", "px_col", F.lit(0).alias("band_no"), F.col("elevation").alias("value"))
+    med = C.median_composite(view(spark, d, "obs")).withColumn("band_no", F.when(F.col("band") == "B04", 0).otherwise(1)).filter("band in ('B04', 'B03')").select("mgrs", "px_row", "px_col", "band_no", "value")
+    dem = view(spark, d, "dem").select("mgrs", "px_row", "px_col", F.lit(0).alias("band_no"), F.col("elevation").alias("value"))
     return C.append_bands(med, dem, 2)
 
 
@@ -82,15 +80,15 @@ def mosaic_first(spark, d):
 
 
 def terrain_gradient(spark, d):
-    return C.gradient(view(spark, d, "dem"), STEP).select("px_row", "px_col", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"))
+    return C.gradient(view(spark, d, "dem"), STEP).select("mgrs", "px_row", "px_col", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"))
 
 
 def slope(spark, d):
-    return _slope(spark, d).select("px_row", "px_col", F.round("slope", 6).alias("slope"))
+    return _slope(spark, d).select("mgrs", "px_row", "px_col", F.round("slope", 6).alias("slope"))
 
 
 def slope_integer(spark, d):
-    return C.slope(view(spark, d, "dem"), STEP, as_integer=True).select("px_row", "px_col", "slope")
+    return C.slope(view(spark, d, "dem"), STEP, as_integer=True).select("mgrs", "px_row", "px_col", "slope")
 
 
 def raster_stats(spark, d):
@@ -99,26 +97,44 @@ def raster_stats(spark, d):
 
 
 def resample_nearest(spark, d):
-    fine = view(spark, d, "obs").select("px_row", "px_col").distinct()
-    coarse = view(spark, d, "dem")
-    rows, cols = coarse.agg(F.coalesce(F.max("px_row") + 1, F.lit(1)), F.coalesce(F.max("px_col") + 1, F.lit(1))).first()
-    return C.resample_nearest(fine, coarse, 3.0, rows, cols).select("px_row", "px_col", "elevation")
+    fine = view(spark, d, "obs").select("mgrs", "px_row", "px_col").distinct()
+    return C.resample_nearest(fine, view(spark, d, "dem"), 3.0).select("mgrs", "px_row", "px_col", "elevation")
 
 
 def osm_filter(spark, d):
-    f = view(spark, d, "feature")
-    return f.dropna(subset=["tag"]).filter("tag_name = 'waterway' or geom_type = 'LineString'").select("feature_id", "tag_name", "geom_type")
+    return C.map_features(view(spark, d, "feature")).select("feature_id", "tag_name", "geom_type")
+
+
+def _burned_features(spark, d):
+    """Polygons are filled boxes here, lines the diagonals of theirs."""
+    f = C.map_features(view(spark, d, "feature")).select("mgrs", "tag_name", "geom_type", "x0", "y0", "x1", "y1")
+    line = f.filter("geom_type = 'LineString'").withColumn("vertices", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y1"))]))
+    polygon = f.filter("geom_type = 'Polygon'").withColumn("vertices", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]))
+    columns = ("mgrs", "tag_name", "px_row", "px_col")
+    return C.walked(line).select(*columns).union(C.filled(polygon).select(*columns))
+
+
+def _osm(pixels, covered):
+    water = C.rasterize(pixels, covered.filter("tag_name = 'waterway'"), "water")
+    return C.rasterize(water, covered.filter("tag_name = 'boundary'"), "boundary")
 
 
 def osm_raster(spark, d):
-    pixels = view(spark, d, "obs").select("px_row", "px_col").distinct()
-    f = view(spark, d, "feature").dropna(subset=["tag"]).filter("tag_name = 'waterway' or geom_type = 'LineString'")
-    water = C.rasterize(pixels, f.filter("tag_name = 'waterway'"), "water")
-    return C.rasterize(water, f.filter("tag_name = 'boundary'"), "boundary").select("px_row", "px_col", "water", "boundary")
+    pixels = view(spark, d, "obs").select("mgrs", "px_row", "px_col").distinct()
+    return _osm(pixels, _burned_features(spark, d)).select("mgrs", "px_row", "px_col", "water", "boundary")
+
+
+def _clouds(spark, d):
+    ring = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in "abcd"])
+    return view(spark, d, "cloud").select("mgrs", "acq_date", ring.alias("vertices"))
 
 
 def cloud_raster(spark, d):
-    return C.cloud_raster(view(spark, d, "cloud"))
+    return C.cloud_raster(_clouds(spark, d))
+
+
+def cloud_raster_touched(spark, d):
+    return C.cloud_raster(_clouds(spark, d), all_touched=True)
 
 
 def composite_sink(spark, d):
@@ -126,62 +142,74 @@ def composite_sink(spark, d):
     from orbitile.sources.io import scratch
 
     path = scratch(spark, "composite")
-    C.median_composite(view(spark, d, "obs"), ("mgrs", "band", "px_row", "px_col")).write.partitionBy("mgrs").parquet(path)
+    C.median_composite(view(spark, d, "obs")).write.partitionBy("mgrs").parquet(path)
     return spark.read.parquet(path).filter("mgrs = '35MRV'").groupBy("mgrs", "band").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def multivariate_composite(spark, d):
     """Eight layers of each pixel in one plan: medians, water, boundary, elevation, slope."""
     four = C.band_pivot(view(spark, d, "obs"))
-    terrain = _slope(spark, d).select("px_row", "px_col", F.round("elevation", 6).alias("elevation"), F.round("slope", 6).alias("slope"))
-    return C.stack_bands(four, osm_raster(spark, d), terrain)
+    terrain = _slope(spark, d).select("mgrs", "px_row", "px_col", F.round("elevation", 6).alias("elevation"), F.round("slope", 6).alias("slope"))
+    # the composite's own pixels are the ones map features are burned into
+    return C.stack_bands([_osm(four, _burned_features(spark, d)), terrain])
 
 
-GRAD = f"""select px_row, px_col, elevation,
+GRAD = f"""select mgrs, px_row, px_col, elevation,
  case when lag(elevation) over r is not null and lead(elevation) over r is not null then (lead(elevation) over r - lag(elevation) over r) / {2 * STEP}e0
       when lead(elevation) over r is not null then (lead(elevation) over r - elevation) / {STEP}e0 else (elevation - lag(elevation) over r) / {STEP}e0 end as gx,
  case when lag(elevation) over c is not null and lead(elevation) over c is not null then (lead(elevation) over c - lag(elevation) over c) / {2 * STEP}e0
       when lead(elevation) over c is not null then (lead(elevation) over c - elevation) / {STEP}e0 else (elevation - lag(elevation) over c) / {STEP}e0 end as gy
- from dem window r as (partition by px_row order by px_col), c as (partition by px_col order by px_row)"""
-SLOPE = f"select px_row, px_col, elevation, degrees(atan(sqrt(gx * gx + gy * gy))) as slope from ({GRAD}) g"
+ from dem window r as (partition by mgrs, px_row order by px_col), c as (partition by mgrs, px_col order by px_row)"""
+SLOPE = f"select mgrs, px_row, px_col, elevation, degrees(atan(sqrt(gx * gx + gy * gy))) as slope from ({GRAD}) g"
 SCENES = "select mgrs, acq_date, band, count(*) as n_pixels from obs group by all"
 MASKS = "select mgrs, acq_date, band, count(*) as n_cloudy from obs where clear = 0 group by all"
-BURN = """select distinct r as px_row, c as px_col from (select unnest(range(cast(ceil(y0 - 0.5) as int), cast(floor(y1 - 0.5) as int) + 1)) as r, x0, x1 from ({f}) f) a,
- lateral (select unnest(range(cast(ceil(x0 - 0.5) as int), cast(floor(x1 - 0.5) as int) + 1)) as c) b"""
 FEATURES = "select * from feature where tag is not null and (tag_name = 'waterway' or geom_type = 'LineString')"
-OSM = f"""select p.px_row, p.px_col, cast(w.px_row is not null as int) as water, cast(b.px_row is not null as int) as boundary
- from (select distinct px_row, px_col from obs) p
- left join ({BURN.format(f=f"select * from ({FEATURES}) where tag_name = 'waterway'")}) w on p.px_row = w.px_row and p.px_col = w.px_col
- left join ({BURN.format(f=f"select * from ({FEATURES}) where tag_name = 'boundary'")}) b on p.px_row = b.px_row and p.px_col = b.px_col"""
-PIVOT = "select px_row, px_col, " + ", ".join(f"median(case when band = '{b}' then {MASKED} end) as {n}" for b, n in C.BAND_NAMES.items()) + " from obs group by px_row, px_col"
+BOXES = """select mgrs, tag_name, cast(r as int) as px_row, cast(c as int) as px_col from (select unnest(range(cast(ceil(y0 - 0.5) as int), cast(ceil(y1 - 0.5) as int))) as r, * from ({f}) f where geom_type = 'Polygon') a,
+ lateral (select unnest(range(cast(ceil(x0 - 0.5) as int), cast(ceil(x1 - 0.5) as int))) as c) b"""
+#: Pixels of an edge (ax, ay) to (tx, by) that is not level: row by row, from where it enters the row to where it leaves.
+WALK = """select {k}, cast(r as int) as px_row, cast(c as int) as px_col from (select *, ax + (greatest(least(ay, ty), r) - ay) * (tx - ax) / (ty - ay) as ea, ax + (least(greatest(ay, ty), r + 1e0) - ay) * (tx - ax) / (ty - ay) as eb
+ from (select *, unnest(range(cast(floor(least(ay, ty)) as int), cast(floor(greatest(ay, ty)) as int) + 1)) as r from ({e}) e) q) a,
+ lateral (select unnest(range(cast(floor(least(ea, eb)) as int), cast(floor(greatest(ea, eb)) as int) + 1)) as c) b"""
+LINES = WALK.format(k="mgrs, tag_name", e=f"select mgrs, tag_name, x0 as ax, y0 as ay, x1 as tx, y1 as ty from ({FEATURES}) where geom_type = 'LineString'")
+BURNED = f"{BOXES.format(f=FEATURES)} union {LINES}"
+OSM = f"""select p.mgrs, p.px_row, p.px_col, cast(w.px_row is not null as int) as water, cast(b.px_row is not null as int) as boundary
+ from (select distinct mgrs, px_row, px_col from obs) p
+ left join (select distinct mgrs, px_row, px_col from ({BURNED}) where tag_name = 'waterway') w on p.mgrs = w.mgrs and p.px_row = w.px_row and p.px_col = w.px_col
+ left join (select distinct mgrs, px_row, px_col from ({BURNED}) where tag_name = 'boundary') b on p.mgrs = b.mgrs and p.px_row = b.px_row and p.px_col = b.px_col"""
+_EDGES = [f"({p[0]} as ax, {p[1]} as ay, {q[0]} as tx, {q[1]} as ty)" for p, q in ((("xa", "ya"), ("xb", "yb")), (("xb", "yb"), ("xc", "yc")), (("xc", "yc"), ("xd", "yd")), (("xd", "yd"), ("xa", "ya")))]
+EDGES = " union all ".join(f"select mgrs, acq_date, {e[1:-1]} from cloud" for e in _EDGES)
+_CROSS = " + ".join(f"case when ({a[1]} <= r + 0.5e0) <> ({b[1]} <= r + 0.5e0) and {a[0]} + (r + 0.5e0 - {a[1]}) * ({b[0]} - {a[0]}) / ({b[1]} - {a[1]}) > c + 0.5e0 then 1 else 0 end"
+                    for a, b in ((("xa", "ya"), ("xb", "yb")), (("xb", "yb"), ("xc", "yc")), (("xc", "yc"), ("xd", "yd")), (("xd", "yd"), ("xa", "ya"))))
+INSIDE = f"""select distinct mgrs, acq_date, cast(r as int) as px_row, cast(c as int) as px_col from (select *, unnest(range(cast(floor(least(ya, yb, yc, yd)) as int), cast(ceil(greatest(ya, yb, yc, yd)) as int) + 1)) as r from cloud) a,
+ lateral (select unnest(range(cast(floor(least(xa, xb, xc, xd)) as int), cast(ceil(greatest(xa, xb, xc, xd)) as int) + 1)) as c) b where ({_CROSS}) % 2 = 1"""
+PIVOT = "select mgrs, px_row, px_col, " + ", ".join(f"median(case when band = '{b}' then {MASKED} end) as {n}" for b, n in C.BAND_NAMES.items()) + " from obs group by mgrs, px_row, px_col"
 
 QUERIES = {
     "median_composite": (median_composite, oracle(MED, "obs")),
     "mask_clouds": (mask_clouds, oracle(f"select band, acq_date, count(*) as n, count({MASKED}) as n_clear, sum({MASKED}) as total from obs group by all", "obs")),
     "band_pivot": (band_pivot, oracle(PIVOT, "obs")),
-    "blocks_to_pixels": (blocks_to_pixels, oracle(f"select band, px_row, px_col, median(v) as value from (select band, px_row, px_col, acq_date, median({MASKED}) as v from obs group by all) group by all having median(v) is not null", "obs")),
+    "blocks_to_pixels": (blocks_to_pixels, oracle(f"select mgrs, band, px_row, px_col, median(v) as value from (select mgrs, band, px_row, px_col, acq_date, median({MASKED}) as v from obs group by all) group by all having median(v) is not null", "obs")),
     "scenes_with_mask": (scenes_with_mask, oracle(f"select s.mgrs, s.acq_date, s.band, n_pixels, n_cloudy from ({SCENES}) s join (select mgrs, acq_date, cast(sum(n_cloudy) as bigint) as n_cloudy from ({MASKS}) group by all) m using (mgrs, acq_date)", "obs")),
     "scene_mask_join": (scene_mask_join, oracle(f"select s.mgrs, s.acq_date, s.band, n_pixels, n_cloudy from ({SCENES}) s join (select mgrs, acq_date, n_cloudy from ({MASKS}) where band = 'B02') m using (mgrs, acq_date)", "obs")),
     "mask_count_check": (mask_count_check, oracle(f"select mgrs, acq_date, count(*) as n_masks from ({MASKS}) group by all having count(*) <> 1", "obs")),
     "grid_reference": (grid_reference, oracle("select mgrs, max(h) as height, max(w) as width, count(distinct (h, w)) as n_sizes from (select mgrs, acq_date, max(px_row) + 1 as h, max(px_col) + 1 as w from obs group by all) group by mgrs", "obs")),
-    "row_slices": (row_slices, oracle("select cast(floor(px_row * 12 / 40) as int) as slice, min(px_row) as top, max(px_row) as bottom, count(*) as n from obs group by 1", "obs")),
-    "stack_bands": (stack_bands, oracle(f"select a.px_row, a.px_col, a.value as red, b.value as green from ({MED}) a join ({MED}) b on a.px_row = b.px_row and a.px_col = b.px_col and a.band = 'B04' and b.band = 'B03'", "obs")),
-    "append_bands": (append_bands, oracle(f"select px_row, px_col, case band when 'B04' then 0 else 1 end as band_no, value from ({MED}) where band in ('B04', 'B03') union all select px_row, px_col, 2, elevation from dem", "obs", "dem")),
+    "row_slices": (row_slices, oracle("select mgrs, cast(floor(px_row * 12 / h) as int) as slice, min(px_row) as top, max(px_row) as bottom, count(*) as n from obs join (select mgrs, max(px_row) + 1 as h from obs group by mgrs) using (mgrs) group by 1, 2", "obs")),
+    "stack_bands": (stack_bands, oracle(f"select a.mgrs, a.px_row, a.px_col, a.value as red, b.value as green from ({MED}) a join ({MED}) b on a.mgrs = b.mgrs and a.px_row = b.px_row and a.px_col = b.px_col and a.band = 'B04' and b.band = 'B03'", "obs")),
+    "append_bands": (append_bands, oracle(f"select mgrs, px_row, px_col, case band when 'B04' then 0 else 1 end as band_no, value from ({MED}) where band in ('B04', 'B03') union all select mgrs, px_row, px_col, 2, elevation from dem", "obs", "dem")),
     "mosaic_first": (mosaic_first, oracle("select lat, lon, arg_min(elevation, source_order * 1000000e0 + elevation) as elevation from cell group by all", "cell")),
-    "terrain_gradient": (terrain_gradient, oracle(f"select px_row, px_col, round(gx, 6) as gx, round(gy, 6) as gy from ({GRAD})", "dem")),
-    "slope": (slope, oracle(f"select px_row, px_col, round(slope, 6) as slope from ({SLOPE})", "dem")),
-    "slope_integer": (slope_integer, oracle(f"select px_row, px_col, cast(trunc(slope) as int) as slope from ({SLOPE})", "dem")),
+    "terrain_gradient": (terrain_gradient, oracle(f"select mgrs, px_row, px_col, round(gx, 6) as gx, round(gy, 6) as gy from ({GRAD})", "dem")),
+    "slope": (slope, oracle(f"select mgrs, px_row, px_col, round(slope, 6) as slope from ({SLOPE})", "dem")),
+    "slope_integer": (slope_integer, oracle(f"select mgrs, px_row, px_col, cast(trunc(slope) as int) as slope from ({SLOPE})", "dem")),
     "raster_stats": (raster_stats, oracle(f"select round(min(slope), 6) as min_value, round(max(slope), 6) as max_value, round(avg(slope), 6) as mean_value, round(stddev_pop(slope), 6) as std_value from ({SLOPE})", "dem")),
-    "resample_nearest": (resample_nearest, oracle("""select f.px_row, f.px_col, elevation from (select distinct px_row, px_col,
-        cast(least(greatest(ceil((px_row + 0.5e0) / 3e0 - 0.5e0 - 0.5e0), 0), 12) as int) as cr, cast(least(greatest(ceil((px_col + 0.5e0) / 3e0 - 0.5e0 - 0.5e0), 0), 16) as int) as cc from obs) f
-        join dem on dem.px_row = cr and dem.px_col = cc where dem.px_row < 13 and dem.px_col < 17""", "obs", "dem")),
+    "resample_nearest": (resample_nearest, oracle("""select f.mgrs, f.px_row, f.px_col, elevation from (select distinct o.mgrs, px_row, px_col,
+        cast(least(greatest(ceil((px_row + 0.5e0) / 3e0 - 0.5e0 - 0.5e0), 0), z.h - 1) as int) as cr, cast(least(greatest(ceil((px_col + 0.5e0) / 3e0 - 0.5e0 - 0.5e0), 0), z.w - 1) as int) as cc
+        from obs o join (select mgrs, max(px_row) + 1 as h, max(px_col) + 1 as w from dem group by mgrs) z on o.mgrs = z.mgrs) f
+        join dem on dem.mgrs = f.mgrs and dem.px_row = cr and dem.px_col = cc""", "obs", "dem")),
     "osm_filter": (osm_filter, oracle(f"select feature_id, tag_name, geom_type from ({FEATURES})", "feature")),
     "osm_raster": (osm_raster, oracle(OSM, "obs", "feature")),
-    "cloud_raster": (cloud_raster, oracle("""select distinct acq_date, cast(r as int) as px_row, cast(c as int) as px_col from (select *, unnest(range(cast(ceil(least(ya, yb, yc) - 0.5) as int), cast(floor(greatest(ya, yb, yc) - 0.5) as int) + 1)) as r from cloud) a,
-        lateral (select unnest(range(cast(ceil(least(xa, xb, xc) - 0.5) as int), cast(floor(greatest(xa, xb, xc) - 0.5) as int) + 1)) as c) b,
-        lateral (select (xb - xa) * (r + 0.5e0 - ya) - (yb - ya) * (c + 0.5e0 - xa) as s1, (xc - xb) * (r + 0.5e0 - yb) - (yc - yb) * (c + 0.5e0 - xb) as s2, (xa - xc) * (r + 0.5e0 - yc) - (ya - yc) * (c + 0.5e0 - xc) as s3) s
-        where (s1 >= 0 and s2 >= 0 and s3 >= 0) or (s1 <= 0 and s2 <= 0 and s3 <= 0)""", "cloud")),
+    "cloud_raster": (cloud_raster, oracle(INSIDE, "cloud")),
+    "cloud_raster_touched": (cloud_raster_touched, oracle(f"{INSIDE} union {WALK.format(k='mgrs, acq_date', e=EDGES)}", "cloud")),
     "composite_sink": (composite_sink, oracle(f"select mgrs, band, count(*) as n, sum(value) as total from (select mgrs, band, px_row, px_col, median({MASKED}) as value from obs where mgrs = '35MRV' group by all) group by all", "obs")),
-    "multivariate_composite": (multivariate_composite, oracle(f"""select a.px_row, a.px_col, red, green, blue, nir, water, boundary, round(elevation, 6) as elevation, round(slope, 6) as slope
-        from ({PIVOT}) a join ({OSM}) o on a.px_row = o.px_row and a.px_col = o.px_col join ({SLOPE}) t on a.px_row = t.px_row and a.px_col = t.px_col""", "obs", "feature", "dem")),
+    "multivariate_composite": (multivariate_composite, oracle(f"""select a.mgrs, a.px_row, a.px_col, red, green, blue, nir, water, boundary, round(elevation, 6) as elevation, round(slope, 6) as slope
+        from ({PIVOT}) a join ({OSM}) o on a.mgrs = o.mgrs and a.px_row = o.px_row and a.px_col = o.px_col join ({SLOPE}) t on a.mgrs = t.mgrs and a.px_row = t.px_row and a.px_col = t.px_col""", "obs", "feature", "dem")),
 }

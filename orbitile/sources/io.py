@@ -10,18 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TILE_MATCH = T.StructType([T.StructField("tile", T.StringType()), T.StructField("bbox", T.StringType()), T.StructField("is_bridge", T.BooleanType()), T.StructField("bridge_loc", T.StringType())])
+CHECKPOINT = "architecture string, ratio double, epoch int, total_acc double, bridge_acc double, no_bridge_acc double, path string"
+DISTRICTS = "struct<districts: map<string, struct<bbox: array<double>, dates: array<string>, ground_truth: boolean>>>"
 RESULT = T.StructType([T.StructField("tile_id", T.LongType()), T.StructField("pred", T.IntegerType()), T.StructField("conf", T.DoubleType())])
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder all executors see: below spark.checkpoint.dir, or a temporary one where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder all executors see: below spark.checkpoint.dir, or, on one machine only, a temporary one where unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/orbitile/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_tile_match(spark: SparkSession, path: str, truth: bool) -> DataFrame:
-    """Tile-match CSV with an explicit schema, with or without the truth columns."""
-    schema = TILE_MATCH if truth else T.StructType(TILE_MATCH.fields[:2])
+def read_tile_match(spark: SparkSession, path: str) -> DataFrame:
+    """Tile-match CSV with a fixed schema; whether it has the truth columns is read from its header."""
+    header = spark.read.csv(path, header=True).columns  # the first line only
+    known = {f.name: f for f in TILE_MATCH.fields}
+    if missing := {"tile", "bbox"} - set(header):
+        raise ValueError(f"no tile match: {sorted(missing)} missing")
+    schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
     return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"')
 
 
@@ -29,6 +39,47 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT).csv(path, header=True)
 
 
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """Checkpoint tables of training runs."""
+    return spark.read.schema(CHECKPOINT).csv(path, header=True)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """One row a region and district from nested text: region, districts, then bbox, dates, ground_truth.
+
+    Files are JSON, one document each or one a line; ``registry_of`` takes the same nesting
+    from any other reader, such as one of YAML.
+    """
+    lines = spark.read.text(path).select(F.from_json("value", f"map<string, {DISTRICTS}>").alias("regions"))
+    return _registry_rows(lines)
+
+
+def registry_of(spark: SparkSession, nested: dict) -> DataFrame:
+    """The registry from nested dicts as a configuration file holds them."""
+    import json
+
+    text = spark.createDataFrame([(json.dumps(nested, default=str),)], "value string")
+    return _registry_rows(text.select(F.from_json("value", f"map<string, {DISTRICTS}>").alias("regions")))
+
+
+def _registry_rows(frame: DataFrame) -> DataFrame:
+    flat = frame.select(F.explode("regions").alias("region", "r")).select("region", F.explode("r.districts").alias("district", "e"))
+    box = [F.get("e.bbox", F.lit(i)).alias(c) for i, c in enumerate(("min_lon", "min_lat", "max_lon", "max_lat"))]
+    days = [F.get("e.dates", F.lit(i)).cast("date").alias(c) for i, c in enumerate(("date_from", "date_to"))]
+    return flat.select("region", "district", *box, *days, F.coalesce("e.ground_truth", F.lit(False)).alias("ground_truth"))
+
+
+def numeric_keys(frame: DataFrame, column: str) -> DataFrame:
+    """One row a key of JSON objects of whole numbers, with the key as a number where it parses."""
+    pairs = frame.select("*", F.explode(F.from_json(column, "map<string, bigint>")).alias("key", "value"))
+    return pairs.withColumn("number", F.expr("try_cast(key as double)"))
+
+
+def read_truth_points(rows: DataFrame) -> DataFrame:
+    """Truth points that have both coordinates."""
+    return rows.dropna(subset=["x", "y"])
+
+
 def list_assets(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Path, length and time of files below ``path``, on any file system; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
@@ -42,6 +93,6 @@ def latest_truth(files: DataFrame) -> DataFrame:
 
 
 def tile_match_levels(tiles: DataFrame, path: str) -> DataFrame:
-    """One table partitioned by region, district and grid; levels are filters of it."""
-    tiles.write.partitionBy("region", "district", "mgrs").parquet(path)
+    """One table partitioned by region, district, grid and tile size; levels are filters of it."""
+    tiles.write.partitionBy("region", "district", "mgrs", "tile_size").parquet(path)
     return tiles.sparkSession.read.parquet(path)

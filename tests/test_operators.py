@@ -19,24 +19,156 @@ def plan(df):
 
 
 def test_gradient_edges(spark):
-    dem = spark.createDataFrame([(r, c, float(c * c + r)) for r in range(3) for c in range(4)], "px_row int, px_col int, elevation double")
-    got = {(r.px_row, r.px_col): (r.gx, r.gy) for r in composite.gradient(dem, 1.0).collect()}
-    z = np.array([[c * c + r for c in range(4)] for r in range(3)], float)
-    gy, gx = np.gradient(z)
-    assert all(math.isclose(got[r, c][0], gx[r, c]) and math.isclose(got[r, c][1], gy[r, c]) for r in range(3) for c in range(4))
+    for run in (2, 3, 512):
+        composite.RUN = run
+        grids = {"A": np.array([[c * c + r for c in range(7)] for r in range(5)], float), "B": np.array([[100 * c - r * r for c in range(7)] for r in range(5)], float)}
+        dem = spark.createDataFrame([(g, r, c, float(z[r, c])) for g, z in grids.items() for r in range(5) for c in range(7)], "mgrs string, px_row int, px_col int, elevation double")
+        got = {(r.mgrs, r.px_row, r.px_col): (r.gx, r.gy) for r in composite.gradient(dem, 1.0).collect()}
+        assert len(got) == 70
+        for g, z in grids.items():
+            gy, gx = np.gradient(z)
+            assert all(math.isclose(got[g, r, c][0], gx[r, c]) and math.isclose(got[g, r, c][1], gy[r, c]) for r in range(5) for c in range(7))
+
+
+def test_grids_do_not_mix(spark):
+    """Two grids with the same pixels: what each gives alone, it gives beside the other."""
+    rows = [(g, r, c, b, f"2020-01-0{d}", float(v + 10 * r + c), 1) for g, v in (("A", 100), ("B", 2000)) for r in range(4) for c in range(4) for b in ("B04", "B03") for d in (1, 2, 3)]
+    obs = spark.createDataFrame(rows, "mgrs string, px_row int, px_col int, band string, acq_date string, value double, clear int")
+    dem = obs.filter("band = 'B04' and acq_date = '2020-01-01'").select("mgrs", "px_row", "px_col", F.col("value").alias("elevation"))
+    points = spark.createDataFrame([("A", 1, 0.5, 0.5), ("B", 2, 0.7, 0.7), ("B", 3, 0.2, 0.2)], "mgrs string, bridge_id int, x double, y double")
+    boxes = spark.createDataFrame([("A", 0.0, 1.0, 0.0, 1.0)], "mgrs string, x_lo double, x_hi double, y_lo double, y_hi double")
+    shape = spark.createDataFrame([("A", [(0.2, 0.2), (2.4, 0.2), (2.4, 2.4)])], "mgrs string, vertices array<struct<x: double, y: double>>")
+    pixels = dem.drop("elevation")
+    cases = {
+        "median": lambda g: composite.median_composite(obs.filter(g)),
+        "pivot": lambda g: composite.band_pivot(obs.filter(g)),
+        "blocks": lambda g: composite.block_median(composite.blocks(obs.filter(g), 3), 3),
+        "columns": lambda g: composite.stack_columns(composite.median_composite(obs.filter(g)), {"B04": "red", "B03": "green"}),
+        "bands": lambda g: composite.stack_bands([composite.median_composite(obs.filter(g)).filter(F.col("band") == b).select("mgrs", "px_row", "px_col", F.col("value").alias(b)) for b in ("B04", "B03")]),
+        "slope": lambda g: composite.slope(dem.filter(g)),
+        "nearest": lambda g: composite.resample_nearest(pixels.filter(g), dem.filter(g), 2.0),
+        "raster": lambda g: composite.rasterize(pixels.filter(g), composite.filled(shape.filter(g)), "on"),
+        "slices": lambda g: composite.row_slices(obs.filter(g), 2),
+        "tensor": lambda g: tiles.tile_tensor(dem.filter(g), 2, "elevation"),
+        "labels": lambda g: tiles.label_tiles(points.filter(g), 1.0),
+        "truth": lambda g: tiles.truth_in_footprint(points.filter(g), boxes.filter(g)),
+    }
+    for name, run in cases.items():
+        both = sorted(map(str, run(F.lit(True)).collect()))
+        alone = sorted(str(r) for g in ("A", "B") for r in run(F.col("mgrs") == g).collect())
+        assert both == alone and both, name
+
+
+def test_shapes_are_burned_as_by_hand(spark):
+    rng = np.random.default_rng(2)
+    rings = [(i, [(float(x), float(y)) for x, y in rng.uniform(0.1, 9.7, (int(rng.integers(3, 7)), 2))]) for i in range(12)]
+    df = spark.createDataFrame(rings, "i int, vertices array<struct<x: double, y: double>>")
+    got, touched, lines = ({(r.i, r.px_row, r.px_col) for r in f.collect()} for f in (composite.filled(df), composite.filled(df, all_touched=True), composite.walked(df)))
+    for i, ring in rings:
+        edges = list(zip(ring, ring[1:] + ring[:1]))
+        for r in range(11):
+            for c in range(11):
+                y, x = r + 0.5, c + 0.5
+                inside = sum((a[1] <= y) != (b[1] <= y) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x for a, b in edges) % 2 == 1
+                assert ((i, r, c) in got) == inside
+        walk = lambda pairs: {(i, int(y), int(x)) for a, b in pairs for t in np.linspace(0, 1, 4001) for x, y in [(a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))]}
+        own = {p for p in lines if p[0] == i}
+        assert walk(edges[:-1]) <= own and len(own - walk(edges[:-1])) <= 2  # sampling may miss a corner
+        assert walk(edges) <= {p for p in touched if p[0] == i}
+
+
+def test_blocks_of_arrays_are_checked(spark):
+    good = spark.createDataFrame([("A", "B02", 0, 0, [1.0, None, 3.0, 4.0]), ("A", "B02", 0, 0, [3.0, None, None, 4.0])], "mgrs string, band string, block_row int, block_col int, values array<double>")
+    got = {(r.px_row, r.px_col): r.value for r in composite.block_median(composite.blocks_of_arrays(good, 2), 2).collect()}
+    assert got == {(0, 0): 2.0, (1, 0): 3.0, (1, 1): 4.0}
+    with pytest.raises(Exception, match="3 x 3"):
+        composite.blocks_of_arrays(good, 3).collect()
+
+
+def test_references_must_agree(spark):
+    rows = [("A", 1, 32735, 0.0), ("A", 2, 32735, 0.0), ("B", 1, 32736, 0.0)]
+    df = spark.createDataFrame(rows, "mgrs string, scene int, epsg int, x0 double")
+    assert sorted(tuple(r) for r in composite.one_reference(df, fields=("epsg", "x0")).collect()) == [("A", 32735, 0.0), ("B", 32736, 0.0)]
+    with pytest.raises(Exception, match="different references"):
+        composite.one_reference(df.withColumn("x0", F.col("scene").cast("double")), fields=("epsg", "x0")).collect()
+
+
+def test_registry_reads_nested_text(spark):
+    import yaml
+
+    text = """
+    Uganda:
+      districts:
+        Kibaale: {bbox: [30.0, -1.0, 31.0, 0.5], dates: [2020-01-01, 2020-02-01], ground_truth: true}
+        Kafefe: {bbox: [29.0, -1.0, 30.0, 0.5], dates: [2020-01-01, 2020-02-01]}
+    """
+    from orbitile.sources.io import registry_of
+
+    got = {r.district: (r.region, r.min_lon, r.max_lat, str(r.date_to), r.ground_truth) for r in registry_of(spark, yaml.safe_load(text)).collect()}
+    assert got == {"Kibaale": ("Uganda", 30.0, 0.5, "2020-02-01", True), "Kafefe": ("Uganda", 29.0, 0.5, "2020-02-01", False)}
+
+
+def test_tile_match_truth_is_detected(spark, tmp_path):
+    from orbitile.sources.io import read_tile_match
+
+    for name, rows in (("with", "tile,bbox,is_bridge,bridge_loc\na.pt,x,True,P\n"), ("without", "tile,bbox\na.pt,x\n")):
+        (tmp_path / f"{name}.csv").write_text(rows)
+        got = read_tile_match(spark, f"{tmp_path}/{name}.csv")
+        assert ("is_bridge" in got.columns) == (name == "with") and got.count() == 1
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        read_tile_match(spark, f"{tmp_path}/bad.csv")
+
+
+def test_split_keeps_null_strata_and_any_order(spark):
+    rows = spark.range(1000).select(F.col("id").alias("tile_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("kind"))
+    order = [dataset.order_key(F.col("tile_id")), F.col("tile_id")]
+    for share in (7, 100_000):
+        ranks = dataset.ranked(rows, order, ["kind"], share).collect()
+        assert len(ranks) == 1000
+        for kind in (None, 1, 2, 3, 4):
+            assert sorted(r._rank for r in ranks if r.kind == kind) == list(range(1, 201))
+    out = dataset.stratified_split(rows, 70, ["kind"], order)
+    assert {(r.kind, r.split): r["count"] for r in out.groupBy("kind", "split").count().collect()} == {(k, s): n for k in (None, 1, 2, 3, 4) for s, n in (("train", 140), ("validate", 60))}
+    plan_text = plan(dataset.epoch_sample(rows.withColumn("is_target", (F.col("tile_id") % 4 == 0).cast("int")), 1.0, order))
+    assert "TakeOrdered" not in plan_text
+
+
+def test_metrics_take_other_names(spark):
+    rows = spark.createDataFrame([(1, 1, 0.9, 1), (2, 1, 0.9, 0), (3, 0, 0.9, 1), (4, 0, 0.2, 0)], "unit int, guess int, sure double, truth int")
+    left, right = rows.select("unit", "guess", "sure"), rows.select("unit", "truth").filter("unit < 4")
+    assert metrics.subset(left, right, "unit").count() == 3
+    got = metrics.confusion(metrics.aligned(left, right, "unit"), 0.5, "guess", "sure", "truth").first()
+    assert got.asDict() == {"tp": 1, "tn": 0, "fp": 1, "fn": 1}
+
+
+def test_scoring_transforms_the_tensor(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "tile_id int, tensor array<double>")
+    got = {r.tile_id: r.pred for r in scoring.score_tiles(df, lambda batch: batch, transform=F.reverse).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_training_grid(spark):
+    """Runs over models, ratios and strengths; a class told by its layer is learned."""
+    rows = [(i, [float(i % 4 == 0) * 2 - 1 + 0.01 * i] * 8 + [0.0] * 56, int(i % 4 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "tile_id long, tensor array<double>, is_target int")
+    got = scoring.train_grid(df, ["red", "nir"], [1.0, 2.0], [0.01], 8, models=("logistic", "tree", "forest")).collect()
+    assert sorted((r.model, r.ratio, r.n_rows) for r in got) == [(m, ratio, 80) for m in ("forest", "logistic", "tree") for ratio in (1.0, 2.0)]
+    assert all(r.n_right >= 76 for r in got)
 
 
 def test_mask_keeps_null_out_of_median(spark):
-    obs = spark.createDataFrame([(0, 0, "B02", 0.0, 1), (0, 0, "B02", 5000.0, 1), (0, 0, "B02", 100.0, 0), (0, 0, "B02", 200.0, 1), (0, 1, "B02", 0.0, 1)], "px_row int, px_col int, band string, value double, clear int")
+    obs = spark.createDataFrame([(0, 0, "B02", 0.0, 1), (0, 0, "B02", 5000.0, 1), (0, 0, "B02", 100.0, 0), (0, 0, "B02", 200.0, 1), (0, 1, "B02", 0.0, 1)], "px_row int, px_col int, band string, value double, clear int").withColumn("mgrs", F.lit("A"))
     got = {r.px_col: r.value for r in composite.median_composite(obs).collect()}
     assert got == {0: 200.0, 1: None}
 
 
 def test_block_form_equals_long_form(spark):
     obs = view(spark, DATA, "obs")
-    long = {(r.band, r.px_row, r.px_col): r.value for r in composite.median_composite(obs.groupBy("band", "px_row", "px_col", "acq_date").agg(F.median(composite.masked(F.col("value"), F.col("clear"))).alias("value")).withColumn("clear", F.lit(1))).collect() if r.value is not None}
-    block = composite.blocks_to_pixels(composite.block_median(composite.blocks(obs, 10), 10), 10).filter("value is not null")
-    assert {(r.band, r.px_row, r.px_col): r.value for r in block.collect()} == long
+    long = {(r.mgrs, r.band, r.px_row, r.px_col): r.value for r in composite.median_composite(obs.groupBy("mgrs", "band", "px_row", "px_col", "acq_date").agg(F.median(composite.masked(F.col("value"), F.col("clear"))).alias("value")).withColumn("clear", F.lit(1))).collect() if r.value is not None}
+    block = composite.block_median(composite.blocks(obs, 10), 10)
+    assert "Exchange" in plan(block)
+    assert {(r.mgrs, r.band, r.px_row, r.px_col): r.value for r in block.collect()} == long
 
 
 NAMES = {
@@ -73,13 +205,13 @@ def test_slice_with_top_above_bottom_is_none(spark):
 
 
 def test_labels_use_a_point_once_and_skip_edges(spark):
-    points = spark.createDataFrame([(1, 1.5, 1.5), (2, 1.7, 1.2), (3, 3.0, 1.0), (4, 3.5, 0.5)], "bridge_id int, x double, y double")
+    points = spark.createDataFrame([(1, 1.5, 1.5), (2, 1.7, 1.2), (3, 3.0, 1.0), (4, 3.5, 0.5)], "bridge_id int, x double, y double").withColumn("mgrs", F.lit("A"))
     got = {(r.tx, r.ty): r.bridge_id for r in tiles.label_tiles(points, 3.0).collect()}
     assert got == {(0, 0): 1, (1, 0): 4}
 
 
 def test_no_nested_loops(spark):
-    feet = view(spark, DATA, "feature").select("feature_id", F.col("x0").alias("x_lo"), F.col("x1").alias("x_hi"), F.col("y0").alias("y_lo"), F.col("y1").alias("y_hi"))
+    feet = view(spark, DATA, "feature").select("mgrs", "feature_id", F.col("x0").alias("x_lo"), F.col("x1").alias("x_hi"), F.col("y0").alias("y_lo"), F.col("y1").alias("y_hi"))
     assert "NestedLoop" not in plan(tiles.truth_in_footprint(view(spark, DATA, "truth"), feet))
     assert "LeftSemi" in plan(metrics.subset(view(spark, DATA, "pred"), view(spark, DATA, "val")))
 
@@ -173,5 +305,7 @@ def test_resample_reads_the_whole_raster(spark, tmp_path):
     spark.range(5000).selectExpr("id as p_partkey", "cast(id as double) as p_retailprice", "0 as p_size").write.parquet(f"{tmp_path}/part.parquet")
     line = "id as l_partkey", "id as l_suppkey", "id as l_orderkey", "1e0 as l_quantity", "'R' as l_returnflag", "timestamp '2020-01-01 00:00:00' as l_shipdate"
     spark.range(5000).selectExpr(*line).write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {(r.px_row, r.px_col): r.elevation for r in resample_nearest(spark, str(tmp_path)).collect()}
-    assert got == {(y, x): y // 3 * 50.0 + x // 3 for y in range(100) for x in range(50)}
+    got = {(r.mgrs, r.px_row, r.px_col): r.elevation for r in resample_nearest(spark, str(tmp_path)).collect()}
+    seen = {("35MRV" if i % 3 == 0 else "36MGR", i // 50, i % 50) for i in range(5000)}
+    at = lambda g, y, x: (min(y // 3, 49) * 2 + (g == "36MGR")) * 50.0 + x // 3
+    assert got == {k: at(*k) for k in seen}
