@@ -15,9 +15,9 @@ SIMILARITY.
 A window that shares no shingle with an item cannot pass the verification, so only
 windows around shingles of the benchmark are fingerprinted; this loses nothing.
 
-The benchmark is bounded by ITEMS_A_PASS: more items are worked through in blocks of so
-many, each block broadcast in turn and its findings united, so memory stays bounded
-for a benchmark of any size.
+A broadcast index holds ITEMS_A_PASS items: more items are worked through in blocks of so
+many, one step of a row's way through its task for each block, so the corpus is read
+once and no row is regrouped, whatever the number of blocks.
 
 Cases: null or word-free texts and items match nothing; an item of fewer words than a
 shingle is one shingle, its whole word sequence, and a window as long as the item; of
@@ -44,6 +44,8 @@ BLOCK_BITS = 64 // BLOCKS
 #: Items whose index is broadcast at a time.
 ITEMS_A_PASS = 5_000
 
+#: Words of a window up to which the counts of words and pairs fit lanes of 16 bits.
+MOST_LANES = 32_000
 _NEAR = np.array([sum(1 << b for b in chosen) for n in range(RADIUS // BLOCKS + 1) for chosen in combinations(range(BLOCK_BITS), n)], np.uint32)
 
 
@@ -69,15 +71,26 @@ class Fingerprints:
             self.sums.append(rows)
 
     def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        one, two = self.sums
-        packed = one[:, start + size] - one[:, start] + two[:, start + size - 1] - two[:, start]
         bits = np.zeros((len(start), 64), bool)
-        features = 2 * size - 1
-        for lane in range(4):
-            counts = ((packed >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.int64)
-            bits[:, 16 * lane : 16 * lane + 16] = (2 * counts > features[None, :]).T
+        long = np.flatnonzero(size > MOST_LANES)
+        for k in long:  # parts whose counts fit the lanes
+            cuts = np.arange(start[k], start[k] + size[k], MOST_LANES)
+            parts = np.minimum(MOST_LANES, start[k] + size[k] - cuts)
+            pair_ends = np.minimum(cuts + parts, start[k] + size[k] - 1)
+            bits[k] = 2 * self._counts(cuts, cuts + parts, pair_ends).sum(axis=0) > 2 * size[k] - 1
+        rest = np.flatnonzero(size <= MOST_LANES)
+        begin, end = start[rest], start[rest] + size[rest]
+        for i in range(0, len(rest), 1 << 14):
+            part = slice(i, i + (1 << 14))
+            bits[rest[part]] = 2 * self._counts(begin[part], end[part], end[part] - 1) > (2 * size[rest[part]] - 1)[:, None]
         return bits_to_long(bits)
 
+    def _counts(self, start: np.ndarray, end: np.ndarray, pair_end: np.ndarray) -> np.ndarray:
+        """Set bits of the words from start to end and of the pairs from start to pair_end, (windows, 64)."""
+        one, two = self.sums
+        packed = one[:, end] - one[:, start] + two[:, pair_end] - two[:, start]
+        return np.concatenate([((packed >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.int64) for lane in range(4)]).T
+
 
 def shingles_of(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Shingle that begins at each word (0: none), for full shingles only."""
@@ -163,17 +176,7 @@ class Index:
         if len(place) == 0:
             return none, none, np.zeros(0)
         # windows that hold a hit, each once: (item size, first word)
-        size = self.size[self.item[row]]
-        pair = np.unique(size * (len(words.hashes) + 1) + place)
-        size, place_of = pair // (len(words.hashes) + 1), pair % (len(words.hashes) + 1)
-        reach = np.maximum(size - np.minimum(size, WIDTH) + 1, 1)
-        before = np.cumsum(reach) - reach
-        start = np.repeat(place_of, reach) - (np.arange(int(reach.sum())) - np.repeat(before, reach))
-        size = np.repeat(size, reach)
-        owner = words.text[np.repeat(place_of, reach)]
-        good = (start >= words.first[owner]) & (start + size <= words.first[owner + 1])
-        key = np.unique(size[good] * (len(words.hashes) + 1) + start[good])
-        size, start = key // (len(words.hashes) + 1), key % (len(words.hashes) + 1)
+        size, start = self._windows(words, self.size[self.item[row]], place)
         if len(start) == 0:
             return none, none, np.zeros(0)
         window, item = self.near(Fingerprints(words).of(start, size))
@@ -186,9 +189,47 @@ class Index:
         key = np.unique(np.concatenate([item * (len(words.hashes) + 1) + start[window], key]))
         item, start = key // (len(words.hashes) + 1), key % (len(words.hashes) + 1)
         low, high = np.searchsorted(hit_key, key, "left"), np.searchsorted(hit_key, key + self._reach(item), "left")
-        share = np.array([self._weight(hit_row[a:b]) for a, b in zip(low, high, strict=True)]) / self.total[item] if len(item) else np.zeros(0)
-        good = share >= SIMILARITY - 1e-9
-        return words.text[start[good]], item[good], share[good]
+        return self._verified(words.text[start], item, low, high, hit_row)
+
+    def _verified(self, text, item, low, high, hit_row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, similarity) of the best window of each text and item, where it is similar enough.
+
+        Windows are tried in falling order of what their hits weigh with repeats, which
+        is never too little, until none left can hold more than the best so far.
+        """
+        total = np.concatenate([[0.0], np.cumsum(self.weight[hit_row])])
+        bound = (total[high] - total[low]) / self.total[item]
+        order = np.lexsort((-bound, item, text))
+        found: dict[tuple[int, int], float] = {}
+        for k in order.tolist():
+            pair = (int(text[k]), int(item[k]))
+            if bound[k] > found.get(pair, SIMILARITY - 1e-6):
+                share = self._weight(hit_row[low[k] : high[k]]) / self.total[item[k]]
+                found[pair] = max(share, found.get(pair, 0.0))
+        good = [(t, i, share) for (t, i), share in found.items() if share >= SIMILARITY - 1e-9]
+        text, item, share = zip(*good, strict=True) if good else ((), (), ())
+        return np.array(text, np.int64), np.array(item, np.int64), np.array(share, np.float64)
+
+    def _windows(self, words: Words, size: np.ndarray, place: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(size or group, first word) of all windows of ``size`` words that hold a place, each once.
+
+        The windows around a place are an interval of first words; overlapping intervals
+        are joined before they are written out, so there are no more rows than words.
+        """
+        step = len(words.hashes) + 1
+        owner = words.text[place]
+        low = np.maximum(place - np.maximum(size - np.minimum(size, WIDTH), 0), words.first[owner])
+        high = np.minimum(place, words.first[owner + 1] - size)
+        own = size if group is None else group
+        some = np.flatnonzero(low <= high)
+        key, end = own[some] * step + low[some], own[some] * step + high[some]
+        order = np.argsort(key, kind="stable")
+        key, end = key[order], np.maximum.accumulate(end[order]) if len(order) else end[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] > end[:-1] + 1])) if len(key) else order
+        low, high = key[first], end[np.concatenate([first[1:], [len(key)]]) - 1] if len(key) else end
+        n = high - low + 1
+        at = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return at // step, at % step
 
     def _reach(self, item: np.ndarray) -> np.ndarray:
         """Shingles in a window of the item's size."""
@@ -197,13 +238,8 @@ class Index:
     def _heavy(self, words: Words, hit_key: np.ndarray, hit_row: np.ndarray) -> np.ndarray:
         """Keys (item, first word) of windows whose hits, repeats counted, weigh SIMILARITY of the item."""
         item, place = hit_key // (len(words.hashes) + 1), hit_key % (len(words.hashes) + 1)
-        reach = self._reach(item)
-        before = np.cumsum(reach) - reach
-        start = np.repeat(place, reach) - (np.arange(int(reach.sum())) - np.repeat(before, reach))
-        owner, item = words.text[np.repeat(place, reach)], np.repeat(item, reach)
-        good = (start >= words.first[owner]) & (start + self.size[item] <= words.first[owner + 1])
-        key = np.unique(item[good] * (len(words.hashes) + 1) + start[good])
-        item = key // (len(words.hashes) + 1)
+        item, start = self._windows(words, self.size[item], place, item)
+        key = item * (len(words.hashes) + 1) + start
         total = np.concatenate([[0.0], np.cumsum(self.weight[hit_row])])
         low, high = np.searchsorted(hit_key, key, "left"), np.searchsorted(hit_key, key + self._reach(item), "left")
         return key[total[high] - total[low] >= (SIMILARITY - 1e-6) * self.total[item]]
@@ -212,29 +248,27 @@ class Index:
         return float(self.weight[np.unique(rows)].sum())
 
 
-def _windows(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+_FOUND = "doc_id long, text string, item_ids array<long>, similarity double"
+
+
+def _with_matches(rows: DataFrame, index: Index) -> DataFrame:
+    """Rows of _FOUND with the items of one index added to those found before."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         index = shared.value
         for batch in batches:
             for i, j, body, offsets in text_slices(batch.column(1)):
                 text, item, share = index.matches(body, offsets)
-                out: list[dict[int, float]] = [{} for _ in range(j - i)]
+                own = batch.slice(i, j - i)
+                ids, best = own.column(2).to_pylist(), own.column(3).to_numpy(zero_copy_only=False).copy()
                 for t, k, s in zip(text.tolist(), item.tolist(), share.tolist(), strict=True):
-                    own = int(index.ids[k])
-                    out[t][own] = max(s, out[t].get(own, 0.0))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        pa.array([sorted(x) for x in out], pa.list_(pa.int64())),
-                        pa.array([max(x.values(), default=0.0) for x in out], pa.float64()),
-                    ],
-                    ["doc_id", "item_ids", "similarity"],
-                )
+                    ids[t].append(int(index.ids[k]))
+                    best[t] = max(s, best[t])
+                lists = pa.array([sorted(set(x)) for x in ids], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists, pa.array(best, pa.float64())], ["doc_id", "text", "item_ids", "similarity"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, item_ids array<long>, similarity double")
+    return rows.mapInArrow(run, _FOUND)
 
 
 def item_blocks(benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS):
@@ -252,20 +286,11 @@ def item_blocks(benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """(doc_id, contaminated, item_ids, similarity) for every document.
-
-    Repeated rows each come out with one pass, and once with several.
-    """
-    parts = [_windows(docs, index) for index in item_blocks(benchmark, items_a_pass)]
-    if not parts:
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
-    elif len(parts) == 1:
-        found = parts[0]
-    else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        found = every.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("similarity").alias("similarity"))
+    """(doc_id, contaminated, item_ids, similarity) for every document; repeated rows each come out."""
+    none = [F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity")]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *none)
+    for index in item_blocks(benchmark, items_a_pass):
+        found = _with_matches(found, index)
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "similarity")
 
 
