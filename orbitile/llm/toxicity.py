@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitile.llm.shared import held_fold, materialize
-from orbitile.llm.textbytes import LOWER, Words, mix, text_slices
+from orbitile.llm.textbytes import LOWER, Words, mix, sums_between, text_slices
 
 BITS = 20
 #: At most about this many labelled rows are learned from, chosen by a hash of the id.
@@ -132,8 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
 def margins(dense: np.ndarray, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Log-odds of each text of a slice."""
     ids, first = features(body, offsets)
-    total = np.concatenate([[0.0], np.cumsum(dense[ids], dtype=np.float64)])
-    return total[first[1:]] - total[first[:-1]] + float(dense[-1])
+    return sums_between(dense[ids].astype(np.float64), first) + float(dense[-1])  # each text by itself
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
