@@ -2,7 +2,8 @@
 
 A record is framed as: payload length (u64), masked checksum of those eight bytes
 (u32), payload, masked checksum of the payload (u32), all little-endian. The payload
-is doc_id (i64), bytes per id (u32, 2 or 4), number of ids (u32), then the ids. A mask
+is doc_id (i64), bytes per id (u32, 2 or 4, with a flag for a null doc_id), number of
+ids (u32), then the ids. A mask
 rotates a CRC-32 by 15 bits and adds a constant, so a checksum stored inside checked
 data is not mistaken for one.
 
@@ -16,8 +17,8 @@ Encoding runs the tokenizers library on distinct pre-tokens: the split into
 pre-tokens is found in numpy for a whole slice, and each worker keeps the ids it has
 met, so frequent words are encoded once.
 
-Cases: a null text is empty and holds only the end id; rows are ordered by doc_id,
-then text, so repeated rows each get a record; very long texts are one record each;
+Cases: a null text is empty and holds only the end id; rows are ordered by doc_id, null
+ids first, then text, so repeated rows each get a record; very long texts are one record each;
 columns beyond doc_id and text are ignored; an empty table writes no shard.
 """
 
@@ -40,6 +41,10 @@ from orbitile.llm.textbytes import text_slices
 END_ID = 2
 #: Added to rotated checksums (a fixed value of the record format).
 MASK_DELTA = 0xA282EAD8
+#: Set beside the bytes per id where a document has no id.
+NO_ID = 0x80
+#: Bytes of text that a shard holds, about; a corpus of more has more shards, not larger ones.
+SHARD_BYTES = 256 << 20
 INDEX_SCHEMA = "shard string, offset long, length long, doc_id long, before long, n_tokens long"
 WORDS_A_CALL = 400
 
@@ -65,13 +70,16 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def serialize(doc_id: int, ids: np.ndarray) -> bytes:
+def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
     width = 2 if len(ids) == 0 or ids.max() < 65536 else 4
-    return struct.pack("<qII", doc_id, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
+    flag = 0 if doc_id is not None else NO_ID
+    return struct.pack("<qII", doc_id or 0, width | flag, len(ids)) + ids.astype(f"<u{width}").tobytes()
 
 
-def deserialize(payload: bytes) -> tuple[int, np.ndarray]:
+def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, width, n = struct.unpack_from("<qII", payload)
+    if width & NO_ID:
+        doc_id, width = None, width & ~NO_ID
     return doc_id, np.frombuffer(payload, f"<u{width}", n, 16)
 
 
@@ -154,7 +162,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, shards: int
                         before += len(own)
                     out.write(b"".join(block))
                     any_rows = True
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == 0 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
         if any_rows:
             files.move(passing, f"{base}/{name}")
         else:
@@ -187,7 +195,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 doc_id, ids = deserialize(unframe(file.read(row["length"])))
                 out.append((name, doc_id, row["before"], len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == 0 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
         if file is not None:
             file.close()
 
@@ -198,10 +206,13 @@ def token_records(docs: DataFrame, tokenizer_path: str, shards: int | None = Non
     """Write all documents as records, read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "token-ids")
-    index = write_records(docs, tokenizer_path, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # one row a shard: the window's single task holds as many rows as there are files
-    totals = index.groupBy("shard").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("n"))
-    ahead = Window.orderBy("least", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    if shards is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]  # one number
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    index = write_records(docs, tokenizer_path, folder, shards)
+    # one row a shard, named in the order of their ranges: the window's single task holds as many rows as there are files
+    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     back = read_records(index, folder).join(F.broadcast(bases), "shard")
     return back.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
