@@ -2,10 +2,14 @@
 
 ``decode`` reads any VP8L stream: prefix codes (simple and normal, meta prefix
 images), back-references with the short-distance map, the colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms. A stream whose pixels
-are all literals of equally long codes is read by numpy at once; others pixel by
-pixel. ``encode`` writes literals with equally long codes, which are as large as the
-pixels and read fastest.
+predictor, cross-colour, subtract-green and palette transforms. Where all symbols of a
+code are equally long, literals up to the next back-reference are read by numpy at once;
+other streams are read pixel by pixel.
+
+``encode`` writes a palette transform (with bundled pixels) where an image has up to 256
+colours, prefix codes of the symbols that occur, and back-references for long runs. The
+codes are of equal length within a channel, so a text of up to 64 different bytes takes
+six bits a byte, and both ways stay array work.
 
 Pixels are ``uint8`` arrays (height, width, 4) in the order alpha, red, green, blue.
 """
@@ -36,23 +40,21 @@ REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 
 class BitReader:
+    """Bits of a stream, least significant first; ``at`` is the next bit."""
+
     def __init__(self, data: bytes):
-        self.data, self.value, self.bits, self.at = data, 0, 0, 0
+        self.data, self.at = data, 0
 
     def read(self, n: int) -> int:
-        while self.bits < n:
-            if self.at >= len(self.data) + 8:
-                raise ValueError("the stream ends early")
-            self.value |= (self.data[self.at] if self.at < len(self.data) else 0) << self.bits
-            self.at += 1
-            self.bits += 8
-        out = self.value & ((1 << n) - 1)
-        self.value >>= n
-        self.bits -= n
-        return out
+        first, self.at = self.at, self.at + n
+        if self.at > 8 * len(self.data):
+            raise ValueError("the stream ends early")
+        return int.from_bytes(self.data[first >> 3 : (self.at + 7) >> 3], "little") >> (first & 7) & ((1 << n) - 1)
 
-    def position(self) -> int:
-        return 8 * self.at - self.bits
+    def array(self, n: int) -> np.ndarray:
+        """The next n bits as 0 and 1, without moving on; fewer where the stream ends."""
+        raw = np.frombuffer(self.data, np.uint8, offset=self.at >> 3, count=min((self.at + n + 7 >> 3), len(self.data)) - (self.at >> 3))
+        return np.unpackbits(raw, bitorder="little")[self.at & 7 :][:n]
 
 
 class BitWriter:
@@ -68,22 +70,29 @@ class PrefixCode:
     """Canonical prefix code from code lengths; one used symbol takes no bits."""
 
     def __init__(self, lengths):
-        self.lengths = list(lengths)
-        used = [s for s, n in enumerate(self.lengths) if n]
-        self.single = used[0] if len(used) == 1 else (0 if not used else None)
-        self.table: dict[tuple[int, int], int] = {}
-        if self.single is None:
-            code, last = 0, 0
-            for n, s in sorted((self.lengths[s], s) for s in used):
-                code <<= n - last
-                self.table[(n, code)] = s
-                code, last = code + 1, n
-            if code != 1 << last:
-                raise ValueError("code lengths do not fill the code")
+        self.lengths = np.asarray(lengths)
+        self.used = np.flatnonzero(self.lengths)
+        self.single = int(self.used[0]) if len(self.used) == 1 else (0 if len(self.used) == 0 else None)
+        self.table: dict[tuple[int, int], int] | None = None
+        if self.single is None and (1 << 15 >> self.lengths[self.used].astype(np.int64)).sum() != 1 << 15:
+            raise ValueError("code lengths do not fill the code")
+
+    def even(self) -> int | None:
+        """Bits of every symbol if all have the same, else None."""
+        if self.single is not None:
+            return 0
+        n = int(self.lengths[self.used[0]])
+        return n if (self.lengths[self.used] == n).all() else None
 
     def read(self, bits: BitReader) -> int:
         if self.single is not None:
             return self.single
+        if self.table is None:
+            self.table, code, last = {}, 0, 0
+            for n, s in sorted((int(self.lengths[s]), int(s)) for s in self.used):
+                code <<= n - last
+                self.table[(n, code)] = s
+                code, last = code + 1, n
         code = 0
         for n in range(1, 16):
             code = code << 1 | bits.read(1)
@@ -92,10 +101,6 @@ class PrefixCode:
                 return s
         raise ValueError("no such code")
 
-    def flat(self) -> bool:
-        """Whether 0..255 all have 8-bit codes, so each code is its symbol."""
-        return self.lengths[:256] == [8] * 256
-
 
 def read_code(bits: BitReader, size: int) -> PrefixCode:
     if bits.read(1):
@@ -114,6 +119,10 @@ def read_code(bits: BitReader, size: int) -> PrefixCode:
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     code, lengths, last = PrefixCode(meta), [], 8
+    if code.even() == 1 and max(code.used) < 16:  # a bit for each length
+        of_bit = code.used[bits.array(min(left, size))]
+        bits.at += len(of_bit)
+        return PrefixCode(np.concatenate([of_bit, np.zeros(size - len(of_bit), np.int64)]))
     while len(lengths) < size and left:
         left -= 1
         s = code.read(bits)
@@ -150,8 +159,8 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
     for _ in range(1 if groups_of is None else int(groups_of.max()) + 1):
         groups.append([read_code(bits, ALPHABET[k] + ((1 << cache_bits) if k == GREEN and cache_bits else 0)) for k in range(5)])
     n = width * height
-    if groups_of is None and not cache_bits and all(c.flat() for c in groups[0][:4]) and not any(groups[0][GREEN].lengths[256:]):
-        return _remember(bits, n, main)
+    if groups_of is None and not cache_bits and all(c.even() is not None for c in groups[0][:4]):
+        return read_even(bits, groups[0], width, n)
     out = [0] * n
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift, i = 32 - cache_bits, 0
@@ -165,13 +174,7 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
             out[i] = alpha << 24 | red << 16 | s << 8 | blue
             fresh = range(i, i + 1)
         elif s < 280:
-            length = read_extra(bits, s - 256)
-            far = read_extra(bits, codes[DISTANCE].read(bits))
-            if far <= 120:
-                dx, dy = SHORT[far - 1]
-                far = max(dx + dy * width, 1)
-            else:
-                far -= 120
+            length, far = read_reference(bits, codes, s, width)
             if far > i or i + length > n:
                 raise ValueError("a back-reference leaves the image")
             for k in range(i, i + length):
@@ -189,32 +192,66 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
     return np.array(out, np.int64)
 
 
-def _remember(bits: BitReader, n: int, main: bool) -> np.ndarray:
-    first = bits.position()
-    if main and not bits.data[4] & 1 and len(_heads) < 16:  # no transform comes before the codes
-        value = int.from_bytes(bits.data[4 : (first + 7) // 8], "little") & ((1 << (first - 32)) - 1)
-        _heads.setdefault(first - 32, set()).add(value)
-    if not main:
-        flat = _read_flat(bits.data, first, n)
-        for _ in range(n):
-            bits.read(32)
-        return flat
-    return _read_flat(bits.data, first, n)
+def read_even(bits: BitReader, codes: list[PrefixCode], width: int, n: int) -> np.ndarray:
+    """Pixels of a stream whose codes are even: runs of literals as arrays, back-references one by one."""
+    sizes = [c.even() for c in codes[:4]]
+    whole, out, i, chunk = sum(sizes), np.zeros(n, np.int64), 0, 1 << 12
+    while i < n:
+        take = min(n - i, chunk)
+        if whole:
+            raw = bits.array(take * whole)
+            raw = raw[: len(raw) // whole * whole].reshape(-1, whole)
+            if len(raw) == 0:
+                return _copied(bits, codes, width, out, i)
+        else:
+            raw = np.zeros((take, 0), np.uint8)
+        channels, at = [], 0
+        for code, size in zip(codes, sizes, strict=False):
+            value = np.zeros(len(raw), np.int64)
+            for k in range(at, at + size):
+                value = value << 1 | raw[:, k]
+            channels.append(code.used[value] if size else np.full(len(raw), code.single))
+            at += size
+        green, red, blue, alpha = channels
+        odd = green >= 256
+        literal = int(odd.argmax()) if odd.any() else len(raw)
+        part = slice(0, literal)
+        out[i : i + literal] = alpha[part] << 24 | red[part] << 16 | green[part] << 8 | blue[part]
+        bits.at += literal * whole
+        i += literal
+        chunk = min(2 * chunk, 1 << 20) if literal == len(raw) else 1 << 12
+        if literal < len(raw):
+            i = _copy(bits, codes, width, out, i)
+    return out
+
+
+def _copied(bits: BitReader, codes, width: int, out: np.ndarray, i: int) -> np.ndarray:
+    """The rest of an image that ends in back-references shorter than a literal."""
+    while i < len(out):
+        i = _copy(bits, codes, width, out, i)
+    return out
 
 
-def _read_flat(data: bytes, first: int, n: int) -> np.ndarray:
-    at, off = first >> 3, first & 7
-    raw = np.frombuffer(data, np.uint8)[at : at + 4 * n + (off > 0)]
-    if len(raw) < 4 * n:
+def _copy(bits: BitReader, codes, width: int, out: np.ndarray, i: int) -> int:
+    """One back-reference read and carried out; returns the place after it."""
+    s = codes[GREEN].read(bits)
+    if s < 256:
         raise ValueError("the stream ends early")
-    if off:
-        low = raw[: 4 * n] >> np.uint8(off)
-        high = np.zeros(4 * n, np.uint8)
-        nxt = raw[1 : 4 * n + 1]
-        high[: len(nxt)] = nxt << np.uint8(8 - off)
-        raw = low | high
-    g, r, b, a = REVERSED[raw].reshape(-1, 4).T.astype(np.int64)
-    return a << 24 | r << 16 | g << 8 | b
+    length, far = read_reference(bits, codes, s, width)
+    if far > i or i + length > len(out):
+        raise ValueError("a back-reference leaves the image")
+    out[i : i + length] = np.resize(out[i - far : i], length)  # a copy of itself, as often as it takes
+    return i + length
+
+
+def read_reference(bits: BitReader, codes, symbol: int, width: int) -> tuple[int, int]:
+    """Length and distance in pixels of a back-reference."""
+    length = read_extra(bits, symbol - 256)
+    far = read_extra(bits, codes[DISTANCE].read(bits))
+    if far <= 120:
+        dx, dy = SHORT[far - 1]
+        return length, max(dx + dy * width, 1)
+    return length, far - 120
 
 
 def _average(a: int, b: int) -> int:
@@ -316,31 +353,18 @@ def invert_palette(pixels: np.ndarray, width: int, height: int, colors: np.ndarr
     return np.where(index < len(colors), np.append(colors, 0)[np.minimum(index, len(colors))], 0)
 
 
-#: Heads (all bits before the pixels) met in streams of flat codes: bits and value.
-_heads: dict[int, set[int]] = {}
-
-
-def _known_head(body: bytes) -> int | None:
-    """Bits of the head after the image size, if its codes were read before."""
-    for n, values in _heads.items():
-        if int.from_bytes(body[4 : 4 + (n + 7) // 8], "little") & ((1 << n) - 1) in values:
-            return n
-    return None
-
-
 def decode(data: bytes) -> np.ndarray:
     """Pixels (height, width, 4) of a lossless WebP file; ValueError if it is damaged."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20:21] != b"\x2f":
         raise ValueError("not a lossless WebP file")
-    bits = BitReader(data[21 : 20 + struct.unpack_from("<I", data, 16)[0]])
+    end = 20 + struct.unpack_from("<I", data, 16)[0]
+    if len(data) < end:
+        raise ValueError("the file ends early")
+    bits = BitReader(data[21:end])
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
-    known = _known_head(bits.data)
-    if known is not None:
-        flat = _read_flat(bits.data, 32 + known, width * height)
-        return flat.astype(">u4").view(np.uint8).reshape(height, width, 4)
     undo, now = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -420,40 +444,156 @@ def wrap(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(padded) + 12) + b"WEBPVP8L" + struct.pack("<I", len(chunk)) + padded
 
 
-def _flat_head(width: int, height: int) -> BitWriter:
-    bits = header(width, height)
-    bits.write(0, 1)  # no transform
+def extra_of(value: int) -> tuple[int, int, int]:
+    """Prefix symbol of a length or distance, and its extra bits: value and how many."""
+    if value <= 4:
+        return value - 1, 0, 0
+    v = value - 1
+    high = v.bit_length() - 1
+    half = v >> (high - 1) & 1
+    return 2 * high + half, v & ((1 << (high - 1)) - 1), high - 1
+
+
+#: Shortest run that becomes a back-reference, and the longest length of one.
+LEAST_RUN, MOST_COPY = 64, 4096
+
+
+def runs_of(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the runs of at least LEAST_RUN equal pixels."""
+    edge = np.flatnonzero(np.concatenate([[True], pixels[1:] != pixels[:-1], [True]]))
+    size = np.diff(edge)
+    long = size >= LEAST_RUN
+    return edge[:-1][long], size[long]
+
+
+def even_code(bits: BitWriter, symbols: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Writes a code of equal lengths for ``symbols``, unused ones filling it up; returns its symbols and their bits."""
+    if len(symbols) == 1 and symbols[0] < 256:
+        small = symbols[0] < 2
+        bits.write(1, 1)  # a simple code of one symbol
+        bits.write(0, 1)
+        bits.write(0 if small else 1, 1)
+        bits.write(int(symbols[0]), 1 if small else 8)
+        return symbols, 0
+    depth = max(1, int(len(symbols) - 1).bit_length())
+    taken = np.zeros(size, bool)
+    taken[symbols] = True
+    taken[np.flatnonzero(~taken)[: (1 << depth) - len(symbols)]] = True
+    bits.write(0, 1)
+    # two code lengths occur, 0 and the depth, with a bit each
+    last = max(LENGTH_ORDER.index(0), LENGTH_ORDER.index(depth))
+    bits.write(last + 1 - 4, 4)
+    for k in LENGTH_ORDER[: last + 1]:
+        bits.write(1 if k in (0, depth) else 0, 3)
+    upto = int(np.flatnonzero(taken)[-1]) + 1
+    if upto < size and upto >= 2:
+        wide = max(0, (max(upto - 2, 1).bit_length() + 1) // 2 - 1)
+        bits.write(1, 1)
+        bits.write(wide, 3)
+        bits.write(upto - 2, 2 + 2 * wide)
+    else:
+        bits.write(0, 1)
+        upto = size
+    packed = np.packbits(taken[:upto], bitorder="little").tobytes()
+    bits.write(int.from_bytes(packed, "little"), upto)
+    return np.flatnonzero(taken), depth
+
+
+def write_image(bits: BitWriter, pixels: np.ndarray, main: bool) -> bytes:
+    """Writes an image of flat ARGB pixels: codes, literals and copies; what comes after is left to the caller."""
+    start, size = runs_of(pixels)
+    literal = np.ones(len(pixels), bool)
+    copies: list[tuple[int, int]] = []
+    for s, n in zip(start.tolist(), size.tolist(), strict=True):
+        literal[s + 1 : s + n] = False
+        copies += [(k, min(MOST_COPY, s + n - k)) for k in range(s + 1, s + n, MOST_COPY)]
+    channels = [pixels >> shift & 255 for shift in (8, 16, 0, 24)]
+    lengths = [extra_of(n) for _, n in copies]
     bits.write(0, 1)  # no colour cache
-    bits.write(0, 1)  # one group of prefix codes
-    write_code(bits, [8] * 256 + [0] * 24)
-    for _ in range(3):
-        write_code(bits, [8] * 256)
-    bits.write(1, 1)  # distance: a simple code of one symbol, 0
-    bits.write(0, 3)
-    return bits
-
-
-_CODES: tuple[int, int] | None = None
+    if main:
+        bits.write(0, 1)  # one group of codes
+    codes = []
+    for k, values in enumerate(channels):
+        symbols = np.flatnonzero(np.bincount(values[literal], minlength=256))
+        if k == GREEN:
+            symbols = np.concatenate([symbols, np.unique([256 + p for p, _, _ in lengths]).astype(np.int64)])
+        codes.append(even_code(bits, symbols, ALPHABET[k]))
+    even_code(bits, np.array([1]), ALPHABET[DISTANCE])  # distance code 2, the pixel before
+    columns = []
+    for values, (symbols, depth) in zip(channels, codes, strict=True):
+        place = np.zeros(256, np.int64)
+        place[symbols[symbols < 256]] = np.flatnonzero(symbols < 256)
+        value = place[values]
+        columns += [(value >> (depth - 1 - k) & 1).astype(np.uint8) for k in range(depth)]
+    table = np.stack(columns, axis=1) if columns else np.zeros((len(pixels), 0), np.uint8)
+    parts, at = [], 0
+    symbols, depth = codes[GREEN]
+    for (k, n), (prefix, extra, width) in zip(copies, lengths, strict=True):
+        parts.append(table[at:k][literal[at:k]].ravel())
+        code = int(np.searchsorted(symbols, 256 + prefix))
+        tail = [code >> (depth - 1 - b) & 1 for b in range(depth)] + [extra >> b & 1 for b in range(width)]
+        parts.append(np.array(tail, np.uint8))
+        at = k + n
+    parts.append(table[at:][literal[at:]].ravel())
+    flat = np.concatenate(parts)
+    # the head is an integer of few bits, the pixels an array of many
+    head = np.frombuffer(bits.value.to_bytes(bits.n // 8 + 1, "little"), np.uint8)
+    return np.packbits(np.concatenate([np.unpackbits(head, bitorder="little")[: bits.n], flat]), bitorder="little").tobytes()
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """Lossless WebP file of pixels (height, width, 4), all literals with 8-bit codes."""
-    global _CODES
+    """Lossless WebP file of pixels (height, width, 4)."""
     height, width, _ = pixels.shape
     if not 1 <= height <= MAX_SIDE or not 1 <= width <= MAX_SIDE:
         raise ValueError("an image side has 1 to 16384 pixels")
-    if _CODES is None:
-        whole, size = _flat_head(width, height), header(width, height)
-        _CODES = (whole.value >> size.n, whole.n - size.n)
+    argb = np.ascontiguousarray(pixels).view(">u4").astype(np.int64).ravel()
+    colors, index = np.unique(argb, return_inverse=True)
+    return _encoded(argb, colors, index, height, width)
+
+
+def encode_samples(samples: np.ndarray) -> bytes:
+    """Lossless WebP file of 8-bit samples (height, width), held in the green channel."""
+    height, width = samples.shape
+    if not 1 <= height <= MAX_SIDE or not 1 <= width <= MAX_SIDE:
+        raise ValueError("an image side has 1 to 16384 pixels")
+    values = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    place = np.zeros(256, np.int64)
+    place[values] = np.arange(len(values))
+    return _encoded(None, 0xFF000000 | values << 8, place[samples.ravel()], height, width)
+
+
+def _encoded(argb, colors: np.ndarray, index: np.ndarray, height: int, width: int) -> bytes:
     bits = header(width, height)
-    bits.write(*_CODES)
-    body = REVERSED[pixels.reshape(-1, 4)[:, [2, 1, 3, 0]].ravel()]
-    off = bits.n & 7
-    head = bits.value.to_bytes((bits.n + 7) // 8, "little")
-    if off:
-        out = np.zeros(len(body) + 1, np.uint8)
-        out[:-1] = body << np.uint8(off)
-        out[1:] |= body >> np.uint8(8 - off)
-        out[0] |= head[-1]
-        return wrap(head[:-1] + out.tobytes())
-    return wrap(head + body.tobytes())
+    if len(colors) > 256:
+        bits.write(0, 1)  # no transform
+        return wrap(write_image(bits, argb, True))
+    bits.write(1, 1)
+    bits.write(PALETTE, 2)
+    bits.write(len(colors) - 1, 8)
+    _write_palette(bits, colors)
+    bits.write(0, 1)  # no further transform
+    bundle = 3 if len(colors) <= 2 else 2 if len(colors) <= 4 else 1 if len(colors) <= 16 else 0
+    across, depth = 1 << bundle, 8 >> bundle
+    packed = index.reshape(height, width)
+    if bundle:
+        wide = -(-width // across) * across
+        full = np.zeros((height, wide), np.int64)
+        full[:, :width] = packed
+        packed = sum(full[:, k::across] << (k * depth) for k in range(across))
+    return wrap(write_image(bits, 0xFF000000 | packed.ravel().astype(np.int64) << 8, True))
+
+
+def _write_palette(bits: BitWriter, colors: np.ndarray) -> None:
+    """The colours as an image of one row: differences to the colour before, channel by channel, all literals."""
+    before = np.concatenate([[0], colors[:-1]])
+    channels = [(colors >> s) - (before >> s) & 255 for s in (8, 16, 0, 24)]
+    bits.write(0, 1)  # no colour cache
+    codes = [even_code(bits, np.unique(c), ALPHABET[k]) for k, c in enumerate(channels)]
+    even_code(bits, np.array([0]), ALPHABET[DISTANCE])
+    columns = []
+    for values, (symbols, depth) in zip(channels, codes, strict=True):
+        value = np.searchsorted(symbols, values)
+        columns += [(value >> (depth - 1 - k) & 1).astype(np.uint8) for k in range(depth)]
+    if columns:
+        flat = np.stack(columns, axis=1).ravel()
+        bits.write(int.from_bytes(np.packbits(flat, bitorder="little").tobytes(), "little"), len(flat))
