@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from orbitile.llm.pretokens import SPACES
 
-LEAF_CHARS = 4096
+#: Characters of a leaf: most texts are many leaves long and go through joins.
+LEAF_CHARS = 256
 FIRST_WINDOW = 32
 LEAF_IDS = 8192
 _SPACE = frozenset(map(chr, SPACES))
