@@ -3,8 +3,10 @@
 Texts are read as code points: letters are lower-cased, everything else becomes one
 space, and 1- to 3-grams are hashed into 2**BITS columns. Training counts columns per
 language over a bounded number of rows (about ROWS_PER_LANG each, chosen by a hash of
-the id); the matrix of log-probabilities (languages x 2**BITS, both bounded) is
-broadcast and each batch is scored sparsely in numpy.
+the id); class priors are the shares of all rows that may be learned from. At most
+MAX_LANGS languages are learned, those of most rows (the first by name where equal), so
+the matrix of log-probabilities (languages x 2**BITS) has a bound; it is broadcast and
+each batch is scored sparsely in numpy.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text
 when no language was learned; rows with null lang are not learned from; ties go to
@@ -30,6 +32,8 @@ BITS = 16
 SMOOTHING = 0.1
 #: About how many rows of a language are learned from, at most.
 ROWS_PER_LANG = 1500
+#: Languages that are learned at most: the matrix holds 2**BITS floats for each.
+MAX_LANGS = 128
 #: The distance between two languages' mean log-probabilities is read at this length.
 EVIDENCE = 64
 
@@ -93,33 +97,38 @@ def _counts(batches):
             )
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-probabilities, (2**BITS, languages)."""
-    known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """Languages in order, their log-probabilities, (2**BITS, languages), and log priors."""
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").withColumn("lang", F.col("lang").cast("string"))
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in top.collect()}  # max_langs rows at most
     names = sorted(sizes)
     if not names:
-        return [], np.zeros((1 << BITS, 0), np.float32)
+        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
+    priors = np.log(np.array([sizes[k] for k in names], np.float64) / sum(sizes.values()))
     share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / sizes[k])))])
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.filter(unit < share[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sample = known.filter(F.col("lang").isin(names) & (unit < share[F.col("lang")])).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = sample.mapInArrow(_counts, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     found: pd.DataFrame = counts.toPandas()  # at most languages x 2**BITS rows
     matrix = np.full((1 << BITS, len(names)), SMOOTHING)
     matrix[found["feature"].to_numpy(np.int64), found["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
-    return names, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+    return names, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), priors
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score): score is the posterior of the predicted language.
 
     The posterior takes the mean log-probability of a text's n-grams as if it had at
-    most EVIDENCE of them, so long texts do not all score exactly 1.
+    most EVIDENCE of them, beside the prior, so long texts do not all score exactly 1.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        names, matrix = shared.value
+        names, matrix, priors = shared.value
         label = pa.array([*names, "und"], pa.string())
         for batch in batches:
             for i, j, body, offsets in text_slices(batch.column("text")):
@@ -128,7 +137,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     columns, owner, letters = gram_columns(body, offsets)
                     size = np.maximum(np.bincount(owner, minlength=j - i), 1)
                     total = np.stack([np.bincount(owner, matrix[columns, k], j - i) for k in range(len(names))], axis=1)
-                    mean = total / size[:, None] * np.minimum(size, EVIDENCE)[:, None]
+                    mean = total / size[:, None] * np.minimum(size, EVIDENCE)[:, None] + priors
                     mean -= mean.max(axis=1, keepdims=True)
                     p = np.exp(mean)
                     p /= p.sum(axis=1, keepdims=True)
