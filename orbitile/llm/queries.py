@@ -78,5 +78,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Near-duplicates by their definition: shingle sets, equal sets as one, all pairs that share a shingle, closure.
+NEAR_DUPLICATES = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') as words from documents where text is not null),
+s as (select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) when len(words) > 0 then [concat(len(words), ':', array_to_string(words, ' '))] else cast([] as varchar[]) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+sets as (select n.doc_id, n.n, md5(string_agg(shingle, chr(10) order by shingle)) as h from s join n using (doc_id) group by n.doc_id, n.n),
+reps as (select h, min(doc_id) as rep from sets group by h),
+r as (select s.doc_id, s.shingle, n.n from s join n using (doc_id) join reps on reps.rep = s.doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b from r a join r b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges as (select a, b from pairs union select b, a from pairs),
+reach(a, b) as (select rep, rep from reps union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+label as (select a as rep, min(b) as component from reach group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(label.component, d.doc_id) as component_id, coalesce(label.component, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join sets on sets.doc_id = d.doc_id left join reps on reps.h = sets.h left join label on label.rep = reps.rep"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express."""
+    return {"op8_minhash_near_dedup": NEAR_DUPLICATES}
