@@ -2,54 +2,66 @@
 
 Lines are normalised (A-Z lower-cased, ASCII punctuation dropped, white space runs one
 space) and hashed in one Arrow pass that sends on a few numbers for each line, not its
-text. Equal normalised lines are one class. Classes of at least MIN_WORDS words meet if
-their 64-bit SimHashes (words and word pairs) are within RADIUS bits: the hash is cut
-into BLOCKS blocks and by the pigeonhole principle two hashes within the radius agree in
-BLOCKS - RADIUS = 4 blocks at least. Keys take three blocks (27 bits) each, from a system
-of 12 triples of which every four blocks contain one, so no pair within the radius is
-missed.
-Lines of edit similarity SIMILARITY are 6 bits apart at the median, most beyond RADIUS.
-They meet through what they share: each class has BANDS further keys, each of two
-MinHashes of its word pairs, so two lines with a share J of common pairs meet with
-probability 1 - (1 - J^2)^BANDS (0.97 at J = 0.5, 0.9997 at 0.7).
-Pairs within the radius, and pairs that share a band and whose lengths allow SIMILARITY,
-are verified by edit similarity of the normalised lines, and of
-each connected group the first occurrence (smallest doc_id, then line) is kept; the
-others are cut out of their documents.
-
-Cases: a null text stays null and has no lines; lines of fewer words than the floor
-(MIN_WORDS by default) are always kept; with a lower floor lines of fewer than MIN_WORDS
-words go where they are repeated exactly in normal form; a document may lose all its lines and is then the empty text; of
-repeated rows with one doc_id the first line of either counts as first, and all rows
-of that doc_id are edited alike; extra columns are carried through unchanged; an empty
-table gives an empty result.
+text. Equal normalised lines are one class. Lines of at least MIN_WORDS words get a
+SimHash of 128 bits over their words and word pairs, and meet in two ways:
+
+* its BLOCKS blocks of 32 bits are keys: by the pigeonhole principle two SimHashes that
+  differ in fewer than BLOCKS bits agree in one block at least;
+* lines of edit similarity SIMILARITY differ in far more bits (17 at the median). They
+  keep stretches of text untouched, so WINDOWS further keys are each the least hash of
+  the line's windows: runs of words that start at any word and go on until they hold a
+  quarter of the line's letters, at least WINDOW[0] and at most WINDOW[1] bytes.
+
+Pairs that share a key are screened by length and by SimHash distance (SCREEN bits), and
+verified by edit similarity of the normalised lines. Of each connected group the first
+occurrence (smallest doc_id, then line) is kept; the others are cut out of their
+documents. A line goes as an exact repeat only where two independent 64-bit hashes agree.
+
+Cases: a null text stays null and has no lines; a row with a null doc_id stays as it is
+and has no part in any group; lines of fewer words than the floor (MIN_WORDS by default)
+are always kept; with a lower floor lines of fewer than MIN_WORDS words go where they are
+repeated exactly in normal form; a document may lose all its lines and is then the empty
+text; of repeated rows with one doc_id the first line of either counts as first, and all
+rows of that doc_id are edited alike; extra columns are carried through unchanged, except
+one named n_removed, which the result's own replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitile.llm.linking import connected_components, link_buckets
-from orbitile.llm.shared import materialize
+from orbitile.llm.shared import materialize, packed
 from orbitile.llm.textbytes import LOWER, WHITESPACE, Words, mix, simhash, span_hashes, sums_between, text_slices
 
 MIN_WORDS = 5
-RADIUS, BLOCKS = 3, 7
-#: Keys of two MinHashes of word pairs.
-BANDS = 12
+#: Blocks of the SimHash that are keys, and keys from windows of the line.
+BLOCKS, WINDOWS = 4, 8
+#: Bytes of words that a window holds: a quarter of the line's, within these limits.
+WINDOW = (8, 16)
+#: Differing bits of 128 beyond which a pair is not verified: lines of up to SCREEN_CHARS
+#: characters, and longer ones, whose many features make the bits more exact.
+SCREEN, SCREEN_CHARS, LONG_SCREEN = 40, 150, 34
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
+#: Least bytes of a word that counts for the SimHash by itself.
+TELLING = 5
+#: Characters of a line from which on fixed words are tried before the whole distance, and
+#: from which on pairs are verified one by one.
+LONG, VERY_LONG = 200, 3000
+
 #: ASCII punctuation, dropped from lines (fixed values).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DROPPED = np.zeros(256, bool)
 _DROPPED[[ord(c) for c in PUNCTUATION]] = True
-_EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
 
 
 def normalized(line: Column) -> Column:
@@ -59,8 +71,20 @@ def normalized(line: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[\x20\x09-\x0D]+", " "))
 
 
-def line_rows(body: np.ndarray, offsets: np.ndarray):
-    """For all lines of a slice: text, number in the text, hash, words, SimHash, characters, bands."""
+def window_hashes(words: Words, line_of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows in line order and the first of each line; a line without one is its own window."""
+    upto = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    at = np.searchsorted(line_of, np.arange(lines + 1))
+    size = np.clip((upto[at[1:]] - upto[at[:-1]]) // 4, *WINDOW)
+    last = np.searchsorted(upto[1:], upto[:-1] + size[line_of])
+    last = np.minimum(last, at[1:][line_of] - 1)  # the rest of the line where that is shorter
+    full = upto[last + 1] - upto[:-1] >= size[line_of]
+    begin = np.flatnonzero(full | (np.arange(len(line_of)) == at[:-1][line_of]))
+    return span_hashes(words.hashes, begin, last[begin] + 1), np.searchsorted(line_of[begin], np.arange(lines + 1))
+
+
+def line_rows(body: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """For all lines of a slice: text, number in the text, id, check, words, SimHash, characters and keys."""
     keep = ~_DROPPED[body]
     place = np.concatenate([[0], np.cumsum(keep)])
     body, offsets = body[keep], place[offsets]
@@ -74,87 +98,83 @@ def line_rows(body: np.ndarray, offsets: np.ndarray):
     at = np.searchsorted(line_of, np.arange(first_line[-1] + 1))
     n = np.diff(at)
     some = np.flatnonzero(n > 0)
-    h = np.zeros(len(n), np.uint64)
+    ids, check = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     if len(some):
-        h[some] = mix(span_hashes(words.hashes, at[some], at[some + 1]) + n[some].astype(np.uint64), 77)
+        for out, values in ((ids, words.hashes), (check, mix(words.hashes, 76))):
+            out[some] = mix(span_hashes(values, at[some], at[some + 1]) + n[some].astype(np.uint64), 77)
     text = np.repeat(np.arange(len(lines)), lines)
-    number = np.arange(first_line[-1]) - first_line[text]
-    long = np.flatnonzero(n >= MIN_WORDS)
-    marks = np.zeros(len(n), np.uint64)
-    bands = np.zeros((len(n), BANDS), np.int32)
     # characters of the normal form: those that begin in a word, and a space between words
     begins = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
     chars = np.bincount(line_of, begins[words.end] - begins[words.start], len(n)).astype(np.int64) + np.maximum(n - 1, 0)
-    if len(long):
-        same = np.flatnonzero(line_of[1:] == line_of[:-1])
-        pairs = mix(words.hashes[same] * np.uint64(3) + words.hashes[same + 1], 78)
-        which = np.concatenate([line_of, line_of[same]])
-        order = np.argsort(which, kind="stable")
-        features = np.concatenate([words.hashes, pairs])[order]
-        marks = simhash(features, np.searchsorted(which[order], np.arange(len(n) + 1)))
-        first = np.searchsorted(line_of[same], np.arange(len(n) + 1))
-        for band in range(BANDS):
-            one, two = (sums_between(mix(pairs, 100 + 2 * band + k), first, np.minimum) for k in range(2))
-            bands[:, band] = (mix(one * np.uint64(3) + two, 79) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return text, number, h, n, marks, chars, bands
+    # frequent words are short: words of TELLING bytes and pairs that hold one are features, or all words and
+    # pairs of a line that has hardly any such word
+    telling = words.end - words.start >= TELLING
+    telling |= (np.bincount(line_of, telling, len(n)) < 3)[line_of]
+    same = np.flatnonzero((line_of[1:] == line_of[:-1]) & (telling[1:] | telling[:-1]))
+    pairs = mix(words.hashes[same] * np.uint64(3) + words.hashes[same + 1], 78)
+    which = np.concatenate([line_of[telling], line_of[same]])
+    order = np.argsort(which, kind="stable")
+    features, first = np.concatenate([words.hashes[telling], pairs])[order], np.searchsorted(which[order], np.arange(len(n) + 1))
+    marks = np.stack([simhash(features, first), simhash(mix(features, 80), first)], axis=1)
+    keys = np.zeros((len(n), BLOCKS + WINDOWS), np.uint64)
+    for block in range(BLOCKS):
+        keys[:, block] = mix(marks[:, block // 2] >> np.uint64(32 * (block % 2)) & np.uint64(0xFFFFFFFF), 90 + block)
+    hashes, first = window_hashes(words, line_of, len(n))
+    for k in range(WINDOWS):
+        keys[:, BLOCKS + k] = mix(sums_between(mix(hashes, 100 + k), first, np.minimum), 100 + k)
+    return {"text": text, "line": np.arange(first_line[-1]) - first_line[text], "id": ids, "check": check, "words": n, "marks": marks, "chars": chars, "keys": keys}
+
+
+LINES = "doc_id long, line int, id long, check long, mark_a long, mark_b long, chars int, keys array<long>"
 
 
 def _lines(batches, floor: int):
     for batch in batches:
         ids = batch.column(0)
         for i, j, body, offsets in text_slices(batch.column(1)):
-            text, number, h, n, marks, chars, bands = line_rows(body, offsets)
-            use = n >= floor
-            short = n[use] < MIN_WORDS
+            rows = line_rows(body, offsets)
+            use = rows["words"] >= floor
+            long = rows["words"][use] >= MIN_WORDS
+            keys = rows["keys"][use][long].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(long * keys.shape[1])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(i, j - i).take(pa.array(text[use])),
-                    pa.array(number[use].astype(np.int32)),
-                    pa.array(h[use].view(np.int64)),
-                    pa.array(marks[use].view(np.int64), mask=short),
-                    pa.array(chars[use].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(int(use.sum()) + 1, dtype=np.int32) * BANDS), pa.array(bands[use].ravel())),
+                    ids.slice(i, j - i).take(pa.array(rows["text"][use])),
+                    pa.array(rows["line"][use].astype(np.int32)),
+                    pa.array(rows["id"][use].view(np.int64)),
+                    pa.array(rows["check"][use].view(np.int64)),
+                    *[pa.array(np.ascontiguousarray(rows["marks"][use, k]).view(np.int64)) for k in (0, 1)],
+                    pa.array(rows["chars"][use].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
                 ],
-                ["doc_id", "line", "id", "mark", "chars", "bands"],
+                ["doc_id", "line", "id", "check", "mark_a", "mark_b", "chars", "keys"],
             )
 
 
-def key_systems() -> list[tuple[int, ...]]:
-    """Triples of the seven blocks such that any four blocks contain one of them.
-
-    Of blocks in three groups in a ring: triples inside a group, and those of two blocks
-    of a group and one of the next group.
-    """
-    groups = [(0, 1, 2), (3, 4), (5, 6)]
-    out = []
-    for group, after in zip(groups, groups[1:] + groups[:1], strict=True):
-        out += list(combinations(group, 3))
-        out += [(*two, one) for two in combinations(group, 2) for one in after]
-    return out
+def may_be_alike(a: Column, b: Column) -> Column:
+    """Lengths that allow SIMILARITY, and SimHashes within SCREEN bits."""
+    apart = F.bit_count(a["mark_a"].bitwiseXOR(b["mark_a"])) + F.bit_count(a["mark_b"].bitwiseXOR(b["mark_b"]))
+    longer, shorter = F.greatest(a["chars"], b["chars"]), F.least(a["chars"], b["chars"])
+    return (shorter >= longer * SIMILARITY - 1e-6) & (apart <= F.when(longer <= SCREEN_CHARS, SCREEN).otherwise(LONG_SCREEN))
 
 
-def block_keys(mark: Column) -> Column:
-    """The keys of a 64-bit SimHash: one for each triple of blocks."""
-    keys = []
-    for number, chosen in enumerate(key_systems()):
-        mask = sum(((1 << int(_EDGES[b + 1] - _EDGES[b])) - 1) << int(_EDGES[b]) for b in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(mark.bitwiseAND(F.lit(mask)), F.lit(number)))
-    return F.array(*keys)
+def _block_pairs(key, rows):
+    """The pairs of one block, or of two blocks, of a bucket that pass ``may_be_alike`` and have different labels."""
+    import pandas as pd
 
-
-def band_keys(bands: Column) -> Column:
-    """The keys of a line's bands."""
-    return F.transform(bands, lambda value, number: F.xxhash64(value, number))
-
-
-def within_radius(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-
-
-def lengths_fit(a: Column, b: Column) -> Column:
-    """Lengths that allow an edit similarity of SIMILARITY."""
-    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-6
+    _, low, high = key
+    ids, label, block, chars = (rows[c].to_numpy(np.int64) for c in ("id", "label", "block", "chars"))
+    marks = [rows[c].to_numpy(np.int64).view(np.uint64) for c in ("mark_a", "mark_b")]
+    one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(len(ids)),) * 2
+    out = []
+    for i in one:
+        apart = sum(np.bitwise_count(m[i] ^ m[two]).astype(np.int64) for m in marks)
+        shorter, longer = np.minimum(chars[two], chars[i]), np.maximum(chars[two], chars[i])
+        fit = (shorter >= longer * SIMILARITY - 1e-6) & (apart <= np.where(longer <= SCREEN_CHARS, SCREEN, LONG_SCREEN))
+        with_ = ids[two[fit & (label[two] != label[i])]]
+        out.append(np.stack([np.minimum(with_, ids[i]), np.maximum(with_, ids[i])], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -187,65 +207,209 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def shared_grams(a: str, b: str) -> int:
+    """Runs of three characters that two texts share, each as often as both hold it."""
+    one, two = (Counter(map("".join, zip(t, t[1:], t[2:], strict=False))) for t in (a, b))
+    return sum((one & two).values())
+
+
+def anchored_distance(a: str, b: str) -> int:
+    """Distance of two texts when words that both hold once, in one order, are held fast; never too small."""
+    one, two = a.split(" "), b.split(" ")
+    seen_a, seen_b = Counter(one), Counter(two)
+    where = {w: j for j, w in enumerate(two) if seen_b[w] == 1}
+    places = [(i, where[w]) for i, w in enumerate(one) if seen_a[w] == 1 and w in where]
+    # the longest run of anchors that rises in both texts
+    tails: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(places):
+        at = bisect_left(tails, j)
+        back.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+    chain, k = [(len(one), len(two))], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(places[k])
+        k = back[k]
+    total, i, j = 0, 0, 0
+    for next_i, next_j in reversed(chain):
+        total += edit_distance(" ".join(one[i:next_i]), " ".join(two[j:next_j]))
+        # an empty side lacks the space before the anchor as well
+        total += (i == next_i) != (j == next_j)
+        i, j = next_i + 1, next_j + 1
+    return total
+
+
 def alike(a: str, b: str) -> bool:
     """Edit similarity of two normalised lines at least SIMILARITY."""
     longer = max(len(a), len(b))
     most = int(longer * (1 - SIMILARITY) + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    # an edit changes three runs of three characters at most
+    if abs(len(a) - len(b)) > most or shared_grams(a, b) < longer - 2 - 3 * most:
+        return False
+    return longer > LONG and anchored_distance(a, b) <= most or edit_distance(a, b) <= most
+
+
+def edit_distances(ones: list[str], twos: list[str], most: int | None = None) -> np.ndarray:
+    """Levenshtein distances of many pairs at once; above ``most``, where given, only that they are above it.
+
+    The bit-parallel dynamic programming of ``edit_distance`` in words of 64 rows, one
+    numpy step for a column and a word of all pairs; increments are carried from word to
+    word. Pairs come with like lengths (``_batches_of``), so little is computed in vain.
+    With ``most`` only words that meet the band of so many rows around the diagonal are
+    computed; what lies outside is taken for its greatest possible value.
+    """
+    rows, cols = (np.array([len(t) for t in side], np.int64) for side in (ones, twos))
+    n, words = len(ones), max(1, -(-int(rows.max(initial=0)) // 64))
+    letters, code = np.unique(np.frombuffer("".join([*ones, *twos]).encode("utf-32-le"), np.uint32), return_inverse=True)
+    ends = np.cumsum(np.concatenate([rows, cols]))
+    grids = []
+    for first, size in ((0, rows), (n, cols)):
+        grid = np.full((int(size.max(initial=0)), n), len(letters))  # beyond the end: no letter
+        owner = np.repeat(np.arange(n), size)
+        grid[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size), owner] = code[ends[first] - size[0] : ends[first + n - 1]] if n else code
+        grids.append(grid)
+    at = np.arange(n)
+    # which rows of a word hold a letter; beyond the end none does
+    match = np.zeros((words, (len(letters) + 1) * n), np.uint64)
+    for i, letter in enumerate(grids[0]):
+        match[i >> 6][letter * n + at] |= np.uint64(1 << (i & 63))
+    match[:, len(letters) * n :] = 0
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    last, bit = (rows - 1) >> 6, ((rows - 1) & 63).astype(np.uint64)
+    ends_in = {int(w): (last == w).astype(np.uint64) for w in np.unique(last) if w >= 0}
+    band = most if most is not None else int(max(rows.max(initial=0), cols.max(initial=0)))
+    # ``score`` is the value at the lowest row computed: a word's end, or the pair's last row
+    reached, score = -1, np.zeros(n, np.uint64)
+    rise, fall, diagonal, part = (np.empty(n, np.uint64) for _ in range(4))
+    rise_in, fall_in, rise_out, fall_out = (np.empty(n, np.uint64) for _ in range(4))
+    one, top, shortest = np.uint64(1), np.uint64(63), int(cols.min(initial=0))
+    for j, letter in enumerate(grids[1]):
+        place = letter * n + at
+        rise_in.fill(1)
+        fall_in.fill(0)
+        while reached < min(words - 1, (j + 1 + band) >> 6):
+            reached += 1
+            score += (last > reached).astype(np.uint64) * np.uint64(64) + (last == reached) * (bit + one)
+        for w in range(max(0, j - band) >> 6, reached + 1):
+            equal, pv, mv = match[w].take(place), up[w], down[w]
+            across = np.bitwise_or(equal, mv)
+            np.bitwise_or(equal, fall_in, out=equal)
+            np.bitwise_and(equal, pv, out=diagonal)
+            np.add(diagonal, pv, out=diagonal)
+            np.bitwise_xor(diagonal, pv, out=diagonal)
+            np.bitwise_or(diagonal, equal, out=diagonal)
+            np.bitwise_or(diagonal, pv, out=rise)
+            np.invert(rise, out=rise)
+            np.bitwise_or(rise, mv, out=rise)
+            np.bitwise_and(pv, diagonal, out=fall)
+            if w in ends_in:  # the last row of some pairs: its increment is the score's
+                here = ends_in[w] if j < shortest else ends_in[w] * (j < cols)
+                score += (rise >> bit & one) * here
+                score -= (fall >> bit & one) * here
+            np.right_shift(rise, top, out=rise_out)
+            np.right_shift(fall, top, out=fall_out)
+            if w == reached and w < words - 1:  # the lowest row so far of longer pairs
+                here = (last > w) & (j < cols)
+                score += rise_out * here
+                score -= fall_out * here
+            np.left_shift(rise, one, out=rise)
+            np.bitwise_or(rise, rise_in, out=rise)
+            np.left_shift(fall, one, out=fall)
+            np.bitwise_or(fall, fall_in, out=fall)
+            np.bitwise_or(across, rise, out=part)
+            np.invert(part, out=part)
+            np.bitwise_or(part, fall, out=pv)
+            np.bitwise_and(rise, across, out=mv)
+            rise_in, rise_out, fall_in, fall_out = rise_out, rise_in, fall_out, fall_in
+    return np.where(rows == 0, cols, score.astype(np.int64))
+
+
+def _batches_of(sizes: np.ndarray):
+    """Places of pairs of like size, so many at a time that their tables stay small."""
+    order = np.argsort(sizes, kind="stable")
+    i = 0
+    while i < len(order):
+        take = max(64, 4096 // (int(sizes[order[i]]) // 256 + 1))
+        part = order[i : i + take]
+        part = part[sizes[part] <= max(64, 1.3 * sizes[part[0]])]
+        yield part
+        i += len(part)
+
+
+def all_alike(ones: list[str], twos: list[str]) -> np.ndarray:
+    """``alike`` for many pairs."""
+    a, b = (np.array([len(t) for t in side], np.int64) for side in (ones, twos))
+    longer = np.maximum(a, b)
+    most = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    out = np.abs(a - b) <= most
+    for i in np.flatnonzero(out & (longer > VERY_LONG)):
+        out[i] = alike(ones[i], twos[i])
+    left = np.flatnonzero(out & (longer <= VERY_LONG))
+    for part in _batches_of(longer[left]):
+        at = left[part]
+        out[at] = edit_distances([ones[i] for i in at], [twos[i] for i in at], int(most[at].max())) <= most[at]
+    return out
 
 
 def _alike(batches):
     for batch in batches:
-        forms = zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)
-        mask = pa.array([a is not None and b is not None and alike(a, b) for a, b in forms], pa.bool_())
+        keep = pc.and_(pc.is_valid(batch.column("form_a")), pc.is_valid(batch.column("form_b")))
+        batch = batch.filter(keep)
+        mask = pa.array(all_alike(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist()), pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
 def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of the lines that go, for documents losing any."""
     floor = max(floor, 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialize(rows.mapInArrow(lambda batches: _lines(batches, floor), "doc_id long, line int, id long, mark long, chars int, bands array<int>"), "lines")
-    same = [F.min(c).alias(c) for c in ("mark", "chars", "bands")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    lines = materialize(rows.mapInArrow(lambda batches: _lines(batches, floor), LINES), "lines")
+    same = [F.min(c).alias(c) for c in ("check", "mark_a", "mark_b", "chars")]
     classes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *same)
     classes = materialize(classes, "line-classes")
-    # lines of fewer than MIN_WORDS words have no mark and are linked by nothing but equal form
-    marked = classes.filter("mark is not null")
-    near_keys = marked.select("id", F.explode(block_keys(F.col("mark"))).alias("key"))
-    shared_keys = marked.select("id", F.explode(band_keys(F.col("bands"))).alias("key"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        places = materialize(classes.join(wanted, "id").select("id", "first.doc_id", "first.line"), "line-places")
-        # the normal forms of all wanted lines of a document, taken from its text once
+    # lines of fewer than MIN_WORDS words have no keys and are linked by nothing but equal form
+    keys = lines.select("id", F.explode("keys").alias("key"))
+
+    def prepare(ids: DataFrame):
+        """The normal forms of the lines that share a key, all of a document taken from its text at once."""
+        places = classes.join(ids, "id").select("id", "first.doc_id", "first.line")
         of_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("places"))
-        cut = rows.join(of_doc, "doc_id").select(F.split("text", "\n", -1).alias("lines"), "places")
-        forms = cut.select(F.col("lines"), F.explode("places").alias("p")).select("p.id", normalized(F.get("lines", F.col("p.line"))).alias("form"))
-        forms = materialize(forms.dropDuplicates(["id"]), "line-forms")
-        full = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a")
-        full = full.join(forms.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
-        return full.select("a", "b", "form_a", "form_b").mapInArrow(_alike, "a long, b long")
-
-    near = link_buckets(near_keys, classes.select("id", F.col("mark").alias("sig")), within_radius, verify)
-    shared = link_buckets(shared_keys, classes.select("id", F.col("chars").alias("sig")), lengths_fit, verify)
-    linked = connected_components(near.union(shared).select(F.col("id").alias("a"), F.col("component").alias("b")))
-    named = classes.join(linked, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"))
+        cut = F.transform(F.array(F.split("text", "\n", -1)), lambda ls: F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.get(ls, p["line"]).alias("text"))))
+        # neither side has a bound, whatever the estimates say: the plan is the same at every size
+        found = rows.join(of_doc.hint("shuffle_hash"), "doc_id").select(F.explode(F.flatten(cut)).alias("p"))
+        forms = materialize(found.select("p.id", normalized(F.col("p.text")).alias("form")).dropDuplicates(["id"]), "line-forms")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            full = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a")
+            full = full.join(forms.select(F.col("id").alias("b"), F.col("form").alias("form_b")), "b")
+            return full.select("a", "b", "form_a", "form_b").mapInArrow(_alike, "a long, b long")
+
+        return verify
+
+    sigs = classes.select("id", F.struct("mark_a", "mark_b", "chars").alias("sig"))
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        whole = dealt.select("key", "low", "high", "block", "id", "label", "sig.*")
+        return whole.groupBy("key", "low", "high").applyInPandas(_block_pairs, "a long, b long")
+
+    linked = link_buckets(keys, sigs, may_be_alike, prepare, compare)
+    named = classes.join(linked, "id", "left").select("id", "check", "first", "n", F.coalesce("component", "id").alias("component"))
     named = materialize(named, "line-named")
     # only groups with more than one occurrence lose lines
     heads = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
-    heads = materialize(heads, "line-heads")
-    affected = materialize(named.join(heads.select("component", "keep"), "component").select("id", "keep"), "line-affected")
-    gone = lines.select("doc_id", "line", "id").join(affected, "id").filter("doc_id <> keep.doc_id or line <> keep.line")
+    affected = materialize(named.join(heads.select("component", "keep"), "component").select("id", "check", "keep"), "line-affected")
+    gone = lines.select("doc_id", "line", "id", "check").join(affected, ["id", "check"]).filter("doc_id <> keep.doc_id or line <> keep.line")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def line_dedup(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines of at least ``floor`` words cut from ``text``; adds n_removed."""
-    gone = materialize(repeated_lines(docs, floor), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
-    lines = F.split(F.col("text"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = docs.withColumn("_id", F.col("doc_id").cast("long")).join(gone, F.col("_id") == F.col("_gone_id"), "left")
-    out = out.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut))
-    return out.select(*docs.columns, "n_removed")
+    gone = materialize(repeated_lines(docs, floor), "gone").select(F.col("doc_id").alias("id"), F.col("lines").alias("gone"))
+    out = packed(docs).join(gone.hint("shuffle_merge"), "id", "left")
+    # the split text is bound to a name, so that it is split once
+    left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
+    cut = F.get(F.transform(F.array(F.split("row.text", "\n", -1)), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n")), F.lit(0))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(cut)
+    columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_removed"]
+    return out.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

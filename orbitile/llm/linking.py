@@ -37,59 +37,93 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+#: Rows of a mixed bucket up to which its pairs are screened in a join.
+SMALL = 64
+#: Rows a block of a larger mixed bucket holds.
+BLOCK_ROWS = 4000
+
+
+def dealt_blocks(left: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows of buckets dealt to pairs of blocks (key, low, high), each block of weight ``most`` or about.
+
+    Every two rows of a bucket meet in exactly one pair of blocks, so a hot bucket is
+    spread over as many tasks as it has pairs of blocks.
+    """
+    blocks = materialize(left.groupBy("key").agg(F.ceil(F.sum(weight) / most).cast("long").alias("blocks")), "blocks")
+    dealt = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+
+
 def link_buckets(
     keys: DataFrame,
     sigs: DataFrame,
     screen: Callable[[Column, Column], Column],
-    verify: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    compare: Callable[[DataFrame], DataFrame],
     remaining: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Connected components of the verified links among ids that share a key.
 
-    ``keys(key long, id long)``: an id has one row for each of its keys; ``sigs(id,
-    sig)`` has one row for each id. ``screen(sig, sig)`` is a cheap necessary condition;
-    ``verify(pairs(a, b))`` keeps the pairs (a < b) that are really linked.
-    ``remaining(rows(key, id, sig, label))`` finds the links (a, b) between different
-    labels of the buckets that the pivots left mixed; by default a join on the key under
-    ``screen``, then ``verify``. Returns (id, component) for ids with at least one link.
-    No link between two ids that share a key and pass ``screen`` is lost, except one
-    whose ends are connected anyway.
+    ``keys(key long, id long)``: an id has one row for each of its keys, or more;
+    ``sigs(id, sig)`` has one row for each id. ``screen(sig, sig)`` is a cheap necessary
+    condition; ``prepare(ids(id))`` readies all that share a key, once, and gives the
+    ``verify(pairs(a, b))`` that keeps the pairs (a < b) that are really linked.
+    What the pivots leave mixed, rows(key, id, sig, label), is compared in two ways:
+    buckets of up to SMALL rows in an equi-join under ``screen``, larger ones by
+    ``compare(rows dealt to blocks)``, which emits the screened pairs (a, b) of
+    different labels; or all of them by ``remaining(rows)``, which finds the links
+    itself. Returns (id, component) for ids with at least one link. No link between two
+    ids that share a key and pass ``screen`` is lost, except one whose ends are
+    connected anyway.
     """
     # a bucket of two is known by its smallest and largest id; only larger ones are read again
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     buckets = materialize(buckets.filter("low < high"), "buckets")
-    large = materialize(keys.join(buckets.filter("n > 2").select("key"), "key").select("key", "id").distinct(), "large")
+    large_keys = materialize(buckets.filter("n > 2").select("key"), "large-keys")
+    large = keys.join(large_keys, "key").select("key", "id").distinct()
     two = buckets.filter("n = 2")
     ids = two.select("key", F.col("low").alias("id")).union(two.select("key", "high")).union(large)
     members = materialize(ids.join(sigs, "id").select("key", "id", "sig"), "members")
+    verify = prepare(members.select("id").distinct())
 
     # the pivot of a bucket is the member that meets most others over all its buckets
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     degree = members.select("key", "id").join(sizes, "key").groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = members.select("key", "id").join(degree, "id")
-    top = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"))
-    own = members.select(F.col("key"), F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig"))
-    pivots = materialize(top.join(own, ["key", "pivot"]), "pivots")
+    top = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"), "top.degree")
+    pivots = top.join(sigs.select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+    pivots = materialize(pivots, "pivots")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         return materialize(verify(pairs), "links")
 
     star = members.join(pivots, "key").filter((F.col("id") != F.col("pivot")) & screen(F.col("sig"), F.col("pivot_sig")))
-    edges = confirmed(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    star = materialize(star.groupBy("id", "pivot").agg(F.max("degree").alias("degree")), "star")
+    # each id first meets its busiest pivot; the others only matter where that leaves them apart
+    first = star.groupBy("id").agg(F.max(F.struct("degree", "pivot")).alias("top"))
+    edges = confirmed(first.select(F.col("top.pivot").alias("a"), F.col("id").alias("b")))
     labels = connected_components(edges)
+    of = labels.withColumnRenamed("component", "of_pivot").withColumnRenamed("id", "pivot")
+    apart = star.join(labels, "id", "left").join(of, "pivot", "left")
+    apart = apart.filter(F.coalesce("component", "id") != F.coalesce("of_pivot", "pivot")).join(first.select("id", F.col("top.pivot").alias("met")), "id")
+    apart = confirmed(apart.filter("pivot <> met").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    if not apart.isEmpty():
+        edges = edges.union(apart)
+        labels = connected_components(edges)
     now = members.join(labels, "id", "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label"))
     now = materialize(now, "labelled")
     # buckets of two were settled by their pivot
-    mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = materialize(mixed.filter("low < high and n > 2").select("key"), "mixed")
-    left = materialize(now.join(mixed, "key"), "left")
+    mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lowest"), F.max("label").alias("highest"))
+    left = materialize(now.join(mixed.filter("lowest < highest and n > 2").select("key", "n"), "key"), "left")
     if remaining is not None:
-        more = materialize(remaining(left), "more")
+        more = materialize(remaining(left.drop("n")), "more")
     else:
-        x, y = left.alias("x"), left.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & screen(F.col("x.sig"), F.col("y.sig")))
-        more = confirmed(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        x, y = (left.filter(F.col("n") <= SMALL).alias(side) for side in "xy")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & screen(F.col("x.sig"), F.col("y.sig")))
+        hot = compare(dealt_blocks(left.filter(F.col("n") > SMALL), F.lit(1), BLOCK_ROWS))
+        more = confirmed(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(hot.select("a", "b")))
     if more.isEmpty():
         return labels
     return connected_components(edges.union(more))

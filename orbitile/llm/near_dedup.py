@@ -17,7 +17,8 @@ no band with probability (1 - 0.75**4)**32, about 5e-6, and less above it.
 Cases: a null or word-free text has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; equal texts are one class; a row that
 repeats both doc_id and text comes out as often as it went in (doc_id must name one
-text); columns other than doc_id and text are ignored; an empty table gives an empty
+text); a row with a null doc_id links with nothing, has a null component_id and is kept;
+columns other than doc_id and text are ignored; an empty table gives an empty
 result.
 """
 
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitile.llm.linking import link_buckets
-from orbitile.llm.shared import materialize
+from orbitile.llm.linking import dealt_blocks, link_buckets
+from orbitile.llm.shared import materialize, packed
 from orbitile.llm.textbytes import mix, shingle_sets, sums_between, text_slices
 
 WIDTH, PERCENT = 5, 75
@@ -37,7 +38,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 #: Standard errors below the threshold at which an estimate lets a pair go.
 ERRORS = 5
 #: Shingles of a bucket that one task holds; larger buckets are cut into blocks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 300_000
 _HASHES = BANDS * ROWS
 _A = (mix(np.arange(1, _HASHES + 1, dtype=np.uint64), 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1, _HASHES + 1, dtype=np.uint64), 22) >> np.uint64(32)).astype(np.uint32)
@@ -189,58 +190,52 @@ def _shingle_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "shingles"])
 
 
-def _confirmed(batches):
-    for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
-        one = list(_sets(batch.column("text_a")))
-        two = list(_sets(batch.column("text_b")))
-        keep = []
-        for x, y in zip(one, two, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
-
-
-def _sets(column):
-    for i, j, body, offsets in text_slices(column):
-        shingles, first = shingle_sets(body, offsets, WIDTH)
-        for k in range(j - i):
-            yield shingles[first[k] : first[k + 1]]
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document of ``docs``."""
     sets = materialize(signatures(docs), "sets")
-    classes = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
+    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     classes = materialize(classes, "classes")
     reps = classes.select(F.col("id").alias("doc_id"), "set_a", "set_b").join(sets, ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("id"), "bands", "sig"), "representatives")
     keys = reps.select("id", F.explode("bands").alias("key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-        need = materialize(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-        full = pairs.join(need.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        full = full.join(need.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
+    held: list[DataFrame] = []
+
+    def prepare(ids: DataFrame):
+        """The shingle sets of the documents that share a key, once for each."""
+        wanted = ids.withColumnRenamed("id", "doc_id")
+        need = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        held.append(materialize(need.mapInArrow(_shingle_rows, "id long, shingles array<long>"), "shingle-sets"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            full = pairs.join(held[0].select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
+            full = full.join(held[0].select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
+            both = F.size(F.array_intersect("one", "two"))
+            union = F.size("one") + F.size("two") - both
+            return full.filter((both > 0) & (both * 100 >= union * PERCENT)).select("a", "b")
+
+        return verify
 
     def remaining(left: DataFrame) -> DataFrame:
         own = materialize(left.groupBy("id").agg(F.collect_list("key").alias("keys")), "left-keys")  # at most BANDS keys
-        found = texts.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-        full = materialize(found.mapInArrow(_shingle_rows, "id long, shingles array<long>").join(own, "id"), "left-sets")
+        full = held[0].join(own, "id")
         sized = left.join(full.select("id", F.size("shingles").alias("n")), "id")
-        blocks = materialize(sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks")), "left-blocks")
-        dealt = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        dealt = dealt_blocks(sized, F.col("n"), BLOCK_SHINGLES)
         whole = dealt.select("key", "low", "high", "block", "id", "label", "sig").join(full, "id")
         return whole.groupBy("key", "low", "high").applyInPandas(_block_links, "a long, b long").distinct()
 
-    linked = link_buckets(keys, reps.select("id", "sig"), screen, verify, remaining)
+    linked = link_buckets(keys, reps.select("id", "sig"), screen, prepare, None, remaining)
     named = classes.join(linked, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     named = materialize(named, "named")
     out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").isNull() | (component == F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that are not kept; rows with a null doc_id stay."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = packed(docs)
+    return rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]), "left_semi").select("row.*")

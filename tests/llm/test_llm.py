@@ -2,11 +2,14 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -113,8 +116,12 @@ def test_components(spark):
 def test_lines(spark):
     long = "the quick brown fox jumps over the lazy dog while nobody is watching it at all today"
     rows = [(1, f"{long}\nshort one\n\nunique line with enough words here"), (2, f"short one\n{long.upper()}!!!\nanother unique line with many words"), (3, None), (4, ""), (5, long.replace("lazy", "lazyy")), (6, f"{long}\n{long}")]
-    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_removed int").drop("n_removed")
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(df).collect()}
+    df = spark.createDataFrame([(i, t, 5, 6, "a", "b") for i, t in [*rows, (None, long)]], "doc_id long, text string, n_removed int, _id int, gone string, row string")
+    out = line_dedup.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "_id", "gone", "row", "n_removed"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in out.collect()}
+    assert got[None] == (long, 0)
+    assert got[5] == ("", 1)
     assert got[1] == (rows[0][1], 0)
     assert got[2] == ("short one\nanother unique line with many words", 1)
     assert got[3] == (None, 0) and got[4] == ("", 0)
@@ -161,10 +168,98 @@ def test_edit_distance_and_keys():
     for _ in range(400):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in range(2))
         assert line_dedup.edit_distance(a, b) == plain(a, b)
-    from itertools import combinations
+    pairs = [("".join(rng.choice("abcé 日") for _ in range(n)), n) for n in (0, 1, 63, 64, 65, 128, 130, 200) for _ in range(12)]
+    pairs = [(a, "".join(c for c in a if rng.random() > 0.1) + "ab" * rng.randrange(4)) for a, _ in pairs]
+    ones, twos = map(list, zip(*pairs))
+    assert line_dedup.edit_distances(ones, twos).tolist() == [line_dedup.edit_distance(a, b) for a, b in pairs]
+    for most in (0, 3, 40, 70, 150):
+        got, exact = line_dedup.edit_distances(ones, twos, most), line_dedup.edit_distances(ones, twos)
+        near = [i for i, (a, b) in enumerate(zip(ones, twos)) if abs(len(a) - len(b)) <= most]
+        assert all(got[i] == exact[i] if exact[i] <= most else got[i] > most for i in near)
+    assert line_dedup.all_alike(ones, twos).tolist() == [line_dedup.alike(a, b) for a, b in pairs]
+    assert len(line_dedup.all_alike([], [])) == 0
+    words = ["ab", "c", "dd", "efg", "h"]
+    for _ in range(300):
+        a = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))
+        b = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))
+        assert line_dedup.anchored_distance(a, b) >= plain(a, b)
+        assert plain(a, b) > 3 or line_dedup.shared_grams(a, b) >= max(len(a), len(b)) - 2 - 3 * plain(a, b)
+
 
-    keys = [set(k) for k in line_dedup.key_systems()]
-    assert all(any(k <= set(four) for k in keys) for four in combinations(range(7), 4))
+def test_line_blocks_and_windows():
+    """SimHashes of fewer differing bits than blocks share a block; equal windows share keys wherever they stand."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        mark = rng.integers(0, 2, 128).astype(bool)
+        other = mark.copy()
+        other[rng.choice(128, line_dedup.BLOCKS - 1, replace=False)] ^= True
+        blocks = [np.packbits(m).view(">u4") for m in (mark, other)]
+        assert (blocks[0] == blocks[1]).any()
+    one = line_dedup.line_rows(*buffers(pa.array(["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"])))
+    two = line_dedup.line_rows(*buffers(pa.array(["Alpha, beta gamma DELTA epsilon zeta eta theta iota kappa lambdas!"])))
+    assert (one["keys"] == two["keys"]).any() and one["id"] != two["id"]
+    assert line_dedup.line_rows(*buffers(pa.array(["\n\n", ""])))["words"].tolist() == [0, 0, 0, 0]
+
+
+def screen_of(chars):
+    return np.where(chars <= line_dedup.SCREEN_CHARS, line_dedup.SCREEN, line_dedup.LONG_SCREEN)
+
+
+def test_line_recall_of_one_letter(spark, docs):
+    """Lines of the table with one letter changed meet their originals, short lines too."""
+    rng = random.Random(8)
+    lines = sorted({" ".join(re.sub(r"[^\w\s]", "", line).lower().split()) for d in docs for line in (d["text"] or "").split("\n")})
+    lines = [line for line in lines if len(line.split()) >= 5]
+    other = []
+    for line in lines:
+        i = rng.choice([i for i, c in enumerate(line) if c != " "])
+        other.append(line[:i] + ("x" if line[i] != "x" else "y") + line[i + 1 :])
+    rows = [line_dedup.line_rows(*buffers(pa.array(t))) for t in (lines, other)]
+    met = (rows[0]["keys"] == rows[1]["keys"]).any(axis=1)
+    met &= np.bitwise_count(rows[0]["marks"] ^ rows[1]["marks"]).sum(axis=1) <= screen_of(rows[0]["chars"])
+    short = rows[0]["words"] < 10
+    assert met.mean() >= 0.97 and met[short].mean() >= 0.9
+
+
+def test_line_recall_of_the_table(spark, docs):
+    """All pairs of different lines of the table with edit similarity 0.8, by brute force over shared runs of characters."""
+    lines = sorted({" ".join(re.sub(f"[{re.escape(line_dedup.PUNCTUATION)}]", "", line).lower().split()) for d in docs for line in (d["text"] or "").split("\n")}, key=len)
+    lines = [line for line in lines if len(line.split()) >= 5]
+    grams = [Counter(line[i : i + 3] for i in range(len(line) - 2)) for line in lines]
+    alike = []
+    for j, b in enumerate(lines):
+        most = int(len(b) * 0.2 + 1e-9)
+        for i in range(j - 1, -1, -1):
+            if len(b) - len(lines[i]) > most:
+                break
+            need = len(b) - 2 - 3 * most
+            if sum(min(n, grams[i][g]) for g, n in grams[j].items() if g in grams[i]) >= need and line_dedup.edit_distance(lines[i], b) <= most:
+                alike.append((i, j))
+    rows = line_dedup.line_rows(*buffers(pa.array(lines)))
+    met = [(rows["keys"][i] == rows["keys"][j]).any() and np.bitwise_count(rows["marks"][i] ^ rows["marks"][j]).sum() <= screen_of(rows["chars"][j]) for i, j in alike]
+    assert len(alike) >= 20 and np.mean(met) >= 0.9
+
+
+def test_hot_bucket_of_lines_is_compared_in_blocks(spark, monkeypatch):
+    """Lines that all share a window, in groups of near copies: no link is lost between blocks."""
+    from orbitile.llm import linking
+
+    monkeypatch.setattr(linking, "SMALL", 3)
+    monkeypatch.setattr(linking, "BLOCK_ROWS", 10)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = []
+    for _ in range(40):
+        own = [word() for _ in range(12)]
+        lines += [" ".join(own), " ".join([*own[:-1], word()])]
+    keys = spark.createDataFrame([(1, i) for i in range(len(lines))], "key long, id long")
+    marks = line_dedup.line_rows(*buffers(pa.array(lines)))
+    sigs = spark.createDataFrame([(i, (int(m[0].view(np.int64)), int(m[1].view(np.int64)), int(c))) for i, (m, c) in enumerate(zip(marks["marks"], marks["chars"]))], "id long, sig struct<mark_a: long, mark_b: long, chars: int>")
+    compare = lambda dealt: dealt.select("key", "low", "high", "block", "id", "label", "sig.*").groupBy("key", "low", "high").applyInPandas(line_dedup._block_pairs, "a long, b long")
+    forms = dict(enumerate(lines))
+    exact = lambda ids: lambda pairs: pairs.sparkSession.createDataFrame([(r.a, r.b) for r in pairs.collect() if line_dedup.alike(forms[r.a], forms[r.b])], "a long, b long")
+    got = {r.id: r.component for r in linking.link_buckets(keys, sigs, line_dedup.may_be_alike, exact, compare).collect()}
+    assert got == {i: i - i % 2 for i in range(len(lines))}
 
 
 def test_decontamination(spark, odd):
@@ -176,12 +271,38 @@ def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(10, item, 1), (11, "tiny item here", 1), (12, None, 1), (13, "", 1), (14, item, 1)], "item_id long, text string, doc_id int")
     df = spark.createDataFrame(rows, "doc_id long, text string")
     expected = {1: [10, 14], 2: [], 3: [], 4: [10, 14], 5: [], 6: [], 7: [11]}
-    for size in (5000, 2):
+    for size in (5000, 2, 1):
         assert {r.doc_id: r.item_ids for r in decontaminate.contamination(df, bench, size).collect()} == expected
+        twice = decontaminate.contamination(df.union(df).union(spark.createDataFrame([(None, item)], "doc_id long, text string")), bench, size).collect()
+        assert len(twice) == 2 * len(rows) + 1 and {tuple(r.item_ids) for r in twice if r.doc_id is None} == {(10, 14)}
         assert {r.doc_id for r in decontaminate.without_contaminated(df, bench, size).collect()} == {2, 3, 5, 6}
     assert decontaminate.contamination(odd, bench.limit(0)).filter("contaminated").isEmpty()
 
 
+def test_decontamination_of_a_very_long_item():
+    """Memory and time follow the item's length, and counts of long windows do not overflow."""
+    import tracemalloc
+
+    rng = random.Random(7)
+    for n in (20_000, 40_000):
+        item = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        text = ["x"] * 50 + item[: n // 2] + ["changed"] + item[n // 2 + 1 :] + ["y"] * 50
+        index = decontaminate.Index([5], [" ".join(item)])
+        body = np.frombuffer(" ".join(text).encode(), np.uint8)
+        tracemalloc.start()
+        text_of, item_of, share = index.matches(body, np.array([0, len(body)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert text_of.tolist() == [0] and item_of.tolist() == [0] and share[0] > 0.99
+        assert peak < 20_000 * n
+    words = decontaminate.Words(body, np.array([0, len(body)]))
+    prints = decontaminate.Fingerprints(words)
+    h, pair = decontaminate._features(words)
+    plain = np.concatenate([h, pair[:-1]])
+    whole = sum(((2 * int(((plain >> np.uint64(b)) & np.uint64(1)).sum()) > 2 * len(h) - 1) << b) for b in range(64))
+    assert int(prints.of(np.array([0]), np.array([len(h)]))[0]) == whole
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(3)
     index = decontaminate.Index([1], ["w1 w2 w3 w4 w5 w6"])
@@ -263,6 +384,11 @@ def test_language(spark, docs, odd):
     held = [r for r in got if r.held_out and truth[r.doc_id] is not None]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in got)
+    plain = [(d["doc_id"], d["text"], d["lang"]) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1 and d["lang"] and d["text"]]
+    names, matrix, priors = language.train(spark.createDataFrame(plain, "doc_id long, text string, lang string"))
+    assert names == sorted({x[2] for x in plain}) and np.allclose(np.exp(priors).sum(), 1) and np.allclose(np.exp(matrix.astype(float)).sum(axis=0), 1, atol=1e-3)
+    few, _, _ = language.train(spark.createDataFrame([(i, "abc", f"l{i % 7}") for i in range(50)], "doc_id long, text string, lang string"), max_langs=3)
+    assert few == ["l0", "l1", "l2"]
     none = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(odd).collect()}
     assert none[1] == none[2] == none[3] == ("und", 0.0) and none[4][0] == "en"
 
@@ -287,9 +413,11 @@ def test_token_records(spark, docs, odd):
 
     tokenizer = Tokenizer.from_file(JSON)
     for frame, rows in ((spark.read.parquet(f"{DATA}/documents.parquet"), [(d["doc_id"], d["text"]) for d in docs]), (odd, ODD)):
+        rows = [*rows, (None, "no id"), (None, None)]
+        frame = frame.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-2:], "doc_id long, text string"))
         got = sorted(token_ids.token_records(frame, JSON).collect(), key=lambda r: r.start)
         at = 0
-        for r, (doc_id, text) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
+        for r, (doc_id, text) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")), strict=True):
             ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             at += len(ids)
@@ -299,6 +427,8 @@ def test_records_are_checked():
     record = token_ids.frame(token_ids.serialize(7, np.array([1, 70000])))
     doc_id, ids = token_ids.deserialize(token_ids.unframe(record))
     assert doc_id == 7 and ids.tolist() == [1, 70000]
+    doc_id, ids = token_ids.deserialize(token_ids.serialize(None, np.array([3])))
+    assert doc_id is None and ids.tolist() == [3]
     for i in (0, 9, 20, len(record) - 1):
         with pytest.raises(ValueError):
             token_ids.unframe(record[:i] + bytes([record[i] ^ 1]) + record[i + 1 :])
@@ -337,11 +467,53 @@ def test_bpe_joins_anywhere(monkeypatch):
 def test_trie_counts(spark, odd):
     import regex
 
-    model = trie_counts.Unigram(RANKS)
-    got = sorted(trie_counts.token_counts(odd, RANKS).collect(), key=lambda r: r.doc_id)
+    scores = trie_counts.fitted_scores(odd, RANKS)
+    score = dict(zip(trie_counts.read_pieces(RANKS), scores.tolist()))
+    got = sorted(trie_counts.token_counts(odd, RANKS, scores).collect(), key=lambda r: r.doc_id)
+
+    def best(word):
+        """By a plain search: (falling score, pieces) of every way to cut the word, the best of each rest kept."""
+        after = {len(word): (0.0, 0)}
+        for i in range(len(word) - 1, -1, -1):
+            ways = [(score[word[i:j]] + after[j][0], -after[j][1] - 1) for j in range(i + 1, min(len(word), i + 130) + 1) if word[i:j] in score]
+            top = max(ways)
+            after[i] = (top[0], -top[1])
+        return after[0][1]
+
     for r, (_, text) in zip(got, sorted(ODD, key=lambda x: x[0]), strict=True):
         words = regex.findall(PATTERN, text or "")
-        assert (r.n_pretokens, r.n_tokens) == (len(words), sum(model.count_one(w.encode()) for w in words))
+        assert r.n_pretokens == len(words)
+        assert r.n_tokens == sum(best(w.encode()) for w in words)
+
+
+def test_trie_counts_try_all_cuts():
+    """Short words against every way to cut them."""
+    pieces = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca", b"aa", b"cab"]
+    rng = random.Random(3)
+    words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(120)})
+    counts = np.array([rng.randrange(1, 9) for _ in words], float)
+
+    def cuts(word):
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in pieces for rest in cuts(word[k:])] if word else [[]]
+
+    # one round of expectation maximisation, summed over every cut
+    start = dict(zip(pieces, trie_counts.zipf(len(pieces))))
+    expected = Counter()
+    for word, n in zip(words, counts):
+        ways = [(cut, math.exp(sum(start[p] for p in cut))) for cut in cuts(word)]
+        whole = sum(p for _, p in ways)
+        for cut, p in ways:
+            for piece in cut:
+                expected[piece] += n * p / whole
+    plain = np.array([expected[p] + trie_counts.SMOOTHING for p in pieces])
+    assert np.allclose(trie_counts.fit(pieces, words, counts, 1), np.log(plain / plain.sum()))
+    assert len(trie_counts.fit(pieces, [], np.zeros(0))) == len(pieces)
+    model = trie_counts.Unigram.__new__(trie_counts.Unigram)
+    fitted = trie_counts.fit(pieces, words, counts)
+    model.score, model.longest = dict(zip(pieces, fitted.tolist())), 3
+    for word in words:
+        top = max(sum(model.score[p] for p in cut) for cut in cuts(word))
+        assert model.count_one(word) in {len(c) for c in cuts(word) if math.isclose(sum(model.score[p] for p in c), top, abs_tol=1e-9)}
 
 
 def test_media(spark, odd):
@@ -522,7 +694,30 @@ def test_webp_damage():
     with pytest.raises(ValueError):
         webp.decode(b"nothing")
     with pytest.raises(ValueError):
-        webp.decode(good[:60])
+        webp.decode(good[: len(good) // 2])
+
+
+def test_webp_writer_uses_its_parts():
+    """Few colours take a palette, many plain codes, long runs back-references; all come back."""
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 3, 5, 16, 17, 200, 256, 257, 3000):
+        for height, width in ((1, 1), (3, 7), (20, 64)):
+            colors = rng.integers(0, 2**32, k, dtype=np.uint64).astype(">u4")
+            pixels = colors[rng.integers(0, k, height * width)].view(np.uint8).reshape(height, width, 4).copy()
+            pixels[height // 2 :] = pixels[0, 0]
+            assert (webp.decode(webp.encode(pixels)) == pixels).all()
+    text = (b"some words of a text, again and again. " * 40)[: 64 * 24]
+    whole = np.frombuffer(text + b"\0" * 64 * 500, np.uint8).reshape(-1, 64)
+    stored = webp.encode_samples(whole)
+    assert (webp.decode(stored)[:, :, 2] == whole).all() and len(stored) < 0.9 * len(text)
+    bits = webp.BitReader(stored[21:])
+    bits.read(32)
+    assert bits.read(1) == 1 and bits.read(2) == webp.PALETTE
+    start, size = webp.runs_of(whole.ravel())
+    assert start.tolist() == [len(text)] and size.tolist() == [64 * 500]
+    for value in (1, 4, 5, 6, 63, 64, 4095, 4096):
+        prefix, extra, n = webp.extra_of(value)
+        assert webp.read_extra(webp.BitReader(extra.to_bytes(2, "little")), prefix) == value and extra < 1 << n | (n == 0)
 
 
 def test_distance_map():
@@ -562,6 +757,29 @@ def test_personal_data_bootstraps(spark):
     assert got[10] == "id:26:42" and got[11] == "" and got[12] == ""
 
 
+def test_personal_data_contexts(spark):
+    """Grouped numbers are one mention, contexts are whole words, secrets teach their phrase, quotes stay outside."""
+    seeds = ["4111 1111 1111 1111", "5500005555555559", "340000000000009", "6011000000000004"]
+    long = "x" * 300
+    rows = [(i, f"by customer{long} card {s} today") for i, s in enumerate(seeds)]
+    rows += [(10, f"by customer{long} card 4111 1111 1111 1112 today"), (11, f"by other{long} card 4111 1111 1111 1112 today")]
+    secrets = ["2321bac4d15ec8f90433955bf9d3cf61da5bdd1e", "e03422dad6b454724135a384f69ba12c7de6c8f4", "7c72db563d7f6e50cec00950f7bab1f2223b6afd", "11acdfb36bb72224148e6160f674b4be45601bff"]
+    rows += [(20 + i, f'the token = "{s}" and') for i, s in enumerate(secrets)] + [(30, 'a token = "ab12cd34" and'), (31, f"{secrets[0]} alone")]
+    got = {r.doc_id: (r.spans, r.n_id) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len(f"by customer{long} card ")
+    assert got[0][0] == f"card:{at}:{at + 19}"
+    assert got[10] == (f"id:{at}:{at + 19}", 1) and got[11] == ("", 0)
+    assert got[20] == ("id:13:53", 1) and got[30] == ("id:11:19", 1) and got[31] == ("", 0)
+
+
+def test_personal_data_of_many_matches(spark):
+    """Positions across chunks of matches, against the plain version."""
+    text = "a 4111111111111111 " * 700 + "me@x.org é " * 300
+    r = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_card, r.n_email) == (700, 300)
+    assert r.base_sha256 == hashlib.sha256(plain_spans(text).encode()).hexdigest()
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -572,6 +790,37 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
 
 
+def test_near_duplicates_equal_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    sql = {tuple(r) for r in con.execute("select doc_id, n_shingles, component_id, kept from (" + oracle_sql()["op8_minhash_near_dedup"] + ")").fetchall()}
+    assert {tuple(r) for r in queries()["op8_minhash_near_dedup"](spark, DATA).collect()} == sql
+
+
+def test_null_ids_and_clashing_columns_in_the_stages(spark, tmp_path):
+    """Rows without an id stay in every filtering stage; columns of any name are carried through."""
+    import corpus_pipeline
+
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, f"{line}\n{line} eleven twelve", 5, "a"), (None, line, 6, "b"), (None, line, 6, "b"), (2, None, None, "c"), (3, "", 0, "d"), (4, line, 7, "e"), (4, line, 7, "e")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, n_chars int, row string, id int, kept int, gone int")
+    with_tables = str(tmp_path)
+    spark.createDataFrame([(900, 1), (901, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no text here holds this passage of the benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, with_tables)
+        assert out.columns == df.columns, name
+        got = [(r.doc_id, r.text, r.row) for r in out.collect()]
+        assert sum(g[0] is None for g in got) == 2 and (2, None, "c") in got and (3, "", "d") in got, name
+        assert stage(spark, df.limit(0), with_tables).count() == 0
+    near = near_dedup.near_duplicates(df).filter("doc_id is null").collect()
+    assert [(r.n_shingles, r.component_id, r.kept) for r in near] == [(6, None, True)] * 2
+    lines = dict((r.doc_id, (r.text, r.n_chars)) for r in corpus_pipeline.drop_repeated_lines(spark, df, with_tables).collect())
+    assert lines[4] == ("", 0) and lines[2] == (None, None)
+
+
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
