@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the
 columns of ``documents``; the last returns one row of digests for each document left.
+
+Cases, the same in all stages: a null or empty text is a document like any other (it has
+no toxic word, no line, no shingle, no benchmark passage, no token) and stays; a null
+doc_id stays too, as nothing can be told of it by id; repeated rows are judged alike and
+stay or go together, except that a stage never adds rows; among near-duplicates that tie,
+the smallest doc_id stays; extra columns of any name are carried through to the last
+stage but one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,15 +27,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of alike lines the first stays; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Of each group of alike lines the first stays; n_chars, where there is one, follows the text.
+
+    A document that loses all its lines stays with an empty text; a null text stays null.
+    """
+    out = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    # an input column of the name of the operator's count is not kept by it
+    own = docs.columns if "n_removed" not in docs.columns else [c for c in docs.columns if c != "n_removed"]
+    return out.select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id stays."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return near_dedup.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
