@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitile.functions.geo import METRES_A_DEGREE, cell_name
-from orbitile.operators.composite import mosaic_first
+from orbitile.operators.composite import edges_of, mosaic_first
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -71,6 +71,42 @@ def bbox_grids(boxes: DataFrame, grids: DataFrame) -> DataFrame:
     return joined.filter(meet).select("region", "district", "grid_id", "mgrs").distinct()
 
 
+def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Positive where p lies left of the way from a to b, negative right, 0 on it."""
+    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+
+def _edge_meets_box(e: Column, box: dict[str, Column]) -> Column:
+    """Whether an edge touches a box: their ranges overlap and the box's corners are not all on one side of it."""
+    low = lambda axis: F.least(e[f"{axis}0"], e[f"{axis}1"])
+    high = lambda axis: F.greatest(e[f"{axis}0"], e[f"{axis}1"])
+    overlap = (low("x") <= box["x1"]) & (high("x") >= box["x0"]) & (low("y") <= box["y1"]) & (high("y") >= box["y0"])
+    sides = [_side(e["x0"], e["y0"], e["x1"], e["y1"], box[x], box[y]) for x in ("x0", "x1") for y in ("y0", "y1")]
+    return overlap & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def ring_meets_box(vertices: Column, box: dict[str, Column]) -> Column:
+    """Whether a polygon (a ring of x, y) and a box share a point: an edge touches the box, or one holds the other."""
+    edges = edges_of(vertices, True)
+    # with no edge at the box, the box's corner is inside the ring by the even-odd rule or nothing is shared
+    crossed = lambda e: ((e["y0"] <= box["y0"]) != (e["y1"] <= box["y0"])) & (e["x0"] + (box["y0"] - e["y0"]) * (e["x1"] - e["x0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0)) > box["x0"])
+    return F.exists(edges, lambda e: _edge_meets_box(e, box)) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+
+
+def polygon_grids(boxes: DataFrame, grids: DataFrame) -> DataFrame:
+    """Boxes with the grids whose polygon (``vertices`` of x, y) they intersect, touching included.
+
+    Candidates share a one-degree cell of the polygon's bounds; the edges decide.
+    """
+    x, y = F.col("vertices.x"), F.col("vertices.y")
+    bounds = [F.array_min(x).alias("min_lon"), F.array_max(x).alias("max_lon"), F.array_min(y).alias("min_lat"), F.array_max(y).alias("max_lat")]
+    bounded = grids.select("grid_id", "mgrs", "vertices", *bounds)
+    cells = _cells(bounded, "cx", "cy").drop(*BOX)
+    joined = _cells(boxes, "cx", "cy").join(cells, ["cx", "cy"]).dropDuplicates(["region", "district", "grid_id"])
+    box = {"x0": F.col("min_lon"), "x1": F.col("max_lon"), "y0": F.col("min_lat"), "y1": F.col("max_lat")}
+    return joined.filter(ring_meets_box(F.col("vertices"), box)).select("region", "district", "grid_id", "mgrs")
+
+
 def dem_cells(boxes: DataFrame) -> DataFrame:
     """Names of the elevation cells that cover each box."""
     return _cells(boxes, "lon", "lat").withColumn("cell", F.concat(cell_name(F.col("lat"), F.col("lon")), F.lit(".SRTMGL1_NC.nc")))

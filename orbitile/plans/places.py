@@ -11,6 +11,8 @@ from orbitile.sources.io import numeric_keys, read_registry, scratch
 from orbitile.sources.io import tile_match_levels as levels
 from orbitile.sources.views import oracle, view
 
+#: Corners of slanted grids: columns of the box and what is added.
+SLANTED = (("min_lon", "min_lat", 0.5, -0.6), ("max_lon", "min_lat", 0.7, 0.5), ("max_lon", "max_lat", -0.4, 0.7), ("min_lon", "max_lat", -0.8, -0.4))
 BOX = "min_lon, min_lat, max_lon, max_lat"
 X0, Y0, RES, EPSG = 300000.0, 9900040.0, 10.0, 32735
 
@@ -55,6 +57,12 @@ def bbox_grids(spark, d):
     return R.bbox_grids(view(spark, d, "registry"), view(spark, d, "grid"))
 
 
+def polygon_grids(spark, d):
+    """Grids as slanted quadrilaterals against the boxes of the registry."""
+    corners = [F.struct((F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y")) for x, y, dx, dy in SLANTED]
+    return R.polygon_grids(view(spark, d, "registry"), view(spark, d, "grid").select("grid_id", "mgrs", F.array(*corners).alias("vertices")))
+
+
 def scene_filter(spark, d):
     return R.scene_files(view(spark, d, "scene_key"), ["B02", "B03"]).select("object_key", "size_bytes")
 
@@ -261,6 +269,12 @@ _x, _y = _forward("lat", "lon", "epsg")
 _x1, _y1 = _forward("lat", "lon", "(epsg + 1)")
 CENTRE = f"select district, lat, lon, cast({ZONE.format(lat='lat', lon='lon')} as int) as epsg from (select district, (min_lat + max_lat) / 2e0 as lat, (min_lon + max_lon) / 2e0 as lon from registry)"
 
+#: A convex polygon and a box are apart where an axis of the box or a normal of an edge separates them.
+_P = [(f"(g.{x} + {dx}e0)", f"(g.{y} + {dy}e0)") for x, y, dx, dy in SLANTED]
+_B = [(f"r.{x}", f"r.{y}") for x in ("min_lon", "max_lon") for y in ("min_lat", "max_lat")]
+_apart = [f"greatest({', '.join(p[0] for p in _P)}) < r.min_lon", f"least({', '.join(p[0] for p in _P)}) > r.max_lon", f"greatest({', '.join(p[1] for p in _P)}) < r.min_lat", f"least({', '.join(p[1] for p in _P)}) > r.max_lat"]
+_apart += [f"greatest({', '.join(f'({b[0]} - {a[0]}) * ({q[1]} - {a[1]}) - ({b[1]} - {a[1]}) * ({q[0]} - {a[0]})' for q in _B)}) < 0" for a, b in zip(_P, _P[1:] + _P[:1], strict=True)]
+
 QUERIES = {
     "region_registry": (region_registry, oracle("select region, district, min_lon, min_lat, max_lon, max_lat, date_from, date_to, ground_truth from registry", "registry")),
     "requested_locations": (requested_locations, oracle("select region, district from registry where region in ('AFRICA', 'ASIA')", "registry")),
@@ -270,6 +284,7 @@ QUERIES = {
     "grid_parts": (grid_parts, oracle("select grid_id, cast(mgrs[1:2] as int) as utm, mgrs[3:3] as band, mgrs[4:5] as square, concat('tiles/', cast(cast(mgrs[1:2] as int) as varchar), '/', mgrs[3:3], '/', mgrs[4:5]) as prefix from grid", "grid")),
     "grid_filter": (grid_filter, oracle("select grid_id, mgrs from grid where lower(mgrs) in ('10mrv', '13mrv', '11mgr')", "grid")),
     "bbox_grids": (bbox_grids, oracle("select r.region, r.district, g.grid_id, g.mgrs from registry r join grid g on r.min_lon <= g.max_lon and r.max_lon >= g.min_lon and r.min_lat <= g.max_lat and r.max_lat >= g.min_lat", "registry", "grid")),
+    "polygon_grids": (polygon_grids, oracle(f"select r.region, r.district, g.grid_id, g.mgrs from registry r join grid g on not ({' or '.join(_apart)})", "registry", "grid")),
     "scene_filter": (scene_filter, oracle("select object_key, size_bytes from scene_key where (object_key like '%B02.jp2' or object_key like '%B03.jp2' or object_key like '%MSK_CLOUDS_B00.gml') and object_key not like '%/preview/%'", "scene_key")),
     "download_estimate": (download_estimate, oracle("select count(*) as n_files, round(sum(size_bytes) / 1e9, 2) as total_gb, round(sum(size_bytes) / 1e9 * 0.09e0, 2) as cost from scene_key", "scene_key")),
     "dem_cells": (dem_cells, oracle(f"select district, {NAME} as cell from ({CELLS.format(t='registry')})", "registry")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitile.operators import composite as C
+from orbitile.operators.regions import pending_work
+from orbitile.sources.io import scratch, write_composite
 from orbitile.sources.views import oracle, view
 
 MASKED = "case when value * clear <> 0 and value * clear <= 4000e0 then value * clear end"
@@ -137,13 +139,31 @@ def cloud_raster_touched(spark, d):
     return C.cloud_raster(_clouds(spark, d), all_touched=True)
 
 
-def composite_sink(spark, d):
-    """Written by grid, read back with partition pruning."""
-    from orbitile.sources.io import scratch
+def _placed(frame):
+    """Region and district of each grid."""
+    return frame.withColumns({"region": F.when(F.col("mgrs") == "35MRV", "Uganda").otherwise("Rwanda"), "district": F.concat(F.lit("D"), F.substring("mgrs", 1, 2))})
+
 
+def composite_sink(spark, d):
+    """Four bands written by region, district and grid, one grid written again, read back with partition pruning."""
     path = scratch(spark, "composite")
-    C.median_composite(view(spark, d, "obs")).write.partitionBy("mgrs").parquet(path)
-    return spark.read.parquet(path).filter("mgrs = '35MRV'").groupBy("mgrs", "band").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    four = _placed(C.band_pivot(view(spark, d, "obs")))
+    write_composite(four, path)
+    again = write_composite(four.filter("mgrs = '35MRV'"), path)
+    one = again.filter("region = 'Uganda' and district = 'D35'")
+    return one.groupBy("region", "district", "mgrs").agg(F.count("*").alias("n"), *[F.sum(b).alias(b) for b in C.BAND_NAMES.values()])
+
+
+def multivariate_sink(spark, d):
+    """Eight bands written by region, district and grid; grids that are done are left out of the work."""
+    path = scratch(spark, "multivariate")
+    obs = view(spark, d, "obs")
+    eight = _placed(multivariate_composite(spark, d))
+    done = write_composite(eight.filter("mgrs = '36MGR'"), path).select("mgrs").distinct()
+    left = pending_work(_placed(obs.select("mgrs").distinct()), done, ["mgrs"])
+    every = write_composite(eight.join(F.broadcast(left.select("mgrs")), "mgrs", "left_semi"), path)
+    bands = [c for c in eight.columns if c not in ("region", "district", "mgrs", "px_row", "px_col")]
+    return every.groupBy("region", "district", "mgrs").agg(F.count("*").alias("n"), *[F.round(F.sum(b), 3).alias(b) for b in bands])
 
 
 def multivariate_composite(spark, d):
@@ -183,6 +203,8 @@ _CROSS = " + ".join(f"case when ({a[1]} <= r + 0.5e0) <> ({b[1]} <= r + 0.5e0) a
 INSIDE = f"""select distinct mgrs, acq_date, cast(r as int) as px_row, cast(c as int) as px_col from (select *, unnest(range(cast(floor(least(ya, yb, yc, yd)) as int), cast(ceil(greatest(ya, yb, yc, yd)) as int) + 1)) as r from cloud) a,
  lateral (select unnest(range(cast(floor(least(xa, xb, xc, xd)) as int), cast(ceil(greatest(xa, xb, xc, xd)) as int) + 1)) as c) b where ({_CROSS}) % 2 = 1"""
 PIVOT = "select mgrs, px_row, px_col, " + ", ".join(f"median(case when band = '{b}' then {MASKED} end) as {n}" for b, n in C.BAND_NAMES.items()) + " from obs group by mgrs, px_row, px_col"
+MULTI = f"""select a.mgrs, a.px_row, a.px_col, red, green, blue, nir, water, boundary, round(elevation, 6) as elevation, round(slope, 6) as slope
+        from ({PIVOT}) a join ({OSM}) o on a.mgrs = o.mgrs and a.px_row = o.px_row and a.px_col = o.px_col join ({SLOPE}) t on a.mgrs = t.mgrs and a.px_row = t.px_row and a.px_col = t.px_col"""
 
 QUERIES = {
     "median_composite": (median_composite, oracle(MED, "obs")),
@@ -209,7 +231,7 @@ QUERIES = {
     "osm_raster": (osm_raster, oracle(OSM, "obs", "feature")),
     "cloud_raster": (cloud_raster, oracle(INSIDE, "cloud")),
     "cloud_raster_touched": (cloud_raster_touched, oracle(f"{INSIDE} union {WALK.format(k='mgrs, acq_date', e=EDGES)}", "cloud")),
-    "composite_sink": (composite_sink, oracle(f"select mgrs, band, count(*) as n, sum(value) as total from (select mgrs, band, px_row, px_col, median({MASKED}) as value from obs where mgrs = '35MRV' group by all) group by all", "obs")),
-    "multivariate_composite": (multivariate_composite, oracle(f"""select a.mgrs, a.px_row, a.px_col, red, green, blue, nir, water, boundary, round(elevation, 6) as elevation, round(slope, 6) as slope
-        from ({PIVOT}) a join ({OSM}) o on a.mgrs = o.mgrs and a.px_row = o.px_row and a.px_col = o.px_col join ({SLOPE}) t on a.mgrs = t.mgrs and a.px_row = t.px_row and a.px_col = t.px_col""", "obs", "feature", "dem")),
+    "composite_sink": (composite_sink, oracle(f"select 'Uganda' as region, 'D35' as district, mgrs, count(*) as n, sum(red) as red, sum(green) as green, sum(blue) as blue, sum(nir) as nir from ({PIVOT}) where mgrs = '35MRV' group by mgrs", "obs")),
+    "multivariate_sink": (multivariate_sink, oracle(f"select case when mgrs = '35MRV' then 'Uganda' else 'Rwanda' end as region, concat('D', mgrs[1:2]) as district, mgrs, count(*) as n, {', '.join(f'round(sum({b}), 3) as {b}' for b in ('red', 'green', 'blue', 'nir', 'water', 'boundary', 'elevation', 'slope'))} from ({MULTI}) group by mgrs", "obs", "feature", "dem")),
+    "multivariate_composite": (multivariate_composite, oracle(MULTI, "obs", "feature", "dem")),
 }

@@ -92,6 +92,12 @@ def latest_truth(files: DataFrame) -> DataFrame:
     return files.withColumn("day", F.when(F.col("path").rlike(r"\d{2}\.\d{2}\.\d{4}"), day)).filter("day is not null").agg(F.max_by("path", F.struct("day", "path")).alias("path"), F.max("day").alias("day"))
 
 
+def write_composite(composite: DataFrame, path: str, keys=("region", "district", "mgrs")) -> DataFrame:
+    """A composite of any number of bands, a folder a grid; only the grids written are replaced. Returns the table."""
+    composite.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return composite.sparkSession.read.parquet(path)
+
+
 def tile_match_levels(tiles: DataFrame, path: str) -> DataFrame:
     """One table partitioned by region, district, grid and tile size; levels are filters of it."""
     tiles.write.partitionBy("region", "district", "mgrs", "tile_size").parquet(path)

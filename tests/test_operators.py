@@ -77,6 +77,34 @@ def test_shapes_are_burned_as_by_hand(spark):
         assert walk(edges) <= {p for p in touched if p[0] == i}
 
 
+def test_rings_meet_boxes(spark):
+    """Random polygons, convex or not, against boxes: edges clipped to the box, and corners inside."""
+    from orbitile.operators.regions import ring_meets_box
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        x0, y0 = rng.uniform(0, 10, 2)
+        w, h = rng.uniform(0.1, 4, 2)
+        ring = [tuple(map(float, p)) for p in rng.uniform(0, 12, 2) + rng.uniform(-3, 3, (int(rng.integers(3, 7)), 2))]
+        rows.append((i, ring, float(x0), float(y0), float(x0 + w), float(y0 + h)))
+    df = spark.createDataFrame(rows, "i int, vertices array<struct<x: double, y: double>>, x0 double, y0 double, x1 double, y1 double")
+    got = {r.i: r.meets for r in df.select("i", ring_meets_box(F.col("vertices"), {k: F.col(k) for k in ("x0", "y0", "x1", "y1")}).alias("meets")).collect()}
+
+    def clipped(a, b, box):
+        low, high = 0.0, 1.0
+        for d, s, least, most in ((b[0] - a[0], a[0], box[0], box[2]), (b[1] - a[1], a[1], box[1], box[3])):
+            t = sorted(((least - s) / d, (most - s) / d))
+            low, high = max(low, t[0]), min(high, t[1])
+        return low <= high
+
+    for i, ring, *box in rows:
+        edges = list(zip(ring, ring[1:] + ring[:1]))
+        inside = sum((a[1] <= box[1]) != (b[1] <= box[1]) and a[0] + (box[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > box[0] for a, b in edges) % 2 == 1
+        assert got[i] == (inside or any(clipped(a, b, box) for a, b in edges))
+    assert 30 < sum(got.values()) < 270
+
+
 def test_blocks_of_arrays_are_checked(spark):
     good = spark.createDataFrame([("A", "B02", 0, 0, [1.0, None, 3.0, 4.0]), ("A", "B02", 0, 0, [3.0, None, None, 4.0])], "mgrs string, band string, block_row int, block_col int, values array<double>")
     got = {(r.px_row, r.px_col): r.value for r in composite.block_median(composite.blocks_of_arrays(good, 2), 2).collect()}
