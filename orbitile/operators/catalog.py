@@ -27,6 +27,14 @@ class Grammar:
     template: str
     folders: tuple[str, ...]
 
+    def matches(self, name: Column) -> Column:
+        """Whether a name is of this kind; its fixed ends are compared before the pattern is tried."""
+        begin, end = self.template.partition("{")[0], self.template.rpartition("}")[2]
+        out = name.rlike(self.pattern)
+        if end and self.pattern.endswith("$"):
+            out = F.endswith(name, F.lit(end)) & out
+        return F.startswith(name, F.lit(begin)) & out if begin else out
+
 
 #: Kinds in the order in which a name is tried against them (fixed values).
 GRAMMARS = (
@@ -59,7 +67,7 @@ def base_name(path: Column) -> Column:
 
 def kind_of(name: Column) -> Column:
     """First kind whose grammar matches; null for none."""
-    return F.coalesce(*[F.when(name.rlike(g.pattern), F.lit(g.kind)) for g in GRAMMARS])
+    return F.coalesce(*[F.when(g.matches(name), F.lit(g.kind)) for g in GRAMMARS])
 
 
 def parse(assets: DataFrame) -> DataFrame:
