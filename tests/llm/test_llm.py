@@ -372,6 +372,45 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept == {r.doc_id for r in got if r.predicted == 0}
 
 
+def test_ftrl_equals_a_plain_version():
+    """Per-coordinate rates, L1 and L2, coordinate by coordinate."""
+    rng = random.Random(2)
+    rows = [(sorted(rng.sample(range(12), rng.randrange(1, 6))), rng.randrange(2)) for _ in range(200)]
+    model = toxicity.Ftrl(12)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        l1 = toxicity.L1 if i < 12 else 0.0
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for ids, y in rows:
+        model.learn(np.array(ids), float(y))
+        own = [*ids, 12]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in own:
+            rate = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - rate * w[i]
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.weights(np.arange(13)), [weight(i) for i in range(13)])
+
+
+def test_toxicity_features_and_scores_equal_a_plain_version():
+    texts = ["Be kind, be kind", "", "one two three four five", "é à b", "same same same"]
+    together, first = toxicity.features(*buffers(pa.array(texts)))
+    dense = np.random.default_rng(3).normal(size=(1 << toxicity.BITS) + 1).astype(np.float32)
+    scores = toxicity.margins(dense, *buffers(pa.array(texts)))
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+        wanted = {(w,) for w in words} | {(gap, a, b) for gap in (1, 2, 3) for a, b in zip(words, words[gap:])}
+        own = together[first[i] : first[i + 1]]
+        assert len(own) == len(wanted) and len(set(own.tolist())) == len(own)
+        alone = toxicity.margins(dense, *buffers(pa.array([text])))
+        assert scores[i] == alone[0] and np.isclose(scores[i], float(dense[own].astype(float).sum() + dense[-1]))
+
+
 def test_toxicity_without_labels(spark, odd):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.toxicity(odd, lab).collect()} == {(0.0, 0)}
@@ -393,6 +432,29 @@ def test_language(spark, docs, odd):
     assert none[1] == none[2] == none[3] == ("und", 0.0) and none[4][0] == "en"
 
 
+def test_language_scores_equal_a_plain_version(spark, docs):
+    """Every n-gram hashed by itself, log-probabilities and priors added up one by one."""
+    rows = [(d["doc_id"], d["text"], d["lang"]) for d in docs][:60] + [(9001, "a", None), (9002, "Ab-cé 12", None)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, matrix, priors = model
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+
+    def column(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 + ord(c) * 0x9E3779B1) & 0xFFFFFFFF
+        return ((h ^ h >> 15) * (0x85EBCA6B + 2 * len(gram)) & 0xFFFFFFFF) >> (32 - language.BITS)
+
+    for doc_id, text, _ in rows[:8] + rows[-2:]:
+        letters = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+        plain = letters[:1] + re.sub(" +", " ", " " + letters[1:])[1:] if letters[:1] == " " else re.sub(" +", " ", letters)
+        grams = [plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)]
+        total = np.array([sum(float(matrix[column(g), k]) for g in grams) for k in range(len(names))])
+        p = total / len(grams) * min(len(grams), language.EVIDENCE) + priors
+        p = np.exp(p - p.max())
+        assert got[doc_id].lang_pred == names[int(p.argmax())] and abs(got[doc_id].score - p.max() / p.sum()) < 1e-6
+
+
 def test_pretokens_equal_the_pattern():
     import pyarrow as pa
     import regex
