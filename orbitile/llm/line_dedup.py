@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitile.llm.linking import connected_components, link_buckets
+from orbitile.llm.linking import BLOCK_ROWS, connected_components, dealt_blocks, link_buckets
 from orbitile.llm.shared import materialize, packed
 from orbitile.llm.textbytes import LOWER, WHITESPACE, Words, mix, simhash, span_hashes, sums_between, text_slices
 
@@ -52,6 +52,8 @@ SCREEN, SCREEN_CHARS, LONG_SCREEN = 40, 150, 34
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
+#: Pairs of a block that are verified at a time.
+PAIRS_AT_ONCE = 20_000
 #: Least bytes of a word that counts for the SimHash by itself.
 TELLING = 5
 #: Characters of a line from which on fixed words are tried before the whole distance, and
@@ -158,25 +160,6 @@ def may_be_alike(a: Column, b: Column) -> Column:
     return (shorter >= longer * SIMILARITY - 1e-6) & (apart <= F.when(longer <= SCREEN_CHARS, SCREEN).otherwise(LONG_SCREEN))
 
 
-def _block_pairs(key, rows):
-    """The pairs of one block, or of two blocks, of a bucket that pass ``may_be_alike`` and have different labels."""
-    import pandas as pd
-
-    _, low, high = key
-    ids, label, block, chars = (rows[c].to_numpy(np.int64) for c in ("id", "label", "block", "chars"))
-    marks = [rows[c].to_numpy(np.int64).view(np.uint64) for c in ("mark_a", "mark_b")]
-    one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(len(ids)),) * 2
-    out = []
-    for i in one:
-        apart = sum(np.bitwise_count(m[i] ^ m[two]).astype(np.int64) for m in marks)
-        shorter, longer = np.minimum(chars[two], chars[i]), np.maximum(chars[two], chars[i])
-        fit = (shorter >= longer * SIMILARITY - 1e-6) & (apart <= np.where(longer <= SCREEN_CHARS, SCREEN, LONG_SCREEN))
-        with_ = ids[two[fit & (label[two] != label[i])]]
-        out.append(np.stack([np.minimum(with_, ids[i]), np.maximum(with_, ids[i])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
-
-
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance: shared ends cut off, the rest by bit-parallel dynamic programming.
 
@@ -373,6 +356,49 @@ def all_alike(ones: list[str], twos: list[str]) -> np.ndarray:
     return out
 
 
+def _block_links(key, rows):
+    """The links between different labels of one block, or of two blocks, of a bucket.
+
+    Pairs are screened as ``may_be_alike`` does; one that shares several of the buckets
+    compared like this is verified in the first of them only.
+    """
+    import pandas as pd
+
+    bucket, low, high = key
+    ids, label, block, chars = (rows[c].to_numpy(np.int64) for c in ("id", "label", "block", "chars"))
+    marks = [rows[c].to_numpy(np.int64).view(np.uint64) for c in ("mark_a", "mark_b")]
+    keys = [np.unique(np.asarray(k, np.int64)) for k in rows["keys"]]
+    table = np.zeros((len(keys), max(map(len, keys))), np.int64)
+    for i, k in enumerate(keys):
+        table[i, : len(k)], table[i, len(k) :] = k, k[-1]
+    forms = rows["form"].tolist()
+    one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(len(ids)),) * 2
+    out, waiting, n = [np.zeros((0, 2), np.int64)], [], 0
+
+    def verified(pairs: np.ndarray) -> np.ndarray:
+        return pairs[all_alike([forms[i] for i in pairs[:, 0]], [forms[i] for i in pairs[:, 1]])]
+
+    for i in one:
+        apart = sum(np.bitwise_count(m[i] ^ m[two]).astype(np.int64) for m in marks)
+        shorter, longer = np.minimum(chars[two], chars[i]), np.maximum(chars[two], chars[i])
+        fit = (shorter >= longer * SIMILARITY - 1e-6) & (apart <= np.where(longer <= SCREEN_CHARS, SCREEN, LONG_SCREEN)) & (label[two] != label[i])
+        if low == high:
+            fit &= ids[two] > ids[i]
+        at = two[fit]
+        shared = np.isin(table[at], keys[i])
+        at = at[np.where(shared, table[at], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == bucket]
+        if len(at):
+            waiting.append(np.stack([np.full(len(at), i), at], axis=1))
+            n += len(at)
+        if n >= PAIRS_AT_ONCE:
+            out.append(verified(np.concatenate(waiting)))
+            waiting, n = [], 0
+    if waiting:
+        out.append(verified(np.concatenate(waiting)))
+    links = ids[np.concatenate(out)]
+    return pd.DataFrame({"a": links.min(axis=1, initial=np.iinfo(np.int64).max), "b": links.max(axis=1, initial=np.iinfo(np.int64).min)}, dtype="int64")
+
+
 def _alike(batches):
     for batch in batches:
         keep = pc.and_(pc.is_valid(batch.column("form_a")), pc.is_valid(batch.column("form_b")))
@@ -392,6 +418,8 @@ def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
     # lines of fewer than MIN_WORDS words have no keys and are linked by nothing but equal form
     keys = lines.select("id", F.explode("keys").alias("key"))
 
+    ready: list[DataFrame] = []
+
     def prepare(ids: DataFrame):
         """The normal forms of the lines that share a key, all of a document taken from its text at once."""
         places = classes.join(ids, "id").select("id", "first.doc_id", "first.line")
@@ -400,6 +428,7 @@ def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
         # neither side has a bound, whatever the estimates say: the plan is the same at every size
         found = rows.join(of_doc.hint("shuffle_hash"), "doc_id").select(F.explode(F.flatten(cut)).alias("p"))
         forms = materialize(found.select("p.id", normalized(F.col("p.text")).alias("form")).dropDuplicates(["id"]), "line-forms")
+        ready.append(forms)
 
         def verify(pairs: DataFrame) -> DataFrame:
             full = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("form_a")), "a")
@@ -410,9 +439,10 @@ def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
 
     sigs = classes.select("id", F.struct("mark_a", "mark_b", "chars").alias("sig"))
 
-    def compare(dealt: DataFrame) -> DataFrame:
-        whole = dealt.select("key", "low", "high", "block", "id", "label", "sig.*")
-        return whole.groupBy("key", "low", "high").applyInPandas(_block_pairs, "a long, b long")
+    def compare(left: DataFrame) -> DataFrame:
+        own = left.groupBy("id").agg(F.collect_list("key").alias("keys")).join(ready[0].filter("form is not null"), "id")  # BLOCKS + WINDOWS keys at most
+        whole = dealt_blocks(left, F.lit(1), BLOCK_ROWS).select("key", "low", "high", "block", "id", "label", "sig.*").join(own, "id")
+        return whole.groupBy("key", "low", "high").applyInPandas(_block_links, "a long, b long")
 
     linked = link_buckets(keys, sigs, may_be_alike, prepare, compare)
     named = classes.join(linked, "id", "left").select("id", "check", "first", "n", F.coalesce("component", "id").alias("component"))

@@ -71,9 +71,8 @@ def link_buckets(
     ``verify(pairs(a, b))`` that keeps the pairs (a < b) that are really linked.
     What the pivots leave mixed, rows(key, id, sig, label), is compared in two ways:
     buckets of up to SMALL rows in an equi-join under ``screen``, larger ones by
-    ``compare(rows dealt to blocks)``, which emits the screened pairs (a, b) of
-    different labels; or all of them by ``remaining(rows)``, which finds the links
-    itself. Returns (id, component) for ids with at least one link. No link between two
+    ``compare(rows)``, which finds the links (a, b) between different labels itself,
+    block against block; or all of them by ``remaining(rows)``. Returns (id, component) for ids with at least one link. No link between two
     ids that share a key and pass ``screen`` is lost, except one whose ends are
     connected anyway.
     """
@@ -122,8 +121,8 @@ def link_buckets(
     else:
         x, y = (left.filter(F.col("n") <= SMALL).alias(side) for side in "xy")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & screen(F.col("x.sig"), F.col("y.sig")))
-        hot = compare(dealt_blocks(left.filter(F.col("n") > SMALL), F.lit(1), BLOCK_ROWS))
-        more = confirmed(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(hot.select("a", "b")))
+        more = confirmed(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        more = materialize(more.union(compare(left.filter(F.col("n") > SMALL).drop("n")).select("a", "b")).distinct(), "more")
     if more.isEmpty():
         return labels
     return connected_components(edges.union(more))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from orbitile.llm import bpe_tree, decontaminate, language, line_dedup, media, near_dedup, pii, token_ids, toxicity, trie_counts, webp
@@ -245,18 +246,24 @@ def test_hot_bucket_of_lines_is_compared_in_blocks(spark, monkeypatch):
     from orbitile.llm import linking
 
     monkeypatch.setattr(linking, "SMALL", 3)
-    monkeypatch.setattr(linking, "BLOCK_ROWS", 10)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     lines = []
     for _ in range(40):
         own = [word() for _ in range(12)]
         lines += [" ".join(own), " ".join([*own[:-1], word()])]
-    keys = spark.createDataFrame([(1, i) for i in range(len(lines))], "key long, id long")
+    keys = spark.createDataFrame([(k, i) for i in range(len(lines)) for k in (1, 2)], "key long, id long")
     marks = line_dedup.line_rows(*buffers(pa.array(lines)))
     sigs = spark.createDataFrame([(i, (int(m[0].view(np.int64)), int(m[1].view(np.int64)), int(c))) for i, (m, c) in enumerate(zip(marks["marks"], marks["chars"]))], "id long, sig struct<mark_a: long, mark_b: long, chars: int>")
-    compare = lambda dealt: dealt.select("key", "low", "high", "block", "id", "label", "sig.*").groupBy("key", "low", "high").applyInPandas(line_dedup._block_pairs, "a long, b long")
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 5)
     forms = dict(enumerate(lines))
+    form_of = spark.createDataFrame(list(forms.items()), "id long, form string")
+
+    def compare(left):
+        own = left.groupBy("id").agg(F.collect_list("key").alias("keys")).join(form_of, "id")
+        dealt = linking.dealt_blocks(left, F.lit(1), 10).select("key", "low", "high", "block", "id", "label", "sig.*").join(own, "id")
+        return dealt.groupBy("key", "low", "high").applyInPandas(line_dedup._block_links, "a long, b long")
+
     exact = lambda ids: lambda pairs: pairs.sparkSession.createDataFrame([(r.a, r.b) for r in pairs.collect() if line_dedup.alike(forms[r.a], forms[r.b])], "a long, b long")
     got = {r.id: r.component for r in linking.link_buckets(keys, sigs, line_dedup.may_be_alike, exact, compare).collect()}
     assert got == {i: i - i % 2 for i in range(len(lines))}
