@@ -891,7 +891,7 @@ def test_null_ids_and_clashing_columns_in_the_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 
