@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitile.functions.geo import from_utm, to_utm
+
 #: Highest pixel value that is not saturated, and band order (fixed values).
 MAX_PIXEL = 4000.0
 BANDS = ("B04", "B03", "B02", "B08")
@@ -169,6 +171,45 @@ def resample_nearest(fine: DataFrame, coarse: DataFrame, ratio: float, keys=GRID
     return placed.join(low, [*keys, "c_row", "c_col"])
 
 
+def nearest_index(at: Column, origin: Column, step: Column, n: Column) -> Column:
+    """Index i below n at which origin + i * step is nearest to ``at``, the first on ties; the step may be negative."""
+    guess = F.floor((at - origin) / step)
+    near = F.transform(F.array(*[F.least(F.greatest(guess + d, F.lit(0)), n - 1) for d in (-1, 0, 1, 2)]), lambda i: F.struct(F.abs(origin + i * step - at).alias("far"), i.alias("i")))
+    return F.array_min(near)["i"].cast("int")
+
+
+def reprojected_origin(references: DataFrame, epsg: Column) -> DataFrame:
+    """References (x0, y0, epsg) with their origin in the coordinates of another UTM zone; steps stay as they are.
+
+    EPSG 4326 holds longitude and latitude.
+    """
+    made = lambda frame, name, value: frame.select("*", F.inline(F.array(F.struct(value.alias(name)))))  # noqa: E731  read twice, computed once
+    geographic = F.struct(F.col("y0").alias("lat"), F.col("x0").alias("lon"))
+    placed = made(references, "_g", F.when(F.col("epsg") == 4326, geographic).otherwise(from_utm(F.col("x0"), F.col("y0"), F.col("epsg"))))
+    moved = made(placed, "_p", F.when(F.col("epsg") != epsg, to_utm(F.col("_g.lat"), F.col("_g.lon"), epsg)))
+    return moved.withColumns({"x0": F.coalesce("_p.x", "x0"), "y0": F.coalesce("_p.y", "y0"), "epsg": epsg}).drop("_p", "_g")
+
+
+def resample_onto(fine: DataFrame, fine_refs: DataFrame, coarse: DataFrame, coarse_refs: DataFrame, keys=GRID) -> DataFrame:
+    """Each grid's coarse raster read at the fine raster's pixels, by the nearest corner per axis, first on ties.
+
+    References (keys, epsg, x0, y0, xres, yres, width, height) name each raster's own origin,
+    steps of either sign and projection; a coarse raster of another projection is moved by its
+    origin. Both indexes are arithmetic, so the one join is on grid, row and column.
+    """
+    keys, fields = list(keys), ("x0", "y0", "xres", "yres")
+    target = fine_refs.select(*keys, F.col("epsg").alias("_epsg"), *[F.col(c).alias(f"_f{c}") for c in fields])
+    both = reprojected_origin(coarse_refs.join(target, keys), F.col("_epsg"))
+    both = both.select(*keys, *[f"_f{c}" for c in fields], *[F.col(c).alias(f"_c{c}") for c in (*fields, "width", "height")])
+    x, y = F.col("_fx0") + F.col("px_col") * F.col("_fxres"), F.col("_fy0") + F.col("px_row") * F.col("_fyres")
+    placed = fine.join(both, keys).withColumns({
+        "c_col": nearest_index(x, F.col("_cx0"), F.col("_cxres"), F.col("_cwidth")),
+        "c_row": nearest_index(y, F.col("_cy0"), F.col("_cyres"), F.col("_cheight")),
+    })
+    low = coarse.withColumnsRenamed({"px_row": "c_row", "px_col": "c_col"})
+    return placed.drop(*[c for c in both.columns if c not in keys]).join(low, [*keys, "c_row", "c_col"])
+
+
 def raster_stats(raster: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
     return raster.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.stddev_pop(v).alias("std_value"))
@@ -193,6 +234,31 @@ def edges_of(vertices: Column, closed: bool) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["a"]["x"].alias("x0"), p["a"]["y"].alias("y0"), p["b"]["x"].alias("x1"), p["b"]["y"].alias("y1")))
 
 
+def edges_of_rings(rings: Column) -> Column:
+    """Edges of all rings of a polygon: outer rings, holes and further parts alike."""
+    return F.flatten(F.transform(rings, lambda r: edges_of(r, True)))
+
+
+def line_pixels(shapes: DataFrame, vertices: str = "vertices") -> DataFrame:
+    """Pixels of thin lines: one a step along an edge's longer axis.
+
+    An edge goes from the pixel of its first vertex to that of its last. With ``long`` steps
+    along one axis and ``short`` along the other, the error term starts at half of ``long``,
+    loses ``short`` a step and moves the line by a pixel whenever it falls below zero: after
+    k steps it has done so ceil((k * short - long div 2) / long) times.
+    """
+    e = shapes.withColumn("_e", F.explode(edges_of(F.col(vertices), False)))
+    e = e.withColumns({f"_{a}{k}": F.floor(F.col(f"_e.{a}{k}")).cast("long") for a in "xy" for k in (0, 1)})
+    dx, dy = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    e = e.withColumns({"_long": F.greatest(F.abs(dx), F.abs(dy)), "_short": F.least(F.abs(dx), F.abs(dy))})
+    e = e.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_long"))))
+    half = F.floor(F.col("_long") / 2)
+    shift = F.when(F.col("_long") > 0, F.greatest(F.ceil((F.col("_k") * F.col("_short") - half) / F.col("_long")), F.lit(0))).otherwise(0)
+    wide = F.abs(dx) >= F.abs(dy)
+    at = {"px_col": F.col("_x0") + F.signum(dx) * F.when(wide, F.col("_k")).otherwise(shift), "px_row": F.col("_y0") + F.signum(dy) * F.when(wide, shift).otherwise(F.col("_k"))}
+    return e.withColumns({c: v.cast("int") for c, v in at.items()}).select(*shapes.columns, *PIXEL)
+
+
 def walked(shapes: DataFrame, vertices: str = "vertices", closed: bool = False) -> DataFrame:
     """Pixels that the edges of a line or ring touch: for each row of an edge, the columns it crosses there."""
     e = shapes.withColumn("_e", F.explode(edges_of(F.col(vertices), closed)))
@@ -211,11 +277,19 @@ def walked(shapes: DataFrame, vertices: str = "vertices", closed: bool = False)
 
 
 def filled(shapes: DataFrame, vertices: str = "vertices", all_touched: bool = False) -> DataFrame:
-    """Pixels whose centre lies inside a ring, by the even-odd rule; ``all_touched`` adds those its edges touch.
+    """Pixels whose centre lies inside a ring, as ``filled_rings`` of one ring."""
+    inside = filled_rings(shapes.withColumn("_rings", F.array(vertices)), "_rings").select(*shapes.columns, *PIXEL)
+    return inside.unionByName(walked(shapes, vertices, True).select(*shapes.columns, *PIXEL)) if all_touched else inside
+
 
-    Row by row: the crossings of the ring with the row's centre line, sorted, in pairs.
+def filled_rings(shapes: DataFrame, rings: str = "rings", all_touched: bool = False) -> DataFrame:
+    """Pixels whose centre lies inside a polygon of several rings, by the even-odd rule; ``all_touched`` adds those its edges touch.
+
+    Row by row: the crossings of all rings with the row's centre line, sorted, in pairs, so
+    holes are left out and further parts come in.
     """
-    bounds = shapes.withColumns({"_edges": edges_of(F.col(vertices), True), "_low": F.array_min(F.transform(vertices, lambda v: v["y"])), "_high": F.array_max(F.transform(vertices, lambda v: v["y"]))})
+    levels = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda v: v["y"])))
+    bounds = shapes.withColumns({"_edges": edges_of_rings(F.col(rings)), "_low": F.array_min(levels), "_high": F.array_max(levels)})
     rows = bounds.withColumn("px_row", F.explode(_rows_between(F.ceil(F.col("_low") - 0.5), F.floor(F.col("_high") - 0.5))))
     y = F.col("px_row") + 0.5
     crossing = lambda e: (e["y0"] <= y) != (e["y1"] <= y)
@@ -223,12 +297,15 @@ def filled(shapes: DataFrame, vertices: str = "vertices", all_touched: bool = Fa
     pairs = rows.withColumn("_x", xs).filter(F.size("_x") > 1).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2))))
     cols = _rows_between(F.ceil(F.get("_x", F.col("_i")) - 0.5), F.ceil(F.get("_x", F.col("_i") + 1) - 0.5) - 1)
     inside = pairs.withColumn("px_col", F.explode(cols)).select(*shapes.columns, *PIXEL)
-    return inside.unionByName(walked(shapes, vertices, True).select(*shapes.columns, *PIXEL)) if all_touched else inside
+    if not all_touched:
+        return inside
+    one = shapes.withColumn("_ring", F.explode(rings))
+    return inside.unionByName(walked(one, "_ring", True).select(*shapes.columns, *PIXEL))
 
 
 def map_features(features: DataFrame) -> DataFrame:
-    """Tagged features that are burned: all waterways, and boundaries that are lines."""
-    return features.dropna(subset=["tag"]).filter("tag_name = 'waterway' or geom_type = 'LineString'")
+    """Tagged features with a geometry that are burned: all waterways, and boundaries that are lines."""
+    return features.dropna(subset=["tag", "geom_type"]).filter("tag_name = 'waterway' or geom_type = 'LineString'")
 
 
 def rasterize(pixels: DataFrame, covered: DataFrame, name: str, keys=GRID) -> DataFrame:
@@ -238,5 +315,6 @@ def rasterize(pixels: DataFrame, covered: DataFrame, name: str, keys=GRID) -> Da
 
 
 def cloud_raster(clouds: DataFrame, all_touched: bool = False, keys=GRID) -> DataFrame:
-    """Pixels under a cloud polygon of each grid and date."""
-    return filled(clouds, all_touched=all_touched).select(*keys, "acq_date", *PIXEL).distinct()
+    """Pixels under a cloud polygon of each grid and date: one ring in ``vertices``, or several in ``rings``."""
+    burn = filled_rings if "rings" in clouds.columns else filled
+    return burn(clouds, all_touched=all_touched).select(*keys, "acq_date", *PIXEL).distinct()

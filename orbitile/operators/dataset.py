@@ -72,6 +72,22 @@ def epoch_sample(rows: DataFrame, ratio: float, order, used: DataFrame | None =
     return rows.filter("is_target = 1").unionByName(places.filter(F.col("_rank") <= F.col("_k")).select(*rows.columns))
 
 
+def draw_negatives(rows: DataFrame, ratio: float, order, drawn=None) -> DataFrame:
+    """round(ratio x positives) negatives, drawn with replacement: one row a draw, with its number ``draw``.
+
+    Draw i, from 1, takes the negative of rank ``drawn(i, n)``, 0 to n - 1 (by default a
+    hash of i modulo n); ranks come from ``ranked``. Draws are rows of a range and meet the
+    ranked negatives in a join, so that no task holds them all. Without negatives there is none.
+    """
+    drawn = drawn or (lambda i, n: F.pmod(F.xxhash64(i, F.lit(17)), n))
+    wanted = rows.filter("is_target = 1").agg(F.bround(F.count("*") * ratio, 0).cast("long").alias("k")).first()["k"]
+    places = ranked(rows.filter("is_target = 0"), order)
+    size = rows.filter("is_target = 0").agg(F.count("*").alias("_n")).filter("_n > 0")
+    draws = rows.sparkSession.range(1, wanted + 1).withColumnRenamed("id", "draw").join(F.broadcast(size), how="cross")  # one row
+    draws = draws.select("draw", (drawn(F.col("draw"), F.col("_n")) + 1).alias("_rank"))
+    return places.join(draws, "_rank").select("draw", *rows.columns)
+
+
 def best_epochs(history: DataFrame, *keys: str) -> DataFrame:
     """Adds is_best: accuracy above all earlier epochs' (from 0)."""
     before = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)

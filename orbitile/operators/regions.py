@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitile.functions.geo import METRES_A_DEGREE, cell_name
+from orbitile.functions.geo import METRES_A_DEGREE, cell_name, cell_top_left
 from orbitile.operators.composite import edges_of, mosaic_first
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
@@ -33,8 +33,12 @@ def region_has_truth(registry: DataFrame) -> DataFrame:
 
 
 def date_prefixes(registry: DataFrame) -> DataFrame:
-    """One row a day of each date range, with its unpadded key part /y/m/d/."""
-    days = registry.withColumn("day", F.explode(F.sequence("date_from", "date_to")))
+    """One row a day of a row's date ranges, with its unpadded key part /y/m/d/; a day of several ranges comes once."""
+    if "ranges" in registry.columns:
+        days = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["date_from"], r["date_to"]))))
+    else:
+        days = F.sequence("date_from", "date_to")
+    days = registry.withColumn("day", F.explode(days))
     return days.withColumn("prefix", F.concat(F.lit("/"), F.year("day"), F.lit("/"), F.month("day"), F.lit("/"), F.dayofmonth("day"), F.lit("/")))
 
 
@@ -76,7 +80,7 @@ def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
-def _edge_meets_box(e: Column, box: dict[str, Column]) -> Column:
+def edge_meets_box(e: Column, box: dict[str, Column]) -> Column:
     """Whether an edge touches a box: their ranges overlap and the box's corners are not all on one side of it."""
     low = lambda axis: F.least(e[f"{axis}0"], e[f"{axis}1"])
     high = lambda axis: F.greatest(e[f"{axis}0"], e[f"{axis}1"])
@@ -90,7 +94,7 @@ def ring_meets_box(vertices: Column, box: dict[str, Column]) -> Column:
     edges = edges_of(vertices, True)
     # with no edge at the box, the box's corner is inside the ring by the even-odd rule or nothing is shared
     crossed = lambda e: ((e["y0"] <= box["y0"]) != (e["y1"] <= box["y0"])) & (e["x0"] + (box["y0"] - e["y0"]) * (e["x1"] - e["x0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0)) > box["x0"])
-    return F.exists(edges, lambda e: _edge_meets_box(e, box)) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+    return F.exists(edges, lambda e: edge_meets_box(e, box)) | (F.size(F.filter(edges, crossed)) % 2 == 1)
 
 
 def polygon_grids(boxes: DataFrame, grids: DataFrame) -> DataFrame:
@@ -123,6 +127,34 @@ def dem_for_boxes(boxes: DataFrame, cells: DataFrame, metres: float) -> DataFram
     return _cells(buffered(boxes, metres), "lon", "lat").join(mosaic_first(cells, ["lat", "lon"]), ["lat", "lon"])
 
 
+def mosaic_pixels(cells: DataFrame, side: int) -> DataFrame:
+    """Adds g_row and g_col, whole numbers from 90 degrees north and 180 west, from the cells' names.
+
+    A cell has ``side`` steps a degree and ``side + 1`` pixels a line: its last row and column
+    are the first ones of its neighbours, and have the same numbers.
+    """
+    corner = cells.withColumn("_c", cell_top_left(F.col("cell")))
+    at = {"g_row": (90 - F.col("_c.lat")) * side + F.col("px_row"), "g_col": (F.col("_c.lon") + 180) * side + F.col("px_col")}
+    return corner.withColumns({k: v.cast("int") for k, v in at.items()}).drop("_c")
+
+
+def dem_mosaic(boxes: DataFrame, cells: DataFrame, metres: float, side: int, keys=("district",)) -> DataFrame:
+    """Elevation rasters of boxes grown by ``metres``, put together from the cell rasters that exist.
+
+    ``cells(cell, source_order, px_row, px_col, elevation)``. Of sources, then cells, that
+    overlap the first with a value wins; pixels without any are left out. Returns keys,
+    px_row and px_col within the box's mosaic, lon and lat of the pixel, elevation.
+    """
+    keys = list(keys)
+    needed = dem_cells(buffered(boxes, metres)).select(*keys, "cell")
+    seen = cells.select("cell").distinct().join(needed, "cell")
+    tops = mosaic_pixels(seen.withColumns({"px_row": F.lit(0), "px_col": F.lit(0)}), side).groupBy(*keys).agg(F.min("g_row").alias("_top"), F.min("g_col").alias("_left"))
+    pixels = mosaic_pixels(cells.filter("elevation is not null").join(needed, "cell"), side)
+    first = pixels.groupBy(*keys, "g_row", "g_col").agg(F.min_by("elevation", F.struct("source_order", "cell", "elevation")).alias("elevation"))
+    place = [(F.col("g_row") - F.col("_top")).alias("px_row"), (F.col("g_col") - F.col("_left")).alias("px_col"), (F.col("g_col") / side - 180).alias("lon"), (90 - F.col("g_row") / side).alias("lat")]
+    return first.join(tops, keys).select(*keys, *place, "elevation")
+
+
 def download_estimate(files: DataFrame) -> DataFrame:
     """Files, gigabytes and their transfer price at 0.09 a gigabyte, rounded to 2."""
     gb = F.sum("size_bytes") / 1e9

@@ -84,13 +84,6 @@ def label_tiles(points: DataFrame, step: float, keys=GRID) -> DataFrame:
     return inside.groupBy(*keys, "tx", "ty").agg(first.alias("first")).select(*keys, "tx", "ty", "first.*")
 
 
-def truth_in_footprint(points: DataFrame, footprints: DataFrame, keys=GRID) -> DataFrame:
-    """Points strictly inside a footprint box of their grid, through whole-unit cells both share."""
-    cells = footprints.withColumn("cx", F.explode(F.sequence(F.floor("x_lo").cast("int"), F.floor("x_hi").cast("int")))).withColumn("cy", F.explode(F.sequence(F.floor("y_lo").cast("int"), F.floor("y_hi").cast("int"))))
-    keyed = points.withColumns({"cx": F.floor("x").cast("int"), "cy": F.floor("y").cast("int")})
-    return keyed.join(cells, [*keys, "cx", "cy"]).filter("x > x_lo and x < x_hi and y > y_lo and y < y_hi").drop("cx", "cy")
-
-
 def dedupe_truth(match: DataFrame, order: str = "seq") -> DataFrame:
     """Of positive rows with one location the first stays; negative rows all stay."""
     w = Window.partitionBy("bridge_loc").orderBy(order)

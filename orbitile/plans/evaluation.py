@@ -9,6 +9,7 @@ from orbitile.operators import dataset as D
 from orbitile.operators import metrics as M
 from orbitile.operators import scoring as S
 from orbitile.operators import tiles as T
+from orbitile.operators.training import train_epochs
 from orbitile.sources.io import read_checkpoints, read_results, scratch
 from orbitile.sources.views import oracle, view
 
@@ -194,6 +195,30 @@ def epoch_pool(spark, d):
     return D.epoch_sample(v, 0.5, _order(), used=first)
 
 
+def epoch_draws(spark, d):
+    """Negatives with replacement, by a draw that both engines compute alike."""
+    return D.draw_negatives(view(spark, d, "val"), 2.5, _order(), lambda i, n: (i * 7919 + 104729) % n)
+
+
+def _split_tiles(spark, d):
+    tiles = D.stratified_split(view(spark, d, "tile"), 70, ["grp", "is_target"], _order())
+    return [tiles.filter(F.col("split") == s).drop("split") for s in ("train", "validate")]
+
+
+def _trained(spark, d):
+    return train_epochs(*_split_tiles(spark, d), ["red", "nir"], 8, scratch(spark, "epochs"), EPOCHS, RATE)
+
+
+def train_history(spark, d):
+    """Checkpoints of a training run, judged on its validation split each epoch, the best so far marked."""
+    out = D.best_epochs(_trained(spark, d).withColumn("acc", F.col("total_acc")), "architecture", "ratio")
+    return _rounded(out.select("architecture", "ratio", "epoch", "total_acc", "bridge_acc", "no_bridge_acc", "is_best"), "total_acc", "bridge_acc", "no_bridge_acc")
+
+
+def trained_checkpoint(spark, d):
+    return D.best_checkpoint(_trained(spark, d).withColumn("acc", F.col("total_acc")), "architecture", "ratio").select("architecture", "epoch", "path")
+
+
 def _linear(batch: np.ndarray) -> np.ndarray:
     """A fixed two-class model: sums of the halves of a tensor."""
     half = batch.shape[1] // 2
@@ -242,6 +267,20 @@ NEG = "select * from val where is_target = 0 {anti} order by tile_id * 7919 % 10
 EPOCH = "select * from (select * from val where is_target = 1 union all select * from ({n}))"
 HALVES = "select tile_id, is_target, list_sum([x::double for x in tensor[1:32]]) as a, list_sum([x::double for x in tensor[33:64]]) as b from tile"
 
+EPOCHS, RATE, SIZE = 4, 2.0, 17
+#: Gradient steps written out, an epoch after the other.
+STEPS = f"""with s as ({SPLIT.format(cols='grp, is_target,', s='grp, is_target', t='tile')}),
+ t as (select tile.is_target as target, split, list_append(list_concat(list_transform(tensor[1:8], lambda v: cast(v as double)), list_transform(tensor[25:32], lambda v: cast(v as double))), 1e0) as x from tile join s on s.tile_id = tile.tile_id),
+ w0 as (select list_transform(range({SIZE}), lambda i: 0e0) as w), """ + ", ".join(
+    f"w{k + 1} as (select [" + ", ".join(f"any_value(w)[{j}] - {RATE}e0 * avg((1e0 / (1e0 + exp(-list_dot_product(x, w))) - target) * x[{j}])" for j in range(1, SIZE + 1)) + f"] as w from t, w{k} where split = 'train')"
+    for k in range(EPOCHS)
+)
+TRAINED = STEPS + ", judged as (" + " union all ".join(f"select {k} as epoch, target, case when list_dot_product(x, w) > 0 then 1 else 0 end as pred from t, w{k + 1} where split = 'validate'" for k in range(EPOCHS)) + """),
+ h as (select 'logistic' as architecture, 1e0 as ratio, cast(epoch as int) as epoch, avg(case when pred = target then 1e0 else 0e0 end) * 100 as total_acc, avg(case when pred = target then 1e0 else 0e0 end) filter (where target = 1) * 100 as bridge_acc,
+  avg(case when pred = target then 1e0 else 0e0 end) filter (where target = 0) * 100 as no_bridge_acc from judged group by epoch),
+ b as (select *, total_acc > coalesce(max(total_acc) over (order by epoch rows between unbounded preceding and 1 preceding), 0e0) as is_best from h) """
+DRAWS = "select i as draw, n.tile_id, n.is_target from (select unnest(range(1, (select cast(round_even(count(*) * 2.5e0, 0) as bigint) from val where is_target = 1) + 1)) as i) d join (select *, row_number() over (order by tile_id * 7919 % 10007, tile_id) - 1 as r, count(*) over () as n from val where is_target = 0) n on n.r = (i * 7919 + 104729) % n.n"
+
 QUERIES = {
     "threshold_pred": (threshold_pred, oracle("select tile_id, case when conf >= 0.834e0 and pred = 1 then 1 else 0 end as sure from pred", "pred")),
     "subset_semi": (subset_semi, oracle("select * from pred where tile_id in (select tile_id from val)", "pred", "val")),
@@ -275,6 +314,9 @@ QUERIES = {
     "split_complement": (split_complement, oracle(f"select tile_id, is_target from ({VAL_SPLIT}) where split = 'validate'", "val")),
     "epoch_sample": (epoch_sample, oracle(EPOCH.format(n=NEG.format(anti="", r="1.5")), "val")),
     "epoch_pool": (epoch_pool, oracle(EPOCH.format(n=NEG.format(anti=f"and tile_id not in (select tile_id from ({NEG.format(anti='', r='0.5')}))", r="0.5")), "val")),
+    "epoch_draws": (epoch_draws, oracle(DRAWS, "val")),
+    "train_history": (train_history, oracle(TRAINED + "select architecture, ratio, epoch, round(total_acc, 6) as total_acc, round(bridge_acc, 6) as bridge_acc, round(no_bridge_acc, 6) as no_bridge_acc, is_best from b", "tile")),
+    "trained_checkpoint": (trained_checkpoint, oracle(TRAINED + "select architecture, max(epoch) as epoch, concat('logistic_r1.0_red_nir_epoch', max(epoch), '.tar') as path from b where is_best group by architecture", "tile")),
     "score_tiles": (score_tiles, oracle(f"select tile_id, is_target, case when b > a then 1 else 0 end as pred, round(1e0 / (1e0 + exp(-abs(a - b))), 6) as conf from ({HALVES})", "tile")),
     "train_grid": (train_grid, None),
     "select_layers": (select_layers, oracle("select tile_id, cast(pos as int) as pos, cast(case when pos < 8 then tensor[25 + pos] else tensor[pos - 7] end as double) as v from tile, (select unnest(range(16)) as pos)", "tile")),

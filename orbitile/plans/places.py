@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitile.functions import geo as G
+from orbitile.operators import cover
 from orbitile.operators import regions as R
 from orbitile.operators import tiles as T
 from orbitile.sources.io import numeric_keys, read_registry, scratch
@@ -25,7 +26,7 @@ def region_registry(spark, d):
     regions = view(spark, d, "registry").groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("district", entry.alias("e")))).alias("districts"))
     path = scratch(spark, "registry")
     regions.select(F.to_json(F.create_map("region", F.struct("districts"))).alias("value")).write.text(path)
-    return read_registry(spark, path)
+    return read_registry(spark, path).drop("ranges")
 
 
 def requested_locations(spark, d):
@@ -152,7 +153,7 @@ def label_tiles(spark, d):
 
 def truth_in_footprint(spark, d):
     feet = view(spark, d, "feature").select("mgrs", "feature_id", F.col("x0").alias("x_lo"), F.col("x1").alias("x_hi"), F.col("y0").alias("y_lo"), F.col("y1").alias("y_hi"))
-    return T.truth_in_footprint(view(spark, d, "truth"), feet).select("feature_id", "bridge_id")
+    return cover.truth_in_footprint(view(spark, d, "truth"), feet).select("feature_id", "bridge_id")
 
 
 def dedupe_truth(spark, d):
@@ -230,15 +231,15 @@ N = G._N
 NUM = "select seq, list_transform(regexp_extract_all(bbox, '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: cast(x as double)) as v from match where regexp_matches(bbox, '^\\(\\([^()]*\\), \\([^()]*\\), \\([^()]*\\), \\([^()]*\\)\\)$')"
 
 
-def _inverse(x, y):
-    """SQL of latitude and longitude in degrees of a point in the southern zone EPSG, as (with-columns, lat, lon)."""
+def _inverse(x, y, epsg=EPSG):
+    """SQL of latitude and longitude in degrees of a point in a southern zone."""
     scale = G.SCALE * G._A
     xi, eta = f"(({y} - 10000000e0) / {scale}e0)", f"(({x} - 500000e0) / {scale}e0)"
     x1 = xi + "".join(f" - {b:.17g} * sin({2 * k}e0 * {xi}) * cosh({2 * k}e0 * {eta})" for k, b in enumerate(G._BETA, 1))
     e1 = eta + "".join(f" - {b:.17g} * cos({2 * k}e0 * {xi}) * sinh({2 * k}e0 * {eta})" for k, b in enumerate(G._BETA, 1))
     chi = f"asin(sin({x1}) / cosh({e1}))"
     lat = f"degrees({chi}" + "".join(f" + {c:.17g} * sin({2 * k}e0 * {chi})" for k, c in enumerate(G._DELTA, 1)) + ")"
-    return lat, f"degrees(atan2(sinh({e1}), cos({x1}))) + {(EPSG % 100) * 6 - 183}e0"
+    return lat, f"degrees(atan2(sinh({e1}), cos({x1}))) + (({epsg} % 100) * 6e0 - 183e0)"
 
 
 def _forward(lat, lon, epsg):

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitile.operators import composite as C
-from orbitile.operators.regions import pending_work
-from orbitile.sources.io import scratch, write_composite
+from orbitile.sources.io import composites_of_pending, scratch, write_blocks, write_composite
 from orbitile.sources.views import oracle, view
 
 MASKED = "case when value * clear <> 0 and value * clear <= 4000e0 then value * clear end"
@@ -108,12 +107,12 @@ def osm_filter(spark, d):
 
 
 def _burned_features(spark, d):
-    """Polygons are filled boxes here, lines the diagonals of theirs."""
+    """Polygons are filled boxes here, lines the diagonals of theirs, one pixel thin."""
     f = C.map_features(view(spark, d, "feature")).select("mgrs", "tag_name", "geom_type", "x0", "y0", "x1", "y1")
     line = f.filter("geom_type = 'LineString'").withColumn("vertices", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y1"))]))
     polygon = f.filter("geom_type = 'Polygon'").withColumn("vertices", F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]))
     columns = ("mgrs", "tag_name", "px_row", "px_col")
-    return C.walked(line).select(*columns).union(C.filled(polygon).select(*columns))
+    return C.line_pixels(line).select(*columns).union(C.filled(polygon).select(*columns))
 
 
 def _osm(pixels, covered):
@@ -154,24 +153,41 @@ def composite_sink(spark, d):
     return one.groupBy("region", "district", "mgrs").agg(F.count("*").alias("n"), *[F.sum(b).alias(b) for b in C.BAND_NAMES.values()])
 
 
+def _eight(spark, d, obs, grids=None):
+    """Eight layers of each pixel in one plan: medians, water, boundary, elevation, slope; of some grids only, if named."""
+    of = (lambda frame: frame.join(F.broadcast(grids), "mgrs", "left_semi")) if grids is not None else (lambda frame: frame)
+    terrain = C.slope(of(view(spark, d, "dem")), STEP).select("mgrs", "px_row", "px_col", F.round("elevation", 6).alias("elevation"), F.round("slope", 6).alias("slope"))
+    # the composite's own pixels are the ones map features are burned into
+    return C.stack_bands([_osm(C.band_pivot(obs), of(_burned_features(spark, d))), terrain])
+
+
 def multivariate_sink(spark, d):
-    """Eight bands written by region, district and grid; grids that are done are left out of the work."""
-    path = scratch(spark, "multivariate")
-    obs = view(spark, d, "obs")
-    eight = _placed(multivariate_composite(spark, d))
-    done = write_composite(eight.filter("mgrs = '36MGR'"), path).select("mgrs").distinct()
-    left = pending_work(_placed(obs.select("mgrs").distinct()), done, ["mgrs"])
-    every = write_composite(eight.join(F.broadcast(left.select("mgrs")), "mgrs", "left_semi"), path)
-    bands = [c for c in eight.columns if c not in ("region", "district", "mgrs", "px_row", "px_col")]
+    """Eight bands written by region, district and grid in two runs; the second reads and computes only what the first left."""
+    path, log, stored = (scratch(spark, name) for name in ("multivariate", "finished", "observations"))
+    view(spark, d, "obs").write.partitionBy("mgrs").parquet(stored)
+    obs = spark.read.parquet(stored)
+    wanted = _placed(obs.select("mgrs").distinct())
+    build = lambda work, grids: _eight(spark, d, work, grids)
+    composites_of_pending(obs, wanted.filter("mgrs = '36MGR'"), build, path, log)
+    every = composites_of_pending(obs, wanted, build, path, log)
+    bands = [c for c in every.columns if c not in ("region", "district", "mgrs", "px_row", "px_col")]
     return every.groupBy("region", "district", "mgrs").agg(F.count("*").alias("n"), *[F.round(F.sum(b), 3).alias(b) for b in bands])
 
 
 def multivariate_composite(spark, d):
-    """Eight layers of each pixel in one plan: medians, water, boundary, elevation, slope."""
-    four = C.band_pivot(view(spark, d, "obs"))
-    terrain = _slope(spark, d).select("mgrs", "px_row", "px_col", F.round("elevation", 6).alias("elevation"), F.round("slope", 6).alias("slope"))
-    # the composite's own pixels are the ones map features are burned into
-    return C.stack_bands([_osm(four, _burned_features(spark, d)), terrain])
+    return _eight(spark, d, view(spark, d, "obs"))
+
+
+def block_composite(spark, d):
+    """Block arrays by grid and band, their one reference, the median of their dates, pixels with coordinates."""
+    blocks = view(spark, d, "block")
+    values = F.transform("values", lambda v: F.when(v > -0.2, v.cast("double")))
+    stored = write_blocks(blocks.withColumn("values", values), scratch(spark, "blocks"))
+    red = stored.filter("band = 'B04'")
+    reference = C.one_reference(red)
+    pixels = C.block_median(C.blocks_of_arrays(red, 8), 8).join(F.broadcast(reference), "mgrs")  # one row a grid
+    x, y = F.col("x0") + F.col("px_col") * F.col("xres"), F.col("y0") + F.col("px_row") * F.col("yres")
+    return pixels.select("mgrs", "epsg", "px_row", "px_col", x.alias("x"), y.alias("y"), F.round("value", 6).alias("value"))
 
 
 GRAD = f"""select mgrs, px_row, px_col, elevation,
@@ -183,14 +199,20 @@ GRAD = f"""select mgrs, px_row, px_col, elevation,
 SLOPE = f"select mgrs, px_row, px_col, elevation, degrees(atan(sqrt(gx * gx + gy * gy))) as slope from ({GRAD}) g"
 SCENES = "select mgrs, acq_date, band, count(*) as n_pixels from obs group by all"
 MASKS = "select mgrs, acq_date, band, count(*) as n_cloudy from obs where clear = 0 group by all"
-FEATURES = "select * from feature where tag is not null and (tag_name = 'waterway' or geom_type = 'LineString')"
+FEATURES = "select * from feature where tag is not null and geom_type is not null and (tag_name = 'waterway' or geom_type = 'LineString')"
 BOXES = """select mgrs, tag_name, cast(r as int) as px_row, cast(c as int) as px_col from (select unnest(range(cast(ceil(y0 - 0.5) as int), cast(ceil(y1 - 0.5) as int))) as r, * from ({f}) f where geom_type = 'Polygon') a,
  lateral (select unnest(range(cast(ceil(x0 - 0.5) as int), cast(ceil(x1 - 0.5) as int))) as c) b"""
 #: Pixels of an edge (ax, ay) to (tx, by) that is not level: row by row, from where it enters the row to where it leaves.
 WALK = """select {k}, cast(r as int) as px_row, cast(c as int) as px_col from (select *, ax + (greatest(least(ay, ty), r) - ay) * (tx - ax) / (ty - ay) as ea, ax + (least(greatest(ay, ty), r + 1e0) - ay) * (tx - ax) / (ty - ay) as eb
  from (select *, unnest(range(cast(floor(least(ay, ty)) as int), cast(floor(greatest(ay, ty)) as int) + 1)) as r from ({e}) e) q) a,
  lateral (select unnest(range(cast(floor(least(ea, eb)) as int), cast(floor(greatest(ea, eb)) as int) + 1)) as c) b"""
-LINES = WALK.format(k="mgrs, tag_name", e=f"select mgrs, tag_name, x0 as ax, y0 as ay, x1 as tx, y1 as ty from ({FEATURES}) where geom_type = 'LineString'")
+#: Thin lines by the error term, a step at a time.
+LINES = f"""select distinct mgrs, tag_name, px_row, px_col from (with recursive line(mgrs, tag_name, px_col, px_row, err, along, down, steps) as (
+ select mgrs, tag_name, cast(floor(x0) as int), cast(floor(y0) as int), cast(greatest(floor(x1) - floor(x0), floor(y1) - floor(y0)) as int) // 2, cast(floor(x1) - floor(x0) as int), cast(floor(y1) - floor(y0) as int),
+  cast(greatest(floor(x1) - floor(x0), floor(y1) - floor(y0)) as int) from ({FEATURES}) where geom_type = 'LineString'
+ union all select mgrs, tag_name, px_col + case when along >= down or err - along < 0 then 1 else 0 end, px_row + case when along < down or err - down < 0 then 1 else 0 end,
+  err - least(along, down) + case when err - least(along, down) < 0 then greatest(along, down) else 0 end, along, down, steps - 1 from line where steps > 0)
+ select * from line)"""
 BURNED = f"{BOXES.format(f=FEATURES)} union {LINES}"
 OSM = f"""select p.mgrs, p.px_row, p.px_col, cast(w.px_row is not null as int) as water, cast(b.px_row is not null as int) as boundary
  from (select distinct mgrs, px_row, px_col from obs) p
@@ -206,6 +228,10 @@ PIVOT = "select mgrs, px_row, px_col, " + ", ".join(f"median(case when band = '{
 MULTI = f"""select a.mgrs, a.px_row, a.px_col, red, green, blue, nir, water, boundary, round(elevation, 6) as elevation, round(slope, 6) as slope
         from ({PIVOT}) a join ({OSM}) o on a.mgrs = o.mgrs and a.px_row = o.px_row and a.px_col = o.px_col join ({SLOPE}) t on a.mgrs = t.mgrs and a.px_row = t.px_row and a.px_col = t.px_col"""
 
+BLOCKS = """select mgrs, epsg, px_row, px_col, x0 + px_col * xres as x, y0 + px_row * yres as y, round(median(v), 6) as value from
+ (select mgrs, epsg, x0, y0, xres, yres, cast(block_row * 8 + (i - 1) // 8 as int) as px_row, cast(block_col * 8 + (i - 1) % 8 as int) as px_col, cast(values[i] as double) as v from (select *, unnest(range(1, 65)) as i from block where band = 'B04') b)
+ where v > cast(-0.2 as double) group by all"""
+
 QUERIES = {
     "median_composite": (median_composite, oracle(MED, "obs")),
     "mask_clouds": (mask_clouds, oracle(f"select band, acq_date, count(*) as n, count({MASKED}) as n_clear, sum({MASKED}) as total from obs group by all", "obs")),
@@ -231,6 +257,7 @@ QUERIES = {
     "osm_raster": (osm_raster, oracle(OSM, "obs", "feature")),
     "cloud_raster": (cloud_raster, oracle(INSIDE, "cloud")),
     "cloud_raster_touched": (cloud_raster_touched, oracle(f"{INSIDE} union {WALK.format(k='mgrs, acq_date', e=EDGES)}", "cloud")),
+    "block_composite": (block_composite, oracle(BLOCKS, "block")),
     "composite_sink": (composite_sink, oracle(f"select 'Uganda' as region, 'D35' as district, mgrs, count(*) as n, sum(red) as red, sum(green) as green, sum(blue) as blue, sum(nir) as nir from ({PIVOT}) where mgrs = '35MRV' group by mgrs", "obs")),
     "multivariate_sink": (multivariate_sink, oracle(f"select case when mgrs = '35MRV' then 'Uganda' else 'Rwanda' end as region, concat('D', mgrs[1:2]) as district, mgrs, count(*) as n, {', '.join(f'round(sum({b}), 3) as {b}' for b in ('red', 'green', 'blue', 'nir', 'water', 'boundary', 'elevation', 'slope'))} from ({MULTI}) group by mgrs", "obs", "feature", "dem")),
     "multivariate_composite": (multivariate_composite, oracle(MULTI, "obs", "feature", "dem")),

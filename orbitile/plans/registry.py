@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbitile.plans import assets, evaluation, places, raster
+from orbitile.plans import assets, evaluation, ground, places, raster
 
-QUERIES = {**raster.QUERIES, **evaluation.QUERIES, **assets.QUERIES, **places.QUERIES}
+QUERIES = {**raster.QUERIES, **evaluation.QUERIES, **assets.QUERIES, **places.QUERIES, **ground.QUERIES}
 
 
 def queries():

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 TILE_MATCH = T.StructType([T.StructField("tile", T.StringType()), T.StructField("bbox", T.StringType()), T.StructField("is_bridge", T.BooleanType()), T.StructField("bridge_loc", T.StringType())])
 CHECKPOINT = "architecture string, ratio double, epoch int, total_acc double, bridge_acc double, no_bridge_acc double, path string"
-DISTRICTS = "struct<districts: map<string, struct<bbox: array<double>, dates: array<string>, ground_truth: boolean>>>"
+DISTRICTS = "struct<dates: array<array<string>>, districts: map<string, struct<bbox: array<double>, dates: array<string>, ground_truth: boolean>>>"
 RESULT = T.StructType([T.StructField("tile_id", T.LongType()), T.StructField("pred", T.IntegerType()), T.StructField("conf", T.DoubleType())])
 
 
@@ -45,9 +45,11 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """One row a region and district from nested text: region, districts, then bbox, dates, ground_truth.
+    """One row a region and district from nested text: region, dates and districts, then bbox and ground_truth.
 
-    Files are JSON, one document each or one a line; ``registry_of`` takes the same nesting
+    ``dates`` are a list of ranges of the region, which hold for its districts, or one range
+    of a district. Column ``ranges`` holds them, date_from and date_to their first and last
+    day; a range that ends before it begins is left out. Files are JSON, one document each or one a line; ``registry_of`` takes the same nesting
     from any other reader, such as one of YAML.
     """
     lines = spark.read.text(path).select(F.from_json("value", f"map<string, {DISTRICTS}>").alias("regions"))
@@ -63,10 +65,14 @@ def registry_of(spark: SparkSession, nested: dict) -> DataFrame:
 
 
 def _registry_rows(frame: DataFrame) -> DataFrame:
-    flat = frame.select(F.explode("regions").alias("region", "r")).select("region", F.explode("r.districts").alias("district", "e"))
+    flat = frame.select(F.explode("regions").alias("region", "r")).select("region", F.col("r.dates").alias("_dates"), F.explode("r.districts").alias("district", "e"))
     box = [F.get("e.bbox", F.lit(i)).alias(c) for i, c in enumerate(("min_lon", "min_lat", "max_lon", "max_lat"))]
-    days = [F.get("e.dates", F.lit(i)).cast("date").alias(c) for i, c in enumerate(("date_from", "date_to"))]
-    return flat.select("region", "district", *box, *days, F.coalesce("e.ground_truth", F.lit(False)).alias("ground_truth"))
+    lists = F.when(F.col("e.dates").isNotNull(), F.array("e.dates")).otherwise(F.col("_dates"))
+    ranges = F.transform(lists, lambda d: F.struct(F.get(d, F.lit(0)).cast("date").alias("date_from"), F.get(d, F.lit(1)).cast("date").alias("date_to")))
+    ranges = F.filter(ranges, lambda r: r["date_from"] <= r["date_to"])
+    first, last = F.array_min(F.transform("ranges", lambda r: r["date_from"])), F.array_max(F.transform("ranges", lambda r: r["date_to"]))
+    out = flat.withColumn("ranges", ranges)
+    return out.select("region", "district", *box, first.alias("date_from"), last.alias("date_to"), F.coalesce("e.ground_truth", F.lit(False)).alias("ground_truth"), "ranges")
 
 
 def numeric_keys(frame: DataFrame, column: str) -> DataFrame:
@@ -75,6 +81,20 @@ def numeric_keys(frame: DataFrame, column: str) -> DataFrame:
     return pairs.withColumn("number", F.expr("try_cast(key as double)"))
 
 
+def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Truth points of CSV files with Latitude and Longitude among their columns: lat, lon and point (x is the latitude).
+
+    Columns are found by name, whatever their order; rows without either number are left out.
+    """
+    header = spark.read.csv(path, header=True).columns  # the first line only
+    if missing := {"Latitude", "Longitude"} - set(header):
+        raise ValueError(f"no truth file: {sorted(missing)} missing")
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in header)).csv(path, header=True)
+    lat, lon = (F.expr(f"try_cast({c} as double)") for c in ("Latitude", "Longitude"))
+    points = rows.select(lat.alias("lat"), lon.alias("lon")).dropna()
+    return points.withColumn("point", F.struct(F.col("lat").alias("x"), F.col("lon").alias("y")))
+
+
 def read_truth_points(rows: DataFrame) -> DataFrame:
     """Truth points that have both coordinates."""
     return rows.dropna(subset=["x", "y"])
@@ -98,6 +118,49 @@ def write_composite(composite: DataFrame, path: str, keys=("region", "district",
     return composite.sparkSession.read.parquet(path)
 
 
+def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """A table of block arrays, a folder a grid and band, so that readers open only those they ask for."""
+    blocks.write.partitionBy("mgrs", "band").mode("append").parquet(path)
+    return blocks.sparkSession.read.parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str, grids=None, bands=None) -> DataFrame:
+    """Blocks of the named grids and bands (all if None); folders of others are not opened."""
+    blocks = spark.read.parquet(path)
+    for column, names in (("mgrs", grids), ("band", bands)):
+        if names is not None:
+            blocks = blocks.filter(F.col(column).isin(list(names)))
+    return blocks
+
+
+def finished_work(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """The table of finished work at ``path`` (``keys`` as a schema); none yet is an empty one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.schema(keys).parquet(path)
+    return spark.createDataFrame([], keys)
+
+
+def composites_of_pending(observations: DataFrame, wanted: DataFrame, build, path: str, log: str) -> DataFrame:
+    """Composites of the grids of ``wanted(region, district, mgrs)`` that ``log`` does not list, written at ``path``.
+
+    What is pending is known before observations are read: the names of the pending grids, of
+    which the earth has some 57,000 of 100 km, are a filter of the scan, so of a table
+    partitioned by grid no other folder is opened. ``build(observations, grids)`` makes the composite.
+    A grid is listed after its folder has been written; a run that breaks in between writes the
+    folder again, so runs can be repeated. Returns the table of composites.
+    """
+    spark, keys = observations.sparkSession, ["region", "district", "mgrs"]
+    done = finished_work(spark, log, "region string, district string, mgrs string")
+    pending = wanted.select(*keys).distinct().join(done, keys, "left_anti")
+    grids = pending.select("mgrs").distinct()
+    names = [r["mgrs"] for r in grids.collect()]  # grid squares of the earth at most
+    work = observations.filter(F.col("mgrs").isin(names))
+    write_composite(build(work, grids).join(F.broadcast(pending), "mgrs"), path)
+    pending.write.mode("append").parquet(log)
+    return spark.read.parquet(path)
+
+
 def tile_match_levels(tiles: DataFrame, path: str) -> DataFrame:
     """One table partitioned by region, district, grid and tile size; levels are filters of it."""
     tiles.write.partitionBy("region", "district", "mgrs", "tile_size").parquet(path)

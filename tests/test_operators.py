@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbitile.functions import geo
-from orbitile.operators import catalog, composite, dataset, metrics, scoring, tiles
+from orbitile.operators import catalog, composite, cover, dataset, metrics, scoring, tiles
 from orbitile.operators.regions import requested
 from orbitile.sources.views import view
 
@@ -51,7 +51,7 @@ def test_grids_do_not_mix(spark):
         "slices": lambda g: composite.row_slices(obs.filter(g), 2),
         "tensor": lambda g: tiles.tile_tensor(dem.filter(g), 2, "elevation"),
         "labels": lambda g: tiles.label_tiles(points.filter(g), 1.0),
-        "truth": lambda g: tiles.truth_in_footprint(points.filter(g), boxes.filter(g)),
+        "truth": lambda g: cover.truth_in_footprint(points.filter(g), boxes.filter(g)),
     }
     for name, run in cases.items():
         both = sorted(map(str, run(F.lit(True)).collect()))
@@ -240,7 +240,7 @@ def test_labels_use_a_point_once_and_skip_edges(spark):
 
 def test_no_nested_loops(spark):
     feet = view(spark, DATA, "feature").select("mgrs", "feature_id", F.col("x0").alias("x_lo"), F.col("x1").alias("x_hi"), F.col("y0").alias("y_lo"), F.col("y1").alias("y_hi"))
-    assert "NestedLoop" not in plan(tiles.truth_in_footprint(view(spark, DATA, "truth"), feet))
+    assert "NestedLoop" not in plan(cover.truth_in_footprint(view(spark, DATA, "truth"), feet))
     assert "LeftSemi" in plan(metrics.subset(view(spark, DATA, "pred"), view(spark, DATA, "val")))
 
 
