@@ -31,12 +31,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document that loses all its lines stays with an empty text; a null text stays null.
     """
-    out = line_dedup.line_dedup(docs)
+    # a column of the name of the operator's count waits under another name
+    other = next(n for n in (f"n_removed_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    out = line_dedup.line_dedup(docs.withColumnRenamed("n_removed", other), floor=1).drop("n_removed").withColumnRenamed(other, "n_removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    # an input column of the name of the operator's count is not kept by it
-    own = docs.columns if "n_removed" not in docs.columns else [c for c in docs.columns if c != "n_removed"]
-    return out.select(*own)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
