@@ -173,7 +173,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     fresh = mentions.filter("not held").join(patterns.select("pattern"), "pattern").join(sure, "instance")
     kind = F.lit(KINDS.index("id"))
     added = fresh.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", kind.alias("kind"), "end")).alias("added"))
-    out = once.select("doc_id", "key", "base").join(materialize(added, "pii-added"), ["doc_id", "key"], "left")
+    added = materialize(added, "pii-added").withColumnsRenamed({"doc_id": "of", "key": "of_key"})
+    out = once.select("doc_id", "key", "base").join(added, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     name = F.array(*map(F.lit, KINDS))
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
