@@ -431,10 +431,8 @@ def test_language(spark, docs, odd):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in got)
     plain = [(d["doc_id"], d["text"], d["lang"]) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1 and d["lang"] and d["text"]]
-    names, matrix, priors = language.train(spark.createDataFrame(plain, "doc_id long, text string, lang string"))
+    ((names, matrix, priors),) = language.models(spark.createDataFrame(plain, "doc_id long, text string, lang string"))
     assert names == sorted({x[2] for x in plain}) and np.allclose(np.exp(priors).sum(), 1) and np.allclose(np.exp(matrix.astype(float)).sum(axis=0), 1, atol=1e-3)
-    few, _, _ = language.train(spark.createDataFrame([(i, "abc", f"l{i % 7}") for i in range(50)], "doc_id long, text string, lang string"), max_langs=3)
-    assert few == ["l0", "l1", "l2"]
     none = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(odd).collect()}
     assert none[1] == none[2] == none[3] == ("und", 0.0) and none[4][0] == "en"
 
@@ -442,9 +440,9 @@ def test_language(spark, docs, odd):
 def test_language_scores_equal_a_plain_version(spark, docs):
     """Every n-gram hashed by itself, log-probabilities and priors added up one by one."""
     rows = [(d["doc_id"], d["text"], d["lang"]) for d in docs][:60] + [(9001, "a", None), (9002, "Ab-cé 12", None)]
-    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (model,) = language.models(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     names, matrix, priors = model
-    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), [model]).collect()}
 
     def column(gram):
         h = 0
@@ -458,8 +456,32 @@ def test_language_scores_equal_a_plain_version(spark, docs):
         grams = [plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)]
         total = np.array([sum(float(matrix[column(g), k]) for g in grams) for k in range(len(names))])
         p = total / len(grams) * min(len(grams), language.EVIDENCE) + priors
-        p = np.exp(p - p.max())
-        assert got[doc_id].lang_pred == names[int(p.argmax())] and abs(got[doc_id].score - p.max() / p.sum()) < 1e-6
+        p, best = np.exp(p - p.max()), int((total + priors).argmax())
+        assert got[doc_id].lang_pred == names[best] and abs(got[doc_id].score - p[best] / p.sum()) < 1e-6
+
+
+def test_languages_in_blocks_equal_one_matrix(spark):
+    """200 languages of skewed sizes: blocks of any size predict what one matrix does; equal languages go to the first by name."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(200):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        for i in range(1 + 40 // (k + 1)):
+            rows.append((1000 * k + i, "".join(rng.choice([*letters, " "]) for _ in range(60)), f"l{k:03d}"))
+    rows += [(10**6 + k, "twin twin", f"t{k}") for k in (2, 1)] + [(10**7, "twin " * 300, None), (10**7 + 1, None, None), (10**7 + 2, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predict(df, language.models(df, block=b)).collect()} for b in (512, 64))
+    assert one == many and one[10**7][0] == "t1" and one[10**7 + 1] == one[10**7 + 2] == ("und", 0.0)
+
+
+def test_long_text_of_a_rare_language(spark):
+    """The whole text decides against the prior, not its first n-grams' worth of it."""
+    names = ["common", "rare"]
+    matrix = np.full((1 << language.BITS, 2), np.log(1e-4), np.float32)
+    matrix[:, 1] += np.float32(0.02)
+    model = (names, matrix, np.log(np.array([0.999, 0.001])))
+    df = spark.createDataFrame([(1, "a" * 20), (2, "a" * 2000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(df, [model]).collect()} == {1: "common", 2: "rare"}
 
 
 def test_pretokens_equal_the_pattern():
@@ -826,6 +848,14 @@ def test_personal_data_bootstraps(spark):
     assert got[10] == "id:26:42" and got[11] == "" and got[12] == ""
 
 
+def test_personal_data_of_null_ids(spark):
+    """Equal texts have equal spans, with an id or without."""
+    rows = [(i, f"your token = AbCd{i:04d}EfGh9 here") for i in range(12)]
+    rows.append((None, rows[5][1]))
+    got = {r.doc_id: (r.spans, r.n_id) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[None] == got[5] and len(got) == 13
+
+
 def test_personal_data_contexts(spark):
     """Grouped numbers are one mention, contexts are whole words, secrets teach their phrase, quotes stay outside."""
     seeds = ["4111 1111 1111 1111", "5500005555555559", "340000000000009", "6011000000000004"]
@@ -874,7 +904,7 @@ def test_null_ids_and_clashing_columns_in_the_stages(spark, tmp_path):
 
     line = "one two three four five six seven eight nine ten"
     rows = [(1, f"{line}\n{line} eleven twelve", 5, "a"), (None, line, 6, "b"), (None, line, 6, "b"), (2, None, None, "c"), (3, "", 0, "d"), (4, line, 7, "e"), (4, line, 7, "e")]
-    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, n_chars int, row string, id int, kept int, gone int")
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, n_chars int, row string, id int, kept int, gone int, n_removed int")
     with_tables = str(tmp_path)
     spark.createDataFrame([(900, 1), (901, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "no text here holds this passage of the benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
