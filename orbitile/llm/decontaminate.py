@@ -3,11 +3,11 @@
 Each benchmark item has a SimHash fingerprint over its words and word pairs. A
 document is read through windows as long as the item, in words; a window's fingerprint
 comes from prefix sums of bit counts. Fingerprints meet through a multi-index: 64 bits
-are cut into four blocks of 16, and two fingerprints within RADIUS = 15 bits have a
-block within 3 bits, so looking a window's four blocks up in tables that hold each
-item's blocks with all changes of up to 3 bits finds every item within the radius.
-A window that holds a cut or spliced part of an item can be further away, so all windows
-whose shingles of an item may weigh enough, by prefix sums of weights, are candidates too.
+are cut into eight blocks of 8, and two fingerprints within RADIUS = 23 bits have a
+block within 2 bits, so looking a window's eight blocks up in tables that hold, for each
+item size, the items' blocks with all changes of up to 2 bits finds every item of the
+window's size within the radius. A window that holds just SIMILARITY of an item differs in
+15 bits at the mean, in 23 or fewer in 99 of 100 cases; nothing else makes a candidate.
 Candidates are verified exactly: the share of the item's weighted word shingles
 (weight: log of how rare the shingle is among items) that the window holds, at least
 SIMILARITY.
@@ -15,9 +15,9 @@ SIMILARITY.
 A window that shares no shingle with an item cannot pass the verification, so only
 windows around shingles of the benchmark are fingerprinted; this loses nothing.
 
-A broadcast index holds ITEMS_A_PASS items: more items are worked through in blocks of so
-many, one step of a row's way through its task for each block, so the corpus is read
-once and no row is regrouped, whatever the number of blocks.
+A broadcast index holds ITEMS_A_PASS items whose texts have TEXT_A_PASS bytes together, or
+one longer item. More items are further passes over the corpus, one index at a time, of
+which only matches are written.
 
 Cases: null or word-free texts and items match nothing; an item of fewer words than a
 shingle is one shingle, its whole word sequence, and a window as long as the item; of
@@ -32,17 +32,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitile.llm.shared import materialize
 from orbitile.llm.textbytes import Words, bits_to_long, grams, mix, text_slices
 
 WIDTH = 5
 SIMILARITY = 0.75
-RADIUS, BLOCKS = 15, 4
+RADIUS, BLOCKS = 23, 8
 BLOCK_BITS = 64 // BLOCKS
-#: Items whose index is broadcast at a time.
-ITEMS_A_PASS = 5_000
+#: Items whose index is broadcast at a time, and bytes of their texts.
+ITEMS_A_PASS, TEXT_A_PASS = 5_000, 1 << 25
 
 #: Words of a window up to which the counts of words and pairs fit lanes of 16 bits.
 MOST_LANES = 32_000
@@ -128,26 +129,28 @@ class Index:
         self.weight = np.log(1 + len(self.ids) / np.maximum(holders, 1))
         self.total = np.bincount(self.item, self.weight, len(self.ids))
         self.widths = sorted(set(self.width.tolist()))
-        # block tables: (block number, changed block value) -> items, sorted by key
+        # block tables: (item size, block number, changed block value) -> items, sorted by key
         keys, items = [], []
         for b in range(BLOCKS):
-            block = ((self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint32)
-            keys.append(((block[:, None] ^ _NEAR[None, :]) | np.uint32(b << BLOCK_BITS)).ravel())
+            block = (self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)
+            keys.append((self._block_key(self.size, b)[:, None] + (block[:, None].astype(np.uint32) ^ _NEAR[None, :])).ravel())
             items.append(np.repeat(np.arange(len(block)), len(_NEAR)))
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
-        self.block_item = np.concatenate(items)[order].astype(np.int32)
-        self.block_first = np.searchsorted(key[order], np.arange((BLOCKS << BLOCK_BITS) + 1))
+        self.block_item, self.block_key = np.concatenate(items)[order].astype(np.int32), key[order]
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS bits, each once."""
+    def _block_key(self, size: np.ndarray, block: int) -> np.ndarray:
+        return (np.asarray(size, np.int64) * BLOCKS + block) << BLOCK_BITS
+
+    def near(self, prints: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of equal size within RADIUS bits, each once."""
         found = []
         for b in range(BLOCKS):
-            key = ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64) + (b << BLOCK_BITS)
-            n = self.block_first[key + 1] - self.block_first[key]
+            key = self._block_key(size, b) + ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+            low = np.searchsorted(self.block_key, key, "left")
+            n = np.searchsorted(self.block_key, key, "right") - low
             window = np.repeat(np.arange(len(prints)), n)
-            before = np.cumsum(n) - n
-            item = self.block_item[np.arange(int(n.sum())) + np.repeat(self.block_first[key] - before, n)]
+            item = self.block_item[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
             close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             found.append(window[close] * len(self.ids) + item[close])
         pairs = np.unique(np.concatenate(found))
@@ -179,14 +182,11 @@ class Index:
         size, start = self._windows(words, self.size[self.item[row]], place)
         if len(start) == 0:
             return none, none, np.zeros(0)
-        window, item = self.near(Fingerprints(words).of(start, size))
-        fit = self.size[item] == size[window]
-        window, item = window[fit], item[fit]
+        window, item = self.near(Fingerprints(words).of(start, size), size)
         hit_key = self.item[row] * (len(words.hashes) + 1) + place
         order = np.argsort(hit_key, kind="stable")
         hit_key, hit_row = hit_key[order], row[order]
-        key = self._heavy(words, hit_key, hit_row)
-        key = np.unique(np.concatenate([item * (len(words.hashes) + 1) + start[window], key]))
+        key = np.unique(item * (len(words.hashes) + 1) + start[window])
         item, start = key // (len(words.hashes) + 1), key % (len(words.hashes) + 1)
         low, high = np.searchsorted(hit_key, key, "left"), np.searchsorted(hit_key, key + self._reach(item), "left")
         return self._verified(words.text[start], item, low, high, hit_row)
@@ -210,8 +210,8 @@ class Index:
         text, item, share = zip(*good, strict=True) if good else ((), (), ())
         return np.array(text, np.int64), np.array(item, np.int64), np.array(share, np.float64)
 
-    def _windows(self, words: Words, size: np.ndarray, place: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(size or group, first word) of all windows of ``size`` words that hold a place, each once.
+    def _windows(self, words: Words, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size, first word) of all windows of ``size`` words that hold a place, each once.
 
         The windows around a place are an interval of first words; overlapping intervals
         are joined before they are written out, so there are no more rows than words.
@@ -220,9 +220,8 @@ class Index:
         owner = words.text[place]
         low = np.maximum(place - np.maximum(size - np.minimum(size, WIDTH), 0), words.first[owner])
         high = np.minimum(place, words.first[owner + 1] - size)
-        own = size if group is None else group
         some = np.flatnonzero(low <= high)
-        key, end = own[some] * step + low[some], own[some] * step + high[some]
+        key, end = size[some] * step + low[some], size[some] * step + high[some]
         order = np.argsort(key, kind="stable")
         key, end = key[order], np.maximum.accumulate(end[order]) if len(order) else end[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] > end[:-1] + 1])) if len(key) else order
@@ -235,81 +234,83 @@ class Index:
         """Shingles in a window of the item's size."""
         return self.size[item] - np.minimum(self.size[item], WIDTH) + 1
 
-    def _heavy(self, words: Words, hit_key: np.ndarray, hit_row: np.ndarray) -> np.ndarray:
-        """Keys (item, first word) of windows whose hits, repeats counted, weigh SIMILARITY of the item."""
-        item, place = hit_key // (len(words.hashes) + 1), hit_key % (len(words.hashes) + 1)
-        item, start = self._windows(words, self.size[item], place, item)
-        key = item * (len(words.hashes) + 1) + start
-        total = np.concatenate([[0.0], np.cumsum(self.weight[hit_row])])
-        low, high = np.searchsorted(hit_key, key, "left"), np.searchsorted(hit_key, key + self._reach(item), "left")
-        return key[total[high] - total[low] >= (SIMILARITY - 1e-6) * self.total[item]]
-
     def _weight(self, rows: np.ndarray) -> float:
         return float(self.weight[np.unique(rows)].sum())
 
 
-_FOUND = "doc_id long, text string, item_ids array<long>, similarity double"
+_FOUND = "doc_id long, text_a long, text_b long, item_ids array<long>, similarity double"
 
 
-def _with_matches(rows: DataFrame, index: Index) -> DataFrame:
-    """Rows of _FOUND with the items of one index added to those found before."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and two hashes of the text, which name a row of a corpus up to repetition, and the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("text_a"), F.xxhash64(text, F.lit(2)).alias("text_b"), text.alias("text"))
 
+
+def _matches_of(index: Index):
     def run(batches):
-        index = shared.value
         for batch in batches:
-            for i, j, body, offsets in text_slices(batch.column(1)):
-                text, item, share = index.matches(body, offsets)
-                own = batch.slice(i, j - i)
-                ids, best = own.column(2).to_pylist(), own.column(3).to_numpy(zero_copy_only=False).copy()
-                for t, k, s in zip(text.tolist(), item.tolist(), share.tolist(), strict=True):
-                    ids[t].append(int(index.ids[k]))
-                    best[t] = max(s, best[t])
-                lists = pa.array([sorted(set(x)) for x in ids], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists, pa.array(best, pa.float64())], ["doc_id", "text", "item_ids", "similarity"])
-
-    return rows.mapInArrow(run, _FOUND)
-
-
-def item_blocks(benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS):
-    """Indexes of the benchmark, at most ``items_a_pass`` items each, in item order."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+            for i, j, body, offsets in text_slices(batch.column(3)):
+                found: dict[int, tuple[list[int], float]] = {}
+                for t, k, share in zip(*map(np.ndarray.tolist, index.value.matches(body, offsets)), strict=True):
+                    ids, best = found.get(t, ([], 0.0))
+                    found[t] = ([*ids, int(index.value.ids[k])], max(best, share))
+                at = sorted(found)
+                rows = batch.slice(i, j - i).take(pa.array(at, pa.int64()))
+                lists = pa.array([sorted(set(found[t][0])) for t in at], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), lists, pa.array([found[t][1] for t in at], pa.float64())], ["doc_id", "text_a", "text_b", "item_ids", "similarity"])
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS, text_a_pass: int = TEXT_A_PASS):
+    """Indexes of the benchmark in item order: at most ``items_a_pass`` items and ``text_a_pass`` bytes, or one item, each."""
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    by = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = None
     while True:
         rest = items if last is None else items.filter((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
-        part = rest.distinct().orderBy("item_id", "text").limit(items_a_pass).collect()
-        if part:
-            yield Index([r["item_id"] for r in part], [r["text"] for r in part])
-            last = (part[-1]["item_id"], part[-1]["text"])
-        if len(part) < items_a_pass:
+        first = rest.orderBy("item_id", "text").limit(items_a_pass).withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(by))
+        part = first.filter((F.col("bytes") <= text_a_pass) | (F.col("bytes") == F.octet_length("text"))).select("item_id", "text").collect()
+        if not part:
             return
+        yield Index([r["item_id"] for r in part], [r["text"] for r in part])
+        last = (part[-1]["item_id"], part[-1]["text"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """(doc_id, contaminated, item_ids, similarity) for every document; repeated rows each come out."""
-    none = [F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity")]
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *none)
+def matches(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """(doc_id, text_a, text_b, item_ids, similarity) of the rows of ``docs`` that hold an item, once for repeated rows."""
+    spark, keys = docs.sparkSession, ["doc_id", "text_a", "text_b"]
+    found = spark.createDataFrame([], _FOUND)
     for index in item_blocks(benchmark, items_a_pass):
-        found = _with_matches(found, index)
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "similarity")
+        shared = spark.sparkContext.broadcast(index)
+        found = found.union(materialize(_keyed(docs).mapInArrow(_matches_of(shared), _FOUND), "contaminated"))
+        shared.unpersist()  # one index at a time
+    # an item of each pass at most for each pass and row, whatever the number of repeated rows
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
+    return found.groupBy(*keys).agg(lists, F.max("similarity").alias("similarity"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    place = docs.columns.index("text")
+def _same(found: DataFrame):
+    return F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_a") == F.col("_text_a")) & (F.col("text_b") == F.col("_text_b"))
 
-    def clean(docs: DataFrame, index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches):
-            for batch in batches:
-                for i, j, body, offsets in text_slices(batch.column(place)):
-                    keep = np.ones(j - i, bool)
-                    keep[shared.value.matches(body, offsets)[0]] = False
-                    yield batch.slice(i, j - i).filter(pa.array(keep))
+def _renamed(found: DataFrame) -> DataFrame:
+    return found.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "text_a", "text_b")})
 
-        return docs.mapInArrow(run, docs.schema)
 
-    for index in item_blocks(benchmark, items_a_pass):
-        docs = clean(docs, index)
-    return docs
+def contamination(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """(doc_id, contaminated, item_ids, similarity) for every document; repeated rows each come out."""
+    found = _renamed(matches(docs, benchmark, items_a_pass))
+    rows = _keyed(docs).drop("text").join(found, _same(found), "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids")
+    return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), ids, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
+    found = _renamed(matches(docs, benchmark, items_a_pass))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.col("row.text").cast("string")
+    keyed = docs.select(whole).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("text_a"), F.xxhash64(text, F.lit(2)).alias("text_b"))
+    return keyed.join(found, _same(found), "left_anti").select("row.*")

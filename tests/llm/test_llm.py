@@ -312,26 +312,28 @@ def test_decontamination_of_a_very_long_item():
 
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(3)
-    index = decontaminate.Index([1], ["w1 w2 w3 w4 w5 w6"])
-    index.ids, index.prints = np.arange(1), np.array([0x0123456789ABCDEF], np.uint64)
-    fresh = decontaminate.Index.__new__(decontaminate.Index)
-    fresh.__dict__.update(index.__dict__)
-    keys = [((np.uint32(int(index.prints[0]) >> (16 * b) & 0xFFFF) ^ decontaminate._NEAR) | np.uint32(b << 16)) for b in range(4)]
-    key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
-    fresh.block_item = np.zeros(len(key), np.int32)
-    fresh.block_first = np.searchsorted(key[order], np.arange((4 << 16) + 1))
-    for _ in range(200):
-        n = int(rng.integers(0, 16))
+    index = decontaminate.Index([1, 2, 3], ["w1 w2 w3 w4 w5 w6", "w1 w2 w3 w4 w5 w7", "w1 w2 w3 w4 w5 w6 w8"])
+    for _ in range(300):
+        n = int(rng.integers(0, decontaminate.RADIUS + 1))
         flipped = int(index.prints[0])
         for bit in rng.choice(64, n, replace=False):
             flipped ^= 1 << int(bit)
-        window, item = fresh.near(np.array([flipped], np.uint64))
-        assert len(window) == 1
+        window, item = index.near(np.array([flipped], np.uint64), np.array([6]))
+        near = {i for i in (0, 1) if (flipped ^ int(index.prints[i])).bit_count() <= decontaminate.RADIUS}
+        assert window.tolist() == [0] * len(near) and set(item.tolist()) == near and 0 in near
+
+
+def test_nothing_is_found_but_through_the_index(monkeypatch):
+    item = " ".join(f"b{i}" for i in range(30))
+    body = np.frombuffer(f"x y {item} z".encode(), np.uint8)
+    index = decontaminate.Index([7], [item])
+    assert len(index.matches(body, np.array([0, len(body)]))[0]) == 1
+    monkeypatch.setattr(decontaminate.Index, "near", lambda self, prints, size: (np.zeros(0, np.int64),) * 2)
+    assert len(index.matches(body, np.array([0, len(body)]))[0]) == 0
 
 
-def test_decontamination_of_parts_equals_brute_force(spark):
-    """Cut and spliced items against the shingle shares of all windows."""
+def test_decontamination_of_parts_against_brute_force(spark):
+    """Cut, spliced and altered items against the shingle shares of all windows: recall of 0.97, nothing else."""
     rng = random.Random(6)
     word = lambda: f"v{rng.randrange(100000)}"
     items = [[word() for _ in range(rng.choice([20, 40, 60, 100]))] for _ in range(60)]
@@ -340,6 +342,8 @@ def test_decontamination_of_parts_equals_brute_force(spark):
         item, share = items[k % 60], rng.choice([0.7, 0.76, 0.8, 0.85])
         n = round(share * (len(item) - 4)) + 4
         part = item[:n] if k % 2 else item[-n:]
+        if k % 3 == 0:  # a few words changed, or another passage put in between
+            part = [w if rng.random() > 0.05 else word() for w in item] if k % 2 else item[: n // 2] + [word() for _ in range(3)] + item[n // 2 : n]
         texts.append([word() for _ in range(rng.randrange(120))] + part + [word() for _ in range(rng.randrange(120))])
     holders = {}
     for i, item in enumerate(items):
@@ -355,8 +359,10 @@ def test_decontamination_of_parts_equals_brute_force(spark):
         expected[t] = [t % 60] if held / sum(weight[s] for s in own) >= 0.75 else []
     df = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
-    assert sum(map(bool, expected.values())) > 100
-    assert {r.doc_id: r.item_ids for r in decontaminate.contamination(df, bench).collect()} == expected
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(df, bench).collect()}
+    true = {t for t, found in expected.items() if found}
+    assert len(true) > 100 and all(got[t] == expected[t] for t in got if got[t])
+    assert sum(bool(got[t]) for t in true) >= 0.97 * len(true)
 
 
 def test_toxicity_learns_and_holds_out(spark):
