@@ -35,6 +35,16 @@ class Grammar:
             out = F.endswith(name, F.lit(end)) & out
         return F.startswith(name, F.lit(begin)) & out if begin else out
 
+    def groups(self, name: Column) -> Column:
+        """The groups of a name that matches, null where a group is missing: the name is matched once for all of them."""
+        apart = GAP.join(f"${i + 1}" for i in range(len(self.fields)))
+        whole = F.regexp_replace(name, self.pattern.removesuffix("$") + "(?s:.*)$", apart)
+        return F.transform(F.split(whole, GAP), lambda x: F.nullif(x, F.lit("")))
+
+
+#: Stands between the groups of a matched name; no file name holds it.
+GAP = "\u0001"
+
 
 #: Kinds in the order in which a name is tried against them (fixed values).
 GRAMMARS = (
@@ -73,8 +83,8 @@ def kind_of(name: Column) -> Column:
 def parse(assets: DataFrame) -> DataFrame:
     """``assets(path)`` with kind and typed fields; fields a kind does not have are null."""
     out = computed_once(assets.withColumn("name", base_name(F.col("path"))), kind=kind_of(F.col("name")))
-    # the groups of the one grammar that matched, then fields by their place in it
-    groups = [F.when(F.col("kind") == g.kind, F.array(*[F.nullif(F.regexp_extract("name", g.pattern, i + 1), F.lit("")) for i in range(len(g.fields))])) for g in GRAMMARS]
+    # the groups of the one grammar that matched, by one more match, then fields by their place in it
+    groups = [F.when(F.col("kind") == g.kind, g.groups(F.col("name"))) for g in GRAMMARS]
     # a one-row generator: filters on parsed fields stay above it and copy no patterns
     out = computed_once(out, _groups=F.coalesce(*groups))
 

@@ -314,6 +314,13 @@ def rasterize(pixels: DataFrame, covered: DataFrame, name: str, keys=GRID) -> Da
     return pixels.join(ones, [*keys, *PIXEL], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def rasterize_tags(pixels: DataFrame, covered: DataFrame, names: dict[str, str], tag: str = "tag_name", keys=GRID) -> DataFrame:
+    """``pixels`` with a 0/1 column for each tag of ``names`` (tag: column), all burned in one aggregation and one join."""
+    burned_in = covered.filter(F.col(tag).isin(list(names))).groupBy(*keys, *PIXEL)
+    ones = burned_in.agg(*[F.max((F.col(tag) == t).cast("int")).alias(c) for t, c in names.items()])
+    return pixels.join(ones, [*keys, *PIXEL], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names.values()})
+
+
 def cloud_raster(clouds: DataFrame, all_touched: bool = False, keys=GRID) -> DataFrame:
     """Pixels under a cloud polygon of each grid and date: one ring in ``vertices``, or several in ``rings``."""
     burn = filled_rings if "rings" in clouds.columns else filled

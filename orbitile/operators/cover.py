@@ -93,10 +93,11 @@ def points_in_polygons(points: DataFrame, shapes: DataFrame, keys=GRID, rings: s
     return met.filter(F.col("_whole") | strictly_inside(F.col("_edges"), F.col("x"), F.col("y"))).drop("_e", "_cx", "_cy", "_whole", "_edges")
 
 
-def _degrees(x: Column, y: Column, epsg: Column) -> Column:
-    """Longitude and latitude as a vertex (x, y)."""
-    p = from_utm(x, y, epsg)
-    return F.struct(p["lon"].alias("x"), p["lat"].alias("y"))
+def _ring_in_degrees(corners: list[tuple[Column, Column]], epsg: Column) -> Column:
+    """Corners in metres as vertices (x: longitude, y: latitude); the projection stands in the plan once for all of them."""
+    metres = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+    places = F.transform(metres, lambda c: from_utm(c["x"], c["y"], epsg))
+    return F.transform(places, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
 
 
 def _tile(x: Column, y: Column) -> Column:
@@ -114,7 +115,7 @@ def label_tiles_degrees(points: DataFrame, grids: DataFrame, keys=GRID, order: s
     """
     keys, epsg = list(keys), F.col("epsg")
     right, low = F.col("x0") + F.col("width") * F.col("res"), F.col("y0") - F.col("height") * F.col("res")
-    outline = F.array(_degrees(F.col("x0"), F.col("y0"), epsg), _degrees(right, F.col("y0"), epsg), _degrees(right, low, epsg), _degrees(F.col("x0"), low, epsg))
+    outline = _ring_in_degrees([(F.col("x0"), F.col("y0")), (right, F.col("y0")), (right, low), (F.col("x0"), low)], epsg)
     outlined = computed_once(grids.select(F.lit(0).alias("_all"), *keys, "epsg", "x0", "y0", "res", "width", "height", "step"), rings=F.array(outline))
     named = points.select(F.lit(0).alias("_all"), order, F.col("lon").alias("x"), F.col("lat").alias("y"))
     met = points_in_polygons(named, outlined, ["_all"]).drop("_all", "rings")
@@ -124,8 +125,8 @@ def label_tiles_degrees(points: DataFrame, grids: DataFrame, keys=GRID, order: s
 
     def proved(rows: DataFrame) -> DataFrame:
         """Adds _held: whether the tile exists and holds the point."""
-        corner = lambda i, j: _degrees(F.col("x0") + (F.col("_tile.x") + i) * side, F.col("y0") - (F.col("_tile.y") + j) * side, epsg)
-        ring = computed_once(rows, _ring=F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
+        corner = lambda i, j: (F.col("x0") + (F.col("_tile.x") + i) * side, F.col("y0") - (F.col("_tile.y") + j) * side)
+        ring = computed_once(rows, _ring=_ring_in_degrees([corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)], epsg))
         edged = computed_once(ring, _edges=edges_of_rings(F.array("_ring"))).drop("_ring")
         there = (F.col("_tile.x") >= 0) & (F.col("_tile.y") >= 0) & (F.col("_tile.x") * F.col("step") < F.col("width")) & (F.col("_tile.y") * F.col("step") < F.col("height"))
         return computed_once(edged, _held=there & strictly_inside(F.col("_edges"), F.col("x"), F.col("y"))).drop("_edges")

@@ -116,8 +116,7 @@ def _burned_features(spark, d):
 
 
 def _osm(pixels, covered):
-    water = C.rasterize(pixels, covered.filter("tag_name = 'waterway'"), "water")
-    return C.rasterize(water, covered.filter("tag_name = 'boundary'"), "boundary")
+    return C.rasterize_tags(pixels, covered, {"waterway": "water", "boundary": "boundary"})
 
 
 def osm_raster(spark, d):
