@@ -85,10 +85,11 @@ def label_tiles(points: DataFrame, step: float, keys=GRID) -> DataFrame:
 
 
 def dedupe_truth(match: DataFrame, order: str = "seq") -> DataFrame:
-    """Of positive rows with one location the first stays; negative rows all stay."""
+    """Of positive rows with one location the first stays; negative rows and those without a location all stay."""
+    located = F.coalesce(F.col("is_bridge"), F.lit(False)) & F.col("bridge_loc").isNotNull()
     w = Window.partitionBy("bridge_loc").orderBy(order)
-    first = match.filter("is_bridge").withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
-    return first.unionByName(match.filter("not is_bridge or is_bridge is null"))
+    first = match.filter(located).withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
+    return first.unionByName(match.filter(~located))
 
 
 def parse_bbox(text: Column) -> Column:

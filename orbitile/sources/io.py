@@ -16,8 +16,10 @@ RESULT = T.StructType([T.StructField("tile_id", T.LongType()), T.StructField("pr
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder all executors see: below spark.checkpoint.dir, or, on one machine only, a temporary one where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder all executors see: below spark.checkpoint.dir or the session's checkpoint folder, or, on one machine only, a temporary one where neither is set."""
+    base, current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and current.isDefined():
+        base = current.get()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")

@@ -258,6 +258,14 @@ def test_training_equals_a_plain_version(spark, tmp_path):
         training.train_epochs(df.limit(0), df, ["red"], 8, path)
 
 
+def test_positives_without_a_location_stay(spark):
+    from orbitile.operators.tiles import dedupe_truth
+
+    rows = [(1, True, "p"), (2, True, "p"), (3, True, None), (4, True, None), (5, False, None), (6, None, "p"), (7, False, "p")]
+    got = dedupe_truth(spark.createDataFrame(rows, "seq int, is_bridge boolean, bridge_loc string"))
+    assert sorted(r.seq for r in got.collect()) == [1, 3, 4, 5, 6, 7]
+
+
 def test_draws_with_replacement(spark):
     rows = [(i, int(i < 5)) for i in range(12)]
     df = spark.createDataFrame(rows, "tile_id long, is_target int")
