@@ -8,8 +8,10 @@ a border are copied to the regions over it. Links are pairs at a distance of RAD
    ones are its own shingles, taken in one order for all, rare ones first; the order follows
    counts over all documents in 2**18 cells. Two linked documents share at least
    0.8 * size shingles, so they meet in a region of the first size - ceil(0.8 * size) + 1
-   pivots of each: this is the window within which a document is copied. Regions with one
-   class end here.
+   pivots of each: this is the window within which a document is copied. A window wider by a
+   tenth of the size holds as many more shingles that both have, so a document that shares
+   fewer of its wider window with others is linked with none and ends here, as do regions of
+   one class.
 2. Level 1: each region takes the document that meets most others as its pivot. Documents
    within RADIUS of it are linked with it and are one component.
 3. Regions that this leaves in different components are cut further. A region takes PIVOTS of
@@ -18,8 +20,12 @@ a border are copied to the regions over it. Links are pairs at a distance of RAD
    than the region's own reach + RADIUS. Both ends of a link meet in the home of either. This
    recurs until regions have LEAF documents or fewer; a region that keeps most of its
    documents in one part is not cut again.
-4. The last regions are compared inside tasks on full sets, cut into blocks of bounded size
-   where they are large, so that only links come out.
+4. The last regions are compared inside tasks, cut into blocks of bounded size where they are
+   large. First on folded sets: how many shingles fall into each of FOLDS classes. Their
+   distance is at most the number of shingles that only one of two sets holds, so pairs beyond
+   what a link allows are let go; a pair of several regions counts in the first of them only;
+   and a region loses the documents without a partner. What is left is compared on full sets,
+   and only links come out.
 
 Nothing is estimated: every link is confirmed on full sets and none is lost, except one whose
 ends are connected anyway. Each task sends a set's pivots once, however many copies it reads.
@@ -38,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitile.llm.linking import dealt_blocks, link_buckets
+from orbitile.llm.linking import BLOCK_ROWS, dealt_blocks, link_buckets
 from orbitile.llm.shared import materialize
 from orbitile.llm.textbytes import mix, shingle_sets, sums_between, text_slices
 
@@ -46,10 +52,14 @@ WIDTH, PERCENT = 5, 80
 RADIUS = 1 - PERCENT / 100
 #: Cells in which shingles are counted, and cells a row of counts holds.
 CELLS, CHUNK = 1 << 18, 1 << 12
+#: The wider window holds a WIDER-th of the size more; rounds in which documents that share too little of it go.
+WIDER, PEELS = 10, 2
 #: Pivots of a region, documents of a region that is not cut, levels at most.
 PIVOTS, LEAF, LEVELS = 8, 200, 6
 #: Share of its documents that a part of a region may keep and still be cut.
 PROGRESS = 0.75
+#: Classes of folded sets.
+FOLDS = 64
 #: Shingles a task compares at once.
 BLOCK_SHINGLES = 300_000
 #: Room for rounding in comparisons of distances; it only copies more.
@@ -95,13 +105,15 @@ def _window_rows(ranks):
                     name = (a[k], b[k])
                     new[k] = name not in seen
                     seen.add(name)
-                take = np.where(new, size + (-PERCENT * size) // 100 + 1, 0)
+                base = size + (-PERCENT * size) // 100 + 1
+                take = np.where(new, np.minimum(base + size // WIDER, size), 0)
                 owner = np.repeat(np.arange(len(size)), size)
                 at = np.lexsort((shingles, order[_cells(shingles)], owner))
-                at = at[np.arange(len(at)) - first[owner] < take[owner]]
-                if len(at):
-                    own = owner[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (shingles[at], a[own], b[own])], ["key", "set_a", "set_b"])
+                place = np.arange(len(at)) - first[owner]
+                inside = np.flatnonzero(place < take[owner])
+                if len(inside):
+                    own, values = owner[inside], shingles[at[inside]].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(x[own].view(np.int64)) for x in (a, b)), pa.array((place[inside] < base[own]).astype(np.int64))], ["key", "set_a", "set_b", "near"])
 
     return rows
 
@@ -110,7 +122,7 @@ def _shared_regions(batches):
     """Rows of regions with two sets or more, from rows in the order of (key, set_a, set_b); each set once."""
     last, held = None, None
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        rows = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
         if len(rows) == 0:
             continue
         if last is not None:
@@ -125,7 +137,14 @@ def _shared_regions(batches):
             out[0] = False  # went out with the batch before
         last, held = rows_once[-1], bool(out[-1]) or bool(held and len(rows_once) == 1)
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows_once[out].T], ["key", "set_a", "set_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows_once[out].T], ["key", "set_a", "set_b", "near"])
+
+
+def folded(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sets, FOLDS) numbers of the shingles of each set by class."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    classes = (mix(shingles, 72) >> np.uint64(40)).astype(np.int64) % FOLDS
+    return np.bincount(owner * FOLDS + classes, minlength=(len(first) - 1) * FOLDS).reshape(-1, FOLDS).astype(np.int32)
 
 
 def _shingle_rows(batches):
@@ -133,7 +152,33 @@ def _shingle_rows(batches):
         for i, j, body, offsets in text_slices(batch.column(1)):
             shingles, first = shingle_sets(body, offsets, WIDTH)
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(shingles.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array([x.tobytes() for x in folded(shingles, first)], pa.binary())], ["id", "shingles", "folds"])
+
+
+def _with_partners(key, rows):
+    """Rows of one block, or of two blocks, of a region whose folded sets allow a link to another label."""
+    import pandas as pd
+
+    _, low, high = key
+    rows = rows.drop_duplicates("id")
+    label, block = rows["label"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)
+    folds = np.frombuffer(b"".join(rows["folds"]), np.int32).reshape(-1, FOLDS)
+    size, some = folds.sum(axis=1), np.zeros(len(rows), bool)
+    keys = [np.sort(np.asarray(k, np.int64)) for k in rows["keys"]]
+    table = np.zeros((len(keys), max(map(len, keys))), np.int64)
+    for i, k in enumerate(keys):
+        table[i, : len(k)], table[i, len(k) :] = k, k[-1]
+    one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(len(rows)),) * 2
+    for i in one:
+        at = two[label[two] != label[i]]
+        both = size[at] + size[i]
+        # a link has at most (100 - PERCENT) / (100 + PERCENT) of both sizes in one set only
+        near = at[(100 + PERCENT) * np.abs(folds[at] - folds[i]).sum(axis=1, dtype=np.int64) <= (100 - PERCENT) * both]
+        shared = np.where(np.isin(table[near], keys[i]), table[near], np.iinfo(np.int64).max)
+        near = near[shared.min(axis=1, initial=np.iinfo(np.int64).max) == key[0]]
+        some[near] = True
+        some[i] |= len(near) > 0
+    return pd.DataFrame({"key": np.full(some.sum(), key[0]), "id": rows["id"].to_numpy(np.int64)[some], "label": label[some]})
 
 
 def _links_between(key, rows):
@@ -224,9 +269,13 @@ def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
     for more in last[1:]:
         rows = rows.union(more)
     rows = materialize(rows, "last-regions")
+    own = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most one for each shingle of its window
+    folds = materialize(own.join(sets.select("id", "folds"), "id"), "folds")
+    dealt = dealt_blocks(rows, F.lit(1), BLOCK_ROWS).select("key", "low", "high", "block", "id", "label").join(folds, "id")
+    rows = materialize(dealt.groupBy("key", "low", "high").applyInPandas(_with_partners, "key long, id long, label long").distinct(), "with-partners")
     sized = rows.join(sets.select("id", F.size("shingles").alias("weight")), "id")
     dealt = dealt_blocks(sized, F.col("weight"), BLOCK_SHINGLES)
-    whole = dealt.select("key", "low", "high", "block", "id", "label").join(sets, "id")
+    whole = dealt.select("key", "low", "high", "block", "id", "label").join(sets.select("id", "shingles"), "id")
     out = whole.groupBy("key", "low", "high").applyInPandas(_links_between, "a long, b long")
     for found in links:
         out = out.union(found)
@@ -247,10 +296,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sets = made.filter("chunk is null").select("doc_id", "n_shingles", "set_a", "set_b")
     classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("sig"))
     classes = materialize(classes, "classes")
-    windows = texts.filter("doc_id is not null").select("text").mapInArrow(_window_rows(ranks), "key long, set_a long, set_b long")
+    fields = "key long, set_a long, set_b long, near long"
+    windows = texts.filter("doc_id is not null").select("text").mapInArrow(_window_rows(ranks), fields)
     windows = windows.repartition("key").sortWithinPartitions("key", "set_a", "set_b")
-    shared = materialize(windows.mapInArrow(_shared_regions, "key long, set_a long, set_b long"), "shared")
-    members = materialize(shared.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"]).select("key", "id"), "members")
+    shared = materialize(windows.mapInArrow(_shared_regions, fields), "shared")
+    for k in range(PEELS):
+        # what one document no longer shares may leave another with too little
+        enough = shared.groupBy("set_a", "set_b").agg(F.count("*").alias("n")).join(classes, ["set_a", "set_b"])
+        enough = enough.filter(F.col("n") > F.floor(F.ceil(F.col("sig") * PERCENT / 100) / WIDER)).select("set_a", "set_b")
+        left = shared.join(enough, ["set_a", "set_b"], "left_semi")
+        several = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        shared = materialize(left.join(several, "key", "left_semi"), f"shared-{k}")
+    near = shared.filter("near = 1").join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
+    members = materialize(near.select("key", "id"), "members")
     # regions of the same documents are one
     alike = mixed_regions(members.withColumn("label", F.col("id"))).select("key")
     keys = materialize(members.join(alike, "key", "left_semi"), "level-0")
@@ -258,7 +316,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     def prepare(ids: DataFrame):
         need = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-        held.append(materialize(need.mapInArrow(_shingle_rows, "id long, shingles array<long>"), "shingle-sets"))
+        held.append(materialize(need.mapInArrow(_shingle_rows, "id long, shingles array<long>, folds binary"), "shingle-sets"))
         return lambda pairs: similar(pairs, held[0]).filter(is_link(F.col("both"), F.col("union"))).select("a", "b")
 
     def sizes(x: Column, y: Column) -> Column:

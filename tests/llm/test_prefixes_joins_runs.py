@@ -186,10 +186,10 @@ def test_shared_regions_over_batches():
     import pyarrow as pa
 
     rng = random.Random(1)
-    rows = sorted((rng.randrange(30), rng.randrange(3), 0) for _ in range(90))
+    rows = sorted((rng.randrange(30), rng.randrange(3), 0, 1) for _ in range(90))
     expected = sorted({r for r in rows if len({x for x in rows if x[0] == r[0]}) > 1})
     for size in (1, 2, 7, 90):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], pa.int64()) for k in range(3)], ["key", "set_a", "set_b"]) for i in range(0, 90, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], pa.int64()) for k in range(4)], ["key", "set_a", "set_b", "near"]) for i in range(0, 90, size)]
         got = [tuple(r.values()) for b in jaccard_join._shared_regions(iter(batches)) for r in b.to_pylist()]
         assert got == expected
 
