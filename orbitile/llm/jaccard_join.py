@@ -53,7 +53,7 @@ RADIUS = 1 - PERCENT / 100
 #: Cells in which shingles are counted, and cells a row of counts holds.
 CELLS, CHUNK = 1 << 18, 1 << 12
 #: The wider window holds a WIDER-th of the size more; rounds in which documents that share too little of it go.
-WIDER, PEELS = 10, 2
+WIDER, PEELS = 10, 1
 #: Pivots of a region, documents of a region that is not cut, levels at most.
 PIVOTS, LEAF, LEVELS = 8, 200, 6
 #: Share of its documents that a part of a region may keep and still be cut.
@@ -211,8 +211,9 @@ def _links_between(key, rows):
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with the sizes of the intersection and the union of their ``sets(id, shingles)``."""
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
-    full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
+    # neither side has a bound, whatever the estimates say: the plan is the same at every size
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")).hint("merge"), "a")
+    full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")).hint("merge"), "b")
     full = full.select("a", "b", F.size(F.array_intersect("one", "two")).alias("both"), (F.size("one") + F.size("two")).alias("sum"))
     return full.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("union"))
 
@@ -315,7 +316,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     held: list[DataFrame] = []
 
     def prepare(ids: DataFrame):
-        need = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        need = texts.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         held.append(materialize(need.mapInArrow(_shingle_rows, "id long, shingles array<long>, folds binary"), "shingle-sets"))
         return lambda pairs: similar(pairs, held[0]).filter(is_link(F.col("both"), F.col("union"))).select("a", "b")
 
