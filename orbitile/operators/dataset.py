@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitile.operators.tiles import dedupe_truth
 
 #: Rows of a range that one task ranks.
 RANGE_ROWS = 100_000
@@ -58,6 +59,16 @@ def stratified_split(rows: DataFrame, ratio: int, strata, order) -> DataFrame:
     return ranked(rows, order, strata).withColumn("split", F.when(train, "train").otherwise("validate")).drop("_rank", "_all")
 
 
+def region_split(match: DataFrame, ratio: int, order, dedupe_first: bool = False, seq: str = "seq") -> DataFrame:
+    """Splits the tile matches of several regions, each region and class by itself.
+
+    A location that several regions hold may fall in train and in validate; with
+    ``dedupe_first`` its first row alone takes part.
+    """
+    rows = dedupe_truth(match, seq) if dedupe_first else match
+    return stratified_split(rows, ratio, ["region", "is_bridge"], order)
+
+
 def epoch_sample(rows: DataFrame, ratio: float, order, used: DataFrame | None = None, key: str = "tile_id") -> DataFrame:
     """All positives and round(ratio x positives) negatives not in ``used``, each once.
 

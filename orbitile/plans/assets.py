@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orbitile.operators import catalog as C
 from orbitile.operators.regions import pending_work
 from orbitile.sources.io import latest_truth as latest
-from orbitile.sources.io import list_assets, read_tile_match, read_truth_points, scratch
+from orbitile.sources.io import list_assets, read_tile_match, read_truth_csv, read_truth_points, scratch
 from orbitile.sources.views import VIEWS, oracle, view
 
 #: Names of every kind, and one that matches none, as SQL over the part row's fields.
@@ -113,6 +113,14 @@ def truth_points(spark, d):
     return read_truth_points(t).select("bridge_id", "y", "x")
 
 
+def truth_csv_scan(spark, d):
+    """Truth files with latitudes and longitudes among other columns, some of them missing, written and scanned."""
+    path = scratch(spark, "truth")
+    lat = F.when(F.col("bridge_id") % 30 != 0, F.col("lat"))
+    view(spark, d, "truth_deg").select(F.col("bridge_id").alias("Id"), F.col("lon").alias("Longitude"), lat.alias("Latitude")).write.csv(path, header=True)
+    return read_truth_csv(spark, path).select(F.round("point.x", 6).alias("x"), F.round("point.y", 6).alias("y"))
+
+
 def pending(spark, d):
     slices = view(spark, d, "asset").select("kind_no", "r", "d", "g", "a").distinct()
     return pending_work(slices.filter("kind_no = 5"), slices.filter("kind_no = 6"), ["r", "d", "g", "a"]).drop("kind_no")
@@ -175,6 +183,7 @@ QUERIES = {
     "tile_match_scan": (tile_match_scan, oracle("select tile, bbox, is_bridge, bridge_loc from match", "match")),
     "tile_match_scan_no_truth": (tile_match_scan_no_truth, oracle("select tile, bbox from match", "match")),
     "latest_truth": (latest_truth, oracle("select concat('truth/Uganda_', strftime(max(acq_date), '%m.%d.%Y'), '.csv') as path, max(acq_date) as day from scene_key", "scene_key")),
+    "truth_csv_scan": (truth_csv_scan, oracle("select round(lat, 6) as x, round(lon, 6) as y from truth_deg where bridge_id % 30 <> 0", "truth_deg")),
     "truth_points": (truth_points, oracle("select bridge_id, y, x from truth where bridge_id % 30 <> 0", "truth")),
     "pending_work": (pending, oracle("select distinct r, d, g, a from asset where kind_no = 5 except select r, d, g, a from asset where kind_no = 6", "asset")),
     "publish_set": (publish_set, oracle("select path, concat('trained_models/', r, '_Zambia/resnet18/r5.0/', name) as remote_key from asset where kind_no = 12 and k % 2 = 0", "asset")),

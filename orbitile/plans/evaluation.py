@@ -174,6 +174,20 @@ def train_validate(spark, d):
     return D.stratified_split(rows, 70, ["grp", "is_target"], _order())
 
 
+def _region_split(spark, d, dedupe_first):
+    order = [F.expr("seq * 7919 % 10007"), F.col("seq")]
+    return D.region_split(view(spark, d, "match"), 70, order, dedupe_first).select("seq", "region", "is_bridge", "split")
+
+
+def region_split(spark, d):
+    return _region_split(spark, d, False)
+
+
+def region_split_deduped(spark, d):
+    """Each location once before the split, so that none is in both parts."""
+    return _region_split(spark, d, True)
+
+
 def split_sink(spark, d):
     path = scratch(spark, "split")
     stratified_split(spark, d).write.partitionBy("split").parquet(path)
@@ -267,6 +281,7 @@ NEG = "select * from val where is_target = 0 {anti} order by tile_id * 7919 % 10
 EPOCH = "select * from (select * from val where is_target = 1 union all select * from ({n}))"
 HALVES = "select tile_id, is_target, list_sum([x::double for x in tensor[1:32]]) as a, list_sum([x::double for x in tensor[33:64]]) as b from tile"
 
+REGION_SPLIT = """select seq, region, is_bridge, case when row_number() over (partition by region, is_bridge order by seq * 7919 % 10007, seq) <= round_even(count(*) over (partition by region, is_bridge) * 0.7e0, 0) then 'train' else 'validate' end as split from {t} m"""
 EPOCHS, RATE, SIZE = 4, 2.0, 17
 #: Gradient steps written out, an epoch after the other.
 STEPS = f"""with s as ({SPLIT.format(cols='grp, is_target,', s='grp, is_target', t='tile')}),
@@ -310,6 +325,8 @@ QUERIES = {
     "class_counts": (class_counts, oracle("select grp, is_target, count(*) as n from tile group by all", "tile")),
     "stratified_split": (stratified_split, oracle(VAL_SPLIT, "val")),
     "train_validate": (train_validate, oracle(SPLIT.format(cols="grp, is_target,", s="grp, is_target", t="tile"), "tile")),
+    "region_split": (region_split, oracle(REGION_SPLIT.format(t="match"), "match")),
+    "region_split_deduped": (region_split_deduped, oracle(REGION_SPLIT.format(t="(select * from (select *, row_number() over (partition by is_bridge, bridge_loc order by seq) as k from match) where not is_bridge or bridge_loc is null or k = 1)"), "match")),
     "split_sink": (split_sink, oracle(f"select split, is_target, count(*) as n from ({VAL_SPLIT}) group by all", "val")),
     "split_complement": (split_complement, oracle(f"select tile_id, is_target from ({VAL_SPLIT}) where split = 'validate'", "val")),
     "epoch_sample": (epoch_sample, oracle(EPOCH.format(n=NEG.format(anti="", r="1.5")), "val")),
