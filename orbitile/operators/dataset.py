@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitile.operators.tiles import dedupe_truth
-
-#: Rows of a range that one task ranks.
-RANGE_ROWS = 100_000
-
+from orbitile.sources.io import scratch
 
 def order_key(key: Column, seed: int = 0) -> Column:
     """A deterministic random order that does not hang on partitioning."""
@@ -20,28 +17,28 @@ def class_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def ranked(rows: DataFrame, order, strata=(), share: int = RANGE_ROWS) -> DataFrame:
+def ranked(rows: DataFrame, order, strata=(), parts: int | None = None) -> DataFrame:
     """Adds _rank and _all: the row's rank among its stratum in ``order``, and the stratum's size.
 
-    No task holds a whole stratum: rows fall in equal ranges between the least and the
-    greatest of the order's first column, as many ranges as the rows need at about
-    ``share`` rows each; a rank is one inside the range plus the rows of the ranges
-    before. The first column is a number of any width, spread evenly as a hash is
-    (``order_key``). Null strata are strata like any other.
+    Rows are sorted in ranges of (strata, order), so a stratum of any size is spread over
+    tasks, and written once with their places; a rank is the place within the range plus the
+    rows of the stratum in the ranges before. The source is read twice, once for the ranges'
+    bounds, whatever reads the result. ``parts`` sets the number of ranges. Null strata are
+    strata like any other.
     """
     strata = list(strata)
-    unit = rows.withColumn("_unit", order[0].cast("double"))
-    ranges = unit.groupBy(*strata).agg(F.greatest(F.ceil(F.count("*") / share), F.lit(1)).alias("_ranges"), F.min("_unit").alias("_least"), F.max("_unit").alias("_most"))
-    part = F.floor(F.try_divide(F.col("_unit") - F.col("_least"), F.col("_most") - F.col("_least")) * F.col("_ranges"))
-    part = F.least(F.coalesce(part, F.lit(0)), F.col("_ranges") - 1)
-    placed = _null_safe(unit, ranges, strata).withColumn("_part", part).drop("_unit", "_ranges", "_least", "_most")
-    counts = placed.groupBy(*strata, "_part").agg(F.count("*").alias("_n"))
+    sort = [F.col(c) for c in strata] + list(order)
+    placed = (rows.repartitionByRange(parts, *sort) if parts else rows.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+    # the number of a row is its partition's, in the upper 31 bits, and its place there
+    numbered = placed.withColumn("_at", F.monotonically_increasing_id())
+    path = scratch(rows.sparkSession, "ranked")
+    numbered.write.parquet(path)
+    stored = rows.sparkSession.read.schema(numbered.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    counts = stored.groupBy(*strata, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     ahead = Window.partitionBy(*strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*strata, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*strata)).alias("_all"))
-    w = Window.partitionBy(*strata, "_part").orderBy(*order)
-    inside = placed.withColumn("_inside", F.row_number().over(w))
-    out = _null_safe(inside, base, [*strata, "_part"])
-    return out.withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+    base = counts.select(*strata, "_part", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*strata)).alias("_all"))
+    out = _null_safe(stored, base, [*strata, "_part"])
+    return out.withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_part", "_first", "_before")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:

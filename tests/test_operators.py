@@ -151,8 +151,12 @@ def test_tile_match_truth_is_detected(spark, tmp_path):
 def test_split_keeps_null_strata_and_any_order(spark):
     rows = spark.range(1000).select(F.col("id").alias("tile_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("kind"))
     order = [dataset.order_key(F.col("tile_id")), F.col("tile_id")]
-    for share in (7, 100_000):
-        ranks = dataset.ranked(rows, order, ["kind"], share).collect()
+    for parts in (143, None, 1):
+        ranks = dataset.ranked(rows, order, ["kind"], parts).collect()
+        plain = dataset.ranked(rows, [-F.col("tile_id")], ["kind"], parts).collect()
+        for kind in (None, 1, 2, 3, 4):
+            assert [r.tile_id for r in sorted((r for r in plain if r.kind == kind), key=lambda r: r._rank)] == [i for i in range(999, -1, -1) if (i % 5 or None) == kind]
+        assert {r._all for r in plain} == {200}
         assert len(ranks) == 1000
         for kind in (None, 1, 2, 3, 4):
             assert sorted(r._rank for r in ranks if r.kind == kind) == list(range(1, 201))
