@@ -937,7 +937,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs):
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, DATA).collect()}
     frame, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     clean = {r.doc_id for r in toxicity.toxicity(frame, labels).collect() if not r.predicted}
-    left = {r.doc_id: r.text for r in line_dedup.line_dedup(frame.filter(frame.doc_id.isin(list(clean)))).collect()}
+    left = {r.doc_id: r.text for r in line_dedup.line_dedup(frame.filter(frame.doc_id.isin(list(clean))), floor=1).collect()}
     groups = components({i: shingles(t) for i, t in left.items()})
     kept = {k: v for k, v in left.items() if groups[k] == k}
     items = [" ".join(b["text"].lower().split()) for b in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()]
