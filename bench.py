@@ -1,8 +1,9 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: the median of three runs each; prints one JSON line."""
 
 import json
 import os
 import time
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -31,9 +32,12 @@ def main() -> None:
     found, times = queries(), {}
     found["median_composite"](spark, sf).write.format("noop").mode("overwrite").save()  # starts the JVM's compiler
     for name in HEADLINE:
-        began = time.time()
-        found[name](spark, sf).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - began, 3)
+        runs = []
+        for _ in range(3):
+            began = time.time()
+            found[name](spark, sf).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - began)
+        times[name] = round(median(runs), 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 
 
