@@ -65,24 +65,28 @@ def _estimator(name: str, strength: float):
     raise ValueError(f"unknown model {name}")
 
 
-def train_grid(tiles: DataFrame, names, ratios, strengths, pixels: int, models=("logistic", "tree")) -> DataFrame:
+def train_grid(tiles: DataFrame, names, ratios, strengths, pixels: int, models=("logistic", "tree"), validate: DataFrame | None = None) -> DataFrame:
     """A classifier on chosen layers for each model, class ratio and regularisation.
 
-    One row a run: model, ratio, strength, rows judged, rows judged right.
+    One row a run: model, ratio, strength, rows judged, rows judged right. Runs are judged on
+    ``validate``, tiles that none of them learns from; without it on ``tiles`` themselves.
     """
     from pyspark.ml.functions import array_to_vector
 
     from orbitile.operators.dataset import epoch_sample, order_key
     from orbitile.operators.tiles import select_layers
 
-    rows = select_layers(tiles, names, pixels).select("tile_id", F.col("is_target").cast("double").alias("label"), F.col("is_target"), array_to_vector(F.col("tensor").cast("array<double>")).alias("features"))
+    def featured(of: DataFrame) -> DataFrame:
+        return select_layers(of, names, pixels).select("tile_id", F.col("is_target").cast("double").alias("label"), F.col("is_target"), array_to_vector(F.col("tensor").cast("array<double>")).alias("features"))
+
+    rows, judged = featured(tiles), featured(validate if validate is not None else tiles)
     out = []
     for ratio in ratios:
         sample = epoch_sample(rows, ratio, [order_key(F.col("tile_id")), F.col("tile_id")]).cache()
         for model in models:
             for strength in strengths:
                 fitted = _estimator(model, strength).fit(sample)
-                right = fitted.transform(rows).agg(F.count("*").alias("n_rows"), F.sum((F.col("prediction") == F.col("label")).cast("long")).alias("n_right"))
+                right = fitted.transform(judged).agg(F.count("*").alias("n_rows"), F.sum((F.col("prediction") == F.col("label")).cast("long")).alias("n_right"))
                 out.append(right.select(F.lit(model).alias("model"), F.lit(float(ratio)).alias("ratio"), F.lit(float(strength)).alias("strength"), "n_rows", "n_right"))
         sample.unpersist()
     every = out[0]

@@ -244,7 +244,9 @@ def score_tiles(spark, d):
 
 
 def train_grid(spark, d):
-    return S.train_grid(view(spark, d, "tile"), ["red", "nir"], [1.0, 2.0], [0.1, 1.0], 8)
+    """Runs that learn from the training split and are judged on the validation split."""
+    train, validate = _split_tiles(spark, d)
+    return S.train_grid(train, ["red", "nir"], [1.0, 2.0], [0.1, 1.0], 8, validate=validate)
 
 
 def select_layers(spark, d):

@@ -187,6 +187,8 @@ def test_training_grid(spark):
     got = scoring.train_grid(df, ["red", "nir"], [1.0, 2.0], [0.01], 8, models=("logistic", "tree", "forest")).collect()
     assert sorted((r.model, r.ratio, r.n_rows) for r in got) == [(m, ratio, 80) for m in ("forest", "logistic", "tree") for ratio in (1.0, 2.0)]
     assert all(r.n_right >= 76 for r in got)
+    held = scoring.train_grid(df.filter("tile_id < 60"), ["red", "nir"], [1.0], [0.01], 8, models=("logistic",), validate=df.filter("tile_id >= 60")).collect()
+    assert [r.n_rows for r in held] == [20] and held[0].n_right >= 18
 
 
 def test_mask_keeps_null_out_of_median(spark):
