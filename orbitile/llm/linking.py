@@ -37,6 +37,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(id, component)`` with the components joined that ``links(a, b)`` connect.
+
+    Components are followed, not ids, so this costs as many rows as there are links;
+    ids that had no component get one.
+    """
+    at = [labels.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab"]
+    named = links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    over = connected_components(named).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    fresh = ids.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    out = labels.unionByName(fresh).join(over, "component", "left")
+    return materialize(out.select("id", F.coalesce("joined", "component").alias("component")), "labels")
+
+
 #: Rows of a mixed bucket up to which its pairs are screened in a join.
 SMALL = 64
 #: Rows a block of a larger mixed bucket holds.
@@ -102,15 +117,13 @@ def link_buckets(
     star = materialize(star.groupBy("id", "pivot").agg(F.max("degree").alias("degree")), "star")
     # each id first meets its busiest pivot; the others only matter where that leaves them apart
     first = star.groupBy("id").agg(F.max(F.struct("degree", "pivot")).alias("top"))
-    edges = confirmed(first.select(F.col("top.pivot").alias("a"), F.col("id").alias("b")))
-    labels = connected_components(edges)
+    labels = connected_components(confirmed(first.select(F.col("top.pivot").alias("a"), F.col("id").alias("b"))))
     of = labels.withColumnRenamed("component", "of_pivot").withColumnRenamed("id", "pivot")
     apart = star.join(labels, "id", "left").join(of, "pivot", "left")
     apart = apart.filter(F.coalesce("component", "id") != F.coalesce("of_pivot", "pivot")).join(first.select("id", F.col("top.pivot").alias("met")), "id")
     apart = confirmed(apart.filter("pivot <> met").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     if not apart.isEmpty():
-        edges = edges.union(apart)
-        labels = connected_components(edges)
+        labels = merged(labels, apart)
     now = members.join(labels, "id", "left").select("key", "id", "sig", F.coalesce("component", "id").alias("label"))
     now = materialize(now, "labelled")
     # buckets of two were settled by their pivot
@@ -125,4 +138,4 @@ def link_buckets(
         more = materialize(more.union(compare(left.filter(F.col("n") > SMALL).drop("n")).select("a", "b")).distinct(), "more")
     if more.isEmpty():
         return labels
-    return connected_components(edges.union(more))
+    return merged(labels, more)
