@@ -52,13 +52,16 @@ SCREEN, SCREEN_CHARS, LONG_SCREEN = 40, 150, 34
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
-#: Pairs of a block that are verified at a time.
+#: Pairs of a block that are verified at a time; what they link is not verified again.
 PAIRS_AT_ONCE = 20_000
 #: Least bytes of a word that counts for the SimHash by itself.
 TELLING = 5
-#: Characters of a line from which on fixed words are tried before the whole distance, and
-#: from which on pairs are verified one by one.
-LONG, VERY_LONG = 200, 3000
+#: Characters of a line from which on fixed words and shared runs of letters are tried before
+#: the whole distance: pairs that are likely alike, and pairs that are not.
+LONG, VERY_LONG = 600, 3000
+#: A step of numpy over many pairs costs as much as so many of its elements; a step over
+#: one pair's Python integers costs BIG_STEP elements, and one more for each BIG_BITS rows.
+NUMPY_STEP, BIG_STEP, BIG_BITS = 500, 30, 120
 
 #: ASCII punctuation, dropped from lines (fixed values).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -340,32 +343,49 @@ def _batches_of(sizes: np.ndarray):
         i += len(part)
 
 
-def all_alike(ones: list[str], twos: list[str]) -> np.ndarray:
-    """``alike`` for many pairs."""
+def together(pairs: int, size: int, most: int) -> bool:
+    """Whether so many pairs of a size are computed faster at once in numpy than one by one in Python integers."""
+    words = min(size, 2 * most + 64) // 64 + 1
+    return words * (NUMPY_STEP + pairs) < pairs * (BIG_STEP + size / BIG_BITS)
+
+
+def all_alike(ones: list[str], twos: list[str], long: int = LONG) -> np.ndarray:
+    """``alike`` for many pairs; fixed words are tried first in lines of more than ``long`` characters."""
     a, b = (np.array([len(t) for t in side], np.int64) for side in (ones, twos))
     longer = np.maximum(a, b)
     most = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
     out = np.abs(a - b) <= most
-    for i in np.flatnonzero(out & (longer > VERY_LONG)):
-        out[i] = alike(ones[i], twos[i])
-    left = np.flatnonzero(out & (longer <= VERY_LONG))
+    open_ = out.copy()
+    # long pairs are mostly alike by the words they hold in common, or not by the runs of letters they lack
+    for i in np.flatnonzero(out & (longer > long)):
+        if anchored_distance(ones[i], twos[i]) <= most[i]:
+            open_[i] = False
+        elif shared_grams(ones[i], twos[i]) < longer[i] - 2 - 3 * most[i]:
+            out[i] = open_[i] = False
+    left = np.flatnonzero(open_)
     cut = [bare(ones[i], twos[i]) for i in left]
     for part in _batches_of(np.array([max(map(len, pair)) for pair in cut], np.int64)):
         at = left[part]
-        out[at] = edit_distances([cut[k][0] for k in part], [cut[k][1] for k in part], int(most[at].max())) <= most[at]
+        if together(len(part), max(len(t) for k in part for t in cut[k]), int(most[at].max())):
+            distances = edit_distances([cut[k][0] for k in part], [cut[k][1] for k in part], int(most[at].max()))
+        else:
+            distances = np.array([edit_distance(*cut[k]) for k in part])
+        out[at] = distances <= most[at]
     return out
 
 
 def _block_links(key, rows):
-    """The links between different labels of one block, or of two blocks, of a bucket.
+    """Links that connect different labels of one block, or of two blocks, of a bucket.
 
     Pairs are screened as ``may_be_alike`` does; one that shares several of the buckets
-    compared like this is verified in the first of them only.
+    compared like this is verified in the first of them only, and one whose labels the
+    links so far have connected is not verified at all.
     """
     import pandas as pd
 
     bucket, low, high = key
-    ids, label, block, chars = (rows[c].to_numpy(np.int64) for c in ("id", "label", "block", "chars"))
+    ids, block, chars = (rows[c].to_numpy(np.int64) for c in ("id", "block", "chars"))
+    label = np.unique(rows["label"].to_numpy(np.int64), return_inverse=True)[1]
     marks = [rows[c].to_numpy(np.int64).view(np.uint64) for c in ("mark_a", "mark_b")]
     keys = [np.unique(np.asarray(k, np.int64)) for k in rows["keys"]]
     table = np.zeros((len(keys), max(map(len, keys))), np.int64)
@@ -373,10 +393,29 @@ def _block_links(key, rows):
         table[i, : len(k)], table[i, len(k) :] = k, k[-1]
     forms = rows["form"].tolist()
     one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(len(ids)),) * 2
-    out, waiting, n = [np.zeros((0, 2), np.int64)], [], 0
-
-    def verified(pairs: np.ndarray) -> np.ndarray:
-        return pairs[all_alike([forms[i] for i in pairs[:, 0]], [forms[i] for i in pairs[:, 1]])]
+    out, waiting, n = [], [], 0
+
+    def verify() -> None:
+        """Tries the waiting pairs and joins the labels of those that are alike."""
+        nonlocal label, waiting, n
+        pairs = np.concatenate(waiting)
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+        pairs = pairs[all_alike([forms[i] for i in pairs[:, 0]], [forms[i] for i in pairs[:, 1]], VERY_LONG)]
+        over = np.arange(int(label.max()) + 1)
+
+        def top(x: int) -> int:
+            while over[x] != x:
+                over[x] = over[over[x]]
+                x = over[x]
+            return x
+
+        for i, j in pairs:
+            x, y = top(label[i]), top(label[j])
+            if x != y:
+                over[max(x, y)] = min(x, y)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        label = np.array([top(x) for x in range(len(over))])[label]
+        waiting, n = [], 0
 
     for i in one:
         apart = sum(np.bitwise_count(m[i] ^ m[two]).astype(np.int64) for m in marks)
@@ -391,12 +430,10 @@ def _block_links(key, rows):
             waiting.append(np.stack([np.full(len(at), i), at], axis=1))
             n += len(at)
         if n >= PAIRS_AT_ONCE:
-            out.append(verified(np.concatenate(waiting)))
-            waiting, n = [], 0
+            verify()
     if waiting:
-        out.append(verified(np.concatenate(waiting)))
-    links = ids[np.concatenate(out)]
-    return pd.DataFrame({"a": links.min(axis=1, initial=np.iinfo(np.int64).max), "b": links.max(axis=1, initial=np.iinfo(np.int64).min)}, dtype="int64")
+        verify()
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def _alike(batches):
