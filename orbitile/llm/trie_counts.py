@@ -1,17 +1,19 @@
 """Unigram token counts by dynamic programming over a trie of pre-tokens.
 
 Scores are log-probabilities of a vocabulary's pieces, fitted by expectation maximisation
-on the SAMPLE_WORDS most frequent pre-tokens of SAMPLE_ROWS documents at most, chosen by a
-hash of the id (both bounds are parameters; all texts are counted). A pre-token's count is the
+on all pre-tokens of all texts: their distinct ones are counted once, and each round sums
+what blocks of them expect of each piece. A pre-token's count is the
 number of pieces on its best-scoring segmentation into bytes of pieces (equal scores:
 fewest pieces). The distinct pre-tokens of a slice are inserted in a trie level by
 level: all pre-tokens with equal first d bytes are one node, and the forward scores of
 a node are computed once, from those of its ancestors, for all nodes of a level
-together. Terminal nodes store the counts. A worker remembers pre-tokens it has met.
+together. Terminal nodes store the counts. A worker remembers pre-tokens it has met. The
+fit runs over such a trie as well: forward sums of a node are computed once, and what its
+words pass through it flows back to its ancestors.
 
-Cases: without a document to fit on, scores follow a Zipf law over the ranks, from which
-the fit starts as well; a null or empty text has no tokens; pre-tokens beyond LONG bytes are segmented
-one by one, by the same recurrence; equal texts get equal rows, repeated rows
+Cases: without a text to fit on, scores follow a Zipf law over the ranks, from which
+the fit starts as well; a null or empty text has no tokens; pre-tokens beyond LONG bytes are fitted on
+and segmented one by one, by the same recurrences; equal texts get equal rows, repeated rows
 included; columns beyond doc_id and text are ignored; an empty table gives an empty
 result.
 """
@@ -19,7 +21,9 @@ result.
 from __future__ import annotations
 
 import base64
+import math
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitile.llm.pretokens import Memo, Pretokens, distinct
+from orbitile.llm.shared import materialize
 from orbitile.llm.textbytes import BYTE_VALUES, mix, powers, span_hashes, text_slices
 
 LONG = 96
-#: What the scores are fitted on, at most, and how often.
-SAMPLE_ROWS, SAMPLE_WORDS, ROUNDS = 4_000, 20_000, 4
+#: How often the scores are fitted, and about how many bytes of pre-tokens share a trie then.
+ROUNDS, BLOCK_BYTES = 4, 1 << 19
+#: Scores are multiples of 1 / GRID, so that sums of them are exact in any order.
+GRID = 1 << 24
 #: Added to the expected count of each piece, so that none is impossible.
 SMOOTHING = 0.01
 
@@ -49,37 +56,140 @@ def zipf(n: int) -> np.ndarray:
     return np.log(p / p.sum())
 
 
-def fit(pieces: list[bytes], words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-probabilities of the pieces after some rounds of expectation maximisation.
+class Pieces:
+    """Pieces of a vocabulary, found by hash."""
 
-    All places where a piece stands in a word are listed once; a round runs forward and
-    backward over them, position by position for all words together, and sums up how
-    often each piece is expected.
+    def __init__(self, pieces: list[bytes]):
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        h = span_hashes(BYTE_VALUES[flat], np.concatenate([[0], ends[:-1]]), ends)
+        self.ranks = np.argsort(h)
+        self.keys = h[self.ranks]
+        self.lengths = sorted({len(p) for p in pieces})
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces with these hashes, -1 for none."""
+        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[i] == h, self.ranks[i], -1)
+
+
+def expected_in_one(vocabulary: Pieces, word: bytes, scores: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in one word of any length, over all ways to cut it."""
+    values, n = BYTE_VALUES[np.frombuffer(word, np.uint8)], len(word)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    found = []
+    for k in vocabulary.lengths:
+        at = np.arange(k, n + 1)
+        rank = vocabulary.find(mix((total[at] - total[at - k]) * down[at - k] + np.uint64(k)))
+        hit = np.flatnonzero(rank >= 0)
+        found.append((hit + k, hit, rank[hit]))
+    into, out_of, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(into, kind="stable")
+    into, out_of, piece = into[order], out_of[order].tolist(), piece[order]
+    gain, cuts = scores[piece].tolist(), np.searchsorted(into, np.arange(n + 2)).tolist()
+    forward, share, weight = [0.0], [0.0] * len(gain), [0.0] * (n + 1)
+    for d in range(1, n + 1):
+        way = [forward[out_of[i]] + gain[i] for i in range(cuts[d], cuts[d + 1])]
+        top = max(way, default=-math.inf)
+        forward.append(top)
+        if top > -math.inf:
+            way = [math.exp(w - top) for w in way]
+            whole = sum(way)
+            forward[d] += math.log(whole)
+            share[cuts[d] : cuts[d + 1]] = [w / whole for w in way]
+    weight[n] = float(forward[n] > -math.inf)
+    for d in range(n, 0, -1):
+        if weight[d]:
+            for i in range(cuts[d], cuts[d + 1]):
+                share[i] *= weight[d]
+                weight[out_of[i]] += share[i]
+        else:
+            share[cuts[d] : cuts[d + 1]] = [0.0] * (cuts[d + 1] - cuts[d])
+    return np.bincount(piece, share, len(scores))
+
+
+def expected_counts(vocabulary: Pieces, words: list[bytes], counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in distinct, non-empty words, over all ways to cut them.
+
+    Words of up to LONG bytes with equal first d bytes share a node of level d. Edges are the
+    pieces that lead to a node from its ancestors; forward sums run down the levels, the words'
+    counts flow back up. Longer words are taken one by one.
     """
-    scores, place = zipf(len(pieces)), {p: i for i, p in enumerate(pieces)}
+    out, short = np.zeros(len(scores)), [len(w) <= LONG for w in words]
+    if not all(short):
+        for w, n in zip(words, counts, strict=True):
+            if len(w) > LONG:
+                out += n * expected_in_one(vocabulary, w, scores)
+        words, counts = [w for w, s in zip(words, short, strict=True) if s], counts[np.array(short)]
     if not words:
-        return scores
-    longest = max(map(len, pieces))
-    spots = [(e, s, w, k) for w, word in enumerate(words) for e in range(1, len(word) + 1) for s in range(max(0, e - longest), e) if (k := place.get(word[s:e])) is not None]
-    end, start, word, piece = np.array(sorted(spots), np.int64).T
-    size = np.array([len(w) for w in words])
-    by_start = np.argsort(-start, kind="stable")
-    deep = int(size.max())
-    ends, starts = np.searchsorted(end, np.arange(1, deep + 2)), np.searchsorted(-start[by_start], -np.arange(deep, -2, -1))
-    for _ in range(rounds):
-        forward, backward = np.full((len(words), deep + 1), -np.inf), np.full((len(words), deep + 1), -np.inf)
-        forward[:, 0] = 0.0
-        backward[np.arange(len(words)), size] = 0.0
-        for d in range(1, deep + 1):
-            at = slice(ends[d - 1], ends[d])
-            np.logaddexp.at(forward, (word[at], end[at]), forward[word[at], start[at]] + scores[piece[at]])
-        for d in range(deep):
-            at = by_start[starts[d + 1] : starts[d + 2]]
-            np.logaddexp.at(backward, (word[at], start[at]), backward[word[at], end[at]] + scores[piece[at]])
-        whole = forward[word, size[word]]
-        share = np.exp(np.where(whole > -np.inf, forward[word, start] + scores[piece] + backward[word, end] - whole, -np.inf))
-        expected = np.bincount(piece, share * counts[word], len(pieces)) + SMOOTHING
-        scores = np.log(expected / expected.sum())
+        return out
+    body, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    order = np.argsort(-size, kind="stable")  # words that reach level d are a prefix
+    start, size, counts = (np.cumsum(size) - size)[order], size[order], counts[order]
+    values, depth = BYTE_VALUES[body], int(size[0])
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    alive = np.searchsorted(-size, -np.arange(depth + 1), side="right")
+    base = np.concatenate([[0], np.cumsum(alive)])
+    node = np.zeros(base[-1], np.int64)  # of each word, level by level
+    bounds, shown = [0, 1], []
+    for d in range(1, depth + 1):
+        s = start[: alive[d]]
+        _, first, inverse = np.unique((total[s + d] - total[s]) * down[s], return_index=True, return_inverse=True)
+        node[base[d] : base[d + 1]] = bounds[-1] + inverse
+        bounds.append(bounds[-1] + len(first))
+        shown.append(first)
+    word = np.concatenate(shown)  # one word of each node but the root
+    level = np.repeat(np.arange(1, depth + 1), np.diff(bounds[1:]))
+    found = []
+    for k in vocabulary.lengths:
+        if k > depth:
+            break
+        i = bounds[k] - 1
+        at = start[word[i:]] + level[i:]
+        rank = vocabulary.find(mix((total[at] - total[at - k]) * down[at - k] + np.uint64(k)))
+        hit = np.flatnonzero(rank >= 0)
+        found.append((hit + i + 1, node[base[level[hit + i] - k] + word[hit + i]], rank[hit]))
+    if not found:
+        return out
+    into, out_of, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(into, kind="stable")
+    into, out_of, piece = into[order], out_of[order], piece[order]
+    gain, cuts = scores[piece], np.searchsorted(into, bounds)
+    forward, share = np.full(bounds[-1], -np.inf), np.zeros(len(into))
+    forward[0] = 0.0
+    levels = [slice(cuts[d], cuts[d + 1]) for d in range(1, depth + 1) if cuts[d] < cuts[d + 1]]
+    for at in levels:
+        way, heads = forward[out_of[at]] + gain[at], np.flatnonzero(np.diff(into[at], prepend=-1))
+        top = np.maximum.reduceat(way, heads)
+        top[top == -np.inf] = 0.0
+        each = np.diff(heads, append=len(way))
+        way = np.exp(way - np.repeat(top, each))
+        whole = np.add.reduceat(way, heads)
+        share[at] = way / np.repeat(np.where(whole > 0, whole, 1.0), each)
+        forward[into[at][heads]] = top + np.log(whole, out=np.full(len(whole), -np.inf), where=whole > 0)
+    ends = node[base[size] + np.arange(len(size))]
+    weight = np.bincount(ends, np.where(forward[ends] > -np.inf, counts, 0.0), bounds[-1])
+    for at in reversed(levels):
+        share[at] *= weight[into[at]]
+        np.add.at(weight, out_of[at], share[at])
+    return out + np.bincount(piece, share, len(scores))
+
+
+def rescored(expected: np.ndarray) -> np.ndarray:
+    """Log-probabilities of pieces by their expected counts."""
+    smooth = expected + SMOOTHING
+    return np.round(np.log(smooth / smooth.sum()) * GRID) / GRID
+
+
+def fit(pieces: list[bytes], words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Log-probabilities of the pieces after some rounds of expectation maximisation on one block of words."""
+    scores, vocabulary = zipf(len(pieces)), Pieces(pieces)
+    for _ in range(rounds if words else 0):
+        scores = rescored(expected_counts(vocabulary, words, counts, scores))
     return scores
 
 
@@ -92,14 +202,46 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(inverse, minlength=len(keys)))], ["word", "n"])
 
 
-def fitted_scores(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> np.ndarray:
-    """Scores of the pieces of ``path``, in order of rank, fitted on a bounded sample of ``docs``."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(sample_rows)
-    texts = known.join(F.broadcast(ids), "doc_id").select("text")  # sample_rows bounds the small side
-    counted = texts.mapInArrow(_words, "word binary, n long").filter(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "word").limit(sample_words).collect()
-    return fit(read_pieces(path), [bytes(r["word"]) for r in found], np.array([r["n"] for r in found], np.float64))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the distinct pre-tokens of all texts and how often they occur."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    return materialize(texts.mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+@lru_cache(1)
+def _vocabulary(path: str) -> Pieces:
+    return Pieces(read_pieces(path))
+
+
+def fitted_scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Scores of the pieces of ``path``, in order of rank, fitted on all pre-tokens of ``docs``."""
+    counted, scores = word_counts(docs), zipf(len(read_pieces(path)))
+    if counted.isEmpty():
+        return scores
+    for _ in range(rounds):
+        shared = docs.sparkSession.sparkContext.broadcast(scores)  # a float for each piece
+
+        def run(batches, shared=shared):
+            scores = shared.value
+            expected, words, counts, held = np.zeros(len(scores)), [], [], 0
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words.append(word)
+                    counts.append(n)
+                    held += len(word)
+                    if held >= BLOCK_BYTES:
+                        expected += expected_counts(_vocabulary(path), words, np.array(counts, np.float64), scores)
+                        words, counts, held = [], [], 0
+            if words:
+                expected += expected_counts(_vocabulary(path), words, np.array(counts, np.float64), scores)
+            some = np.flatnonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(expected[some])], ["piece", "n"])
+
+        summed = counted.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # a row for each piece at most
+        expected = np.zeros(len(scores))
+        expected[summed["piece"].to_numpy(np.int64)] = summed["n"].to_numpy(np.float64)
+        scores = rescored(expected)
+    return scores
 
 
 class Unigram:
@@ -107,19 +249,14 @@ class Unigram:
 
     def __init__(self, path: str, scores: np.ndarray | None = None):
         pieces = read_pieces(path)
-        self.score = dict(zip(pieces, (zipf(len(pieces)) if scores is None else scores).tolist(), strict=True))
+        scores = zipf(len(pieces)) if scores is None else scores
+        self.score = dict(zip(pieces, scores.tolist(), strict=True))
         self.longest = max(map(len, pieces))
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(p) for p in pieces])
-        h = span_hashes(BYTE_VALUES[flat], np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(h)
-        self.keys, self.values = h[order], np.array([self.score[p] for p in pieces])[order]
-        self.lengths = sorted({len(p) for p in pieces})
+        self.pieces, self.values = Pieces(pieces), np.append(scores, -np.inf)
         self.memo = Memo()
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[i] == h, self.values[i], -np.inf)
+        return self.values[self.pieces.find(h)]  # -1: the last, no score
 
     def count_one(self, word: bytes) -> int:
         """The same recurrence for a single pre-token."""
@@ -163,7 +300,7 @@ class Unigram:
             node[d, :m] = inverse
             at = start[first]
             best, pieces = np.full(len(first), -np.inf), np.zeros(len(first), np.int64)
-            for k in self.lengths:
+            for k in self.pieces.lengths:
                 if k > d:
                     break
                 h = mix((total[at + d] - total[at + d - k]) * down[at + d - k] + np.uint64(k))

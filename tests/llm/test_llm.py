@@ -613,6 +613,34 @@ def test_trie_counts_try_all_cuts():
         assert model.count_one(word) in {len(c) for c in cuts(word) if math.isclose(sum(model.score[p] for p in c), top, abs_tol=1e-9)}
 
 
+def test_trie_scores_learn_from_every_text(spark, monkeypatch):
+    """More texts and words than a sample held, a long word and a text without an id; blocks of any size give one fit."""
+    import regex
+
+    texts = [f"w{i} again {i % 7}" for i in range(21_000)] + ["rarely" * 30, None]
+    frame = spark.createDataFrame([(i if i % 11 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counted = Counter(w.encode() for t in texts for w in regex.findall(PATTERN, t or ""))
+    assert {bytes(r["word"]): r["n"] for r in trie_counts.word_counts(frame).collect()} == counted
+    assert len(counted) > 20_000
+    pieces, words = trie_counts.read_pieces(RANKS), sorted(counted)
+    whole = trie_counts.fit(pieces, words, np.array([counted[w] for w in words], float))
+    for size in (trie_counts.BLOCK_BYTES, 3000):
+        monkeypatch.setattr(trie_counts, "BLOCK_BYTES", size)
+        assert np.abs(trie_counts.fitted_scores(frame, RANKS) - whole).max() < 1e-6
+
+
+def test_trie_scores_of_long_words(monkeypatch):
+    """Words one by one and in a trie; bytes that no piece holds."""
+    rng = random.Random(8)
+    pieces = [b"a", b"b", b"ab", b"ba", b"aab", b"abab", b"c"]
+    words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60))) for _ in range(80)} | {b"abdab", b"d", b"abd"})
+    counts = np.array([rng.randrange(1, 9) for _ in words], float)
+    together = trie_counts.fit(pieces, words, counts)
+    for long in (0, 20):
+        monkeypatch.setattr(trie_counts, "LONG", long)
+        assert np.abs(trie_counts.fit(pieces, words, counts) - together).max() < 1e-6
+
+
 def test_media(spark, odd):
     for r in media.media_features(odd).collect():
         data = (dict(ODD)[r.doc_id] or "").encode()
