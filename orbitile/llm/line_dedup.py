@@ -52,6 +52,10 @@ SCREEN, SCREEN_CHARS, LONG_SCREEN = 40, 150, 34
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
+#: Bytes of texts whose lines are hashed at a time: some twenty arrays of them fit a core's cache.
+SLICE = 1 << 18
+#: Texts whose lines are normalised at a time.
+FORM_ROWS = 500
 #: Pairs of a block that are verified at a time; what they link is not verified again.
 PAIRS_AT_ONCE = 20_000
 #: Least bytes of a word that counts for the SimHash by itself.
@@ -59,6 +63,8 @@ TELLING = 5
 #: Characters of a line from which on fixed words and shared runs of letters are tried before
 #: the whole distance: pairs that are likely alike, and pairs that are not.
 LONG, VERY_LONG = 600, 3000
+#: Fixed words are tried on this many long pairs, and further while a third of those tried are alike.
+TRIED = 30
 #: A step of numpy over many pairs costs as much as so many of its elements; a step over
 #: one pair's Python integers costs BIG_STEP elements, and one more for each BIG_BITS rows.
 NUMPY_STEP, BIG_STEP, BIG_BITS = 500, 30, 120
@@ -69,13 +75,6 @@ _DROPPED = np.zeros(256, bool)
 _DROPPED[[ord(c) for c in PUNCTUATION]] = True
 
 
-def normalized(line: Column) -> Column:
-    """The normal form of a line as a Column, the same as the Arrow pass hashes."""
-    lower = "".join(map(chr, range(97, 123)))
-    bare = F.translate(line, lower.upper() + PUNCTUATION, lower)
-    return F.trim(F.regexp_replace(bare, r"[\x20\x09-\x0D]+", " "))
-
-
 def window_hashes(words: Words, line_of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows in line order and the first of each line; a line without one is its own window."""
     upto = np.concatenate([[0], np.cumsum(words.end - words.start)])
@@ -136,7 +135,7 @@ LINES = "doc_id long, line int, id long, check long, mark_a long, mark_b long, c
 def _lines(batches, floor: int):
     for batch in batches:
         ids = batch.column(0)
-        for i, j, body, offsets in text_slices(batch.column(1)):
+        for i, j, body, offsets in text_slices(batch.column(1), SLICE):
             rows = line_rows(body, offsets)
             use = rows["words"] >= floor
             long = rows["words"][use] >= MIN_WORDS
@@ -156,6 +155,33 @@ def _lines(batches, floor: int):
             )
 
 
+_TO_NORMAL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def normal_form(line: bytes) -> bytes:
+    """The normal form of a line, the same as the Arrow pass hashes."""
+    return b" ".join(line.translate(_TO_NORMAL, PUNCTUATION.encode()).split())
+
+
+def _forms(batches):
+    """(id, form) of the lines at ``places`` of each text; a number beyond the text's lines has none."""
+    for batch in batches:
+        places = batch.column(1).flatten()
+        ids, at = places.field(0).to_pylist(), places.field(1).to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)).tolist()
+        begin = 0
+        for k in range(0, batch.num_rows, FORM_ROWS):
+            found, forms = [], []
+            for text, end in zip(batch.column(0).slice(k, FORM_ROWS).cast(pa.binary()).to_pylist(), ends[k : k + FORM_ROWS], strict=True):
+                lines = [] if text is None else text.split(b"\n")
+                for i in range(begin, end):
+                    if at[i] < len(lines):
+                        found.append(ids[i])
+                        forms.append(normal_form(lines[at[i]]).decode())
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(forms, pa.string())], ["id", "form"])
+
+
 def may_be_alike(a: Column, b: Column) -> Column:
     """Lengths that allow SIMILARITY, and SimHashes within SCREEN bits."""
     apart = F.bit_count(a["mark_a"].bitwiseXOR(b["mark_a"])) + F.bit_count(a["mark_b"].bitwiseXOR(b["mark_b"]))
@@ -199,8 +225,12 @@ def shared_grams(a: str, b: str) -> int:
     return sum((one & two).values())
 
 
-def anchored_distance(a: str, b: str) -> int:
-    """Distance of two texts when words that both hold once, in one order, are held fast; never too small."""
+def anchored_distance(a: str, b: str, most: int = -1) -> int:
+    """Distance of two texts when words that both hold once, in one order, are held fast; never too small.
+
+    What lies between such words is first taken for wholly different; it is compared, the
+    longest first, until the sum is ``most`` at the utmost.
+    """
     one, two = a.split(" "), b.split(" ")
     seen_a, seen_b = Counter(one), Counter(two)
     where = {w: j for j, w in enumerate(two) if seen_b[w] == 1}
@@ -218,11 +248,23 @@ def anchored_distance(a: str, b: str) -> int:
         chain.append(places[k])
         k = back[k]
     total, i, j = 0, 0, 0
+    between = []
     for next_i, next_j in reversed(chain):
-        total += edit_distance(" ".join(one[i:next_i]), " ".join(two[j:next_j]))
-        # an empty side lacks the space before the anchor as well
-        total += (i == next_i) != (j == next_j)
+        if i < next_i and j < next_j:
+            x, y = " ".join(one[i:next_i]), " ".join(two[j:next_j])
+            if x != y:
+                between.append((max(len(x), len(y)), x, y))
+                total += between[-1][0]
+        elif i < next_i or j < next_j:
+            # an empty side lacks the space before the anchor as well
+            total += sum(map(len, one[i:next_i])) + sum(map(len, two[j:next_j])) + next_i - i + next_j - j
         i, j = next_i + 1, next_j + 1
+    if total > most:
+        between.sort(reverse=True)
+        for size, x, y in between:
+            total += edit_distance(x, y) - size
+            if total <= most:
+                break
     return total
 
 
@@ -357,10 +399,15 @@ def all_alike(ones: list[str], twos: list[str], long: int = LONG) -> np.ndarray:
     out = np.abs(a - b) <= most
     open_ = out.copy()
     # long pairs are mostly alike by the words they hold in common, or not by the runs of letters they lack
+    tried, found = 0, 0
     for i in np.flatnonzero(out & (longer > long)):
-        if anchored_distance(ones[i], twos[i]) <= most[i]:
+        if longer[i] <= VERY_LONG and tried >= TRIED and 3 * found < tried:
+            continue
+        tried += 1
+        if anchored_distance(ones[i], twos[i], int(most[i])) <= most[i]:
             open_[i] = False
-        elif shared_grams(ones[i], twos[i]) < longer[i] - 2 - 3 * most[i]:
+            found += 1
+        elif longer[i] > VERY_LONG and shared_grams(ones[i], twos[i]) < longer[i] - 2 - 3 * most[i]:
             out[i] = open_[i] = False
     left = np.flatnonzero(open_)
     cut = [bare(ones[i], twos[i]) for i in left]
@@ -417,18 +464,22 @@ def _block_links(key, rows):
         label = np.array([top(x) for x in range(len(over))])[label]
         waiting, n = [], 0
 
-    for i in one:
-        apart = sum(np.bitwise_count(m[i] ^ m[two]).astype(np.int64) for m in marks)
-        shorter, longer = np.minimum(chars[two], chars[i]), np.maximum(chars[two], chars[i])
-        fit = (shorter >= longer * SIMILARITY - 1e-6) & (apart <= np.where(longer <= SCREEN_CHARS, SCREEN, LONG_SCREEN)) & (label[two] != label[i])
+    most = np.iinfo(np.int64).max
+    step = max(1, PAIRS_AT_ONCE // max(1, len(two)))
+    for part in (one[k : k + step] for k in range(0, len(one), step)):
+        apart = sum(np.bitwise_count(m[part, None] ^ m[two]) for m in marks)
+        x, y = np.nonzero(apart <= max(SCREEN, LONG_SCREEN))
+        apart, x, y = apart[x, y], part[x], two[y]
+        shorter, longer = np.minimum(chars[x], chars[y]), np.maximum(chars[x], chars[y])
+        fit = (shorter >= longer * SIMILARITY - 1e-6) & (apart <= np.where(longer <= SCREEN_CHARS, SCREEN, LONG_SCREEN)) & (label[x] != label[y])
         if low == high:
-            fit &= ids[two] > ids[i]
-        at = two[fit]
-        shared = np.isin(table[at], keys[i])
-        at = at[np.where(shared, table[at], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == bucket]
-        if len(at):
-            waiting.append(np.stack([np.full(len(at), i), at], axis=1))
-            n += len(at)
+            fit &= ids[y] > ids[x]
+        x, y = x[fit], y[fit]
+        shared = (table[x][:, :, None] == table[y][:, None, :]).any(axis=2)
+        first = np.where(shared, table[x], most).min(axis=1, initial=most) == bucket
+        if first.any():
+            waiting.append(np.stack([x[first], y[first]], axis=1))
+            n += int(first.sum())
         if n >= PAIRS_AT_ONCE:
             verify()
     if waiting:
@@ -461,10 +512,9 @@ def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
         """The normal forms of the lines that share a key, all of a document taken from its text at once."""
         places = classes.join(ids, "id").select("id", "first.doc_id", "first.line")
         of_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("places"))
-        cut = F.transform(F.array(F.split("text", "\n", -1)), lambda ls: F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.get(ls, p["line"]).alias("text"))))
         # neither side has a bound, whatever the estimates say: the plan is the same at every size
-        found = rows.join(of_doc.hint("shuffle_hash"), "doc_id").select(F.explode(F.flatten(cut)).alias("p"))
-        forms = materialize(found.select("p.id", normalized(F.col("p.text")).alias("form")).dropDuplicates(["id"]), "line-forms")
+        found = rows.join(of_doc.hint("shuffle_hash"), "doc_id").select("text", "places").mapInArrow(_forms, "id long, form string")
+        forms = materialize(found.dropDuplicates(["id"]), "line-forms")
         ready.append(forms)
 
         def verify(pairs: DataFrame) -> DataFrame:

@@ -93,10 +93,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def text_slices(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end, bytes, offsets) for slices of a string column."""
     body, offsets = buffers(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, limit):
         yield i, j, body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

@@ -561,6 +561,41 @@ def test_bpe_joins_anywhere(monkeypatch):
             assert codec.decode(ids) == text.encode()
 
 
+def test_line_pairs_are_verified_with_less_work(monkeypatch):
+    """Bounds settle what they can without a distance; blocks in small steps, and the answers stay."""
+    import pandas as pd
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    words = [rng.sample(vocabulary, 60) for _ in range(30)]
+    lines = [" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in ws) for ws in words for share in (0, 0.05, 0.2, 0.3)]
+    pairs = [(a, b) for a in lines[:24] for b in lines[:24] if a != b]
+    for a, b in pairs:
+        whole, most = line_dedup.anchored_distance(a, b), max(len(a), len(b)) // 5
+        assert whole >= line_dedup.edit_distance(a, b)
+        assert (line_dedup.anchored_distance(a, b, most) <= most) == (whole <= most)
+    expected = [line_dedup.alike(a, b) for a, b in pairs]
+    for long, tried in ((50, 30), (50, 0), (10_000, 30)):
+        monkeypatch.setattr(line_dedup, "TRIED", tried)
+        assert line_dedup.all_alike([a for a, _ in pairs], [b for _, b in pairs], long).tolist() == expected
+    rows = line_dedup.line_rows(*buffers(pa.array(lines)))
+    assert line_dedup.normal_form("\x0b A-b\tÉ!\x85c \n".encode()).decode() == "ab É\x85c"
+    table = pd.DataFrame({"id": np.arange(len(lines)), "block": 0, "label": np.arange(len(lines)), "mark_a": rows["marks"][:, 0].view(np.int64), "mark_b": rows["marks"][:, 1].view(np.int64), "chars": rows["chars"], "keys": [[7]] * len(lines), "form": lines})
+    found = []
+    for at_once in (20_000, 300):
+        monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", at_once)
+        links = line_dedup._block_links((7, 0, 0), table).to_numpy().tolist()
+        assert links and all(line_dedup.alike(lines[a], lines[b]) for a, b in links)
+        label = {i: i for i in range(len(lines))}
+        for a, b in links:
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        found.append({frozenset(k for k in label if label[k] == v) for v in label.values()})
+    assert found[0] == found[1]
+    # the words between fixed ones are short enough as they are: no distance is computed
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    assert line_dedup.anchored_distance("one two three four five", "one two tree four five", 5) == 5
+
+
 def test_trie_counts(spark, odd):
     import regex
 
