@@ -52,6 +52,8 @@ SCREEN, SCREEN_CHARS, LONG_SCREEN = 40, 150, 34
 #: Least edit similarity, 1 - distance / longer length, of a fuzzy pair.
 SIMILARITY = 0.8
 
+#: Bytes of texts whose lines are hashed at a time: their arrays stay in memory that is used again.
+LINE_BYTES = 1 << 16
 #: Texts whose lines are normalised at a time.
 FORM_ROWS = 500
 #: Pairs of a block that are verified at a time; what they link is not verified again.
@@ -61,11 +63,16 @@ TELLING = 5
 #: Characters of a line from which on fixed words and shared runs of letters are tried before
 #: the whole distance: pairs that are likely alike, and pairs that are not.
 LONG, VERY_LONG = 600, 3000
+#: Characters of a stretch between fixed words from which on it is compared by fixed words of its own, and how often over.
+STRETCH, DEPTH = 200, 20
 #: Fixed words are tried on this many long pairs, and further while a third of those tried are alike.
 TRIED = 30
-#: A step of numpy over many pairs costs as much as so many of its elements; a step over
-#: one pair's Python integers costs BIG_STEP elements, and one more for each BIG_BITS rows.
-NUMPY_STEP, BIG_STEP, BIG_BITS = 500, 30, 120
+#: A step of numpy over the words of many pairs costs as much as so many words; a step over
+#: one pair's Python integers costs BIG_STEP words, and one more for each BIG_BITS rows.
+NUMPY_STEP, BIG_STEP, BIG_BITS = 1200, 50, 60
+
+#: Bits of the filter of wanted keys: this many a key, and at most so many in all (8 MB).
+FILTER_BITS, MOST_BITS = 8, 1 << 26
 
 #: ASCII punctuation, dropped from lines (fixed values).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -73,32 +80,32 @@ _DROPPED = np.zeros(256, bool)
 _DROPPED[[ord(c) for c in PUNCTUATION]] = True
 
 
-def window_hashes(words: Words, line_of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: Words, line_of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows in line order and the first of each line; a line without one is its own window."""
     upto = np.concatenate([[0], np.cumsum(words.end - words.start)])
-    at = np.searchsorted(line_of, np.arange(lines + 1))
     size = np.clip((upto[at[1:]] - upto[at[:-1]]) // 4, *WINDOW)
     last = np.searchsorted(upto[1:], upto[:-1] + size[line_of])
     last = np.minimum(last, at[1:][line_of] - 1)  # the rest of the line where that is shorter
     full = upto[last + 1] - upto[:-1] >= size[line_of]
     begin = np.flatnonzero(full | (np.arange(len(line_of)) == at[:-1][line_of]))
-    return span_hashes(words.hashes, begin, last[begin] + 1), np.searchsorted(line_of[begin], np.arange(lines + 1))
+    return span_hashes(words.hashes, begin, last[begin] + 1), np.searchsorted(begin, at)
 
 
 def line_rows(body: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """For all lines of a slice: text, number in the text, id, check, words, SimHash, characters and keys."""
-    keep = ~_DROPPED[body]
-    place = np.concatenate([[0], np.cumsum(keep)])
-    body, offsets = body[keep], place[offsets]
+    drop = _DROPPED[body]
+    offsets = offsets - np.searchsorted(np.flatnonzero(drop), offsets)
+    body = body[~drop]
     newline = np.flatnonzero(body == 10)
     owner = np.searchsorted(offsets, newline, side="right") - 1
     # each text has a line more than it has newlines
     lines = np.bincount(owner, minlength=len(offsets) - 1) + 1
     first_line = np.concatenate([[0], np.cumsum(lines)])
     words = Words(body, offsets, ~WHITESPACE, LOWER)
-    line_of = np.searchsorted(newline, words.start) + words.text
-    at = np.searchsorted(line_of, np.arange(first_line[-1] + 1))
+    # of lines that begin at one place all but the last are empty
+    at = np.searchsorted(words.start, np.concatenate([np.sort(np.concatenate([offsets[:-1], newline + 1])), [len(body)]]))
     n = np.diff(at)
+    line_of = np.repeat(np.arange(len(n)), n)
     some = np.flatnonzero(n > 0)
     ids, check = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     if len(some):
@@ -106,8 +113,11 @@ def line_rows(body: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             out[some] = mix(span_hashes(values, at[some], at[some + 1]) + n[some].astype(np.uint64), 77)
     text = np.repeat(np.arange(len(lines)), lines)
     # characters of the normal form: those that begin in a word, and a space between words
-    begins = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
-    chars = np.bincount(line_of, begins[words.end] - begins[words.start], len(n)).astype(np.int64) + np.maximum(n - 1, 0)
+    further = np.flatnonzero((body & 0xC0) == 0x80)
+    size = words.end - words.start
+    if len(further):
+        size = size - np.searchsorted(further, words.end) + np.searchsorted(further, words.start)
+    chars = sums_between(size, at) + np.maximum(n - 1, 0)
     # frequent words are short: words of TELLING bytes and pairs that hold one are features, or all words and
     # pairs of a line that has hardly any such word
     telling = words.end - words.start >= TELLING
@@ -121,7 +131,7 @@ def line_rows(body: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     keys = np.zeros((len(n), BLOCKS + WINDOWS), np.uint64)
     for block in range(BLOCKS):
         keys[:, block] = mix(marks[:, block // 2] >> np.uint64(32 * (block % 2)) & np.uint64(0xFFFFFFFF), 90 + block)
-    hashes, first = window_hashes(words, line_of, len(n))
+    hashes, first = window_hashes(words, line_of, at)
     for k in range(WINDOWS):
         keys[:, BLOCKS + k] = mix(sums_between(mix(hashes, 100 + k), first, np.minimum), 100 + k)
     return {"text": text, "line": np.arange(first_line[-1]) - first_line[text], "id": ids, "check": check, "words": n, "marks": marks, "chars": chars, "keys": keys}
@@ -133,7 +143,7 @@ LINES = "doc_id long, line int, id long, check long, mark_a long, mark_b long, c
 def _lines(batches, floor: int):
     for batch in batches:
         ids = batch.column(0)
-        for i, j, body, offsets in text_slices(batch.column(1)):
+        for i, j, body, offsets in text_slices(batch.column(1), LINE_BYTES):
             rows = line_rows(body, offsets)
             use = rows["words"] >= floor
             long = rows["words"][use] >= MIN_WORDS
@@ -162,7 +172,11 @@ def normal_form(line: bytes) -> bytes:
 
 
 def _forms(batches):
-    """(id, form) of the lines at ``places`` of each text; a number beyond the text's lines has none."""
+    """(id, form) of the lines at ``places`` of each text; a number beyond the text's lines has none.
+
+    Rows of one doc_id come to one task, which gives each id once, unless a skewed join is split.
+    """
+    seen: set[int] = set()
     for batch in batches:
         places = batch.column(1).flatten()
         ids, at = places.field(0).to_pylist(), places.field(1).to_pylist()
@@ -173,7 +187,8 @@ def _forms(batches):
             for text, end in zip(batch.column(0).slice(k, FORM_ROWS).cast(pa.binary()).to_pylist(), ends[k : k + FORM_ROWS], strict=True):
                 lines = [] if text is None else text.split(b"\n")
                 for i in range(begin, end):
-                    if at[i] < len(lines):
+                    if at[i] < len(lines) and ids[i] not in seen:
+                        seen.add(ids[i])
                         found.append(ids[i])
                         forms.append(normal_form(lines[at[i]]).decode())
                 begin = end
@@ -223,11 +238,12 @@ def shared_grams(a: str, b: str) -> int:
     return sum((one & two).values())
 
 
-def anchored_distance(a: str, b: str, most: int = -1) -> int:
+def anchored_distance(a: str, b: str, most: int = -1, depth: int = DEPTH) -> int:
     """Distance of two texts when words that both hold once, in one order, are held fast; never too small.
 
     What lies between such words is first taken for wholly different; it is compared, the
-    longest first, until the sum is ``most`` at the utmost.
+    longest first, until the sum is ``most`` at the utmost. A long stretch is compared by the
+    words that its two sides hold once, ``depth`` times over.
     """
     one, two = a.split(" "), b.split(" ")
     seen_a, seen_b = Counter(one), Counter(two)
@@ -260,7 +276,8 @@ def anchored_distance(a: str, b: str, most: int = -1) -> int:
     if total > most:
         between.sort(reverse=True)
         for size, x, y in between:
-            total += edit_distance(x, y) - size
+            again = depth and size > STRETCH and (len(x) < len(a) or len(y) < len(b))
+            total += (anchored_distance(x, y, -1, depth - 1) if again else edit_distance(x, y)) - size
             if total <= most:
                 break
     return total
@@ -276,79 +293,114 @@ def alike(a: str, b: str) -> bool:
     return longer > LONG and anchored_distance(a, b) <= most or edit_distance(a, b) <= most
 
 
-def edit_distances(ones: list[str], twos: list[str], most: int | None = None) -> np.ndarray:
+def edit_distances(ones: list[str], twos: list[str], most: int | np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of many pairs at once; above ``most``, where given, only that they are above it.
 
-    The bit-parallel dynamic programming of ``edit_distance`` in words of 64 rows, one
-    numpy step for a column and a word of all pairs; increments are carried from word to
-    word. Pairs come with like lengths (``_batches_of``), so little is computed in vain.
-    With ``most`` only words that meet the band of so many rows around the diagonal are
-    computed; what lies outside is taken for its greatest possible value.
+    The bit-parallel dynamic programming of ``edit_distance`` in words of 64 rows. Word w
+    computes column t - w in step t, when the word above it has done that column, so a step
+    of numpy covers all words of all pairs. Pairs come with like lengths (``_batches_of``), so
+    little is computed in vain. With ``most`` (a number, or one for each pair) only words that
+    meet the band of so many rows around the diagonal are computed; what lies outside is taken
+    for its greatest possible value. Values never fall along a diagonal, so a pair is given up
+    once the diagonal of its last cell is above its ``most``.
     """
     rows, cols = (np.array([len(t) for t in side], np.int64) for side in (ones, twos))
     n, words = len(ones), max(1, -(-int(rows.max(initial=0)) // 64))
-    letters, code = np.unique(np.frombuffer("".join([*ones, *twos]).encode("utf-32-le"), np.uint32), return_inverse=True)
+    if not n:
+        return np.zeros(0, np.int64)
+    points = np.frombuffer("".join([*ones, *twos]).encode("utf-32-le"), np.uint32)
+    found = np.zeros(int(points.max(initial=0)) + 1, bool)
+    found[points] = True
+    code = (np.cumsum(found) - 1)[points]  # letters by number
     ends = np.cumsum(np.concatenate([rows, cols]))
-    grids = []
-    for first, size in ((0, rows), (n, cols)):
-        grid = np.full((int(size.max(initial=0)), n), len(letters))  # beyond the end: no letter
-        owner = np.repeat(np.arange(n), size)
-        grid[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size), owner] = code[ends[first] - size[0] : ends[first + n - 1]] if n else code
-        grids.append(grid)
-    at = np.arange(n)
+    none, longest = np.count_nonzero(found), int(cols.max())  # beyond the end: no letter
     # which rows of a word hold a letter; beyond the end none does
-    match = np.zeros((words, (len(letters) + 1) * n), np.uint64)
-    for i, letter in enumerate(grids[0]):
-        match[i >> 6][letter * n + at] |= np.uint64(1 << (i & 63))
-    match[:, len(letters) * n :] = 0
+    match = np.zeros(words * (none + 1) * n, np.uint64)
+    owner = np.repeat(np.arange(n), rows)
+    row = np.arange(len(owner)) - np.repeat(np.cumsum(rows) - rows, rows)
+    np.bitwise_or.at(match, ((row >> 6) * (none + 1) + code[: len(owner)]) * n + owner, np.uint64(1) << (row & 63).astype(np.uint64))
+    # places in ``match`` of all columns, the last first: those of a step's words stand together
+    owner = np.repeat(np.arange(n), cols)
+    column = np.arange(len(owner)) - np.repeat(np.cumsum(cols) - cols, cols)
+    places = np.full((longest + 2 * words, n), none)
+    places[longest + words - 1 - column, owner] = code[ends[n - 1] :]
+    places = places * n + np.arange(n)
+    of_word = np.arange(words)[:, None] * ((none + 1) * n)
     up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
-    last, bit = (rows - 1) >> 6, ((rows - 1) & 63).astype(np.uint64)
-    ends_in = {int(w): (last == w).astype(np.uint64) for w in np.unique(last) if w >= 0}
-    band = most if most is not None else int(max(rows.max(initial=0), cols.max(initial=0)))
-    # ``score`` is the value at the lowest row computed: a word's end, or the pair's last row
-    reached, score = -1, np.zeros(n, np.uint64)
-    rise, fall, diagonal, part = (np.empty(n, np.uint64) for _ in range(4))
-    rise_in, fall_in, rise_out, fall_out = (np.empty(n, np.uint64) for _ in range(4))
-    one, top, shortest = np.uint64(1), np.uint64(63), int(cols.min(initial=0))
-    for j, letter in enumerate(grids[1]):
-        place = letter * n + at
-        rise_in.fill(1)
-        fall_in.fill(0)
-        while reached < min(words - 1, (j + 1 + band) >> 6):
-            reached += 1
-            score += (last > reached).astype(np.uint64) * np.uint64(64) + (last == reached) * (bit + one)
-        for w in range(max(0, j - band) >> 6, reached + 1):
-            equal, pv, mv = match[w].take(place), up[w], down[w]
-            across = np.bitwise_or(equal, mv)
-            np.bitwise_or(equal, fall_in, out=equal)
-            np.bitwise_and(equal, pv, out=diagonal)
-            np.add(diagonal, pv, out=diagonal)
-            np.bitwise_xor(diagonal, pv, out=diagonal)
-            np.bitwise_or(diagonal, equal, out=diagonal)
-            np.bitwise_or(diagonal, pv, out=rise)
-            np.invert(rise, out=rise)
-            np.bitwise_or(rise, mv, out=rise)
-            np.bitwise_and(pv, diagonal, out=fall)
-            if w in ends_in:  # the last row of some pairs: its increment is the score's
-                here = ends_in[w] if j < shortest else ends_in[w] * (j < cols)
-                score += (rise >> bit & one) * here
-                score -= (fall >> bit & one) * here
-            np.right_shift(rise, top, out=rise_out)
-            np.right_shift(fall, top, out=fall_out)
-            if w == reached and w < words - 1:  # the lowest row so far of longer pairs
-                here = (last > w) & (j < cols)
-                score += rise_out * here
-                score -= fall_out * here
-            np.left_shift(rise, one, out=rise)
-            np.bitwise_or(rise, rise_in, out=rise)
-            np.left_shift(fall, one, out=fall)
-            np.bitwise_or(fall, fall_in, out=fall)
-            np.bitwise_or(across, rise, out=part)
-            np.invert(part, out=part)
-            np.bitwise_or(part, fall, out=pv)
-            np.bitwise_and(rise, across, out=mv)
-            rise_in, rise_out, fall_in, fall_out = rise_out, rise_in, fall_out, fall_in
-    return np.where(rows == 0, cols, score.astype(np.int64))
+    value = np.repeat(64 * np.arange(1, words + 1, dtype=np.int64)[:, None], n, axis=1)  # at the last row of each word
+    risen, fallen = np.ones((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)  # what each word takes from the one above
+    band = int(np.max(most)) if most is not None else int(max(rows.max(), longest))
+    limit = np.broadcast_to(np.asarray(band if most is None else most, np.int64), n)
+    last, bit = np.maximum(rows - 1, 0) >> 6, (np.maximum(rows - 1, 0) & 63).astype(np.uint64)
+    done = cols - 1 + last  # the step in which a pair's last cell is computed
+    out = np.maximum(rows, cols)  # of pairs whose last cell lies outside the band, or that are given up
+    here = np.arange(n)
+    one, top = np.uint64(1), np.uint64(63)
+
+    def at_row(word: np.ndarray, bits: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The value at a row of a word, for some pairs: that at the word's end less the steps between."""
+        beyond = ~np.uint64(0) << bits << one
+        return value[word, of] - np.bitwise_count(up[word, of] & beyond) + np.bitwise_count(down[word, of] & beyond).astype(np.int64)
+
+    def keep(which: np.ndarray) -> None:
+        nonlocal here, up, down, value, risen, fallen, places
+        here = here[which]
+        up, down, value, risen, fallen, places = (np.ascontiguousarray(x[:, which]) for x in (up, down, value, risen, fallen, places))
+
+    keep(np.flatnonzero((rows > 0) & (cols > 0)))
+    reached, top_before = min(words - 1, (1 + band) // 65), 0
+    for t in range(int(done[here].max(initial=-1)) + 1):
+        low, high = max(0, -(-(t - band - 63) // 65)), min(words - 1, t, (t + 1 + band) // 65)
+        if high > reached:  # a word that enters the band: the column before, 64 rows more than the word above
+            reached = high
+            value[high] = value[high - 1] - risen[high].astype(np.int64) + fallen[high].astype(np.int64) + 64
+        if low > high:
+            break
+        w = slice(low, high + 1)
+        if low == top_before:
+            risen[low], fallen[low] = 1, 0  # the row above the band rises with every column
+        top_before = low
+        equal = match.take(places[longest + words - 1 - t + low : longest + words - t + high] + of_word[w])
+        pv, mv, rise_in, fall_in = up[w], down[w], risen[w], fallen[w]
+        across = equal | mv
+        equal |= fall_in
+        diagonal = equal & pv
+        diagonal += pv
+        diagonal ^= pv
+        diagonal |= equal
+        rise = diagonal | pv
+        np.invert(rise, out=rise)
+        rise |= mv
+        fall = pv & diagonal
+        rise_out, fall_out = rise >> top, fall >> top
+        rise <<= one
+        rise |= rise_in
+        fall <<= one
+        fall |= fall_in
+        np.bitwise_or(across, rise, out=pv)
+        np.invert(pv, out=pv)
+        pv |= fall
+        np.bitwise_and(rise, across, out=mv)
+        value[w] += rise_out.view(np.int64)
+        value[w] -= fall_out.view(np.int64)
+        risen[low + 1 : high + 2], fallen[low + 1 : high + 2] = rise_out, fall_out
+        ready = np.flatnonzero(done[here] == t)
+        if len(ready):
+            ready = ready[(last[here[ready]] >= low) & (last[here[ready]] <= high)]
+            out[here[ready]] = at_row(last[here[ready]], bit[here[ready]], ready)
+        if t & 63 == 63:
+            # the cells of this step on the diagonals of the pairs' last cells
+            place = t + rows[here] - cols[here]
+            word = place // 65
+            inside = np.flatnonzero((word >= low) & (word <= high) & (place % 65 < 64) & (done[here] > t))
+            over = np.zeros(len(here), bool)
+            over[inside] = at_row(word[inside], (place[inside] % 65).astype(np.uint64), inside) > limit[here[inside]]
+            left = ~over & (done[here] > t)
+            if 4 * np.count_nonzero(left) < 3 * len(here):
+                keep(np.flatnonzero(left))
+                if not len(here):
+                    break
+    return out
 
 
 def common_start(a: str, b: str) -> int:
@@ -386,7 +438,7 @@ def _batches_of(sizes: np.ndarray):
 def together(pairs: int, size: int, most: int) -> bool:
     """Whether so many pairs of a size are computed faster at once in numpy than one by one in Python integers."""
     words = min(size, 2 * most + 64) // 64 + 1
-    return words * (NUMPY_STEP + pairs) < pairs * (BIG_STEP + size / BIG_BITS)
+    return NUMPY_STEP + words * pairs < pairs * (BIG_STEP + size / BIG_BITS)
 
 
 def all_alike(ones: list[str], twos: list[str], long: int = LONG) -> np.ndarray:
@@ -412,7 +464,7 @@ def all_alike(ones: list[str], twos: list[str], long: int = LONG) -> np.ndarray:
     for part in _batches_of(np.array([max(map(len, pair)) for pair in cut], np.int64)):
         at = left[part]
         if together(len(part), max(len(t) for k in part for t in cut[k]), int(most[at].max())):
-            distances = edit_distances([cut[k][0] for k in part], [cut[k][1] for k in part], int(most[at].max()))
+            distances = edit_distances([cut[k][0] for k in part], [cut[k][1] for k in part], most[at])
         else:
             distances = np.array([edit_distance(*cut[k]) for k in part])
         out[at] = distances <= most[at]
@@ -432,10 +484,11 @@ def _block_links(key, rows):
     ids, block, chars = (rows[c].to_numpy(np.int64) for c in ("id", "block", "chars"))
     label = np.unique(rows["label"].to_numpy(np.int64), return_inverse=True)[1]
     marks = [rows[c].to_numpy(np.int64).view(np.uint64) for c in ("mark_a", "mark_b")]
-    keys = [np.unique(np.asarray(k, np.int64)) for k in rows["keys"]]
-    table = np.zeros((len(keys), max(map(len, keys))), np.int64)
-    for i, k in enumerate(keys):
-        table[i, : len(k)], table[i, len(k) :] = k, k[-1]
+    keys = rows["keys"].tolist()
+    sizes = np.array([len(k) for k in keys], np.int64)
+    ends = np.cumsum(sizes)
+    # the keys of each row, the last of them as often as there is room
+    table = np.concatenate(keys).astype(np.int64)[np.minimum((ends - sizes)[:, None] + np.arange(sizes.max()), ends[:, None] - 1)]
     forms = rows["form"].tolist()
     one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high)) if low != high else (np.arange(len(ids)),) * 2
     out, waiting, n = [], [], 0
@@ -493,6 +546,35 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
+def _rows_of_keys(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, id) of the lines, without most of the keys that are not ``wanted(key)``.
+
+    A bit for each hash of a wanted key, in a broadcast of bounded size, spares the shuffle
+    the other keys. It only ever lets too many pass: the caller joins with ``wanted``.
+    """
+    sc = lines.sparkSession.sparkContext
+    size = min(MOST_BITS, 1 << max(10, int(FILTER_BITS * wanted.count()).bit_length()))
+    # a key is mixed bits already
+    spot = F.col("key").bitwiseAND(size - 1)
+    found = wanted.groupBy(F.shiftright(spot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63))")).alias("bits"))
+    table = found.toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    shared = sc.broadcast(bits)
+
+    def pick(batches):
+        bits = shared.value
+        for batch in batches:
+            of = batch.column(1)
+            keys, ends = of.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(of), 0).to_numpy(zero_copy_only=False))
+            spot = keys & (size - 1)
+            hit = np.flatnonzero(bits[spot >> 6] >> (spot & 63) & 1)
+            row = np.searchsorted(ends, hit, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(0).take(pa.array(row))], ["key", "id"])
+
+    return lines.select("id", "keys").mapInArrow(pick, "key long, id long")
+
+
 def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of the lines that go, for documents losing any."""
     floor = max(floor, 1)
@@ -512,7 +594,7 @@ def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
         of_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("places"))
         # neither side has a bound, whatever the estimates say: the plan is the same at every size
         found = rows.join(of_doc.hint("shuffle_hash"), "doc_id").select("text", "places").mapInArrow(_forms, "id long, form string")
-        forms = materialize(found.dropDuplicates(["id"]), "line-forms")
+        forms = materialize(found, "line-forms")
         ready.append(forms)
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -529,20 +611,21 @@ def repeated_lines(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
         whole = dealt_blocks(left, F.lit(1), BLOCK_ROWS).select("key", "low", "high", "block", "id", "label", "sig.*").join(own, "id")
         return whole.groupBy("key", "low", "high").applyInPandas(_block_links, "a long, b long")
 
-    linked = link_buckets(keys, sigs, may_be_alike, prepare, compare)
-    named = classes.join(linked, "id", "left").select("id", "check", "first", "n", F.coalesce("component", "id").alias("component"))
+    linked = link_buckets(keys, sigs, may_be_alike, prepare, compare, narrow=lambda wanted: _rows_of_keys(lines, wanted))
+    # a class of one line that is linked with nothing loses none
+    named = classes.join(linked, "id", "left").filter("n > 1 or component is not null").select("id", "check", "first", "n", F.coalesce("component", "id").alias("component"))
     named = materialize(named, "line-named")
     # only groups with more than one occurrence lose lines
     heads = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     affected = materialize(named.join(heads.select("component", "keep"), "component").select("id", "check", "keep"), "line-affected")
-    gone = lines.select("doc_id", "line", "id", "check").join(affected, ["id", "check"]).filter("doc_id <> keep.doc_id or line <> keep.line")
+    gone = lines.select("doc_id", "line", "id", "check").join(affected.hint("shuffle_hash"), ["id", "check"]).filter("doc_id <> keep.doc_id or line <> keep.line")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def line_dedup(docs: DataFrame, floor: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines of at least ``floor`` words cut from ``text``; adds n_removed."""
     gone = materialize(repeated_lines(docs, floor), "gone").select(F.col("doc_id").alias("id"), F.col("lines").alias("gone"))
-    out = packed(docs).join(gone.hint("shuffle_merge"), "id", "left")
+    out = packed(docs).join(gone.hint("shuffle_hash"), "id", "left")
     # the split text is bound to a name, so that it is split once
     left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
     cut = F.get(F.transform(F.array(F.split("row.text", "\n", -1)), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n")), F.lit(0))

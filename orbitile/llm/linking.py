@@ -77,6 +77,7 @@ def link_buckets(
     prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     compare: Callable[[DataFrame], DataFrame],
     remaining: Callable[[DataFrame], DataFrame] | None = None,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Connected components of the verified links among ids that share a key.
 
@@ -87,7 +88,8 @@ def link_buckets(
     What the pivots leave mixed, rows(key, id, sig, label), is compared in two ways:
     buckets of up to SMALL rows in an equi-join under ``screen``, larger ones by
     ``compare(rows)``, which finds the links (a, b) between different labels itself,
-    block against block; or all of them by ``remaining(rows)``. Returns (id, component) for ids with at least one link. No link between two
+    block against block; or all of them by ``remaining(rows)``. ``narrow(wanted(key))`` may give the rows
+    of ``keys`` with fewer of other keys than the wanted. Returns (id, component) for ids with at least one link. No link between two
     ids that share a key and pass ``screen`` is lost, except one whose ends are
     connected anyway.
     """
@@ -95,7 +97,7 @@ def link_buckets(
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     buckets = materialize(buckets.filter("low < high"), "buckets")
     large_keys = materialize(buckets.filter("n > 2").select("key"), "large-keys")
-    large = keys.join(large_keys, "key").select("key", "id").distinct()
+    large = (keys if narrow is None else narrow(large_keys)).join(large_keys, "key").select("key", "id").distinct()
     two = buckets.filter("n = 2")
     ids = two.select("key", F.col("low").alias("id")).union(two.select("key", "high")).union(large)
     members = materialize(ids.join(sigs, "id").select("key", "id", "sig"), "members")

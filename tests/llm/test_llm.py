@@ -1009,3 +1009,36 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs):
     assert set(got) <= set(kept) - whole
     assert len(set(kept) - whole - set(got)) <= 0.02 * len(kept)  # items with slight changes go too
     assert all(got[k] == hashlib.sha256((kept[k] or "").encode()).hexdigest() for k in got)
+
+
+def test_many_distances_with_a_bound_for_each_pair():
+    """Bands, words that enter and leave them, and pairs given up early change no distance within its bound."""
+    rng = random.Random(31)
+    for letters, longest in (("ab", 70), ("abcdefgh", 400), ("aé漢🙂", 200)):
+        ones = ["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(40)]
+        twos = ["".join(rng.choice(letters) if rng.random() < 0.1 else c for c in t if rng.random() > 0.03) for t in ones]
+        twos = [t if k % 3 else "".join(rng.choice(letters) for _ in range(len(t))) for k, t in enumerate(twos)]
+        exact = np.array([line_dedup.edit_distance(a, b) for a, b in zip(ones, twos, strict=True)])
+        assert line_dedup.edit_distances(ones, twos).tolist() == exact.tolist()
+        for bounds in (np.array([max(map(len, pair)) // 5 for pair in zip(ones, twos, strict=True)]), np.zeros(40, np.int64), exact, np.maximum(exact - 1, 0)):
+            got = line_dedup.edit_distances(ones, twos, bounds)
+            assert np.where(exact <= bounds, got == exact, got > bounds).all()
+    # a stretch without words that both texts hold once is compared by those it holds itself
+    words = [f"w{k}" for k in range(120)]
+    a, b = " ".join([*words, "start", *words, "end"]), " ".join([*words, "start", *words[:60], "new", *words[60:], "end"])
+    assert line_dedup.anchored_distance(a, b) == line_dedup.edit_distance(a, b) == 4
+
+
+def test_rows_of_wanted_keys_only(spark):
+    """The filter before the shuffle keeps every row of a wanted key and drops nearly all others."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, (2000, 3))
+    rows = [(i, [int(k) for k in ks]) for i, ks in enumerate(keys)] + [(2000, []), (2001, None)]
+    lines = spark.createDataFrame(rows, "id long, keys array<long>").repartition(3)
+    wanted = {int(k) for k in keys[::20].ravel()}
+    found = line_dedup._rows_of_keys(lines, spark.createDataFrame([(k,) for k in sorted(wanted)], "key long")).collect()
+    got = {(r.key, r.id) for r in found}
+    every = {(k, i) for i, ks in rows for k in ks or []}
+    assert got <= every and {(k, i) for k, i in every if k in wanted} <= got
+    assert len(got) < len(wanted) + 0.2 * len(every) and len(found) == len(got)
+    assert line_dedup._rows_of_keys(lines, spark.createDataFrame([], "key long")).count() == 0
