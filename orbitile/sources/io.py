@@ -67,7 +67,9 @@ def registry_of(spark: SparkSession, nested: dict) -> DataFrame:
 
 
 def _registry_rows(frame: DataFrame) -> DataFrame:
-    flat = frame.select(F.explode("regions").alias("region", "r")).select("region", F.col("r.dates").alias("_dates"), F.explode("r.districts").alias("district", "e"))
+    # columns of their own, so that no district's row holds the others of its region
+    regions = frame.select(F.explode("regions").alias("region", "r")).select("region", F.col("r.dates").alias("_dates"), F.col("r.districts").alias("_districts"))
+    flat = regions.select("region", "_dates", F.explode("_districts").alias("district", "e"))
     box = [F.get("e.bbox", F.lit(i)).alias(c) for i, c in enumerate(("min_lon", "min_lat", "max_lon", "max_lat"))]
     lists = F.when(F.col("e.dates").isNotNull(), F.array("e.dates")).otherwise(F.col("_dates"))
     ranges = F.transform(lists, lambda d: F.struct(F.get(d, F.lit(0)).cast("date").alias("date_from"), F.get(d, F.lit(1)).cast("date").alias("date_to")))

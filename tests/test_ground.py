@@ -1,14 +1,17 @@
 """Covers, shapes of several rings, thin lines, labels in degrees, resampling, mosaics, registries, resumed work, training."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orbitile.operators import composite, cover, dataset, regions, training
+from orbitile.plans.registry import QUERIES
 from orbitile.sources import io
 
+DATA = "/root/testdata/sf0.001"
 RINGS = "i int, rings array<array<struct<x: double, y: double>>>"
 
 
@@ -274,3 +277,15 @@ def test_draws_with_replacement(spark):
     again = dataset.draw_negatives(df, 4.0, [F.col("tile_id"), F.col("tile_id")]).collect()
     assert {(r.draw, r.tile_id) for r in again} == {(r.draw, r.tile_id) for r in got}
     assert dataset.draw_negatives(df.filter("is_target = 1"), 4.0, [F.col("tile_id")]).count() == 0
+
+
+def lines_read(df):
+    return [r.value for r in df.sparkSession.read.text(df.inputFiles()).collect()]
+
+
+def test_registry_rows_do_not_carry_their_region(spark):
+    """A line written holds one district, and a row read from a line of many holds no other."""
+    out = QUERIES["region_registry"][0](spark, DATA)
+    assert [line.count('"bbox"') for line in lines_read(out)] == [1] * 10 and out.count() == 10
+    held = re.findall(r"Generate explode\([^)]*\), \[([^]]*)\][^\n]*district#", out._jdf.queryExecution().executedPlan().toString())
+    assert held and all(re.sub(r"#\d+", "", h) in ("region", "region, _dates") for h in held)
