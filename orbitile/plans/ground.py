@@ -59,15 +59,15 @@ def dem_mosaic(spark, d):
 
 
 def registry_ranges(spark, d):
-    """Days of each district from text of the registry's own shape: lists of ranges by region, some overlapping."""
+    """Days of each district from text of the registry's own shape, one line a district: lists of ranges by region, some overlapping."""
     registry = view(spark, d, "registry")
     text = lambda day, more: F.date_add(day, more).cast("string")
     first, last = F.min("date_from"), F.max("date_to")
     ranges = F.array(F.array(text(first, 0), text(first, 10)), F.array(text(first, 5), text(first, 12)), F.array(text(last, -2), text(last, 0)))
     entry = F.struct(F.array(*R.BOX).alias("bbox"), F.col("ground_truth"))
-    regions = registry.groupBy("region").agg(ranges.alias("dates"), F.map_from_entries(F.collect_list(F.struct("district", entry.alias("e")))).alias("districts"))
+    districts = registry.join(registry.groupBy("region").agg(ranges.alias("dates")), "region").withColumn("districts", F.create_map("district", entry))
     path = scratch(spark, "ranges")
-    regions.select(F.to_json(F.create_map("region", F.struct("dates", "districts"))).alias("value")).write.text(path)
+    districts.select(F.to_json(F.create_map("region", F.struct("dates", "districts"))).alias("value")).write.text(path)
     return R.date_prefixes(read_registry(spark, path)).select("region", "district", "day", "prefix")
 
 

@@ -289,3 +289,11 @@ def test_registry_rows_do_not_carry_their_region(spark):
     assert [line.count('"bbox"') for line in lines_read(out)] == [1] * 10 and out.count() == 10
     held = re.findall(r"Generate explode\([^)]*\), \[([^]]*)\][^\n]*district#", out._jdf.queryExecution().executedPlan().toString())
     assert held and all(re.sub(r"#\d+", "", h) in ("region", "region, _dates") for h in held)
+
+
+def test_registry_lines_hold_a_district_and_the_dates_of_its_region(spark):
+    out = QUERIES["registry_ranges"][0](spark, DATA)
+    lines = lines_read(out)
+    assert [line.count('"bbox"') for line in lines] == [1] * 10
+    dates = {re.search(r'"dates":(.*?\]\])', line)[1] for line in lines}
+    assert len(dates) == 5 and all(len(re.findall(r"\d{4}-\d\d-\d\d", d)) == 6 for d in dates)
