@@ -297,3 +297,17 @@ def test_registry_lines_hold_a_district_and_the_dates_of_its_region(spark):
     assert [line.count('"bbox"') for line in lines] == [1] * 10
     dates = {re.search(r'"dates":(.*?\]\])', line)[1] for line in lines}
     assert len(dates) == 5 and all(len(re.findall(r"\d{4}-\d\d-\d\d", d)) == 6 for d in dates)
+
+
+def test_points_in_footprints_equal_brute_force(spark):
+    """Small, large, thin, turned and empty boxes; their cells, many times the rows of the table, are never broadcast."""
+    rng = np.random.default_rng(7)
+    boxes = [(i, f"g{i % 2}", *map(float, (x, x + w, y, y + h))) for i, (x, y, w, h) in enumerate(zip(*rng.uniform(-30, 30, (2, 60)), *np.exp2(rng.uniform(-6, 6, (2, 60))), strict=True))]
+    boxes += [(90, "g0", 4.0, 2.0, 4.0, 2.0), (91, "g0", 1.0, 1.0, 0.0, 9.0), (92, "g0", None, 2.0, 0.0, 9.0), (93, "g0", 0.0, 8.0, 0.0, 8.0)]
+    points = [(k, f"g{k % 2}", float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-30, 30, (900, 2)))]
+    points += [(1000 + k, "g0", x, y) for k, (x, y) in enumerate([(0.0, 4.0), (3.0, 3.0), (8.0, 4.0), (4.0, 8.0), (float("nan"), 4.0), (1.0, 5.0), (None, 3.0)])]
+    out = cover.truth_in_footprint(spark.createDataFrame(points, "k int, mgrs string, x double, y double"), spark.createDataFrame(boxes, "i int, mgrs string, x_lo double, x_hi double, y_lo double, y_hi double"))
+    assert "NestedLoop" not in plan(out) and "Broadcast" not in plan(QUERIES["truth_in_footprint"][0](spark, DATA))
+    got = sorted((r.k, r.i) for r in out.collect())
+    held = lambda x, y, a, b, c, d: None not in (x, a) and a < x < b and c < y < d
+    assert got == sorted((k, i) for k, g, x, y in points for i, h, *box in boxes if g == h and held(x, y, *box)) and (1001, 93) in got and (1001, 90) not in got
