@@ -311,3 +311,16 @@ def test_points_in_footprints_equal_brute_force(spark):
     got = sorted((r.k, r.i) for r in out.collect())
     held = lambda x, y, a, b, c, d: None not in (x, a) and a < x < b and c < y < d
     assert got == sorted((k, i) for k, g, x, y in points for i, h, *box in boxes if g == h and held(x, y, *box)) and (1001, 93) in got and (1001, 90) not in got
+
+
+def test_equal_polygons_are_met_once_and_their_covers_not_broadcast(spark):
+    rings = [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0)]]
+    shapes = [(i, "AB"[i % 2], f"2020-01-0{i + 1}", rings) for i in range(6)] + [(9, "A", "2020-01-01", [[(-0.0, 0.0), (8.0, 0.0), (8.0, 8.0)]]), (10, "A", "2020-01-01", [[(0.0, 0.0), (1.0, 0.0), (1.0, 8.0)]]), (11, "A", "2020-01-01", None)]
+    points = [(1, "A", 7.0, 1.0), (2, "B", 7.0, 1.0), (3, "A", 0.9, 0.1), (4, "A", 1.0, 7.0)]
+    out = cover.points_in_polygons(spark.createDataFrame(points, "k int, mgrs string, x double, y double"), spark.createDataFrame(shapes, "i int, mgrs string, day string, rings array<array<struct<x: double, y: double>>>"))
+    assert set(out.columns) == {"k", "mgrs", "x", "y", "i", "day", "rings"}
+    got = sorted((r.k, r.i, r.day) for r in out.collect())
+    days = {s[0]: s[2] for s in shapes}
+    assert got == [(k, i, days[i]) for k, held in ((1, (0, 2, 4, 9)), (2, (1, 3, 5)), (3, (0, 2, 4, 9, 10))) for i in held]
+    text = plan(QUERIES["truth_in_polygon"][0](spark, DATA))
+    assert re.search(r"SortMergeJoin \[[^]]*_cx", text) and not re.search(r"BroadcastHashJoin \[[^]]*_cx", text)
