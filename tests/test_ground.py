@@ -324,3 +324,23 @@ def test_equal_polygons_are_met_once_and_their_covers_not_broadcast(spark):
     assert got == [(k, i, days[i]) for k, held in ((1, (0, 2, 4, 9)), (2, (1, 3, 5)), (3, (0, 2, 4, 9, 10))) for i in held]
     text = plan(QUERIES["truth_in_polygon"][0](spark, DATA))
     assert re.search(r"SortMergeJoin \[[^]]*_cx", text) and not re.search(r"BroadcastHashJoin \[[^]]*_cx", text)
+
+
+def test_grids_of_one_reference_are_labelled_once(spark, monkeypatch):
+    """Two references for forty grids; a grid with both has the first label of either; the rest of the work sees two rows."""
+    a, b = (32735, 815000.0, 9800000.0, 600.0, 50, 40, 3), (32735, 815000.0, 9800000.0, 600.0, 50, 40, 6)
+    grids = [(f"G{i}", *(b if i % 4 == 0 else a)) for i in range(40)]
+    frame = spark.createDataFrame([*grids, grids[1]], "mgrs string, epsg int, x0 double, y0 double, res double, width int, height int, step int")
+    from orbitile.functions.geo import from_utm
+
+    at = lambda x, y: from_utm(F.lit(815000.0 + 600 * x), F.lit(9800000.0 - 600 * y), F.lit(32735))
+    places = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("bridge_id"), at(x, y).alias("p")) for k, (x, y) in enumerate([(1.5, 1.5), (4.5, 1.5), (4.6, 1.6), (7.5, 8.5)])])))
+    points = places.select("bridge_id", "p.lat", "p.lon")
+    seen, met = [], cover._met
+    monkeypatch.setattr(cover, "_met", lambda points, shapes, *rest: seen.append(shapes.count()) or met(points, shapes, *rest))
+    labels = lambda rows: sorted((r.mgrs, r.x_min, r.y_min, r.bridge_id) for r in cover.label_tiles_degrees(points, rows).collect())
+    small, large = [(0, 0, 0), (3, 0, 1), (6, 6, 3)], [(0, 0, 0), (6, 6, 3)]
+    assert labels(frame) == sorted((g[0], *x) for g in grids for x in (large if g[1:] == b else small))
+    assert seen == [2]
+    both = spark.createDataFrame([("X", *a), ("X", *b), ("Y", *a)], frame.schema)
+    assert labels(both) == sorted([("X", *x) for x in small] + [("Y", *x) for x in small])
