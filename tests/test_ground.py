@@ -344,3 +344,21 @@ def test_grids_of_one_reference_are_labelled_once(spark, monkeypatch):
     assert seen == [2]
     both = spark.createDataFrame([("X", *a), ("X", *b), ("Y", *a)], frame.schema)
     assert labels(both) == sorted([("X", *x) for x in small] + [("Y", *x) for x in small])
+
+
+def test_boxes_of_one_place_share_a_mosaic(spark, monkeypatch):
+    """Thirty boxes over the same two cells: pixels meet a place once, repeated values are settled first, a cell without values still sets the corner."""
+    names = ["N00E000.SRTMGL1_NC.nc", "N00E001.SRTMGL1_NC.nc", "N01E000.SRTMGL1_NC.nc"]
+    rows = [(n, k % 2, r, c, None if n == names[2] else float(100 * i + 10 * r + c + k)) for i, n in enumerate(names) for k in range(6) for r in range(3) for c in range(3)]
+    cells = spark.createDataFrame(rows, "cell string, source_order int, px_row int, px_col int, elevation double")
+    boxes = [(f"D{i}", 0.1 + i / 100, 0.2, 1.1 + i / 100, 0.9) for i in range(30)] + [("T", 0.2, 0.2, 0.3, 0.3), ("T", 0.2, 1.2, 1.3, 1.3), ("T", 1.2, 0.2, 1.3, 0.3)]
+    frame = spark.createDataFrame(boxes, "district string, min_lon double, min_lat double, max_lon double, max_lat double")
+    met, make = [], regions.mosaic_pixels
+    monkeypatch.setattr(regions, "mosaic_pixels", lambda cells, side: met.append(cells.count()) or make(cells, side))
+    got = {}
+    for r in regions.dem_mosaic(frame, cells, 0.0, 2).collect():
+        assert got.setdefault(r.district, {}).setdefault((r.px_row, r.px_col), (r.lon, r.lat, r.elevation)) == (r.lon, r.lat, r.elevation)
+    # of the shared column the first cell's values stay
+    place = {(r, c): (c / 2, 1 - r / 2, 10.0 * r + (c if c < 3 else 100 + c - 2)) for r in range(3) for c in range(5)}
+    assert got == {**{f"D{i}": place for i in range(30)}, "T": {(r + 2, c): v for (r, c), v in place.items()}}
+    assert max(met) == 2 * 9 + 2 * 9
