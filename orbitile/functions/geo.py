@@ -48,18 +48,36 @@ def to_utm(lat: Column, lon: Column, epsg: Column) -> Column:
     return F.struct((x * (SCALE * _A) + EAST).alias("x"), (y * (SCALE * _A) + north).alias("y"))
 
 
-def from_utm(x: Column, y: Column, epsg: Column) -> Column:
-    """struct(lat, lon) in degrees of a point of a UTM zone."""
+def _unprojected(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
     north = F.when(epsg >= 32700, NORTH).otherwise(0.0)
     xi, eta = (y - north) / (SCALE * _A), (x - EAST) / (SCALE * _A)
     xi1 = xi - _series(_BETA, lambda k: F.sin(xi * (2.0 * k)) * F.cosh(eta * (2.0 * k)))
     eta1 = eta - _series(_BETA, lambda k: F.cos(xi * (2.0 * k)) * F.sinh(eta * (2.0 * k)))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    return xi1, eta1
+
+
+def _on_sphere(xi1: Column, eta1: Column) -> tuple[Column, Column]:
+    return F.asin(F.sin(xi1) / F.cosh(eta1)), F.atan2(F.sinh(eta1), F.cos(xi1))
+
+
+def _degrees(chi: Column, lam: Column, epsg: Column) -> Column:
     phi = chi + _series(_DELTA, lambda k: F.sin(chi * (2.0 * k)))
-    lam = F.atan2(F.sinh(eta1), F.cos(xi1))
     return F.struct(F.degrees(phi).alias("lat"), (F.degrees(lam) + central_meridian(epsg)).alias("lon"))
 
 
+def from_utm(x: Column, y: Column, epsg: Column) -> Column:
+    """struct(lat, lon) in degrees of a point of a UTM zone."""
+    return _degrees(*_on_sphere(*_unprojected(x, y, epsg)), epsg)
+
+
+def all_from_utm(points: Column, epsg: Column) -> Column:
+    """``from_utm`` of each (x, y) of an array; each step is an array of its own, as functions of elements compute nothing once."""
+    pair = lambda p: F.struct(p[0].alias("a"), p[1].alias("b"))
+    flat = F.transform(points, lambda p: pair(_unprojected(p["x"], p["y"], epsg)))
+    sphere = F.transform(flat, lambda p: pair(_on_sphere(p["a"], p["b"])))
+    return F.transform(sphere, lambda p: _degrees(p["a"], p["b"], epsg))
+
+
 def utm_to_utm(x: Column, y: Column, source: Column, target: Column) -> Column:
     """struct(x, y) of a point of one UTM zone in the coordinates of another."""
     place = from_utm(x, y, source)
